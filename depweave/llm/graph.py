@@ -1,0 +1,41 @@
+"""Connected components of a link table, by contraction."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from depweave.llm.store import save
+
+
+def _relabelled(edges: DataFrame, to: DataFrame) -> DataFrame:
+    """Edges between the labels that ``to`` (node, up) gives their ends, without loops and repeats."""
+    for end in ("a", "b"):
+        edges = edges.join(to.select(F.col("node").alias(end), F.col("up").alias(f"up_{end}")), end, "left")
+    a, b = F.coalesce("up_a", "a"), F.coalesce("up_b", "b")
+    return edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a <> b").distinct()
+
+
+def _jumped(to: DataFrame) -> DataFrame:
+    """Each node pointed at what its target points at."""
+    again = to.select(F.col("node").alias("up"), F.col("up").alias("over"))
+    return to.join(again, "up", "left").select("node", F.coalesce("over", "up").alias("up"))
+
+
+def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """``node``, ``component`` (smallest node reachable) for every end of a link.
+
+    Each round hooks every node on its smallest smaller neighbour, shortens the trees by pointer jumping,
+    and contracts the links to links between tree tops. Links shrink fast, and each round is written to
+    the shared folder, so plans stay short and a lost executor costs one round at most. Null ends are
+    ignored; an empty table gives an empty result.
+    """
+    edges = links.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null")
+    label = save(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("component", F.col("node")), "labels")
+    edges = save(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    while not edges.isEmpty():
+        to = save(_jumped(_jumped(edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("up")))), "hooks")
+        label = label.join(to.withColumnRenamed("node", "component"), "component", "left")
+        label = save(label.select("node", F.coalesce("up", "component").alias("component")), "labels")
+        edges = save(_relabelled(edges, to), "edges")
+    return label
