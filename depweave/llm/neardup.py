@@ -10,8 +10,9 @@ Plan (every step is a distributed job; the driver sees counts only):
    pairs). Candidates whose collision-corrected estimate from bit counts is clearly too low are left out;
    the others are confirmed on their full shingle sets.
 4. Components of the confirmed links. A bucket whose members are all in one component is done. In any
-   other bucket the pairs *between* components are estimated bit by bit in blocks of bounded size, and
-   what passes is confirmed on full sets too. So no link between components is lost to the star.
+   other bucket the pairs *between* components are compared in blocks of bounded size, first by bits, then
+   by sets; only links leave a block, and they are confirmed too. So no link between components is lost
+   to the star, and no table of pairs is ever made.
 
 With 40 bands of 5 minima a pair of similarity 0.8 shares no band with probability 1.3e-7, and the
 estimate from 200 minima of 4 bits is held to five standard deviations below the threshold.
@@ -187,30 +188,73 @@ def confirm(pairs: DataFrame, docs: DataFrame, how: MinHash) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
 
 
+def _open_sets(ids: DataFrame, docs: DataFrame, how: MinHash) -> DataFrame:
+    """id and its shingle set as sorted unsigned 32-bit hashes, of the documents named by ``ids``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
+                sets = [np.sort((shingle_set(x.as_py(), how.shingle) >> np.uint64(32)).astype(np.uint32)).tobytes() for x in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["id", "shingles"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(ids, "id", "left_semi")
+    return rows.mapInArrow(run, "id long, shingles binary").dropDuplicates(["id"])
+
+
+class _Forest:
+    """Which components of a tile have been linked so far."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def top(self, x: int) -> int:
+        while x in self.up:
+            x = self.up[x]
+        return x
+
+    def join(self, x: int, y: int) -> None:
+        x, y = self.top(x), self.top(y)
+        if x != y:
+            self.up[max(x, y)] = min(x, y)
+
+
+def _linked(i: int, others: np.ndarray, sets: list[np.ndarray], how: MinHash) -> tuple[np.ndarray, np.ndarray]:
+    """Which sets may be linked with set ``i``, and which are for sure: 32-bit hashes may collide, so two
+    shingles are allowed for either way."""
+    own, sizes = sets[i], np.array([len(sets[j]) for j in others])
+    every = np.concatenate([sets[j] for j in others])
+    at = np.searchsorted(own, every)
+    at[at == len(own)] = 0
+    shared = np.add.reduceat(own[at] == every, np.concatenate(([0], np.cumsum(sizes[:-1]))), dtype=np.int64)
+    union = len(own) + sizes - shared
+    return 100 * (shared + 2) >= how.similar * (union - 2), 100 * (shared - 2) >= how.similar * (union + 2)
+
+
 def _between(buckets: DataFrame, how: MinHash) -> DataFrame:
-    """Pairs between components in the same bucket that pass the estimate.
+    """Pairs between components in the same bucket that are linked, by sets of 32-bit hashes.
 
-    ``buckets`` has (key, members, id, component, n, bits). A bucket of many members is cut into blocks by
-    a hash of the id; each pair of blocks is a tile, so a tile holds about 2 * ``block`` rows.
+    ``buckets`` has (key, band, members, id, component, n, bits, keys, shingles). A bucket of many members is
+    cut into blocks by a hash of the id; each pair of blocks is a tile, so a tile holds about 2 * ``block``
+    rows. In a tile, pairs of different components that first meet in this band are estimated bit by bit;
+    those that pass are compared on their sets, unless links found before have joined their components.
+    Only links leave a tile.
     """
     blocks = F.ceil(F.col("members") / how.block).cast("int")
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     rows = buckets.withColumn("blocks", blocks).withColumn("own", own)
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    tiles = rows.select("key", "id", "component", "n", "bits", "own", other).select(
-        "key", "id", "component", "n", "bits", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")
-    )
+    held = ["id", "component", "n", "own", "band", "bits", "keys", "shingles"]
+    tiles = rows.select("key", *held, other).withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
     tiles = tiles.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "id")
-    size = F.xxhash64("key", "low", "high").alias("tile")
 
-    def pairs_of(ids, comp, n, own, bits, tile) -> Iterator[pa.RecordBatch]:
+    def pairs_of(ids, comp, n, own, band, bits, keys, sets, tile) -> Iterator[pa.RecordBatch]:
         ends = np.concatenate((np.flatnonzero(tile[1:] != tile[:-1]) + 1, [len(tile)]))
-        end = np.repeat(ends, np.diff(np.concatenate(([0], ends))))
-        crossing = np.zeros(len(tile), bool)  # tiles of two blocks: only pairs across them
         start = np.concatenate(([0], ends[:-1]))
-        low, high = np.minimum.reduceat(own, start), np.maximum.reduceat(own, start)
-        crossing[:] = np.repeat(low != high, ends - start)
-        active, step = np.arange(len(tile)), 1
+        end = np.repeat(ends, ends - start)
+        # Tiles of two blocks: only pairs across them.
+        crossing = np.repeat(np.minimum.reduceat(own, start) != np.maximum.reduceat(own, start), ends - start)
+        active, step, found = np.arange(len(tile)), 1, []
         while True:
             active = active[end[active] > active + step]
             if not len(active):
@@ -218,32 +262,63 @@ def _between(buckets: DataFrame, how: MinHash) -> DataFrame:
             i, j = active, active + step
             ok = (comp[i] != comp[j]) & (np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * how.similar) & (~crossing[i] | (own[i] != own[j]))
             i, j = i[ok], j[ok]
-            if len(i):
-                near = np.concatenate([estimated(bits[i[k : k + 16384]], bits[j[k : k + 16384]]) for k in range(0, len(i), 16384)]) >= how.least_estimate
-                if near.any():
-                    a, b = ids[i[near]], ids[j[near]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            for k in range(0, len(i), 16384):
+                x, y = i[k : k + 16384], j[k : k + 16384]
+                near = estimated(bits[x], bits[y]) >= how.least_estimate
+                x, y = x[near], y[near]
+                first = (keys[x] == keys[y]).argmax(1) == band[x]
+                found.append((x[first], y[first]))
             step += 1
+        if not found:
+            return
+        i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(i, kind="stable")
+        i, j = i[order], j[order]
+        forest, last, a, b = _Forest(), -1, [], []
+        for k, part in zip(*np.unique(i, return_index=True), strict=True):
+            if tile[k] != last:
+                forest, last = _Forest(), tile[k]
+            others = j[part : np.searchsorted(i, k, side="right")]
+            mine = forest.top(comp[k])
+            others = np.array([x for x in others.tolist() if forest.top(comp[x]) != mine], np.int64)
+            for at in range(0, len(others), 256):
+                some = others[at : at + 256]
+                may, sure = _linked(k, some, sets, how)
+                for x, certain in zip(some[may].tolist(), sure[may].tolist(), strict=True):
+                    a.append(min(ids[k], ids[x]))
+                    b.append(max(ids[k], ids[x]))
+                    if certain:
+                        forest.join(comp[k], comp[x])
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    def columns(batch: pa.RecordBatch) -> list:
+        wide = lambda c, kind: np.frombuffer(b"".join(batch.column(c).to_pylist()), kind).reshape(batch.num_rows, -1)
+        out = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(5)] + [wide(5, np.uint8), wide(6, np.uint32)]
+        return [*out, [np.frombuffer(x, np.uint32) for x in batch.column(7).to_pylist()], batch.column(8).to_numpy(zero_copy_only=False)]
+
+    def together(parts: list[list]) -> list:
+        return [sum((p[c] for p in parts), []) if c == 7 else np.concatenate([p[c] for p in parts]) for c in range(9)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        rest: list[list] = []
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            parts = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(4)]
-            parts += [np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(batch.num_rows, -1), batch.column(5).to_numpy(zero_copy_only=False)]
-            held.append(tuple(parts))
-            tile = parts[5]
-            cut = np.flatnonzero(tile[1:] != tile[:-1])
-            if len(cut):  # whole tiles so far; the last may go on in the next batch
-                at = cut[-1] + 1
-                done = [np.concatenate([*(h[c] for h in held[:-1]), parts[c][:at]]) for c in range(6)]
-                yield from pairs_of(*done)
-                held = [tuple(p[at:] for p in parts)]
-        if held:
-            yield from pairs_of(*(np.concatenate([h[c] for h in held]) for c in range(6)))
-
-    return tiles.select("id", "component", "n", "own", "bits", size).mapInArrow(run, "a long, b long").distinct()
+            for at in range(0, batch.num_rows, 2048):
+                part = columns(batch.slice(at, 2048))
+                cut = np.flatnonzero(part[8][1:] != part[8][:-1])
+                if rest and part[8][0] != rest[-1][8][-1]:
+                    yield from pairs_of(*together(rest))
+                    rest = []
+                if len(cut):  # whole tiles so far; the last may go on
+                    at_ = cut[-1] + 1
+                    yield from pairs_of(*together([*rest, [c[:at_] for c in part]]))
+                    rest = []
+                    part = [c[at_:] for c in part]
+                rest.append(part)
+        if rest:
+            yield from pairs_of(*together(rest))
+
+    return tiles.select(*held, F.xxhash64("key", "low", "high").alias("tile")).mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, how: MinHash | None = None) -> DataFrame:
@@ -265,7 +340,7 @@ def near_duplicates(docs: DataFrame, how: MinHash | None = None) -> DataFrame:
 
     # Stars: each class with the smallest of its bucket.
     bucket = Window.partitionBy("key")
-    banded = reps.select("id", F.explode("keys").alias("key"))
+    banded = reps.select("id", F.posexplode("keys").alias("band", "key"))
     banded = banded.withColumn("first", F.min("id").over(bucket)).withColumn("members", F.count("*").over(bucket))
     banded = save(banded.where("members > 1"), "neardup-buckets")
 
@@ -282,9 +357,13 @@ def near_duplicates(docs: DataFrame, how: MinHash | None = None) -> DataFrame:
     # What the stars left open: buckets whose members are in more than one component.
     named = banded.join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     open_keys = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    left_over = save(_between(named.join(open_keys, "key", "left_semi").join(bits, "id"), how), "neardup-between")
-    left_over = left_over.join(stars, ["a", "b"], "left_anti")
-    more = save(confirm(left_over, docs, how), "neardup-more")
+    left_over = save(named.join(open_keys, "key", "left_semi").select("key", "band", "members", "id", "component"), "neardup-open")
+    sets = _open_sets(left_over.select("id").distinct(), docs, how)
+    short = F.transform("keys", lambda k: F.substring(F.lpad(F.hex(k), 16, "0"), 9, 8))
+    known = reps.join(sets, "id").select("id", "n", "bits", F.unhex(F.array_join(short, "")).alias("keys"), "shingles")
+    known = save(known, "neardup-sets")
+    more = save(_between(left_over.join(known, "id"), how), "neardup-between")
+    more = save(confirm(more, docs, how), "neardup-more")
     label = components(links.unionByName(more))
 
     found = signed.join(classes, prints, "left").join(label.withColumnRenamed("node", "id"), "id", "left")
