@@ -30,6 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from depweave.llm.bloom import only_keys
 from depweave.llm.graph import components
 from depweave.llm.store import save
 from depweave.llm.words import mixed, shingle_set
@@ -182,8 +183,9 @@ def confirm(pairs: DataFrame, docs: DataFrame, how: MinHash) -> DataFrame:
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(ends, "doc_id", "left_semi"), "neardup-texts")
+    ends = save(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "neardup-ends")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = save(only_keys(texts, "doc_id", ends), "neardup-texts")
     left, right = (texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
     return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
 
@@ -198,8 +200,8 @@ def _open_sets(ids: DataFrame, docs: DataFrame, how: MinHash) -> DataFrame:
                 sets = [np.sort((shingle_set(x.as_py(), how.shingle) >> np.uint64(32)).astype(np.uint32)).tobytes() for x in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["id", "shingles"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(ids, "id", "left_semi")
-    return rows.mapInArrow(run, "id long, shingles binary").dropDuplicates(["id"])
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    return only_keys(rows, "id", ids).mapInArrow(run, "id long, shingles binary").dropDuplicates(["id"])
 
 
 class _Forest:
@@ -358,7 +360,7 @@ def near_duplicates(docs: DataFrame, how: MinHash | None = None) -> DataFrame:
     named = banded.join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     open_keys = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
     left_over = save(named.join(open_keys, "key", "left_semi").select("key", "band", "members", "id", "component"), "neardup-open")
-    sets = _open_sets(left_over.select("id").distinct(), docs, how)
+    sets = _open_sets(save(left_over.select("id").distinct(), "neardup-open-ids"), docs, how)
     short = F.transform("keys", lambda k: F.substring(F.lpad(F.hex(k), 16, "0"), 9, 8))
     known = reps.join(sets, "id").select("id", "n", "bits", F.unhex(F.array_join(short, "")).alias("keys"), "shingles")
     known = save(known, "neardup-sets")

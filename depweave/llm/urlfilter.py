@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from depweave.llm.bloom import blocks_for, bloom, may_hold
+
 
 @dataclass(frozen=True)
 class UrlRules:
@@ -26,9 +28,6 @@ class UrlRules:
     max_blocks: int = 1 << 18
 
 
-_LANES = 4
-
-
 def url_host(url: str) -> Column:
     """What follows the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z in lower case; else empty."""
     found = F.when(F.locate("://", F.col(url)) > 0, F.regexp_extract(F.col(url), r"(?s)^.*?://([^/?#]*)", 1)).otherwise("")
@@ -45,32 +44,6 @@ def rule_table(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFr
     return spark.createDataFrame(rules, "verdict string, host string, path string")
 
 
-def _block(key: Column, blocks: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(blocks))
-
-
-def _mask(key: Column, lane: int) -> Column:
-    """One bit of the lane's 64."""
-    return F.expr("1L") if lane < 0 else F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(key, F.lit(lane)), F.lit(64)).cast("int"))
-
-
-def bloom(keys: DataFrame, blocks: int) -> DataFrame:
-    """``block`` and the longs ``lane0..lane3`` of a blocked Bloom filter of the column ``key``."""
-    key = F.col("key")
-    masks = keys.select(_block(key, blocks).alias("block"), *(_mask(key, i).alias(f"lane{i}") for i in range(_LANES)))
-    return masks.groupBy("block").agg(*(F.bit_or(f"lane{i}").alias(f"lane{i}") for i in range(_LANES)))
-
-
-def may_hold(rows: DataFrame, filter_: DataFrame, blocks: int) -> DataFrame:
-    """The rows whose ``key`` the filter may hold (no row is lost, some come in excess)."""
-    key = F.col("key")
-    hit = [F.col(f"lane{i}").bitwiseAND(_mask(key, i)) != 0 for i in range(_LANES)]
-    joined = rows.withColumn("block", _block(key, blocks)).join(F.broadcast(filter_), "block")
-    for x in hit:
-        joined = joined.where(x)
-    return joined.select(rows.columns)
-
-
 def judge_urls(pages: DataFrame, rules: DataFrame, how: UrlRules | None = None, url: str = "url") -> DataFrame:
     """``pages`` plus host, path, rule, verdict.
 
@@ -86,7 +59,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, how: UrlRules | None = None,
     listed = listed.where("host <> ''").groupBy("key", "cut").agg(F.min("verdict").alias("verdict"))
     # Bounded: one row for each length that a rule's path has.
     cuts = sorted(r.cut for r in listed.select("cut").distinct().collect())
-    blocks = max(1, min(how.max_blocks, -(-listed.count() * how.bits_per_rule // (64 * _LANES))))
+    blocks = blocks_for(listed.count(), how.bits_per_rule, how.max_blocks)
 
     new = ["host", "path", "rule", "verdict"]
     kept = [c for c in pages.columns if c.lower() not in new]
@@ -102,7 +75,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, how: UrlRules | None = None,
     keys = F.flatten(F.transform(hosts, lambda h: F.transform(prefixes, lambda p: F.struct(F.concat(h, p["start"]).alias("key"), p["cut"].alias("cut")))))
     distinct = pages.select("host", "path").where("host <> ''").distinct()
     possible = distinct.select("host", "path", F.explode(keys).alias("k")).select("host", "path", "k.key", "k.cut")
-    possible = may_hold(possible, bloom(listed.select("key"), blocks), blocks)
+    possible = may_hold(possible, "key", bloom(listed, "key", blocks), blocks)
     hits = possible.join(listed, ["key", "cut"])
     best = F.min_by(F.struct("key", "verdict"), F.struct(-F.length("key"), F.col("key"), F.col("verdict")))
     judged = hits.groupBy("host", "path").agg(best.alias("best"))
