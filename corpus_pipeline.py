@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from depweave.llm import bpe, mixing, neardup, quality
+from depweave.llm.bloom import without_keys
 from depweave.llm.store import save
 
 
@@ -24,8 +25,8 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
     Shingles of five words, similarity 0.8 or more. Of rows that share a doc_id one stays."""
     found = neardup.near_duplicates(docs, neardup.MinHash(shingle=5))
-    gone = found.where("not kept").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    gone = save(found.where("not kept and doc_id is not null").select("doc_id").distinct(), "dedup-gone")
+    kept = without_keys(docs, "doc_id", gone).select(docs.columns)
     if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
         return kept
     return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
