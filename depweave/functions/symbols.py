@@ -53,4 +53,4 @@ def kind_name(kind: str = "kind") -> Column:
 
 def symbol_module(symbol: str = "symbol") -> Column:
     """The module part of a symbol (P10): the text between its first two backticks, if it has a ``/``."""
-    return F.when(F.instr(F.col(symbol), "/") > 0, F.nullif(F.split(F.col(symbol), "`")[1], F.lit("")))
+    return F.when(F.instr(F.col(symbol), "/") > 0, F.nullif(F.get(F.split(F.col(symbol), "`"), F.lit(1)), F.lit("")))

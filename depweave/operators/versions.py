@@ -71,7 +71,7 @@ def validation_summary(runs: DataFrame, outcomes: DataFrame, decisions: DataFram
 
 def validation_stats(outcomes: DataFrame, by: str = "run_id") -> DataFrame:
     """Counts of each of the seven statuses, 0 where there is none."""
-    return outcomes.groupBy(by).pivot("status", STATUSES).agg(F.count("*")).na.fill(0, STATUSES)
+    return outcomes.groupBy(by).pivot("status", STATUSES).agg(F.count(F.lit(1))).na.fill(0, STATUSES)
 
 
 def start_run(runs: DataFrame, before_version: int, created_at: str) -> DataFrame:
