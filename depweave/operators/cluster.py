@@ -58,7 +58,8 @@ def globalise_ids(assign: DataFrame, partition: str = "partition", local: str =
 
 def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """node, component: the smallest node that each reaches (G7). Each round points every node at its
-    smallest neighbour, jumps twice, and contracts the edges; lineage is cut each round."""
+    smallest neighbour, jumps twice, and contracts the edges; each round is written to the shared
+    folder."""
     rows = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
     ends = rows.select(F.explode(F.array("a", "b")).alias("node"))
     ends = ends if nodes is None else ends.unionByName(nodes.select("node"))
@@ -97,9 +98,8 @@ def _moves(edges: DataFrame, state: DataFrame, sums: DataFrame, turn: int) -> Da
     community, and staying wins unless another gains clearly more.
     """
     where = state.select(F.col("node").alias("other"), F.col("comm").alias("to"))
-    links = edges.join(where, "other").groupBy("node", "to").agg(F.sum("weight").alias("k_in"))
-    stay = state.select("node", F.col("comm").alias("to"), F.lit(0.0).alias("k_in"))
-    links = links.unionByName(stay).groupBy("node", "to").agg(F.sum("k_in").alias("k_in"))
+    stay = state.select("node", F.col("comm").alias("to"), F.lit(0.0).alias("weight"))
+    links = edges.join(where, "other").select("node", "to", "weight").unionByName(stay).groupBy("node", "to").agg(F.sum("weight").alias("k_in"))
     totals = state.groupBy("part", F.col("comm").alias("to")).agg(F.sum("k").alias("tot"))
     rows = links.join(state, "node").join(totals, ["part", "to"]).join(sums, "part")
     own = F.col("to") == F.col("comm")
@@ -111,7 +111,7 @@ def _moves(edges: DataFrame, state: DataFrame, sums: DataFrame, turn: int) -> Da
 
 
 def communities(
-    edges: DataFrame, nodes: DataFrame, gamma: float | DataFrame = 1.0, partition: DataFrame | None = None, levels: int = 5, rounds: int = 12, tolerance: float = 0.01
+    edges: DataFrame, nodes: DataFrame, gamma: float | DataFrame = 1.0, partition: DataFrame | None = None, levels: int = 4, rounds: int = 10, tolerance: float = 0.02
 ) -> DataFrame:
     """node, cluster (and partition): communities at resolution gamma.
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -276,7 +274,7 @@ def communities(spark: SparkSession, sf: str) -> DataFrame:
 
 @register()
 def communities_targeted(spark: SparkSession, sf: str) -> DataFrame:
-    return cluster.communities_targeted(_weighted(spark, sf), _nodes(spark, sf), 20)
+    return cluster.communities_targeted(_weighted(spark, sf), _nodes(spark, sf), 20, rounds=3)
 
 
 @register()
@@ -396,10 +394,7 @@ def collapse_changes(spark: SparkSession, sf: str) -> DataFrame:
 @register(_NET_SQL)
 def stream_collapse(spark: SparkSession, sf: str) -> DataFrame:
     """The change log, written out as files and taken in as a stream in several batches."""
-    scratch.ensure_checkpoint_dir(spark)
-    base = spark.sparkContext._jsc.sc().getCheckpointDir()
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or (base.get() if base.isDefined() else tempfile.mkdtemp())
-    place = f"{root.rstrip('/')}/stream-{spark.range(1).select(F.uuid()).first()[0]}"
+    place = scratch.new_path(spark, "stream")
     log = V.changes(spark, sf)
     log.repartition(6, "entity_id").write.parquet(f"{place}/log")
     return collapse.stream_collapse(spark, f"{place}/log", log.schema, f"{place}/state", files_per_batch=2).select(_NET_COLS)

@@ -1,26 +1,39 @@
-"""Where iterative operators cut their lineage."""
+"""Intermediate tables in the folder that driver and executors share."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the session's ``spark.checkpoint.dir``; set a temporary one only where none is set, which a
-    cluster must not rely on."""
+def shared_dir(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``.
+
+    Where it is unset a temporary folder serves a local master; on a cluster an unset folder is an
+    error, since a machine's own folder is not visible to the other machines.
+    """
     context = spark.sparkContext
-    if context.getConf().get("spark.checkpoint.dir") or context._jsc.sc().getCheckpointDir().isDefined():
-        return
+    found = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "")
+    if found:
+        return found.rstrip("/")
     if not context.master.startswith("local") or context.master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    context.setCheckpointDir(_own.setdefault(context.applicationId, tempfile.mkdtemp(prefix="depweave-")))
+    return _own.setdefault(context.applicationId, f"file://{tempfile.mkdtemp(prefix='depweave-')}")
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder."""
+    return f"{shared_dir(spark)}/depweave/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint: later plans start from files that all executors can read."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+def cut(df: DataFrame, name: str = "step") -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back: lineage ends here, a lost executor
+    loses none of it, and later plans know its size."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
