@@ -1,34 +1,6 @@
 """Intermediate tables in the folder that driver and executors share."""
 
-from __future__ import annotations
+from depweave.sources.scratch import cut as save
+from depweave.sources.scratch import new_path, shared_dir
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``.
-
-    Where it is unset a temporary folder serves a local master; on a cluster an unset folder is an
-    error, since a machine's own folder is not visible to the other machines.
-    """
-    context = spark.sparkContext
-    found = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "")
-    if found:
-        return found.rstrip("/")
-    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return _own.setdefault(context.applicationId, f"file://{tempfile.mkdtemp(prefix='depweave-')}")
-
-
-def save(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: lineage ends here, and a lost
-    executor loses none of it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/depweave/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["new_path", "save", "shared_dir"]
