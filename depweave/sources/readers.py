@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from depweave.functions.paths import exclude_globs, extension, leaf, parent
 
 #: A decoded index as nested records.
-INDEX = T.StructType.fromDDL(
+INDEX = (
     "index_id string, project_root string, tool_name string, tool_version string, documents array<struct<relative_path string, language string, text string, "
     "occurrences array<struct<symbol string, symbol_roles int, range array<int>>>, symbols array<struct<symbol string, kind int, display_name string, "
     "relationships array<struct<symbol string, is_implementation boolean, is_reference boolean, is_type_definition boolean, is_definition boolean>>>>>>"
