@@ -25,18 +25,20 @@ from depweave.llm.store import save
 
 @dataclass(frozen=True)
 class TokenFiles:
-    """``end_id`` closes each document; a block ends with the document that brings it to ``block`` tokens."""
+    """``end_id`` closes each document; a block ends with the document that brings it to ``block`` tokens.
+    ``worker_cache``: words in each of a worker's two cache generations."""
 
     end_id: int = 1
     block: int = 1 << 16
-    worker_cache: int = 400_000
+    worker_cache: int = 300_000
 
 
 class WordCoder:
-    """The ``tokenizers`` library behind a cache of words between ASCII white space.
+    """The ``tokenizers`` library behind a cache of words between ASCII white space, capitals A-Z aside.
 
-    The file's pre-tokenizer drops white space and its normalizer doesn't reach across it, so the ids of a
-    text are those of its words one after another; ``__init__`` checks that this holds for the file.
+    The file's pre-tokenizer drops white space, its normalizer doesn't reach across it and lowers capitals;
+    ``__init__`` checks that the ids of a text are those of its words. The cache has two generations: when the
+    young one is full it becomes the old one, and what is used again moves over, so frequent words stay.
     """
 
     def __init__(self, path: str, most: int):
@@ -46,36 +48,52 @@ class WordCoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        for a, b in (("a", "b"), (".", "x"), ("1", "2"), ("'", "s"), ("x", "'s")):
+        for a, b in (("a", "b"), (".", "x"), ("1", "2"), ("'", "s"), ("x", "'s"), ("A", "\u00c9T")):
             both = self._ids(f"{a} \t{b}\n")
-            if both != self._ids(a) + self._ids(b) or both != self._ids(f"{a}\x0b\r\x0c {b}"):
+            if both != self._ids(a.lower()) + self._ids(b) or both != self._ids(f"{a}\x0b\r\x0c {b}"):
                 raise ValueError(f"{path}: its tokens reach across white space")
-        self.most, self.cache = most, {}
+        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        #: Ids in as few bytes as the vocabulary needs.
+        self.kind = "<u2" if size <= 1 << 16 else "<u4"
+        # An added token may be written with capitals only as it is: texts with such strings aren't lowered.
+        self.special = [t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.most, self.young, self.old = most, {}, {}
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def encode(self, texts: list[str], end: bytes) -> list[bytes]:
-        """Ids with the end as little-endian unsigned 32-bit integers."""
-        cache = self.cache
-        pieces = [x.encode("utf-8", "surrogatepass").split() for x in texts]
-        new = list({w for own in pieces for w in own if w not in cache})
+    def _learn(self, new: list[bytes]) -> None:
+        young = self.young
         for start in range(0, len(new), 20_000):
             words = new[start : start + 20_000]
             coded = self.tokenizer.encode([w.decode() for w in words], is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(coded.ids, "<u4")
+            ids = np.array(coded.ids, self.kind)
             of = np.array([-1 if x is None else x for x in coded.word_ids], np.int64)
             if len(of) and (of.min() < 0 or (np.diff(of) < 0).any()):  # added tokens have no word: each by itself
-                cache.update((w, np.array(self._ids(w.decode()), "<u4").tobytes()) for w in words)
+                young.update((w, np.array(self._ids(w.decode()), self.kind).tobytes()) for w in words)
                 continue
-            ends = np.searchsorted(of, np.arange(len(words)), side="right").tolist()
+            ends = (np.searchsorted(of, np.arange(len(words)), side="right") * ids.itemsize).tolist()
             blob, at = ids.tobytes(), 0
             for w, to in zip(words, ends, strict=True):
-                cache[w] = blob[4 * at : 4 * to]
+                young[w] = blob[at:to]
                 at = to
-        out = [b"".join([cache[w] for w in own]) + end for own in pieces]
-        if len(cache) > self.most:
-            cache.clear()
+
+    def encode(self, texts: list[str], end_id: int) -> list[bytes]:
+        """Ids with the end, each as a little-endian unsigned integer of ``kind``."""
+        end = np.array([end_id], self.kind).tobytes()
+        pieces = []
+        for text in texts:
+            raw = text.encode("utf-8", "surrogatepass")
+            low = raw.lower()
+            pieces.append((raw if any(t in low for t in self.special) else low).split())
+        words = set().union(*pieces).difference(self.young)
+        known = [w for w in words if w in self.old]
+        self.young.update((w, self.old[w]) for w in known)
+        self._learn(list(words.difference(known)))
+        get = self.young.__getitem__
+        out = [b"".join(map(get, own)) + end for own in pieces]
+        if len(self.young) > self.most:
+            self.old, self.young = self.young, {}
         return out
 
 
@@ -118,29 +136,27 @@ _BLOCK = "part int, block long, before long, n_tokens long, doc_ids array<long>,
 
 def encode_ids(docs: DataFrame, path: str, how: TokenFiles) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, end = _coder(path, how.worker_cache), np.array([how.end_id], "<u4").tobytes()
+        coder = _coder(path, how.worker_cache)
+        width = np.dtype(coder.kind).itemsize
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
                 part = batch.slice(start, 1000)
-                coded = coder.encode([x.as_py() or "" for x in part.column(1)], end)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // 4 for x in coded], pa.int64()), pa.array(coded, pa.binary())], names=["doc_id", "n_tokens", "ids"])
+                coded = coder.encode([x.as_py() or "" for x in part.column(1)], how.end_id)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // width for x in coded], pa.int64()), pa.array(coded, pa.binary())], names=["doc_id", "n_tokens", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _CODED)
 
 
-def rank_table(coded: DataFrame) -> DataFrame:
+def rank_table(coded: DataFrame, kind: str) -> DataFrame:
     """``rank`` and ``id``: ids by falling count, ties by id. As many rows at most as the vocabulary has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(0, np.int64)
+        seen = np.zeros(1, np.int64)
         for batch in batches:
-            for ids in batch.column(0):
-                own = np.bincount(np.frombuffer(ids.as_py(), "<u4"))
-                if len(own) > len(seen):
-                    own[: len(seen)] += seen
-                    seen = own
-                else:
-                    seen[: len(own)] += own
+            for start in range(0, batch.num_rows, 2000):
+                own = np.bincount(np.frombuffer(b"".join(batch.column(0).slice(start, 2000).to_pylist()), kind), minlength=len(seen))
+                own[: len(seen)] += seen
+                seen = own
         found = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(seen[found], pa.int64())], names=["id", "seen"])
 
@@ -152,8 +168,9 @@ def write_token_files(docs: DataFrame, path: str, how: TokenFiles | None = None)
     """Encode the whole texts (null: empty) and write blocks and ranks to the shared folder; the two
     datasets. Documents are in ascending doc_id order, null ids first, repeated ids by their token ids."""
     how = how or TokenFiles()
+    kind = _coder(path, how.worker_cache).kind
     coded = save(encode_ids(docs, path, how), "tokens-coded")
-    ranks = save(rank_table(coded), "tokens-ranks")
+    ranks = save(rank_table(coded, kind), "tokens-ranks")
     ids = np.array([r.id for r in ranks.orderBy("rank").collect()], np.int64)  # bounded by the vocabulary
     rank_of = np.zeros(int(ids.max(initial=0)) + 1, np.uint32)
     rank_of[ids] = np.arange(len(ids))
@@ -163,7 +180,7 @@ def write_token_files(docs: DataFrame, path: str, how: TokenFiles | None = None)
         docs_, tokens, held, size = [], [], [], 0
 
         def done() -> pa.RecordBatch:
-            control, data = pack(rank_of[np.frombuffer(b"".join(held), "<u4")])
+            control, data = pack(rank_of[np.frombuffer(b"".join(held), kind)])
             row = [part, block, before, size, docs_, tokens, control, data]
             kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip(row, kinds, strict=True)], names=["part", "block", "before", "n_tokens", "doc_ids", "doc_tokens", "control", "data"])

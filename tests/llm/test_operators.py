@@ -190,13 +190,13 @@ def test_token_files(spark, docs):
 
 
 def test_words_coded_as_the_library_does():
-    tok, coder = library("word_bpe_49k.json"), tokenbin.WordCoder(public_tokenizers.path("word_bpe_49k.json"), 1000)
+    tok, coder = library("word_bpe_49k.json"), tokenbin.WordCoder(public_tokenizers.path("word_bpe_49k.json"), 50)
     rng = random.Random(1)
     pool = "aA zZ'sS'T 1½٣ é e\u0301 \u00a0\u2028\x1c\x85 ΑΣ ΣΑΣ. İ ǅ ß ﬁ 中文 😀<|endoftext|> <|startoftext|> \t\n\x0b\r".split(" ") + list(" \n\t\u3000.,!'")
     texts = ["".join(rng.choice(pool) for _ in range(rng.randrange(40))) for _ in range(400)]
-    end = np.array([1], "<u4").tobytes()
-    for text, ids in zip(texts, coder.encode(texts, end), strict=True):
-        assert np.frombuffer(ids, "<u4").tolist() == [*tok.encode(text, add_special_tokens=False).ids, 1], repr(text)
+    texts += ["<|ENDOFTEXT|> <|EndOfText|>", "ABC<|endoftext|>DEF É"]
+    for text, ids in zip(texts, [x for t in texts for x in coder.encode([t], 1)], strict=True):
+        assert np.frombuffer(ids, coder.kind).tolist() == [*tok.encode(text, add_special_tokens=False).ids, 1], repr(text)
 
 
 def test_control_byte_coding():
