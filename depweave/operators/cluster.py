@@ -173,12 +173,12 @@ def communities(
     return out.select("node", *(["partition"] if partition is not None else []), "cluster")
 
 
-def communities_targeted(edges: DataFrame, nodes: DataFrame, targets: int | DataFrame, partition: DataFrame | None = None, low: float = 0.01, high: float = 10.0, rounds: int = 5, within: int = 2) -> DataFrame:
+def communities_targeted(edges: DataFrame, nodes: DataFrame, targets: int | DataFrame, partition: DataFrame | None = None, low: float = 0.01, high: float = 10.0, rounds: int = 5, within: int = 2, levels: int = 3, moves: int = 6) -> DataFrame:
     """Communities with about the target count (G3): bisection of the resolution in [low, high], at most
     ``rounds`` rounds, until the count is ``within`` of the target; the first closest result is kept.
 
     ``targets``: a number, or (partition, target). A target of at most 1 puts all nodes into cluster 0. All
-    partitions advance in the same jobs; their bounds are columns.
+    partitions advance in the same jobs; their bounds are columns. ``levels`` and ``moves`` bound each search.
     """
     ids = nodes.select("node").distinct()
     part = ids.withColumn("partition", F.lit("__all__")) if partition is None else partition.select("node", "partition").distinct()
@@ -192,7 +192,7 @@ def communities_targeted(edges: DataFrame, nodes: DataFrame, targets: int | Data
             break
         gammas = open_.select("partition", ((F.col("low") + F.col("high")) / 2).alias("gamma"))
         own = part.join(gammas.select("partition"), "partition", "left_semi")
-        found = cut(communities(edges, own.select("node"), gammas, own))
+        found = cut(communities(edges, own.select("node"), gammas, own, levels, moves))
         counts = found.groupBy("partition").agg(F.countDistinct("cluster").alias("n"))
         rows = cut(open_.join(counts, "partition").join(gammas, "partition").withColumn("away", F.abs(F.col("n") - F.col("target")).cast("int")))
         held = best.groupBy("partition").agg(F.min("away").alias("held"))
