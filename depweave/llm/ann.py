@@ -25,8 +25,8 @@ from depweave.llm.vectors import best, finite, matrix, top_rows
 class Probing:
     """``sample``: vectors that centroids and the number of probes are fitted on (expected; twice that at
     most). ``list_rows``: rows of a list on average. The probes are the fewest that reach ``recall`` on the
-    sample. ``doubt``: how many deviations the test of a partial distance allows. ``tile_docs`` and
-    ``tile_queries`` bound what a task holds."""
+    sample. ``doubt``: how many deviations the test of a partial distance allows. Some lists of about
+    ``tile_docs`` rows together and up to ``tile_queries`` queries are one tile, which one task holds."""
 
     k: int = 20
     every: int = 20
@@ -36,8 +36,8 @@ class Probing:
     recall: float = 0.97
     columns: int = 16
     doubt: float = 2.5
-    tile_docs: int = 2048
-    tile_queries: int = 1024
+    tile_docs: int = 8192
+    tile_queries: int = 2048
     seed: int = 5
 
 
@@ -90,20 +90,22 @@ def fit(sample: np.ndarray, n: int, longest: float, how: Probing) -> Lists:
     return Lists(rotation, centroids, min(count, probes), longest)
 
 
-def scan(ids: np.ndarray, x: np.ndarray, px: np.ndarray, queries: np.ndarray, q: np.ndarray, pq: np.ndarray, how: Probing) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The ``k`` best (query position, score, id) of one tile; px and pq are in the rotated space."""
+def scan(px: np.ndarray, pq: np.ndarray, same: np.ndarray, kth: np.ndarray, how: Probing) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, candidate, squared distance) positions of one list that survive all column blocks.
+
+    ``same``: pairs of a query with itself. ``kth``: each query's kth best squared distance so far.
+    """
     width = px.shape[1]
     part = _distances(pq[:, : how.columns], px[:, : how.columns])
-    part[queries[:, None] == ids[None, :]] = np.inf
-    # The kth best so far: of twice k candidates that look nearest, by whole distance.
-    first = np.argpartition(part, min(2 * how.k, part.shape[1] - 1), axis=1)[:, : 2 * how.k]
-    whole = ((pq[:, None, :] - px[first]) ** 2).sum(2)
-    whole[np.isinf(np.take_along_axis(part, first, 1))] = np.inf
-    kth = np.sort(whole, axis=1)[:, how.k - 1] if whole.shape[1] >= how.k else np.full(len(pq), np.inf)
+    part[same] = np.inf
+    # A better kth: of twice k candidates that look nearest, by whole distance.
+    if part.shape[1] > how.k:
+        first = np.argpartition(part, min(2 * how.k, part.shape[1] - 1), axis=1)[:, : 2 * how.k]
+        whole = np.stack([((pq - px[f]) ** 2).sum(1) for f in first.T], axis=1)
+        whole[np.isinf(np.take_along_axis(part, first, 1))] = np.inf
+        kth = np.minimum(kth, np.partition(whole, how.k - 1, axis=1)[:, how.k - 1])
     seen = min(how.columns, width)
-    i, j = np.nonzero(part <= _most(kth, seen, width, how.doubt)[:, None])
-    ok = np.isfinite(part[i, j])
-    i, j = i[ok], j[ok]
+    i, j = np.nonzero((part <= _most(kth, seen, width, how.doubt)[:, None]) & np.isfinite(part))
     sums = part[i, j]
     while seen < width and len(i):
         upto = min(width, seen + how.columns)
@@ -111,6 +113,31 @@ def scan(ids: np.ndarray, x: np.ndarray, px: np.ndarray, queries: np.ndarray, q:
         seen = upto
         keep = sums <= _most(kth, seen, width, how.doubt)[i]
         i, j, sums = i[keep], j[keep], sums[keep]
+    return i, j, sums
+
+
+def search_lists(ids: np.ndarray, x: np.ndarray, list_of: np.ndarray, queries: np.ndarray, q: np.ndarray, probes: list[np.ndarray], lists: Lists, how: Probing) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` best (query position, score, id) of one tile: its lists one after the other, each scanned for
+    the queries that probe it, with the kth distance that they have reached so far."""
+    px, pq = placed(x, lists.rotation, lists.longest), placed(q, lists.rotation, None)
+    asked = np.repeat(np.arange(len(q)), [len(p) for p in probes])
+    wanted = np.concatenate(probes) if probes else np.zeros(0, np.int32)
+    near = np.full((len(q), how.k), np.inf)
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for one in np.unique(list_of):
+        rows, cols = asked[wanted == one], np.flatnonzero(list_of == one)
+        if not len(rows):
+            continue
+        i, j, sums = scan(px[cols], pq[rows], queries[rows][:, None] == ids[cols][None, :], near[rows, -1], how)
+        at, away, col = top_rows(rows[i], -sums, cols[j], how.k)
+        place = np.arange(len(at)) - np.searchsorted(at, at)
+        more = np.full((len(q), how.k), np.inf)
+        more[at, place] = -away
+        near = np.sort(np.concatenate((near, more), axis=1), axis=1)[:, : how.k]
+        found.append((at, col))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+    i, j = (np.concatenate(c) for c in zip(*found, strict=True))
     return top_rows(i, np.einsum("ij,ij->i", q[i], x[j]), ids[j], how.k)
 
 
@@ -149,24 +176,32 @@ def nearest(table: DataFrame, how: Probing | None = None, vector: str = "embeddi
             own = _distances(placed(matrix(batch.column(1), width), lists.rotation, lists.longest), lists.centroids).argmin(1)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, pa.int32())], names=["vec_id", "v", "list"])
 
+    groups = max(1, min(len(lists.centroids), -(-n // how.tile_docs)))
+
     def probing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             away = _distances(placed(matrix(batch.column(1), width), lists.rotation, None), lists.centroids)
             to = np.argsort(away, axis=1)[:, : lists.probes].astype(np.int32)
-            sizes = pa.array(np.arange(len(to) + 1, dtype=np.int32) * lists.probes)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(sizes, pa.array(to.ravel()))], names=["vec_id", "v", "to"])
+            for g in range(groups):  # of each group of lists the probed ones
+                own = to % groups == g
+                rows = np.flatnonzero(own.any(1))
+                ends = np.concatenate(([0], np.cumsum(own[rows].sum(1)))).astype(np.int32)
+                probes = pa.ListArray.from_arrays(pa.array(ends), pa.array(to[rows][own[rows]], pa.int32()))
+                at = pa.array(rows)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(np.full(len(rows), g, np.int32)), probes], names=["vec_id", "v", "tile", "probes"])
 
     index = save(rows.select("vec_id", "v").mapInArrow(keyed, "vec_id long, v array<double>, list int"), "ann-index")
     asked = rows.where(F.pmod("vec_id", F.lit(how.every)) == 0).dropDuplicates(["vec_id"]).select("vec_id", "v")
-    asked = save(asked.mapInArrow(probing, "vec_id long, v array<double>, to array<int>"), "ann-queries").select("vec_id", "v", F.explode("to").alias("list"))
-    # One row a list, of which there are ``most_lists`` at most.
-    shape = index.groupBy("list").agg(F.ceil(F.count("*") / how.tile_docs).cast("int").alias("parts"))
-    turns = asked.groupBy("list").agg(F.ceil(F.count("*") / how.tile_queries).cast("int").alias("turns"))
-    shape = F.broadcast(shape.join(turns, "list"))
+    asked = save(asked.mapInArrow(probing, "vec_id long, v array<double>, tile int, probes array<int>"), "ann-queries")
+    # One row a group of lists, of which there are ``most_lists`` at most. A long list is dealt over parts.
+    index = index.withColumn("tile", F.col("list") % groups)
+    shape = index.groupBy("tile").agg(F.ceil(F.count("*") / (2 * how.tile_docs)).cast("int").alias("parts"))
+    turns = asked.groupBy("tile").agg(F.ceil(F.count("*") / how.tile_queries).cast("int").alias("turns"))
+    shape = F.broadcast(shape.join(turns, "tile"))
     key = F.xxhash64("vec_id")
     each = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
-    docs = index.join(shape, "list").select("vec_id", "v", "list", F.pmod(key, "parts").cast("int").alias("part"), each("turns").alias("turn"))
-    queries = asked.join(shape, "list").select("vec_id", "v", "list", each("parts").alias("part"), F.pmod(key, "turns").cast("int").alias("turn"))
+    docs = index.join(shape, "tile").select("vec_id", "v", "list", "tile", F.pmod(key, "parts").cast("int").alias("part"), each("turns").alias("turn"))
+    queries = asked.join(shape, "tile").select("vec_id", "v", "probes", "tile", each("parts").alias("part"), F.pmod(key, "turns").cast("int").alias("turn"))
 
     def run(docs: pa.Table, queries: pa.Table) -> pa.Table:
         kinds = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
@@ -174,8 +209,9 @@ def nearest(table: DataFrame, how: Probing | None = None, vector: str = "embeddi
             return kinds.empty_table()
         x, q = (matrix(t["v"], width) for t in (docs, queries))
         ids, of = (t["vec_id"].to_numpy() for t in (docs, queries))
-        at, score, vec = scan(ids, x, placed(x, lists.rotation, lists.longest), of, q, placed(q, lists.rotation, None), how)
+        probes = [np.array(p, np.int32) for p in queries["probes"].to_pylist()]
+        at, score, vec = search_lists(ids, x, docs["list"].to_numpy(), of, q, probes, lists, how)
         return pa.table([pa.array(of[at]), pa.array(vec), pa.array(score)], schema=kinds)
 
-    tile = ["list", "part", "turn"]
+    tile = ["tile", "part", "turn"]
     return best(docs.groupBy(*tile).cogroup(queries.groupBy(*tile)).applyInArrow(run, out), how.k)
