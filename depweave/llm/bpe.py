@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import itertools
 import json
 from collections.abc import Iterator
 from functools import lru_cache
@@ -35,13 +36,22 @@ def byte_characters() -> list[str]:
     return out
 
 
+class _Numbers(dict):
+    """Texts numbered in the order in which they are first looked up."""
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        return n
+
+
 class ByteBpe:
     """Encoder and decoder of a ``tokenizers`` file of a plain byte-level BPE.
 
-    ``hold``: most cached pre-tokens of a worker; ``symbols``: about as many go into one index.
+    ``hold``: cached pre-tokens of a worker beyond which it starts anew; ``symbols``: about as many go into
+    one index.
     """
 
-    def __init__(self, path: str, hold: int = 400_000, symbols: int = 4_000_000):
+    def __init__(self, path: str, hold: int = 200_000, symbols: int = 2_500_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, pre = spec["model"], spec["pre_tokenizer"] or {}
@@ -77,7 +87,7 @@ class ByteBpe:
         self.keys = keys[self.order]
         self.split = regex.compile(SPLIT).findall
         self.apart = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.specials, key=len, reverse=True)) + ")").split if self.specials else None
-        self.cache: dict[str, bytes] = {}
+        self.numbers, self.coded = _Numbers(), []
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair; -1 without one."""
@@ -158,27 +168,26 @@ class ByteBpe:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers. Strings of special tokens are
         those tokens, as the library has it by default."""
-        pieces: list[list[str]] = []
-        cache = self.cache
-        for text in texts:
+        numbers, coded = self.numbers, self.coded
+        number, pieces = numbers.__getitem__, []
+        for text in texts:  # a text is held as the numbers of its pre-tokens, four bytes each
             own: list[str] = []
             for k, part in enumerate(self.apart(text) if self.apart else [text]):
-                if k % 2:
-                    cache[part] = np.array([self.specials[part]], "<u4").tobytes()
-                    own.append(part)
-                else:
-                    own += self.split(part)
-            pieces.append(own)
-        new = list({w for own in pieces for w in own if w not in cache})
+                own += [part] if k % 2 else self.split(part)
+            pieces.append(np.fromiter(map(number, own), np.uint32, len(own)))
+        new = list(itertools.islice(numbers, len(coded), None))
         start, size = 0, 0
         for i, w in enumerate(new):
             size += len(w) + 1
             if size > self.symbols or i == len(new) - 1:
-                cache.update(zip(new[start : i + 1], self.encode_words([x.encode("utf-8", "surrogatepass") for x in new[start : i + 1]]), strict=True))
+                coded += self.encode_words([x.encode("utf-8", "surrogatepass") for x in new[start : i + 1]])
                 start, size = i + 1, 0
-        out = [b"".join([cache[w] for w in own]) for own in pieces]
-        if len(cache) > self.hold:
-            cache.clear()
+        for token, i in self.specials.items():
+            if token in numbers:
+                coded[numbers[token]] = np.array([i], "<u4").tobytes()
+        out = [b"".join([coded[n] for n in own.tolist()]) for own in pieces]
+        if len(numbers) > self.hold:
+            self.numbers, self.coded = _Numbers(), []
         return out
 
     def decode(self, ids: bytes) -> str:
