@@ -51,7 +51,7 @@ class ByteBpe:
     one index.
     """
 
-    def __init__(self, path: str, hold: int = 200_000, symbols: int = 2_500_000):
+    def __init__(self, path: str, hold: int = 250_000, symbols: int = 1_500_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, pre = spec["model"], spec["pre_tokenizer"] or {}
@@ -201,7 +201,7 @@ def bpe(path: str) -> ByteBpe:
     return ByteBpe(path)
 
 
-def stretches(column: pa.Array, most: int = 24_000_000) -> Iterator[tuple[int, list[str]]]:
+def stretches(column: pa.Array, most: int = 6_000_000) -> Iterator[tuple[int, list[str]]]:
     """Runs of whole texts (null: empty) of about ``most`` characters, with the row that each begins at."""
     start, held, size = 0, [], 0
     for i, text in enumerate(column):
