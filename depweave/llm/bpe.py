@@ -187,9 +187,13 @@ class ByteBpe:
                 coded[numbers[token]] = np.array([i], "<u4").tobytes()
         out = [b"".join([coded[n] for n in own.tolist()]) for own in pieces]
         if len(numbers) > self.hold:
-            self.numbers, self.coded = _Numbers(), []
+            self.forget()
         return out
 
+    def forget(self) -> None:
+        """Let go of the cached pre-tokens."""
+        self.numbers, self.coded = _Numbers(), []
+
     def decode(self, ids: bytes) -> str:
         """Table lookup of all ids, special tokens included; bytes that are no UTF-8 become U+FFFD."""
         return b"".join(map(self.table.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
@@ -238,5 +242,7 @@ def encode_decode(docs: DataFrame, path: str, ids: bool = False, text: bool = Fa
                 ]
                 columns += [pa.array(coded, pa.binary())] * ids + [pa.array(decoded, pa.string())] * text
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * ids + ["decoded"] * text)
+        coder.forget()  # workers live on, and other stages need the memory
+        pa.default_memory_pool().release_unused()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
