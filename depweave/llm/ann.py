@@ -34,8 +34,8 @@ class Probing:
     list_rows: int = 1024
     most_lists: int = 4096
     recall: float = 0.97
-    columns: int = 16
-    doubt: float = 2.5
+    columns: int = 32
+    doubt: float = 3.0
     tile_docs: int = 8192
     tile_queries: int = 2048
     seed: int = 5
@@ -98,12 +98,15 @@ def scan(px: np.ndarray, pq: np.ndarray, same: np.ndarray, kth: np.ndarray, how:
     width = px.shape[1]
     part = _distances(pq[:, : how.columns], px[:, : how.columns])
     part[same] = np.inf
-    # A better kth: of twice k candidates that look nearest, by whole distance.
-    if part.shape[1] > how.k:
-        first = np.argpartition(part, min(2 * how.k, part.shape[1] - 1), axis=1)[:, : 2 * how.k]
-        whole = np.stack([((pq - px[f]) ** 2).sum(1) for f in first.T], axis=1)
-        whole[np.isinf(np.take_along_axis(part, first, 1))] = np.inf
-        kth = np.minimum(kth, np.partition(whole, how.k - 1, axis=1)[:, how.k - 1])
+    # Queries without a kth yet get one from twice k candidates that look nearest, by whole distance.
+    fresh = np.flatnonzero(np.isinf(kth))
+    if part.shape[1] > how.k and len(fresh):
+        own = part[fresh]
+        first = np.argpartition(own, min(2 * how.k, own.shape[1] - 1), axis=1)[:, : 2 * how.k]
+        whole = np.stack([((pq[fresh] - px[f]) ** 2).sum(1) for f in first.T], axis=1)
+        whole[np.isinf(np.take_along_axis(own, first, 1))] = np.inf
+        kth = kth.copy()
+        kth[fresh] = np.partition(whole, how.k - 1, axis=1)[:, how.k - 1]
     seen = min(how.columns, width)
     i, j = np.nonzero((part <= _most(kth, seen, width, how.doubt)[:, None]) & np.isfinite(part))
     sums = part[i, j]
@@ -142,10 +145,14 @@ def search_lists(ids: np.ndarray, x: np.ndarray, list_of: np.ndarray, queries: n
 
 
 def _most(kth: np.ndarray, seen: int, width: int, doubt: float) -> np.ndarray:
-    """A partial distance over ``seen`` dimensions above this is taken to be one above ``kth``."""
+    """A partial distance over ``seen`` dimensions above this is taken to be of a whole one above ``kth``.
+
+    Under a random rotation the share of a squared distance in ``seen`` of ``width`` dimensions has a beta
+    distribution, of mean seen / width; the test allows ``doubt`` of its standard deviations."""
     if seen >= width:
         return kth * (1 + 1e-9) + 1e-12
-    return kth * (seen / width) * (1 + doubt / np.sqrt(seen)) ** 2
+    spread = np.sqrt(2 * seen * (width - seen) / (width * width * (width + 2)))
+    return kth * min(1.0, seen / width + doubt * spread)
 
 
 def nearest(table: DataFrame, how: Probing | None = None, vector: str = "embedding") -> DataFrame:
