@@ -16,7 +16,7 @@ def part_path(prefix: str = "p") -> F.Column:
 
 def occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as occurrences of their order's symbol in their part's file; the first line defines it."""
-    rows = table(spark, sf_dir, "lineitem").where("l_orderkey % 3 = 0").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
     parts = table(spark, sf_dir, "part").select("p_partkey", part_path().alias("relative_path"))
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     rows = rows.join(parts, F.col("l_partkey") == F.col("p_partkey")).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
@@ -42,8 +42,8 @@ def part_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every seventh size of part implements an order's symbol: the one with the part's own number."""
-    return table(spark, sf_dir, "part").where("p_size % 7 = 0").select(
+    """Every part implements an order's symbol: the one with three times the part's number."""
+    return table(spark, sf_dir, "part").select(
         F.lit("idx").alias("index_id"), part_path().alias("relative_path"), F.concat(F.lit("c"), F.col("p_partkey").cast("string")).alias("symbol"),
         F.concat(F.lit("o"), (F.col("p_partkey") * 3).cast("string")).alias("target_symbol"), F.lit(True).alias("is_implementation"), F.lit(False).alias("is_reference"), F.lit(False).alias("is_type_definition"), F.lit(False).alias("is_definition"),
     )
