@@ -264,7 +264,7 @@ def globalise_ids(spark: SparkSession, sf: str) -> DataFrame:
     )
 )
 def connected_components(spark: SparkSession, sf: str) -> DataFrame:
-    return cluster.connected_components(_weighted(spark, sf).where("weight > 1.35"))
+    return cluster.connected_components(_weighted(spark, sf), _nodes(spark, sf))
 
 
 @register()

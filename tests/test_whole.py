@@ -27,3 +27,23 @@ def test_all_occurrences_count(spark, duck, name):  # noqa: F811
 
 def test_all_parts_implement(spark, duck):  # noqa: F811
     compare(spark, duck, "resolve_inheritance", LINES, PARTS)
+
+
+def test_components_of_all_edges(spark, duck):  # noqa: F811
+    """Every file is there, and edges of any weight join: against a union-find over all line items."""
+    of = {}
+
+    def root(x):
+        while of.setdefault(x, x) != x:
+            of[x] = of[of[x]]
+            x = of[x]
+        return x
+
+    path = "p_brand || '/' || p_type || '/p' || p_partkey || '.py'"
+    lines = duck.execute(f"SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, {path} FROM lineitem JOIN part ON l_partkey = p_partkey ORDER BY 1, 2, 3, 4").fetchall()
+    defined = {order: file for order, line, _, _, file in lines if line == 1}
+    for order, line, _, _, file in lines:
+        ends = sorted((root(file), root(defined.get(order, file) if line != 1 else file)))
+        of[ends[1]] = ends[0]
+    got = {r.node: r.component for r in registry.QUERIES["connected_components"](spark, SF_DIR).collect()}
+    assert got == {file: root(file) for file in list(of)}
