@@ -309,7 +309,7 @@ def assign_tests(spark: SparkSession, sf: str) -> DataFrame:
     )
 )
 def reconcile_misplaced(spark: SparkSession, sf: str) -> DataFrame:
-    li = V.table(spark, sf, "lineitem").where("l_orderkey % 50 = 0")
+    li = V.table(spark, sf, "lineitem")
     parts = V.table(spark, sf, "part").select("p_partkey", V.part_path().alias("path"))
     s = li.join(parts, F.col("l_partkey") == F.col("p_partkey")).select("path", F.concat(F.lit("Brand#"), (F.col("l_suppkey") % 40).cast("string")).alias("target"), F.col("l_quantity").alias("confidence"))
     return components.reconcile_misplaced(V.part_files(spark, sf), s).select("path", "component")

@@ -7,6 +7,7 @@ from tests.test_queries import SF_DIR, duck, pytestmark, rows_of  # noqa: F401
 
 #: What the twins leave out of a table.
 LINES, PARTS = " WHERE l_orderkey % 3 = 0", " WHERE p_size % 7 = 0"
+PAIRS, SUGGESTED = " AND (source_id * 7 + target_id) % 5 = 0", " WHERE l_orderkey % 50 = 0"
 
 
 def compare(spark, duck, name, *filters):  # noqa: F811
@@ -29,6 +30,15 @@ def test_all_parts_implement(spark, duck):  # noqa: F811
     compare(spark, duck, "resolve_inheritance", LINES, PARTS)
 
 
+@pytest.mark.parametrize("name", sorted(n for n, sql in registry.SQL.items() if "cedges AS (" in sql))
+def test_all_component_edges(spark, duck, name):  # noqa: F811
+    compare(spark, duck, name, LINES, PAIRS)
+
+
+def test_all_suggestions(spark, duck):  # noqa: F811
+    compare(spark, duck, "reconcile_misplaced", SUGGESTED)
+
+
 def test_components_of_all_edges(spark, duck):  # noqa: F811
     """Every file is there, and edges of any weight join: against a union-find over all line items."""
     of = {}
