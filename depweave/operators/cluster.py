@@ -111,13 +111,14 @@ def _moves(edges: DataFrame, state: DataFrame, sums: DataFrame, turn: int) -> Da
 
 
 def communities(
-    edges: DataFrame, nodes: DataFrame, gamma: float | DataFrame = 1.0, partition: DataFrame | None = None, levels: int = 4, rounds: int = 10, tolerance: float = 0.02
+    edges: DataFrame, nodes: DataFrame, gamma: float | DataFrame = 1.0, partition: DataFrame | None = None, levels: int = 5, rounds: int = 12, tolerance: float = 0.01
 ) -> DataFrame:
     """node, cluster (and partition): communities at resolution gamma.
 
-    Rounds of synchronous local moves by half of the nodes, then contraction of communities to nodes, until
-    nothing moves; last each community is split into its connected parts, and ids are given by the smallest
-    node. Every node is assigned, isolated ones alone; results don't depend on how the data is partitioned.
+    Rounds of synchronous local moves by half of the nodes, then contraction of communities to nodes; last each
+    community is split into its connected parts, and ids are given by the smallest node. A level ends after two
+    successive rounds in which at most ``tolerance`` of its nodes moved, or after ``rounds``; the search ends
+    with a level in which nothing moved, or after ``levels``, so it may end before nothing moves. Every node is assigned, isolated ones alone; results don't depend on how the data is partitioned.
     ``partition`` (node, partition) keeps apart groups that advance in the same jobs; ``gamma`` may then be a
     table (partition, gamma).
     """
@@ -173,7 +174,7 @@ def communities(
     return out.select("node", *(["partition"] if partition is not None else []), "cluster")
 
 
-def communities_targeted(edges: DataFrame, nodes: DataFrame, targets: int | DataFrame, partition: DataFrame | None = None, low: float = 0.01, high: float = 10.0, rounds: int = 5, within: int = 2, levels: int = 3, moves: int = 6) -> DataFrame:
+def communities_targeted(edges: DataFrame, nodes: DataFrame, targets: int | DataFrame, partition: DataFrame | None = None, low: float = 0.01, high: float = 10.0, rounds: int = 5, within: int = 2, levels: int = 5, moves: int = 12) -> DataFrame:
     """Communities with about the target count (G3): bisection of the resolution in [low, high], at most
     ``rounds`` rounds, until the count is ``within`` of the target; the first closest result is kept.
 

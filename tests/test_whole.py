@@ -1,7 +1,11 @@
 """Queries over whole tables: DuckDB on the SQL twins without the filters that they still have, and brute force."""
 
+import inspect
+
 import pytest
+from pyspark.sql import functions as F
 
+from depweave.operators import cluster
 from depweave.plans import registry
 from tests.test_queries import SF_DIR, duck, pytestmark, rows_of  # noqa: F401
 
@@ -57,3 +61,20 @@ def test_components_of_all_edges(spark, duck):  # noqa: F811
         of[ends[1]] = ends[0]
     got = {r.node: r.component for r in registry.QUERIES["connected_components"](spark, SF_DIR).collect()}
     assert got == {file: root(file) for file in list(of)}
+
+
+def test_targeted_sweep_takes_five_rounds(spark, monkeypatch):
+    """As long as there are too many communities, the query halves five times; each search has its full bounds."""
+    tried, bounds = [], inspect.signature(cluster.communities)
+
+    def each_alone(*args):
+        given = bounds.bind(*args)
+        given.apply_defaults()
+        tried.append((round(given.arguments["gamma"].first().gamma, 3), *(given.arguments[x] for x in ("levels", "rounds", "tolerance"))))
+        return given.arguments["partition"].withColumn("cluster", F.xxhash64("node"))
+
+    monkeypatch.setattr(cluster, "communities", each_alone)
+    monkeypatch.setattr(registry, "_weighted", lambda spark, sf: None)
+    monkeypatch.setattr(registry, "_nodes", lambda spark, sf: spark.range(100).select(F.col("id").cast("string").alias("node")))
+    registry.QUERIES["communities_targeted"](spark, SF_DIR)
+    assert tried == [(gamma, 5, 12, 0.01) for gamma in (5.005, 2.507, 1.259, 0.634, 0.322)]
