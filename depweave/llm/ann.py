@@ -95,7 +95,7 @@ def scan(px: np.ndarray, pq: np.ndarray, same: np.ndarray, kth: np.ndarray, how:
 
     ``same``: pairs of a query with itself. ``kth``: each query's kth best squared distance so far.
     """
-    width = px.shape[1]
+    width, slack = px.shape[1], _slack(px, pq)
     part = _distances(pq[:, : how.columns], px[:, : how.columns])
     part[same] = np.inf
     # Queries without a kth yet get one from twice k candidates that look nearest, by whole distance.
@@ -108,13 +108,13 @@ def scan(px: np.ndarray, pq: np.ndarray, same: np.ndarray, kth: np.ndarray, how:
         kth = kth.copy()
         kth[fresh] = np.partition(whole, how.k - 1, axis=1)[:, how.k - 1]
     seen = min(how.columns, width)
-    i, j = np.nonzero((part <= _most(kth, seen, width, how.doubt)[:, None]) & np.isfinite(part))
+    i, j = np.nonzero((part <= _most(kth, seen, width, how.doubt, slack)[:, None]) & np.isfinite(part))
     sums = part[i, j]
     while seen < width and len(i):
         upto = min(width, seen + how.columns)
         sums = sums + ((pq[i, seen:upto] - px[j, seen:upto]) ** 2).sum(1)
         seen = upto
-        keep = sums <= _most(kth, seen, width, how.doubt)[i]
+        keep = sums <= _most(kth, seen, width, how.doubt, slack)[i]
         i, j, sums = i[keep], j[keep], sums[keep]
     return i, j, sums
 
@@ -132,27 +132,50 @@ def search_lists(ids: np.ndarray, x: np.ndarray, list_of: np.ndarray, queries: n
         if not len(rows):
             continue
         i, j, sums = scan(px[cols], pq[rows], queries[rows][:, None] == ids[cols][None, :], near[rows, -1], how)
-        at, away, col = top_rows(rows[i], -sums, cols[j], how.k)
+        # Cut by what the result is ordered by: equally near vectors stay by vec_id, not by place in the tile.
+        i, j = _within_kth(rows[i], cols[j], sums, _slack(px, pq), how.k)
+        at, score, vec = top_rows(i, _scores(q, x, i, j), ids[j], how.k)
         place = np.arange(len(at)) - np.searchsorted(at, at)
         more = np.full((len(q), how.k), np.inf)
-        more[at, place] = -away
+        more[at, place] = np.maximum(0, (q[at] ** 2).sum(1) + lists.longest - 2 * score)
         near = np.sort(np.concatenate((near, more), axis=1), axis=1)[:, : how.k]
-        found.append((at, col))
+        found.append((at, score, vec))
     if not found:
         return np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
-    i, j = (np.concatenate(c) for c in zip(*found, strict=True))
-    return top_rows(i, np.einsum("ij,ij->i", q[i], x[j]), ids[j], how.k)
+    at, score, vec = (np.concatenate(c) for c in zip(*found, strict=True))
+    return top_rows(at, score, vec, how.k)
 
 
-def _most(kth: np.ndarray, seen: int, width: int, doubt: float) -> np.ndarray:
+def _slack(px: np.ndarray, pq: np.ndarray) -> np.ndarray:
+    """By how much rounding may move a squared distance of each query."""
+    return 1e-12 * (1 + (pq * pq).sum(1) + (px * px).sum(1).max(initial=0))
+
+
+def _within_kth(i: np.ndarray, j: np.ndarray, sums: np.ndarray, slack: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (i, j) that are no farther than the kth of their query, or only by rounding: ties all stay."""
+    order = np.lexsort((sums, i))
+    i, j, sums = i[order], j[order], sums[order]
+    start, end = np.searchsorted(i, i), np.searchsorted(i, i, side="right")
+    kth = sums[np.minimum(start + k, end) - 1]
+    keep = sums <= kth * (1 + 1e-9) + slack[i]
+    return i[keep], j[keep]
+
+
+def _scores(q: np.ndarray, x: np.ndarray, i: np.ndarray, j: np.ndarray, rows: int = 65536) -> np.ndarray:
+    """Inner products of pairs, each by itself, so that copies of a vector score the same; some rows at a time."""
+    parts = [np.einsum("ij,ij->i", q[i[at : at + rows]], x[j[at : at + rows]]) for at in range(0, len(i), rows)]
+    return np.concatenate(parts) if parts else np.zeros(0)
+
+
+def _most(kth: np.ndarray, seen: int, width: int, doubt: float, slack: np.ndarray) -> np.ndarray:
     """A partial distance over ``seen`` dimensions above this is taken to be of a whole one above ``kth``.
 
     Under a random rotation the share of a squared distance in ``seen`` of ``width`` dimensions has a beta
     distribution, of mean seen / width; the test allows ``doubt`` of its standard deviations."""
     if seen >= width:
-        return kth * (1 + 1e-9) + 1e-12
+        return kth * (1 + 1e-9) + slack
     spread = np.sqrt(2 * seen * (width - seen) / (width * width * (width + 2)))
-    return kth * min(1.0, seen / width + doubt * spread)
+    return kth * min(1.0, seen / width + doubt * spread) + slack
 
 
 def nearest(table: DataFrame, how: Probing | None = None, vector: str = "embedding") -> DataFrame:
