@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from depweave.operators.versions import decisions_with_names
+from depweave.sources.scratch import numbered
 
 Tables = dict[str, DataFrame]
 
@@ -131,34 +132,69 @@ def export_map(tables: Tables) -> DataFrame:
     return m
 
 
+def map_sizes(tables: Tables) -> DataFrame:
+    """One row a component (a module without any has one row too): what the nested map holds, as counts per
+    component and module and the module's directories; no list of children is made."""
+    d = tables["decisions"]
+    count = lambda rows, by, out: rows.where(F.col(by).isNotNull()).groupBy(by).agg(F.count("*").alias(out))
+    dirs = tables["module_directories"].groupBy("module_id").agg(F.array_join(F.array_sort(F.collect_list("directory")), ",").alias("directories"))
+    c = tables["components"].select("module_id", "component_id", F.col("name").alias("component"))
+    c = c.join(count(tables["component_files"], "component_id", "files"), "component_id", "left").join(count(d, "component_id", "decisions"), "component_id", "left")
+    m = tables["modules"].select("module_id", "name").join(dirs, "module_id", "left").join(count(d, "module_id", "module_decisions"), "module_id", "left").join(c, "module_id", "left")
+    none = {n: F.coalesce(n, F.lit(0)) for n in ("files", "decisions", "module_decisions")}
+    return m.withColumns(none | {"directories": F.coalesce("directories", F.lit(""))}).select("module_id", "name", "component_id", "component", "files", "decisions", "module_decisions", "directories")
+
+
 def import_map(nested: DataFrame) -> Tables:
-    """Tables of a nested map with new ids from 1 in the old ids' order (J13). Decisions hang on their new owners;
-    edges stay only if both ends are known; of edges that repeat (source, target, type) the first stays."""
+    """Tables of a nested map with new ids from 1 in the old ids' order (J13); see ``import_tables``."""
     mods = nested.select(F.explode("modules").alias("m")).select("m.*")
-    numbered = lambda df, order, out: df.withColumn(out, F.row_number().over(Window.orderBy(*order)).cast("long"))
-    mods = numbered(mods, ["id", "name"], "module_id")
-    comps = mods.select("module_id", F.explode("components").alias("c")).select("module_id", "c.*")
-    comps = numbered(comps, ["module_id", "id", "name"], "component_id")
-    field = ["x.category", "x.text", "x.detail", "x.source"]
-    own = mods.select("module_id", F.lit(None).cast("long").alias("component_id"), F.explode("decisions").alias("x"))
-    deep = comps.select(F.lit(None).cast("long").alias("module_id"), "component_id", F.explode("decisions").alias("x"))
-    decisions = numbered(own.unionByName(deep), [F.col("module_id").isNull(), "module_id", "component_id", "x.id"], "decision_id").select("decision_id", "module_id", "component_id", *field)
+    comps = mods.select(F.col("id").alias("module_id"), F.explode("components").alias("c")).select("module_id", "c.*")
+    field = [F.col(f"x.{c}").alias("decision_id" if c == "id" else c) for c in ("id", "category", "text", "detail", "source")]
+    own = mods.select(F.col("id").alias("module_id"), F.lit(None).cast("long").alias("component_id"), F.explode("decisions").alias("x"))
+    deep = comps.select(F.lit(None).cast("long").alias("module_id"), F.col("id").alias("component_id"), F.explode("decisions").alias("x"))
+    edges = lambda name: nested.select(F.explode(name).alias("e")).select(F.col("e.source").alias("source_id"), F.col("e.target").alias("target_id"), "e.edge_type", "e.weight", "e.metadata")
+    return import_tables({
+        "modules": mods.select(F.col("id").alias("module_id"), "name", "classification"),
+        "module_directories": mods.select(F.col("id").alias("module_id"), F.explode("directories").alias("directory")),
+        "components": comps.select(F.col("id").alias("component_id"), "module_id", "name", "purpose", "confidence"),
+        "component_files": comps.select(F.col("id").alias("component_id"), F.explode("files").alias("f")).select("component_id", "f.path", "f.is_test"),
+        "decisions": own.unionByName(deep).select("module_id", "component_id", *field),
+        "module_edges": edges("module_edges"),
+        "component_edges": edges("component_edges"),
+    })
+
+
+def import_tables(tables: Tables) -> Tables:
+    """The flat tables of a map with new ids from 1 in the old ids' order (J13). Children hang on their new
+    owners and go where those are unknown; a decision of a module and a component comes for both, as in the
+    nested map. Edges stay only if both ends are known; of edges that repeat (source, target, type) the first
+    stays."""
+    mods = numbered(tables["modules"].withColumnRenamed("module_id", "id"), ["id", "name"], "module_id")
+    new_mod = mods.select(F.col("id").alias("_old"), F.col("module_id").alias("_new"))
+    child = lambda name, key, new: tables[name].join(new, F.col(key) == F.col("_old")).withColumn(key, F.col("_new")).drop("_old", "_new")
+    comps = numbered(child("components", "module_id", new_mod).withColumnRenamed("component_id", "id"), ["module_id", "id", "name"], "component_id")
+    new_comp = comps.select(F.col("id").alias("_old"), F.col("component_id").alias("_new"))
+    field = [F.col("decision_id").alias("id"), "module_id", "component_id", "category", "text", "detail", "source"]
+    own = child("decisions", "module_id", new_mod).withColumn("component_id", F.lit(None).cast("long"))
+    deep = child("decisions", "component_id", new_comp).withColumn("module_id", F.lit(None).cast("long"))
+    rows = own.select(*field).unionByName(deep.select(*field)).withColumn("_deep", F.col("module_id").isNull())
+    decisions = numbered(rows, ["_deep", "module_id", "component_id", "id"], "decision_id").select("decision_id", "module_id", "component_id", "category", "text", "detail", "source")
 
     def edges(name: str, ids: DataFrame) -> DataFrame:
-        rows = nested.select(F.explode(name).alias("e")).select("e.*")
-        for end in ("source", "target"):
-            rows = rows.join(ids.select(F.col("id").alias(end), F.col("new").alias(f"{end}_id")), end)
+        rows = tables[name].withColumn("metadata", _metadata())
+        for end in ("source_id", "target_id"):
+            rows = rows.join(ids.select(F.col("_old").alias(end), F.col("_new").alias(f"_{end}")), end).drop(end).withColumnRenamed(f"_{end}", end)
         first = Window.partitionBy("source_id", "target_id", "edge_type").orderBy(F.desc("weight"), "metadata")
         return rows.withColumn("_rn", F.row_number().over(first)).where("_rn = 1").select("source_id", "target_id", "edge_type", "weight", "metadata")
 
     return {
         "modules": mods.select("module_id", "name", "classification"),
-        "module_directories": mods.select("module_id", F.explode("directories").alias("directory")),
+        "module_directories": child("module_directories", "module_id", new_mod).select("module_id", "directory"),
         "components": comps.select("component_id", "module_id", "name", "purpose", "confidence"),
-        "component_files": comps.select("component_id", F.explode("files").alias("f")).select("component_id", "f.path", "f.is_test"),
+        "component_files": child("component_files", "component_id", new_comp).select("component_id", "path", "is_test"),
         "decisions": decisions,
-        "module_edges": edges("module_edges", mods.select("id", F.col("module_id").alias("new"))),
-        "component_edges": edges("component_edges", comps.select("id", F.col("component_id").alias("new"))),
+        "module_edges": edges("module_edges", new_mod),
+        "component_edges": edges("component_edges", new_comp),
     }
 
 

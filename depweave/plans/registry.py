@@ -515,9 +515,7 @@ def map_overview(spark: SparkSession, sf: str) -> DataFrame:
     )
 )
 def export_map_flat(spark: SparkSession, sf: str) -> DataFrame:
-    m = maptables.export_map(V.map_tables(spark, sf)).select(F.explode("modules").alias("m"))
-    rows = m.select("m.*").select(F.col("id").alias("module_id"), "name", F.size("decisions").cast("long").alias("module_decisions"), F.array_join("directories", ",").alias("directories"), F.explode_outer("components").alias("c"))
-    return rows.select("module_id", "name", F.col("c.id").alias("component_id"), F.col("c.name").alias("component"), F.size("c.files").cast("long").alias("files"), F.size("c.decisions").cast("long").alias("decisions"), "module_decisions", "directories")
+    return maptables.map_sizes(V.map_tables(spark, sf))
 
 
 @register(
@@ -527,7 +525,7 @@ def export_map_flat(spark: SparkSession, sf: str) -> DataFrame:
     )
 )
 def import_map_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return maptables.table_counts(maptables.import_map(maptables.export_map(V.map_tables(spark, sf))))
+    return maptables.table_counts(maptables.import_tables(V.map_tables(spark, sf)))
 
 
 @register(
