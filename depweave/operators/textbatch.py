@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from depweave.functions.paths import extension, leaf, parent
 from depweave.functions.symbols import is_definition, is_local, kind_name, symbol_module, symbol_name
+from depweave.sources.scratch import cut
 
 #: Extensions whose files are never read as text: fixed values.
 BINARY_EXTENSIONS = [
@@ -47,22 +51,109 @@ def cap_lines(files: DataFrame, n: int = 1500, content: str = "content", path: s
     return files.where(~extension(path).isin(BINARY_EXTENSIONS)).withColumn(content, F.when(F.size(lines) > n, cut).otherwise(F.col(content)))
 
 
+def _first_breaks(sizes: list[int], budget: int) -> tuple[list[int], list[int], list[int], list[int]]:
+    """For the start of a range that goes on with a group: sums before and with each row at which the first new
+    batch may begin, and if it does, the new batches to the end and the size of the open one."""
+    n, sums = len(sizes), [0]
+    for s in sizes:
+        sums.append(sums[-1] + s)
+    after, k = [n] * n, 0
+    for i in range(n):
+        k = max(k, i + 1)
+        while k < n and not (sums[k] > sums[i] and sums[k + 1] - sums[i] > budget):
+            k += 1
+        after[i] = k
+    breaks, rest = [0] * (n + 1), [0] * n
+    for i in range(n - 1, -1, -1):
+        k = after[i]
+        breaks[i], rest[i] = (1, sums[n] - sums[i]) if k == n else (1 + breaks[k], rest[k])
+    rows: list[int] = []
+    for j in range(n):
+        # Of rows of size 0 the first tells all: there the sums before and with it are equal.
+        if not (j > 1 and sums[j + 1] == sums[j] == sums[j - 1]):
+            rows.append(j)
+        if sums[j] > 0 and sums[j + 1] > budget:
+            break
+    return [sums[j] for j in rows], [sums[j + 1] for j in rows], [breaks[j] for j in rows], [rest[j] for j in rows]
+
+
 def batch_by_budget(df: DataFrame, group: str, order: str, size: str, budget: int) -> DataFrame:
     """``df`` with batch_no (F2): within a group in order, a new batch begins where the current one isn't empty and
-    would exceed the budget. Groups are components, so a group's sizes fit one row."""
-    packed = df.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).cast("long").alias("s")))).alias("xs"))
-    start = F.struct(F.lit(0).alias("no"), F.lit(0).cast("long").alias("sum"), F.array().cast("array<struct<o:string,no:int>>").alias("out"))
-    typed = df.schema[order].dataType.simpleString()
-    start = F.struct(F.lit(0).alias("no"), F.lit(0).cast("long").alias("sum"), F.array().cast(f"array<struct<o:{typed},no:int>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        over = (acc["sum"] > 0) & (acc["sum"] + x["s"] > budget)
-        no = acc["no"] + F.when(over, 1).otherwise(0)
-        total = F.when(over, x["s"]).otherwise(acc["sum"] + x["s"])
-        return F.struct(no.alias("no"), total.alias("sum"), F.array_append(acc["out"], F.struct(x["o"].alias("o"), no.alias("no"))).alias("out"))
-
-    batches = packed.select(group, F.explode(F.aggregate("xs", start, step, lambda acc: acc["out"])).alias("b")).select(group, F.col("b.o").alias(order), F.col("b.no").alias("batch_no"))
-    return df.join(batches.distinct(), [group, order])
+    would exceed the budget. Groups may be of any size: sorted ranges are walked at once, and only the open size
+    and the batch number go from range to range."""
+    keys = [group, order, size]
+    rows = cut(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_range", F.spark_partition_id()), "batches")
+    # Ranges whole and in order again, as files may be read in parts.
+    dealt = lambda t: t.repartition("_range").sortWithinPartitions("_range", *keys)
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind, now = None, None
+
+        def row() -> pa.RecordBatch:
+            at, first, sizes, last, total, no = now
+            whole = last is sizes
+            before, upto, breaks, rest = _first_breaks(sizes, budget) if whole else ([], [], [], [])
+            values = [at, first, first if whole else last[0], whole, sum(sizes) if whole else total, no, before, upto, breaks, rest]
+            types = [pa.int32(), kind, kind, pa.bool_(), pa.int64(), pa.int32(), *[pa.list_(pa.int64())] * 4]
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], names=["at", "first", "last", "whole", "total", "no", "before", "upto", "breaks", "rest"])
+
+        for batch in batches:
+            kind = batch.column(1).type
+            for at, g, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                s = s or 0
+                if now is None or now[0] != at:
+                    if now is not None:
+                        yield row()
+                    sizes: list[int] = []
+                    now = [at, g, sizes, sizes, 0, 0]
+                if now[3] is now[2] and g == now[1]:
+                    now[2].append(s)
+                elif now[3] is now[2] or g != now[3][0]:
+                    now[3:] = [(g,), s, 0]
+                elif now[4] > 0 and now[4] + s > budget:
+                    now[4:] = [s, now[5] + 1]
+                else:
+                    now[4] += s
+        if now is not None:
+            yield row()
+
+    kind = df.schema[group].dataType.simpleString()
+    lists = ", ".join(f"{c} array<bigint>" for c in ("before", "upto", "breaks", "rest"))
+    found = dealt(rows.select("_range", group, order, F.col(size).cast("long").alias(size))).select("_range", group, size)
+    found = found.mapInArrow(ends, f"at int, first {kind}, last {kind}, whole boolean, total bigint, no int, {lists}")
+    carried: dict[int, tuple[int, int]] = {}
+    last, total, no = None, 0, 0
+    for r in cut(found, "batch-ends").orderBy("at").toLocalIterator():
+        total, no = (total, no) if carried and r["first"] == last else (0, 0)
+        carried[r["at"]] = (total, no)
+        if not r["whole"]:
+            total, no = r["total"], r["no"]
+        else:
+            hits = (i for i, (b, u) in enumerate(zip(r["before"], r["upto"], strict=True)) if total + b > 0 and total + u > budget)
+            hit = next(hits, None)
+            total, no = (total + r["total"], no) if hit is None else (r["rest"][hit], no + r["breaks"][hit])
+        last = r["last"]
+    at_group, at_size, at_range = (rows.columns.index(c) for c in (group, size, "_range"))
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, own, total, no = None, None, 0, 0
+        for batch in batches:
+            out = []
+            for at, g, s in zip(*(batch.column(i).to_pylist() for i in (at_range, at_group, at_size)), strict=True):
+                s = int(s or 0)
+                if at != now:
+                    now, own, (total, no) = at, g, carried[at]
+                elif g != own:
+                    own, total, no = g, 0, 0
+                if total > 0 and total + s > budget:
+                    total, no = s, no + 1
+                else:
+                    total += s
+                out.append(no)
+            kept = [i for i in range(batch.num_columns) if i != at_range]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(out, pa.int32())], names=[*(batch.schema.names[i] for i in kept), "batch_no"])
+
+    return dealt(rows).mapInArrow(number, rows.drop("_range").withColumn("batch_no", F.lit(0)).schema)
 
 
 def _joined(items: Column, order: str, sep: str) -> Column:

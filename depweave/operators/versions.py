@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from depweave.sources.scratch import numbered
+
 #: All outcomes of a validation: fixed values.
 STATUSES = ["confirmed", "updated", "outdated", "new", "implemented", "diverged", "unchanged"]
 
@@ -97,7 +99,7 @@ def apply_validations(decisions: DataFrame, outcomes: DataFrame) -> DataFrame:
     texts = outcomes.where("status = 'updated' and new_text is not null").groupBy("decision_id").agg(F.max_by("new_text", "ord").alias("_t"))
     rows = decisions.join(texts, "decision_id", "left").withColumn("text", F.when(F.col("source") != "human", F.coalesce("_t", "text")).otherwise(F.col("text")))
     top = decisions.agg(F.coalesce(F.max("decision_id"), F.lit(0)).alias("_top"))
-    fresh = outcomes.where("status = 'new'").withColumn("_n", F.row_number().over(Window.orderBy("ord"))).join(F.broadcast(top))
+    fresh = numbered(outcomes.where("status = 'new'"), ["ord"], "_n").join(F.broadcast(top))
     fresh = fresh.select((F.col("_top") + F.col("_n")).cast("long").alias("decision_id"), "module_id", "component_id", "category", F.col("new_text").alias("text"), F.lit("pipeline_generated").alias("source"))
     return rows.select(decisions.columns).unionByName(fresh, allowMissingColumns=True).select(decisions.columns)
 
