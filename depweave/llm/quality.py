@@ -2,8 +2,9 @@
 
 A text becomes counts of hashed character runs, as they are and by class (letter, capital, digit, space, other
 signs as they are). Term weights and the latent space (a truncated SVD) come from a bounded sample of labelled
-documents; its vectors, at most ``labelled`` rows, are broadcast with their labels. Every document is compared with all of
-them by exact cosine products in blocks, and its ``neighbours`` nearest vote with their similarity as weight.
+documents and are fitted in one task; its vectors, at most ``labelled`` rows, are broadcast with their labels. Every
+document is compared with all of them by exact cosine products in blocks, and its ``neighbours`` nearest vote with their
+similarity as weight.
 """
 
 from __future__ import annotations
@@ -15,6 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from depweave.functions.names import spare
 
 
 @dataclass(frozen=True)
@@ -98,8 +102,11 @@ class Voters:
 
 def fit(counts: np.ndarray, labels: np.ndarray, how: Voting) -> Voters:
     weight = np.log((1 + len(counts)) / (1 + (counts > 0).sum(0))) + 0.2
-    x = counts * weight
-    values, vectors = np.linalg.eigh(x.T @ x)
+    gram = np.zeros((len(weight), len(weight)))
+    for at in range(0, len(counts), how.block):
+        x = counts[at : at + how.block] * weight
+        gram += x.T @ x
+    values, vectors = np.linalg.eigh(gram)
     top = np.argsort(-values)[: how.dimensions]
     space = (weight[:, None] * vectors[:, top]).astype(np.float32)
     return Voters(space, _unit(counts @ space).astype(np.float32), labels.astype(np.float32))
@@ -111,28 +118,46 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def _counted(docs: DataFrame, how: Voting) -> DataFrame:
+    """doc_id, label and the term counts of the text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, how.block):
                 part = batch.slice(start, how.block)
-                counts = [term_counts(x.as_py(), how).astype(np.float32).tobytes() for x in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.binary())], names=["label", "counts"])
+                counts = [term_counts(x.as_py(), how).astype(np.float32).tobytes() for x in part.column(2)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(counts, pa.binary())], names=["doc_id", "label", "counts"])
 
-    return docs.select(F.col("label").cast("int"), F.col("text").cast("string")).mapInArrow(run, "label int, counts binary")
+    return docs.select(F.col("doc_id").cast("string"), F.col("label").cast("int"), F.col("text").cast("string")).mapInArrow(run, "doc_id string, label int, counts binary")
 
 
 def learn(docs: DataFrame, labels: DataFrame, how: Voting, label: str = "quality") -> Voters | None:
     """The voters, from at most ``labelled`` rows that are not held out; None without any. Null labels don't
-    count; a doc_id with several takes the smallest."""
+    count; a doc_id with several takes the smallest, and one with several texts the text of the smallest hash.
+
+    One task holds the counts of all drawn rows (8 KB each) and fits; the driver gets the space, the vectors and
+    their labels, which is some hundred bytes a drawn row."""
     own = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.min(label).alias("label"))
     drawn = own.orderBy(F.xxhash64("doc_id", F.lit(how.seed)), "doc_id").limit(how.labelled)
-    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").dropDuplicates(["doc_id"])
-    found = _counted(rows, how).toArrow()  # bounded by ``labelled``
-    if not found.num_rows:
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(drawn), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.first("label").alias("label"), F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, kinds, held = [], [], []
+        for batch in batches:
+            names += batch.column(0).to_pylist()
+            kinds += batch.column(1).to_pylist()
+            held += [np.frombuffer(x, np.float32) for x in batch.column(2).to_pylist()]
+        if names:
+            order = np.argsort(np.array(names, dtype=object))  # rows come in any order
+            found = fit(np.stack([held[i] for i in order]), np.array(kinds)[order], how)
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (found.space, found.vectors, found.labels)], names=["space", "vectors", "labels"])
+
+    found = _counted(rows, how).repartition(1).mapInArrow(run, "space binary, vectors binary, labels binary").first()
+    if found is None:
         return None
-    counts = np.frombuffer(b"".join(found["counts"].to_pylist()), np.float32).reshape(found.num_rows, -1)
-    order = np.lexsort((*counts[:, :8].T, found["label"].to_numpy()))  # rows come in any order
-    return fit(counts[order], found["label"].to_numpy()[order], how)
+    space, vectors, kinds = (np.frombuffer(x, np.float32) for x in found)
+    width = min(how.dimensions, 2 * how.terms)
+    return Voters(space.reshape(-1, width), vectors.reshape(-1, width), kinds)
 
 
 def score(docs: DataFrame, labels: DataFrame, how: Voting | None = None, columns: list[str] | None = None) -> DataFrame:
@@ -140,15 +165,17 @@ def score(docs: DataFrame, labels: DataFrame, how: Voting | None = None, columns
 
     Scores come from whole texts alone: labels, lang, source and doc_id are no inputs. Null and empty texts
     get the mean label of the voters. Repeated rows each get their row; with no labelled document every
-    score is ``prior``; an empty table gives an empty result. Columns named like the new ones are replaced.
+    score is ``prior``; an empty table gives an empty result. Columns named like the new ones are replaced, all
+    other names are free.
     """
     how = how or Voting()
     new = ["held_out", "score", "predicted"]
     kept = [c for c in columns or ["doc_id"] if c.lower() not in new]
     voters = learn(docs, labels, how)
     model = docs.sparkSession.sparkContext.broadcast(voters)
-    rows = docs.select(*(docs[c] for c in kept), held_out().alias("held_out"), docs["text"].cast("string").alias("_text"))
-    schema = rows.drop("_text").withColumn("score", F.lit(0.0)).schema
+    (text,) = spare([*kept, *new], "text")
+    rows = docs.select(*(docs[c] for c in kept), held_out().alias("held_out"), docs["text"].cast("string").alias(text))
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("score", T.DoubleType())])
     names = schema.fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import zlib
 
@@ -310,6 +311,61 @@ def test_quality(spark):
     assert kept.columns == ["doc_id", "text", "held_out", "score", "predicted"]
 
 
+def runs_brute(text, terms, seed):
+    """Log counts of hashed runs of three bytes, at length 1, by plain loops."""
+    raw = (text or "").encode()
+    classed = []
+    for b in raw:
+        c = chr(b)
+        kind = "a" if b >= 128 or "a" <= c <= "z" else "A" if "A" <= c <= "Z" else "0" if "0" <= c <= "9" else " " if c in "\t\x0b\x0c\r" else c
+        if not (classed and classed[-1] == kind and kind in "aA0"):
+            classed.append(kind)
+    out = []
+    for x, k in (([ord(c) for c in classed], seed), (list(raw), seed + 1)):
+        counts = [0.0] * terms
+        for a, b, c in zip(x, x[1:], x[2:], strict=False):
+            counts[((a << 16 | b << 8 | c) * (0x9E3779B1 + 2 * k) % 2**32) >> (32 - terms.bit_length() + 1)] += 1
+        logs = [math.log1p(v) for v in counts]
+        length = math.sqrt(sum(v * v for v in logs))
+        out += [v / max(length, 1e-9) for v in logs]
+    return out
+
+
+def test_quality_votes(spark):
+    """Every score against plain votes: an SVD of all labelled texts, cosines with each, the nearest by hand."""
+    rng = random.Random(16)
+    how = quality.Voting(terms=64, dimensions=6, neighbours=5)
+    rows = [(i, junk(rng, rng.randrange(3, 30)) if rng.random() < 0.4 else text_of(rng, rng.randrange(3, 30)), "en", "s", 0) for i in range(150)]
+    rows += [(200, None, None, None, None), (201, "", None, None, None), (202, "été 12\tAB", None, None, None)]
+    known = {i: rng.randrange(2) for i in range(0, 150, 2) if zlib.crc32(str(i).encode()) % 4 != 2}
+    text = {r[0]: r[1] for r in rows}
+    x = np.array([runs_brute(text[i], how.terms, how.seed) for i in known])
+    weight = np.log((1 + len(x)) / (1 + (x > 0).sum(0))) + 0.2
+    space = weight[:, None] * np.linalg.svd(x * weight)[2][: how.dimensions].T
+    labels = list(known.values())
+    got = {r.doc_id: r.score for r in quality.score(spark.createDataFrame(rows, DOCS), spark.createDataFrame([(i, q, 0) for i, q in known.items()], "doc_id long, quality int, toxic int"), how).collect()}
+    assert set(got) == set(text)
+    for i, own in text.items():
+        v = np.array(runs_brute(own, how.terms, how.seed)) @ space
+        near = sorted(((float(v @ u) / max(np.linalg.norm(v) * np.linalg.norm(u), 1e-9), q) for u, q in zip(x @ space, labels, strict=True)), reverse=True)[: how.neighbours]
+        total = sum(max(c, 0) ** how.power for c, _ in near)
+        want = sum(max(c, 0) ** how.power * q for c, q in near) / total if total > 0 else sum(labels) / len(labels)
+        assert abs(got[i] - want) < 2e-3, i
+
+
+def test_quality_on_clashing_names_and_repeated_ids(spark):
+    rng = random.Random(7)
+    rows = [(i, text_of(rng, 20), "en", "s", 0) for i in range(60)] + [(i, junk(rng, 20), "en", "s", 0) for i in range(0, 60, 3)]
+    df = spark.createDataFrame(rows, DOCS)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    want = sorted((r.doc_id, r.text, r.score) for r in quality.score(df, labels, columns=df.columns).collect())
+    odd = df.withColumns({c: F.lit(c) for c in ("_text", "__text", "label", "counts", "quality", "vectors")}).repartition(5)
+    got = quality.score(odd, labels, columns=odd.columns)
+    assert got.columns == [*odd.columns, "held_out", "score", "predicted"]
+    assert sorted((r.doc_id, r.text, r.score) for r in got.collect()) == want
+    assert all(r._text == "_text" and r.counts == "counts" for r in got.collect())
+
+
 VECTORS = "vec_id long, embedding array<float>, label int"
 
 
