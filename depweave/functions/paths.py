@@ -75,19 +75,21 @@ def detect_strip_prefix(docs: DataFrame, dirs: DataFrame, path: str = "relative_
     return found.agg(F.coalesce(best, F.lit("")).alias("prefix"))
 
 
-def detect_add_prefix(docs: DataFrame, dirs: DataFrame, project_root: str, looked: int = 200, path: str = "relative_path", order: str = "doc_ord") -> DataFrame:
+def detect_add_prefix(docs: DataFrame, dirs: DataFrame, project_root: str, looked: int = 200, path: str = "relative_path", order: str = "doc_ord", strip: str = "") -> DataFrame:
     """One row ``prefix``: what must be put before raw paths so that they fall into the module (P5).
 
-    Empty if one of the first ``looked`` paths (by ``order``) is in the module already. Else, of the project
-    root (without ``file://``), the part from the first directory that it holds; directories in their order.
+    Empty if one of the first ``looked`` paths (by ``order``), without ``strip`` at its start, is in the module
+    already. Else, of the project root (without ``file://``), the part from the first directory that it holds;
+    directories in their order.
     """
-    root = project_root.removeprefix("file://").rstrip("/") + "/"
-    first = docs.orderBy(order).limit(looked).select(F.col(path).alias("path"))
+    root = F.lit(project_root.removeprefix("file://").rstrip("/") + "/")
+    own = F.col(path)
+    own = F.when(F.startswith(own, F.lit(strip)), F.substring(own, len(strip) + 1, 1 << 30)).otherwise(own) if strip else own
+    first = docs.orderBy(order).limit(looked).select(own.alias("path"))
     inside = files_in_module(first, dirs.select("directory")).agg(F.count("*").alias("n"))
-    name = _module_dirs(dirs, "directory")
-    at = F.expr(f"locate(concat('/', name, '/'), '{root}')") if "'" not in root else F.locate("\0", F.lit(root))
-    tail = dirs.select("dir_ord", name.alias("name")).withColumn("at", at).where("at > 0")
-    tail = tail.agg(F.min_by(F.substring(F.lit(root), F.col("at") + 1, F.lit(len(root))), "dir_ord").alias("tail"))
+    at = F.position(F.concat(F.lit("/"), _module_dirs(dirs, "directory"), F.lit("/")), root)
+    tail = dirs.select("dir_ord", at.alias("at")).where("at > 0")
+    tail = tail.agg(F.min_by(root.substr(F.col("at") + 1, F.length(root)), "dir_ord").alias("tail"))
     return inside.crossJoin(tail).select(F.when(F.col("n") > 0, "").otherwise(F.coalesce("tail", F.lit(""))).alias("prefix"))
 
 
@@ -140,34 +142,67 @@ def split_source_test(files: DataFrame, path: str = "path") -> tuple[DataFrame,
     return files.where(~is_test(path)), files.where(is_test(path))
 
 
-def filter_source_like(files: DataFrame, skip: Sequence[str], path: str = "path") -> DataFrame:
+#: Extensions whose files are never read as text: fixed values.
+BINARY_EXTENSIONS = [
+    ".png", ".jpg", ".jpeg", ".gif", ".ico", ".svg", ".woff", ".woff2",
+    ".ttf", ".eot", ".otf", ".mp3", ".mp4", ".wav", ".pdf", ".zip",
+    ".tar", ".gz", ".db", ".sqlite", ".pyc", ".pyo", ".so", ".dll",
+    ".exe", ".bin", ".class", ".jar", ".wasm",
+]
+
+#: Extensions of texts that are no source code: fixed values.
+TEXT_EXTENSIONS = [
+    ".rst", ".adoc", ".json", ".yaml", ".yml", ".toml", ".xml", ".csv", ".tsv",
+    ".ini", ".cfg", ".conf", ".properties", ".lock", ".sum", ".env", ".envrc",
+    ".log", ".out", ".pid", ".html", ".htm", ".css", ".scss", ".sass", ".less",
+    ".svg", ".map", ".gitignore", ".gitattributes", ".editorconfig",
+    ".dockerignore", ".prettierrc", ".eslintrc",
+]
+
+
+def filter_source_like(files: DataFrame, skip: Sequence[str] = (*BINARY_EXTENSIONS, *TEXT_EXTENSIONS), path: str = "path") -> DataFrame:
     """Without hidden names, names without extension and the extensions in ``skip`` (lower case)."""
     ext = extension(path)
     return files.where(~F.startswith(leaf(path), F.lit(".")) & (ext != "") & ~ext.isin(list(skip)))
 
 
-def glob_regex(pattern: str) -> str:
-    """A glob as a regular expression: ``**`` crosses directories, ``*`` and ``?`` don't."""
-    out, i = "", 0
+def glob_regex(pattern: str) -> str | None:
+    """A glob as a regular expression; None for one that is no glob.
+
+    ``*`` and ``?`` fit any characters, ``/`` too; ``[..]`` fits one of its characters or ranges and ``[!..]`` none of
+    them; ``**`` must be a whole part of the path and, before a ``/``, fits any number of directories."""
+    out, i = "(?s)", 0
     while i < len(pattern):
-        if pattern.startswith("**/", i):
-            out, i = out + "(?:.*/)?", i + 3
-        elif pattern.startswith("**", i):
-            out, i = out + ".*", i + 2
+        c = pattern[i]
+        if c == "*":
+            n = len(pattern[i:]) - len(pattern[i:].lstrip("*"))
+            whole = (i == 0 or pattern[i - 1] == "/") and (i + n == len(pattern) or pattern[i + n] == "/")
+            if n > 2 or (n == 2 and not whole):
+                return None
+            directories = n == 2 and i + n < len(pattern)
+            out, i = out + ("(?:.*/)?" if directories else ".*"), i + n + directories
+        elif c == "[":
+            negated = pattern.startswith("!", i + 1)
+            start = i + 1 + negated
+            end = pattern.find("]", start + 1)  # a ] that comes first stands for itself
+            if end < 0:
+                return None
+            body = re.sub(r"[\\\[\]&^~|]", r"\\\g<0>", pattern[start:end])
+            out, i = out + f"[{'^' if negated else ''}{body}]", end + 1
         else:
-            c = pattern[i]
-            out, i = out + {"*": "[^/]*", "?": "[^/]"}.get(c, re.escape(c)), i + 1
+            out, i = out + ("." if c == "?" else re.escape(c)), i + 1
     return out
 
 
 def exclude_globs(files: DataFrame, patterns: Sequence[str], path: str = "path") -> DataFrame:
     """Without files whose path or name fits a pattern; ``name/**`` also fits a directory of that name
-    anywhere (W4)."""
-    if not patterns:
+    anywhere, and what is no glob fits nothing (W4)."""
+    full = [x for x in map(glob_regex, patterns) if x is not None]
+    if not full:
         return files
-    full = "|".join(glob_regex(p) for p in patterns)
+    text = "|".join(f"(?:{x})" for x in full)
     names = [p[:-3] for p in patterns if p.endswith("/**") and "/" not in p[:-3]]
-    hit = F.col(path).rlike(f"^(?:{full})$") | leaf(path).rlike(f"^(?:{full})$")
+    hit = F.col(path).rlike(f"^(?:{text})$") | leaf(path).rlike(f"^(?:{text})$")
     if names:
         hit = hit | F.arrays_overlap(F.split(path, "/"), F.array(*(F.lit(n) for n in names)))
     return files.where(~hit)

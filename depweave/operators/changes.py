@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from depweave.sources.scratch import numbered
+
 
 def record_changes(before: DataFrame, after: DataFrame, key: Sequence[str], origin: str, baseline: int | None, fields: Sequence[str]) -> DataFrame:
     """key, action, old_value, new_value, origin, baseline_id for every row added, removed or edited.
@@ -113,7 +115,7 @@ def apply_proposals(proposals: DataFrame, selected: DataFrame, decisions: DataFr
     patches = go.where("action = 'edit'").groupBy("decision_id").agg(*(F.max_by(c, "proposal_id").alias(c) for c in ("category", "text", "detail")))
     live = update_decisions(decisions.join(removed, "decision_id", "left_anti"), patches, "chat")
     top = decisions.agg(F.coalesce(F.max("decision_id"), F.lit(0)).alias("_top"))
-    added = go.where("action = 'add'").withColumn("_n", F.row_number().over(Window.orderBy("proposal_id"))).join(F.broadcast(top))
+    added = numbered(go.where("action = 'add'"), ["proposal_id"], "_n").join(F.broadcast(top))
     added = added.select((F.col("_top") + F.col("_n")).cast("long").alias("decision_id"), "category", "text", "detail", F.lit("chat").alias("source"))
     live = live.unionByName(added, allowMissingColumns=True)
     status = F.when(F.col("status") != "pending", F.col("status")).when(F.col("_sel"), "applied").otherwise("rejected")

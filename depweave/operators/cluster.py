@@ -5,11 +5,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from depweave.functions.paths import with_prefix, with_sim_prefix
-from depweave.sources.scratch import cut
+from depweave.operators.spread import spread_join
+from depweave.sources.scratch import cut, numbered
 
 
 def partition_nodes(nodes: DataFrame, min_size: int = 5, depth: int = 2, target: int | None = None) -> DataFrame:
@@ -51,30 +52,36 @@ def partition_targets(partitions: DataFrame, target: int) -> DataFrame:
 
 def globalise_ids(assign: DataFrame, partition: str = "partition", local: str = "cluster") -> DataFrame:
     """``cluster`` ids that are unique over partitions: a partition's ids follow those before it."""
-    ids = assign.select(partition, local).distinct()
-    ranked = ids.withColumn("_id", F.row_number().over(Window.orderBy(partition, local)) - 1)
-    return assign.join(ranked, [partition, local]).select(*(c for c in assign.columns if c != local), F.col("_id").cast("int").alias(local))
+    ids = numbered(assign.select(partition, local).distinct(), [partition, local], "_id")
+    return assign.join(ids, [partition, local]).select(*(c for c in assign.columns if c != local), (F.col("_id") - 1).cast("int").alias(local))
 
 
-def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
-    """node, component: the smallest node that each reaches (G7). Each round points every node at its
-    smallest neighbour, jumps twice, and contracts the edges; each round is written to the shared
-    folder."""
-    rows = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
+def connected_components(edges: DataFrame, nodes: DataFrame | None = None, src: str = "src", dst: str = "dst", small: int = 1 << 17) -> DataFrame:
+    """node, component: the smallest node that each reaches (G7), for both ends of every edge and all ``nodes``.
+
+    Each round points every node at its smallest smaller neighbour, jumps twice, and contracts the edges, which
+    shrink fast. Rounds are written to the shared folder, so plans stay short and a lost executor costs a round at
+    most. The table of pointers is broadcast up to ``small`` rows; a larger one is joined with the rows of nodes that
+    many point at dealt over tasks (``spread_join``). Edges with a null end are ignored."""
+    rows = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null")
     ends = rows.select(F.explode(F.array("a", "b")).alias("node"))
     ends = ends if nodes is None else ends.unionByName(nodes.select("node"))
-    label = cut(ends.distinct().withColumn("component", F.col("node")))
-    rows = cut(rows.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    label = cut(ends.distinct().withColumn("component", F.col("node")), "labels")
+    one_way = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+    rows = cut(rows.where("a <> b").select(*one_way).distinct(), "links")
     while not rows.isEmpty():
-        up = rows.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("up"))
-        for _ in range(2):
-            over = up.select(F.col("node").alias("up"), F.col("up").alias("over"))
-            up = up.join(over, "up", "left").select("node", F.coalesce("over", "up").alias("up"))
-        up = cut(up)
-        label = cut(label.join(up.withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("up", "component").alias("component")))
-        for end in "ab":
-            rows = rows.join(up.select(F.col("node").alias(end), F.col("up").alias(f"_{end}")), end, "left").withColumn(end, F.coalesce(f"_{end}", end)).select("a", "b")
-        rows = cut(rows.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        up = cut(rows.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("up")), "up")
+        few = up.count() <= small
+
+        def looked_up(table: DataFrame, key: str, few: bool = few) -> DataFrame:
+            """``table`` with what ``up`` (as of now) has for the key in place of it, where it has the key."""
+            to = up.select(F.col("node").alias(key), F.col("up").alias("to"))
+            found = table.join(F.broadcast(to), key, "left") if few else spread_join(cut(table, "spread"), to, key, "left")
+            return found.withColumn(key, F.coalesce("to", key)).drop("to").select(table.columns)
+
+        up = cut(looked_up(looked_up(up, "up"), "up"), "up")
+        label = cut(looked_up(label, "component"), "labels")
+        rows = cut(looked_up(looked_up(rows, "a"), "b").where("a <> b").select(*one_way).distinct(), "links")
     return label
 
 
@@ -91,23 +98,30 @@ def modularity(edges: DataFrame, assign: DataFrame, gamma: float = 1.0) -> DataF
     return q.select(F.when(F.coalesce("n", F.lit(0)) > 1, F.coalesce("q", F.lit(0.0))).otherwise(0.0).alias("q"))
 
 
-def _moves(edges: DataFrame, state: DataFrame, sums: DataFrame, turn: int) -> DataFrame:
-    """node, best: the community of the largest gain for the nodes whose turn it is.
+#: A round of moves, see ``_round``.
+_ROUND = """
+WITH totals AS (SELECT comm, sum(k) AS tot FROM {state} GROUP BY comm),
+placed AS (SELECT s.node, s.comm, s.k, s.rate, t.tot FROM {state} s JOIN totals t ON t.comm = s.comm),
+links AS (
+  SELECT e.node, p.comm AS to, p.tot, e.weight, e.k, e.rate, false AS own FROM {edges} e JOIN placed p ON p.node = e.other WHERE getbit(xxhash64(e.node), {bit}) = 0
+  UNION ALL SELECT node, comm, tot, 0D, k, rate, true FROM placed
+),
+sums AS (SELECT node, to, sum(weight) AS k_in, max(tot) AS tot, max(k) AS k, max(rate) AS rate, max(own) AS own FROM links GROUP BY node, to),
+gains AS (SELECT *, k_in - rate * k * (tot - if(own, k, 0D)) AS gain FROM sums)
+SELECT node, min(struct(round(-if(own, gain + 1e-9 * (1 + abs(gain)), gain), 9) AS loss, to)).to AS comm, max(if(own, to, NULL)) AS was, max(k) AS k, max(rate) AS rate FROM gains GROUP BY node
+"""
+
+
+def _round(edges: DataFrame, state: DataFrame, turn: int) -> DataFrame:
+    """node, comm, was, k, rate after the nodes whose turn it is have gone to the community of the largest gain.
 
-    The gain of being in C is k_in(C) - gamma * k * (tot(C) without the node) / 2m; ties go to the smaller
-    community, and staying wins unless another gains clearly more.
+    ``edges``: node, other, weight, with k and rate of the node; ``state``: node, comm, k, rate. The gain of being in C
+    is k_in(C) - rate * k * (the sum of k in C without the node), where rate is gamma / 2m; ties go to the smaller
+    community, and staying wins unless another gains clearly more (both rounded, so that sums taken in another order
+    still tie). Weights are added up per node and community before they are shuffled, so a hub's edges don't meet in
+    one task. A turn is one of eight halves of the nodes.
     """
-    where = state.select(F.col("node").alias("other"), F.col("comm").alias("to"))
-    stay = state.select("node", F.col("comm").alias("to"), F.lit(0.0).alias("weight"))
-    links = edges.join(where, "other").select("node", "to", "weight").unionByName(stay).groupBy("node", "to").agg(F.sum("weight").alias("k_in"))
-    totals = state.groupBy("part", F.col("comm").alias("to")).agg(F.sum("k").alias("tot"))
-    rows = links.join(state, "node").join(totals, ["part", "to"]).join(sums, "part")
-    own = F.col("to") == F.col("comm")
-    gain = F.col("k_in") - F.col("gamma") * F.col("k") * (F.col("tot") - F.when(own, F.col("k")).otherwise(0.0)) / (2 * F.col("m"))
-    gain = F.when(own, gain + 1e-9 * (1 + F.abs(gain))).otherwise(gain)
-    mine = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(2)) == 0
-    # Rounded, so that sums taken in another order still tie.
-    return rows.where(mine).select("node", "to", F.round(-gain, 9).alias("loss")).groupBy("node").agg(F.min(F.struct("loss", "to"))["to"].alias("best"))
+    return edges.sparkSession.sql(_ROUND, edges=edges, state=state, bit=turn % 8)
 
 
 def communities(
@@ -118,60 +132,61 @@ def communities(
     Rounds of synchronous local moves by half of the nodes, then contraction of communities to nodes; last each
     community is split into its connected parts, and ids are given by the smallest node. A level ends after two
     successive rounds in which at most ``tolerance`` of its nodes moved, or after ``rounds``; the search ends
-    with a level in which nothing moved, or after ``levels``, so it may end before nothing moves. Every node is assigned, isolated ones alone; results don't depend on how the data is partitioned.
-    ``partition`` (node, partition) keeps apart groups that advance in the same jobs; ``gamma`` may then be a
-    table (partition, gamma).
+    with a level in which nothing moved, or after ``levels``, so it may end before nothing moves. Every node is
+    assigned, isolated ones alone; results don't depend on how the data is partitioned. ``partition`` (node,
+    partition) keeps apart groups that advance in the same jobs; ``gamma`` may then be a table (partition, gamma).
     """
     ids = nodes.select("node").distinct()
     part = ids.withColumn("partition", F.lit("__all__")) if partition is None else ids.join(partition.select("node", "partition"), "node")
-    part = cut(part)
-    own = part.select(F.col("node").alias("src"), F.col("partition").alias("_p")), part.select(F.col("node").alias("dst"), F.col("partition").alias("_q"))
-    rows = edges.select("src", "dst", F.col("weight").cast("double").alias("weight")).join(own[0], "src").join(own[1], "dst").where("_p = _q")
-    start = cut(rows.select("src", "dst", "weight"))
+    # Numbers in the order of the names stand for nodes from here on.
+    part = cut(numbered(part.withColumnRenamed("node", "name"), ["name", "partition"], "node"), "nodes")
+    start = edges.select("src", "dst", F.col("weight").cast("double").alias("weight"))
+    for end, node, of in (("src", "node", "_p"), ("dst", "other", "_q")):
+        start = start.join(part.select(F.col("name").alias(end), F.col("node").alias(node), F.col("partition").alias(of)), end)
+    start = cut(start.where("_p = _q").select("node", "other", "weight"), "graph")
     gammas = part.select("partition").distinct()
     gammas = gammas.withColumn("gamma", F.lit(float(gamma))) if not isinstance(gamma, DataFrame) else gammas.join(gamma, "partition")
 
     # Work on both directions; a contracted node keeps its inner weight as a loop, seen from both ends.
-    turned = start.select(F.col("dst").alias("node"), F.col("src").alias("other"), "weight")
-    both = cut(start.select(F.col("src").alias("node"), F.col("dst").alias("other"), "weight").unionByName(turned))
-    belongs = part.select("node", F.col("node").alias("top"), F.col("partition").alias("part"))
+    both = start.unionByName(start.select(F.col("other").alias("node"), F.col("node").alias("other"), "weight"))
+    belongs = part.select("node", F.col("node").alias("top"), "partition")
     turn = 0
-    for _ in range(levels):
+    for level in range(levels):
+        both = cut(both, "graph") if level == 0 else both
         k = both.groupBy("node").agg(F.sum("weight").alias("k"))
-        tops = belongs.select(F.col("top").alias("node"), "part").distinct()
-        state = cut(tops.join(k, "node", "left").select("node", "part", F.col("node").alias("comm"), F.coalesce("k", F.lit(0.0)).alias("k")))
-        sums = cut(state.groupBy("part").agg((F.sum("k") / 2).alias("m"), F.count("*").alias("n")).where("m > 0").join(gammas.withColumnRenamed("partition", "part"), "part"))
-        plain = both.where("node <> other")
+        tops = belongs.select(F.col("top").alias("node"), "partition").distinct().join(k, "node", "left").withColumn("k", F.coalesce("k", F.lit(0.0)))
+        sums = tops.groupBy("partition").agg(F.sum("k").alias("k2"))
+        rates = sums.join(gammas, "partition").select("partition", F.when(F.col("k2") > 0, F.col("gamma") / F.col("k2")).otherwise(0.0).alias("rate"))
+        state = cut(tops.join(rates, "partition").select("node", F.col("node").alias("comm"), "k", "rate"), "state")
+        plain = cut(both.where("node <> other").join(state.select("node", "k", "rate"), "node"), "links")
         moved_ever, quiet, n = 0, 0, state.count()
         for _ in range(rounds):
             turn += 1
-            best = _moves(plain, state, sums, turn)
-            joined = state.join(best, "node", "left")
-            new = cut(joined.select("node", "part", F.coalesce("best", "comm").alias("comm"), "k", (F.col("best").isNotNull() & (F.col("best") != F.col("comm"))).alias("moved")))
-            moved = new.where("moved").count()
-            state = new.drop("moved")
+            seen = Observation()
+            new = _round(plain, state, turn).observe(seen, F.count_if(F.col("comm") != F.col("was")).alias("moved"))
+            state = cut(new, "state")
+            moved = seen.get["moved"]
             moved_ever += moved
             quiet = quiet + 1 if moved <= tolerance * n else 0
             if quiet == 2:
                 break
         if not moved_ever:
             break
-        # A community is named by its smallest member.
-        names = state.groupBy("part", "comm").agg(F.min("node").alias("name"))
-        to = cut(state.join(names, ["part", "comm"]).select("node", "name"))
-        belongs = cut(belongs.join(to.withColumnRenamed("node", "top"), "top").select("node", F.col("name").alias("top"), "part"))
+        to = state.select("node", "comm")
+        belongs = cut(belongs.join(to.withColumnRenamed("node", "top"), "top").select("node", F.col("comm").alias("top"), "partition"), "belongs")
         for end in ("node", "other"):
-            both = both.join(to.select(F.col("node").alias(end), F.col("name").alias(f"_{end}")), end).drop(end).withColumnRenamed(f"_{end}", end)
-        both = cut(both.groupBy("node", "other").agg(F.sum("weight").alias("weight")))
+            both = both.join(to.select(F.col("node").alias(end), F.col("comm").alias(f"_{end}")), end).drop(end).withColumnRenamed(f"_{end}", end)
+        both = cut(both.groupBy("node", "other").agg(F.sum("weight").alias("weight")), "graph")
 
     inside = start
-    for end in ("src", "dst"):
+    for end in ("node", "other"):
         inside = inside.join(belongs.select(F.col("node").alias(end), F.col("top").alias(f"_{end}")), end)
-    pieces = connected_components(inside.where("_src = _dst"), part)
+    pieces = connected_components(inside.where("_node = _other"), part, "node", "other")
     ranked = pieces.join(part, "node")
-    order = ranked.select("partition", "component").distinct().withColumn("cluster", F.row_number().over(Window.partitionBy("partition").orderBy("component")) - 1)
-    out = ranked.join(order, ["partition", "component"])
-    return out.select("node", *(["partition"] if partition is not None else []), "cluster")
+    order = cut(numbered(ranked.select("partition", "component").distinct(), ["partition", "component"], "place"), "clusters")
+    first = order.groupBy("partition").agg(F.min("place").alias("first"))
+    out = ranked.join(order.join(first, "partition"), ["partition", "component"]).select(F.col("name").alias("node"), "partition", (F.col("place") - F.col("first")).cast("int").alias("cluster"))
+    return out if partition is not None else out.drop("partition")
 
 
 def communities_targeted(edges: DataFrame, nodes: DataFrame, targets: int | DataFrame, partition: DataFrame | None = None, low: float = 0.01, high: float = 10.0, rounds: int = 5, within: int = 2, levels: int = 5, moves: int = 12) -> DataFrame:
@@ -211,9 +226,9 @@ def merge_small_clusters(assign: DataFrame, target: int, factor: int = 3) -> Dat
     prefixes are most alike (Jaccard; ties to the smaller, then the lower id); one that shares none joins the
     smallest kept one. One relational pass.
     """
-    sizes = assign.groupBy("cluster").agg(F.count("*").alias("n"))
-    ranked = sizes.withColumn("rn", F.row_number().over(Window.orderBy(F.desc("n"), "cluster"))).withColumn("count", F.count("*").over(Window.partitionBy()))
-    kept, rest = ranked.where(F.col("rn") <= target), ranked.where(F.col("rn") > target)
+    sizes = cut(assign.groupBy("cluster").agg(F.count("*").alias("n")), "sizes")
+    kept = sizes.orderBy(F.desc("n"), "cluster").limit(target)
+    rest = sizes.join(F.broadcast(kept.select("cluster")), "cluster", "left_anti").join(F.broadcast(sizes.agg(F.count("*").alias("count"))))
     prefixes = with_sim_prefix(assign, "node").where("sim_prefix is not null").select("cluster", "sim_prefix").distinct()
     n_prefix = prefixes.groupBy("cluster").agg(F.count("*").alias("p"))
     mine = prefixes.join(rest.select("cluster"), "cluster", "left_semi").withColumnRenamed("cluster", "small")

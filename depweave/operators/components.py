@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from depweave.functions.paths import ancestors, leaf, parent, stem, with_path_parts
+from depweave.sources.scratch import cut
 
 
 def _most_common(rows: DataFrame, value: str, blank: str) -> DataFrame:
@@ -17,12 +18,12 @@ def _most_common(rows: DataFrame, value: str, blank: str) -> DataFrame:
 
 def name_clusters(assign: DataFrame) -> DataFrame:
     """cluster, name (A14): the most common directory name (``root`` without one); repeated names get the most
-    common grandparent's before them, and what still repeats ``_1``, ``_2``, ... by cluster id."""
+    common grandparent's (or ``root``) and a ``/`` before them, and what still repeats ``_1``, ``_2``, ... by cluster
+    id."""
     rows = with_path_parts(assign.select("cluster", F.col("node").alias("path")))
-    names = _most_common(rows, "leaf_dir", "root").join(_most_common(rows, "grandparent_dir", ""), "cluster")
+    names = _most_common(rows, "leaf_dir", "root").join(_most_common(rows, "grandparent_dir", "root"), "cluster")
     repeated = F.count("*").over(Window.partitionBy("leaf_dir")) > 1
-    first = F.when(repeated & (F.col("grandparent_dir") != ""), F.concat("grandparent_dir", F.lit("_"), "leaf_dir")).otherwise(F.col("leaf_dir"))
-    names = names.withColumn("_name", first)
+    names = names.withColumn("_name", F.when(repeated, F.concat("grandparent_dir", F.lit("/"), "leaf_dir")).otherwise(F.col("leaf_dir")))
     same = Window.partitionBy("_name")
     numbered = F.concat("_name", F.lit("_"), F.row_number().over(same.orderBy("cluster")).cast("string"))
     return names.withColumn("name", F.when(F.count("*").over(same) > 1, numbered).otherwise(F.col("_name"))).select("cluster", "name")
@@ -61,22 +62,24 @@ def reconcile_misplaced(component_files: DataFrame, suggestions: DataFrame) -> D
 
 
 def name_candidates(path: str = "path") -> Column:
-    """What a test file may be named after: its stem without ``test_`` or ``_test``, the first part of that,
-    the same as a path, and its directory's name unless that only says test."""
-    base = F.lower(F.regexp_replace(F.regexp_replace(stem(path), r"^tests?_", ""), r"(_tests?|\.test|\.spec)$", ""))
-    folder = F.lower(F.when(parent(path) == ".", "").otherwise(leaf(parent(path))))
-    folder = F.when(folder.isin("test", "tests", "__tests__", "spec"), "").otherwise(folder)
-    every = F.array(base, F.substring_index(base, "_", 1), F.translate(base, "_", "/"), folder)
-    return F.array_distinct(F.filter(every, lambda x: F.length(x) > 0))
+    """What a test file may be named after, in lower case: of ``test_a_b`` the subject ``a_b``, and if it has a ``_`` its
+    first part ``a`` and the path ``a/b``; and the name of its directory unless that only says test."""
+    name = stem(path)
+    subject = F.when(F.startswith(name, F.lit("test_")), F.lower(F.substring(name, 6, 1 << 20))).otherwise("")
+    parted = F.instr(subject, "_") > 0
+    folder = F.when(parent(path) == ".", "").otherwise(leaf(parent(path)))
+    folder = F.when(folder.isin("test", "tests", "__tests__", "spec"), "").otherwise(F.lower(folder))
+    every = F.array(subject, F.when(parted, F.substring_index(subject, "_", 1)).otherwise(""), F.when(parted, F.translate(subject, "_", "/")).otherwise(""), folder)
+    return F.array_sort(F.array_distinct(F.filter(every, lambda x: F.length(x) > 0)))
 
 
 def assign_tests(tests: DataFrame, call_edges: DataFrame, component_files: DataFrame) -> DataFrame:
     """path, component, how of each test file (J8): the component that most of its calls go to (``calls``),
-    else the one with most source files whose path holds one of the test's names (``name``), else
+    else the one with most source files whose lower-cased path contains one of the test's names (``name``), else
     ``unassigned``. Ties go to the smaller component name.
 
-    A name is looked up among the words of source paths, so the second step is an equality join too: a
-    candidate matches a path that has it as a run of whole ``/``-, ``_``- or ``.``-separated words.
+    Containment is an equality join too: each source path gives its parts of the lengths that names have, and only
+    parts that are some name go on. Tests with the same names are one row until the end.
     """
     tests = tests.select("path").distinct()
     own = component_files.select("component", "path")
@@ -84,13 +87,18 @@ def assign_tests(tests: DataFrame, call_edges: DataFrame, component_files: DataF
     called = pairs.join(tests, "path", "left_semi").join(own.withColumnRenamed("path", "other"), "other").groupBy("path", "component").agg(F.sum("cnt").alias("k"))
     by_calls = called.groupBy("path").agg(F.min_by("component", F.struct((-F.col("k")).alias("k"), "component")).alias("component"))
 
-    left = tests.join(by_calls, "path", "left_anti").select("path", F.explode(name_candidates()).alias("name")).withColumn("words", F.size(F.split("name", "[/_.]")))
-    words = F.split(F.lower("path"), "[/_.]")
-    runs = F.flatten(F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - n + 1)), lambda i: F.array_join(F.slice(words, i, n), "/"))))
-    keyed = own.select("component", F.col("path").alias("source"), F.explode(F.array_distinct(runs)).alias("key"))
-    hit = left.withColumn("key", F.translate("name", "_.", "//")).join(keyed, "key").select("path", "component", "source").distinct()
-    counts = hit.groupBy("path", "component").agg(F.count("*").alias("k"))
-    by_name = counts.groupBy("path").agg(F.min_by("component", F.struct((-F.col("k")).alias("k"), "component")).alias("component"))
+    left = cut(tests.join(by_calls, "path", "left_anti").select("path", name_candidates().alias("names")), "tests")
+    names = left.select(F.explode("names").alias("name")).distinct()
+    # One row: the distinct lengths of names, which are fewer than the characters of the longest path.
+    lengths = names.agg(F.array_sort(F.collect_set(F.length("name"))).alias("lengths"))
+    text = F.lower("path")
+    parts = F.flatten(F.transform("lengths", lambda n: F.when(n <= F.length("path"), F.transform(F.sequence(F.lit(1), F.length("path") - n + 1), lambda i: F.substring(text, i, n))).otherwise(F.array().cast("array<string>"))))
+    held = own.join(F.broadcast(lengths)).select("component", F.col("path").alias("source"), F.explode(F.array_distinct(parts)).alias("name")).join(names, "name", "left_semi")
+    sets = left.select("names").distinct()
+    hit = sets.select("names", F.explode("names").alias("name")).join(held, "name").select("names", "component", "source").distinct()
+    counts = hit.groupBy("names", "component").agg(F.count("*").alias("k"))
+    best = counts.groupBy("names").agg(F.min_by("component", F.struct((-F.col("k")).alias("k"), "component")).alias("component"))
+    by_name = left.join(best, "names").select("path", "component")
     found = by_calls.withColumn("how", F.lit("calls")).unionByName(by_name.withColumn("how", F.lit("name")))
     return tests.join(found, "path", "left").select("path", F.coalesce("component", F.lit("unassigned")).alias("component"), F.coalesce("how", F.lit("unassigned")).alias("how"))
 
@@ -101,18 +109,19 @@ def plain_name(name: Column | str) -> Column:
 
 
 def assign_new_tests(tests: DataFrame, sources: DataFrame, components: DataFrame) -> DataFrame:
-    """path, component of new test files (J9): that of the first assigned new source (by path) in the nearest
-    same or ancestor directory, else the component whose plain name is the directory's. ``sources``: path,
-    component; ``components``: component."""
-    up = lambda p: F.array_append(F.when(parent(p) == ".", F.array().cast("array<string>")).otherwise(ancestors(parent(p))), ".")
-    near = tests.select("path", F.posexplode(F.reverse(up("path"))).alias("away", "dir"))
-    # ``.`` comes first after the reverse; it is the farthest.
-    near = near.withColumn("away", F.when(F.col("dir") == ".", 1 << 20).otherwise(F.col("away")))
-    here = sources.groupBy(parent("path").alias("dir")).agg(F.min_by("component", "path").alias("component"))
-    by_dir = near.join(here, "dir").groupBy("path").agg(F.min_by("component", "away").alias("component"))
-    named = components.select(plain_name("component").alias("key"), "component").groupBy("key").agg(F.min("component").alias("named"))
-    rows = tests.select("path").distinct().join(by_dir, "path", "left").withColumn("key", plain_name(leaf(parent("path"))))
-    return rows.join(named, "key", "left").select("path", F.coalesce("component", "named").alias("component")).where("component is not null")
+    """path, component of new test files (J9): that of the first assigned new source (by path) whose directory is the
+    test's or above it, else the component whose plain name is the directory's. A source at the root is above
+    nothing, it only serves tests at the root. ``sources``: path, component; ``components``: component and, where it
+    isn't the component itself, name. With module_id in ``tests`` and ``components`` names count within a module."""
+    by = [c for c in ("module_id",) if c in tests.columns and c in components.columns]
+    up = F.when(parent("path") == ".", F.array(F.lit("."))).otherwise(ancestors(parent("path")))
+    near = tests.select("path", F.explode(up).alias("dir"))
+    here = sources.groupBy(parent("path").alias("dir")).agg(F.min(F.struct(F.col("path").alias("first"), "component")).alias("s"))
+    by_dir = near.join(here, "dir").groupBy("path").agg(F.min("s")["component"].alias("component"))
+    name = "name" if "name" in components.columns else "component"
+    named = components.select(*by, plain_name(name).alias("key"), "component").groupBy(*by, "key").agg(F.min("component").alias("named"))
+    rows = tests.select(*by, "path").distinct().join(by_dir, "path", "left").withColumn("key", F.when(parent("path") != ".", plain_name(leaf(parent("path")))))
+    return rows.join(named, [*by, "key"], "left").select(*by, "path", F.coalesce("component", "named").alias("component")).where("component is not null")
 
 
 def apply_split_responses(clusters: DataFrame, parts: DataFrame) -> DataFrame:
@@ -126,21 +135,29 @@ def apply_split_responses(clusters: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def components_from_responses(clusters: DataFrame, responses: DataFrame) -> DataFrame:
-    """ord, name, purpose, confidence of each cluster (F12). ``clusters``: cluster, name (its own);
-    ``responses``: cluster, ok, part_ord, name, purpose, confidence. Without a good response the cluster is
-    one component of confidence 0.3; a good one without parts gives 0.5; a single part names the whole; a
-    missing confidence is 0.7."""
-    state = responses.groupBy("cluster").agg(F.max("ok").alias("ok"), F.count("part_ord").alias("parts"))
+    """cluster, ord, name, purpose, confidence of each cluster's components.
+
+    ``clusters``: cluster, name (its own); ``responses``: cluster, ok, should_split, confidence,
+    primary_responsibility, and for each proposed part a row with part_ord, name, purpose (one row with a null
+    part_ord without any). A good response that says so and has several parts splits the cluster, with confidence
+    0.7 where none is given. Any other names the whole after its first part; without a part it keeps the cluster's
+    name, with confidence 0.5 where none is given. A blank purpose is the primary responsibility. Without a good
+    response the confidence is 0.3."""
+    state = responses.groupBy("cluster").agg(
+        F.max("ok").alias("ok"), F.max("should_split").alias("should_split"), F.max("confidence").alias("confidence"), F.max("primary_responsibility").alias("primary"), F.count("part_ord").alias("parts"), F.min("part_ord").alias("first")
+    )
     base = clusters.select("cluster", F.col("name").alias("own")).join(state, "cluster", "left").withColumn("ok", F.coalesce("ok", F.lit(False)))
-    parts = responses.where("ok and part_ord is not null").select("cluster", "part_ord", "name", "purpose", "confidence")
-    rows = base.join(parts, "cluster", "left")
+    splits = F.col("ok") & F.coalesce("should_split", F.lit(False)) & (F.col("parts") > 1)
+    parts = responses.where("ok and part_ord is not null").select("cluster", "part_ord", "name", "purpose")
+    rows = base.join(parts, "cluster", "left").where(F.col("part_ord").isNull() | splits | (F.col("part_ord") == F.col("first")))
     has = F.col("ok") & F.col("part_ord").isNotNull()
+    whole = F.coalesce("primary", F.lit(""))
     return rows.select(
         "cluster",
-        F.coalesce("part_ord", F.lit(0)).alias("ord"),
+        F.when(splits, F.col("part_ord")).otherwise(0).alias("ord"),
         F.when(has, F.coalesce("name", "own")).otherwise(F.col("own")).alias("name"),
-        F.when(has, F.coalesce("purpose", F.lit(""))).otherwise("").alias("purpose"),
-        F.when(~F.col("ok"), 0.3).when(~has, 0.5).otherwise(F.coalesce("confidence", F.lit(0.7))).alias("confidence"),
+        F.when(~F.col("ok"), "").when(splits, F.coalesce("purpose", F.lit(""))).otherwise(F.coalesce("purpose", whole)).alias("purpose"),
+        F.when(~F.col("ok"), 0.3).otherwise(F.coalesce("confidence", F.when(has, 0.7).otherwise(0.5))).alias("confidence"),
     )
 
 
@@ -149,38 +166,70 @@ def low_confidence(components: DataFrame, below: float = 0.5) -> DataFrame:
     return components.where(F.coalesce(F.nullif(F.col("confidence"), F.lit(0.0)), F.lit(1.0)) < below)
 
 
-def discover(occ: DataFrame, symbols: DataFrame, relationships: DataFrame | None = None, gamma: float | None = 1.0) -> dict[str, DataFrame]:
-    """Components of one code base, end to end without any response table.
+RESPONSES = "cluster int, ok boolean, should_split boolean, confidence double, primary_responsibility string, part_ord int, name string, purpose string, files array<string>"
+
 
-    Edges -> source files -> partitions -> weighted graph (affinity, noise, hubs) -> communities -> merged,
-    redistributed and named clusters -> test files -> component edges. ``gamma`` None searches the resolution
-    for the target count. Returns edges, component_files (component, path, is_test), component_edges.
+def discover(
+    occ: DataFrame, symbols: DataFrame, relationships: DataFrame | None = None, responses: DataFrame | None = None, suggestions: DataFrame | None = None,
+    labels: DataFrame | None = None, contents: DataFrame | None = None, target: int | None = None,
+) -> dict[str, DataFrame]:
+    """Components of one code base, end to end.
+
+    Edges -> source files -> partitions -> a weighted graph for each partition (noise gate, affinity, hubs) ->
+    communities about each partition's target count -> merged, redistributed and named clusters -> components by the
+    response table -> equal names merged -> misplaced files moved -> test files -> component edges and their labels.
+    All partitions advance in the same jobs. ``responses`` as in ``RESPONSES``, ``suggestions``: path, target,
+    confidence; ``labels``: source, target, edge_type, ord, label. Without responses each cluster is a component of
+    confidence 0.3. Returns edges, clusters (cluster, name, path), metadata, directories and calls (what requests
+    are made of), components, component_files (component, path, is_test), component_edges.
     """
     from depweave.functions.paths import is_test
-    from depweave.operators import cluster, resolution, rollup, weights
-    from depweave.sources.scratch import cut
-
-    edges = cut(resolution.merge_indexes([resolution.file_edges(occ, symbols, relationships)]))
-    files = occ.select(F.col("relative_path").alias("node")).distinct()
-    source = cut(files.where(~is_test("node")))
-    n = source.count()
-    target = min(25, max(3, n // 1000))
-    part = cut(cluster.partition_nodes(source, target=target))
+    from depweave.operators import cluster, resolution, rollup, textbatch, weights
+
+    edges = cut(resolution.merge_indexes([resolution.file_edges(occ, symbols, relationships)]), "edges")
+    files = cut(occ.select(F.col("relative_path").alias("node")).distinct(), "files")
+    source = files.where(~is_test("node"))
+    target = target or min(25, max(3, source.count() // 1000))
+    part = cut(cluster.partition_nodes(source, target=target), "partitions")
     weighted = weights.combine_weights(edges, source)
-    nodes, graph = weights.add_directory_affinity(source, weights.drop_noise(weighted, source))
-    graph = weights.dampen_hubs(graph, nodes)
+    nodes, graph = weights.add_directory_affinity(source, weights.drop_noise(weighted, part))
+    graph = cut(graph, "graph")
     # A directory's virtual node goes where its files are.
-    virtual = graph.join(part.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node"), "partition").unionByName(graph.join(part.withColumnRenamed("node", "dst"), "dst").select(F.col("src").alias("node"), "partition"))
-    virtual = virtual.join(nodes.where("is_virtual").select("node"), "node", "left_semi").groupBy("node").agg(F.min("partition").alias("partition"))
-    every = cut(part.unionByName(virtual))
-    if gamma is None:
-        found = cluster.communities_targeted(graph, nodes, cluster.partition_targets(part, target), every)
-    else:
-        found = cluster.communities(graph, nodes, gamma, every)
-    assign = cluster.globalise_ids(weights.strip_virtual(found)).select("node", "cluster")
+    pairs = F.explode(F.array(F.struct(F.col("src").alias("node"), F.col("dst").alias("file")), F.struct(F.col("dst").alias("node"), F.col("src").alias("file"))))
+    virtual = graph.select(pairs.alias("p")).select("p.*").join(nodes.where("is_virtual").select("node"), "node", "left_semi")
+    virtual = virtual.join(part.withColumnRenamed("node", "file"), "file").groupBy("node").agg(F.min("partition").alias("partition"))
+    every = cut(part.unionByName(virtual), "partitions")
+    graph = weights.dampen_hubs(graph, nodes, partition=every)
+    found = cluster.communities_targeted(graph, nodes, cluster.partition_targets(part, target), every)
+    assign = cluster.globalise_ids(weights.strip_virtual(found, nodes)).select("node", "cluster")
     calls = edges.where("edge_type = 'call'").select("src", "dst", "cnt")
-    assign = cut(cluster.redistribute(cluster.merge_small_clusters(assign, target), calls))
-    named = assign.join(name_clusters(assign), "cluster").select(F.col("name").alias("component"), F.col("node").alias("path"))
-    tests = assign_tests(files.where(is_test("node")).select(F.col("node").alias("path")), calls, named)
-    component_files = named.withColumn("is_test", F.lit(False)).unionByName(tests.select("component", "path", F.lit(True).alias("is_test")))
-    return {"edges": edges, "component_files": component_files, "component_edges": rollup.rollup_edges(edges, named)}
+    assign = cut(cluster.redistribute(cluster.merge_small_clusters(assign, target), calls), "clusters")
+    named = cut(name_clusters(assign), "names")
+    directories, inner = cluster_profile(assign, calls)
+
+    rows = assign.select("cluster", F.col("node").alias("path"))
+    if responses is None:
+        responses = occ.sparkSession.createDataFrame([], RESPONSES)
+    answered = components_from_responses(named, responses)
+    split = answered.groupBy("cluster").count().where("count > 1").select("cluster")
+    parts = responses.join(split, "cluster", "left_semi").select("cluster", "part_ord", "name", F.explode_outer("files").alias("path"))
+    whole = rows.join(split, "cluster", "left_anti").join(answered.select("cluster", "name"), "cluster").select("name", "path")
+    owned = whole.unionByName(apply_split_responses(rows.join(split, "cluster", "left_semi"), parts).select("name", "path"))
+    merged, owned = merge_same_name(answered.select(F.struct("cluster", "ord").alias("ord"), "name", "purpose", "confidence"), owned)
+    owned = owned.select(F.col("name").alias("component"), "path")
+    owned = cut(owned if suggestions is None else reconcile_misplaced(owned, suggestions), "owned")
+    merged = merged.drop("ord").join(owned.select(F.col("component").alias("name")).distinct(), "name", "left_semi")
+    tests = assign_tests(files.where(is_test("node")).select(F.col("node").alias("path")), calls, owned)
+    component_edges = rollup.rollup_edges(edges, owned)
+    if labels is not None:
+        component_edges = rollup.apply_edge_labels(component_edges, labels)
+    return {
+        "edges": edges,
+        "clusters": named.join(rows, "cluster"),
+        "metadata": textbatch.file_metadata(source.select(F.col("node").alias("path")), symbols, occ, contents),
+        "directories": directories,
+        "calls": inner,
+        "components": merged,
+        "component_files": owned.withColumn("is_test", F.lit(False)).unionByName(tests.select("component", "path", F.lit(True).alias("is_test"))),
+        "component_edges": component_edges,
+    }

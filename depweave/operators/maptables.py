@@ -11,8 +11,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from depweave.functions.paths import is_test
+from depweave.operators.components import assign_new_tests
 from depweave.operators.versions import decisions_with_names
-from depweave.sources.scratch import numbered
+from depweave.sources.scratch import cut, numbered
 
 Tables = dict[str, DataFrame]
 
@@ -35,13 +37,18 @@ def component_worklist(modules: DataFrame, components: DataFrame, files: DataFra
     return rows.join(files.where("not is_test").select("component_id"), "component_id", "left_semi")
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
 def _like(col: str, pattern: str) -> Column:
-    return F.coalesce(F.lower(F.col(col)).like(f"%{pattern.lower()}%"), F.lit(False))
+    """LIKE in any case of A-Z; ``%`` and ``_`` are wild, a backslash stands for itself."""
+    pattern = pattern.translate(str.maketrans(_UPPER, _LOWER)).replace("\\", "\\\\")
+    return F.coalesce(F.translate(F.col(col), _UPPER, _LOWER).like(f"%{pattern}%"), F.lit(False))
 
 
 def search_entities(modules: DataFrame, components: DataFrame, decisions: DataFrame, text: str) -> DataFrame:
     """entity_type, id, name, owner of modules, components and decisions whose name, text or detail is LIKE
-    ``%text%`` in any case (W8)."""
+    ``%text%`` in any case of A-Z (W8)."""
     m = modules.where(_like("name", text)).select(F.lit("module").alias("entity_type"), F.col("module_id").alias("id"), "name", F.lit("").alias("owner"))
     owner = modules.select("module_id", F.col("name").alias("owner"))
     c = components.where(_like("name", text)).join(owner, "module_id", "left").select(F.lit("component").alias("entity_type"), F.col("component_id").alias("id"), "name", F.coalesce("owner", F.lit("")).alias("owner"))
@@ -108,27 +115,47 @@ def _metadata(col: str = "metadata") -> Column:
     return F.coalesce(text, F.lit("{}"))
 
 
+#: What a module has besides its name and classification.
+MODULE_FIELDS = ["type", "technology", "source_origin", "deployment_target"]
+
+
+def _modules(table: DataFrame) -> DataFrame:
+    """Modules with all their fields, null where the table lacks one."""
+    return table.select("module_id", "name", "classification", *(F.col(c) if c in table.columns else F.lit(None).cast("string").alias(c) for c in MODULE_FIELDS))
+
+
 def _listed(rows: DataFrame, by: str, fields: Sequence[Column | str], out: str) -> DataFrame:
     return rows.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(out))
 
 
-def export_map(tables: Tables) -> DataFrame:
-    """One row: the nested map with modules, module_edges, component_edges (J12). Children without rows are
-    empty arrays; everything is in id order."""
+def export_modules(tables: Tables) -> DataFrame:
+    """A row a module: id and fields, directories, decisions, components with their files and decisions.
+    Children without rows are empty arrays; everything is in id order."""
     c, d = tables["components"], tables["decisions"]
     fields = [F.col("decision_id").alias("id"), "category", "text", "detail", "source"]
-    files = _listed(tables["component_files"], "component_id", ["path", F.col("is_test").cast("boolean").alias("is_test")], "files")
+    files = _listed(tables["component_files"], "component_id", ["path", F.coalesce(F.col("is_test").cast("boolean"), F.lit(False)).alias("is_test")], "files")
     of_component = _listed(d.where("component_id is not null"), "component_id", fields, "decisions")
     c = c.join(files, "component_id", "left").join(of_component, "component_id", "left")
     none = lambda name: F.coalesce(F.col(name), F.array())
     c = _listed(c, "module_id", [F.col("component_id").alias("id"), "name", "purpose", "confidence", none("files").alias("files"), none("decisions").alias("decisions")], "components")
     dirs = tables["module_directories"].groupBy("module_id").agg(F.array_sort(F.collect_list("directory")).alias("directories"))
     of_module = _listed(d.where("module_id is not null"), "module_id", fields, "decisions")
-    m = tables["modules"].join(dirs, "module_id", "left").join(of_module, "module_id", "left").join(c, "module_id", "left")
-    m = m.agg(F.array_sort(F.collect_list(F.struct(F.col("module_id").alias("id"), "name", "classification", none("directories").alias("directories"), none("decisions").alias("decisions"), none("components").alias("components")))).alias("modules"))
+    m = _modules(tables["modules"]).join(dirs, "module_id", "left").join(of_module, "module_id", "left").join(c, "module_id", "left")
+    return m.select(F.col("module_id").alias("id"), "name", "classification", *MODULE_FIELDS, none("directories").alias("directories"), none("decisions").alias("decisions"), none("components").alias("components"))
+
+
+def export_edges(edges: DataFrame) -> DataFrame:
+    """Edges as they stand in a map: metadata is the text of a JSON object, ``{}`` where it isn't one."""
+    return edges.select("source_id", "target_id", "edge_type", "weight", _metadata().alias("metadata"))
+
+
+def export_map(tables: Tables) -> DataFrame:
+    """One row: the map as one document with modules, module_edges, component_edges (J12). A document is one value, so
+    it must fit one; ``export_modules`` and ``export_edges`` have the same as tables of any size."""
+    every = lambda rows, out: rows.agg(F.array_sort(F.collect_list(F.struct(*rows.columns))).alias(out))
+    m = every(export_modules(tables), "modules")
     for name in ("module_edges", "component_edges"):
-        e = tables[name].agg(F.array_sort(F.collect_list(F.struct(F.col("source_id").alias("source"), F.col("target_id").alias("target"), "edge_type", "weight", _metadata().alias("metadata")))).alias(name))
-        m = m.join(F.broadcast(e))
+        m = m.join(F.broadcast(every(export_edges(tables[name]), name)))
     return m
 
 
@@ -146,18 +173,19 @@ def map_sizes(tables: Tables) -> DataFrame:
 
 
 def import_map(nested: DataFrame) -> Tables:
-    """Tables of a nested map with new ids from 1 in the old ids' order (J13); see ``import_tables``."""
+    """Tables of a nested map with new ids from 1 in the old ids' order (J13); see ``import_tables``. A missing
+    classification is ``module``, a decision's missing source ``pipeline_generated``, an edge's missing weight 1."""
     mods = nested.select(F.explode("modules").alias("m")).select("m.*")
     comps = mods.select(F.col("id").alias("module_id"), F.explode("components").alias("c")).select("module_id", "c.*")
-    field = [F.col(f"x.{c}").alias("decision_id" if c == "id" else c) for c in ("id", "category", "text", "detail", "source")]
+    field = [F.col("x.id").alias("decision_id"), "x.category", "x.text", "x.detail", F.coalesce("x.source", F.lit("pipeline_generated")).alias("source")]
     own = mods.select(F.col("id").alias("module_id"), F.lit(None).cast("long").alias("component_id"), F.explode("decisions").alias("x"))
     deep = comps.select(F.lit(None).cast("long").alias("module_id"), F.col("id").alias("component_id"), F.explode("decisions").alias("x"))
-    edges = lambda name: nested.select(F.explode(name).alias("e")).select(F.col("e.source").alias("source_id"), F.col("e.target").alias("target_id"), "e.edge_type", "e.weight", "e.metadata")
+    edges = lambda name: nested.select(F.explode(name).alias("e")).select("e.source_id", "e.target_id", "e.edge_type", F.coalesce("e.weight", F.lit(1.0)).alias("weight"), "e.metadata")
     return import_tables({
-        "modules": mods.select(F.col("id").alias("module_id"), "name", "classification"),
+        "modules": mods.select(F.col("id").alias("module_id"), "name", F.coalesce("classification", F.lit("module")).alias("classification"), *MODULE_FIELDS),
         "module_directories": mods.select(F.col("id").alias("module_id"), F.explode("directories").alias("directory")),
         "components": comps.select(F.col("id").alias("component_id"), "module_id", "name", "purpose", "confidence"),
-        "component_files": comps.select(F.col("id").alias("component_id"), F.explode("files").alias("f")).select("component_id", "f.path", "f.is_test"),
+        "component_files": comps.select(F.col("id").alias("component_id"), F.explode("files").alias("f")).select("component_id", "f.path", F.coalesce("f.is_test", F.lit(False)).alias("is_test")),
         "decisions": own.unionByName(deep).select("module_id", "component_id", *field),
         "module_edges": edges("module_edges"),
         "component_edges": edges("component_edges"),
@@ -169,7 +197,7 @@ def import_tables(tables: Tables) -> Tables:
     owners and go where those are unknown; a decision of a module and a component comes for both, as in the
     nested map. Edges stay only if both ends are known; of edges that repeat (source, target, type) the first
     stays."""
-    mods = numbered(tables["modules"].withColumnRenamed("module_id", "id"), ["id", "name"], "module_id")
+    mods = numbered(_modules(tables["modules"]).withColumnRenamed("module_id", "id"), ["id", "name"], "module_id")
     new_mod = mods.select(F.col("id").alias("_old"), F.col("module_id").alias("_new"))
     child = lambda name, key, new: tables[name].join(new, F.col(key) == F.col("_old")).withColumn(key, F.col("_new")).drop("_old", "_new")
     comps = numbered(child("components", "module_id", new_mod).withColumnRenamed("component_id", "id"), ["module_id", "id", "name"], "component_id")
@@ -188,7 +216,7 @@ def import_tables(tables: Tables) -> Tables:
         return rows.withColumn("_rn", F.row_number().over(first)).where("_rn = 1").select("source_id", "target_id", "edge_type", "weight", "metadata")
 
     return {
-        "modules": mods.select("module_id", "name", "classification"),
+        "modules": mods.select("module_id", "name", "classification", *MODULE_FIELDS),
         "module_directories": child("module_directories", "module_id", new_mod).select("module_id", "directory"),
         "components": comps.select("component_id", "module_id", "name", "purpose", "confidence"),
         "component_files": child("component_files", "component_id", new_comp).select("component_id", "path", "is_test"),
@@ -207,64 +235,102 @@ def table_counts(tables: Tables) -> DataFrame:
     return out
 
 
-def with_edge_label(edges: DataFrame) -> DataFrame:
-    """Edges with label and JSON metadata by type (P15). ``edges``: target, edge_type, protocol."""
-    label = F.when(F.col("edge_type") == "communicates_via", F.concat(F.coalesce(F.concat(F.nullif("protocol", F.lit("")), F.lit(": ")), F.lit("calls ")), F.col("target")))
-    label = label.when(F.col("edge_type") == "uses_data_store", F.concat(F.lit("stores data in "), "target")).otherwise(F.concat(F.lit("uses "), "target"))
-    return edges.withColumn("label", label).withColumn("metadata", F.to_json(F.struct("label")))
+def with_edge_label(edges: DataFrame, defaults: bool = False) -> DataFrame:
+    """Edges with label and JSON metadata by type (P15). ``edges``: target_name, edge_type, protocol, description; with
+    ``defaults`` also source_name, and a blank description says what the label says."""
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    protocol, kind = blank("protocol"), F.col("edge_type")
+    via, stores = kind == "communicates_via", kind == "uses_data_store"
+    label = F.when(via, F.concat(F.when(protocol != "", F.concat(protocol, F.lit(": "))).otherwise("calls "), "target_name"))
+    label = label.when(stores, F.concat(F.lit("stores data in "), "target_name")).otherwise(F.concat(F.lit("uses "), "target_name"))
+    description = blank("description")
+    if defaults:
+        usual = F.when(stores, F.concat(F.lit("Connects to "), "target_name")).otherwise(F.concat("source_name", F.lit(" depends on "), "target_name"))
+        description = F.when(~via & (description == ""), usual).otherwise(description)
+    rows = edges.withColumn("label", label)
+    body = F.when(via, F.to_json(F.struct("label", protocol.alias("protocol"), description.alias("description")))).otherwise(F.to_json(F.struct("label", description.alias("description"))))
+    return rows.withColumn("metadata", body)
+
 
+_RELATION = "struct<targetModuleId string, type string, protocol string, description string>"
 
-#: A module document of an ingestion.
+#: A module document of an ingestion; relationships are a list of relations or, of old, lists by kind.
 MODULES = (
-    "modules array<struct<id string, name string, classification string, directories array<string>, consumedBy array<string>>>, "
-    "relationships array<struct<source string, target string, type string, protocol string>>"
+    "modules array<struct<id string, name string, classification string, type string, technology string, sourceOrigin string, deploymentTarget string, "
+    "directories array<string>, relationships string, consumedBy array<string>>>"
 )
+OLD_RELATIONS = f"struct<dependsOnModules array<string>, usesDataStores array<string>, communicatesVia array<{_RELATION}>>"
 
+#: An edge document of an ingestion.
+EDGES = "edges array<struct<sourceId string, targetId string, type string, protocol string, description string>>, consumedBy array<struct<libraryId string, consumerIds array<string>>>"
 
-def _ingested(doc: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    parsed = doc.select(F.from_json("value", MODULES).alias("d"))
-    rows = parsed.select(F.posexplode("d.modules").alias("ord", "m")).select("ord", "m.*").where("name is not null or id is not null")
-    mods = rows.withColumn("key", F.coalesce("id", "name")).withColumn("module_id", F.row_number().over(Window.orderBy("ord", "key")).cast("long"))
-    mods = mods.select("module_id", "key", F.coalesce("name", "id").alias("name"), F.coalesce("classification", F.lit("module")).alias("classification"), "directories", "consumedBy")
-    declared = parsed.select(F.posexplode("d.relationships").alias("ord", "r")).select("ord", "r.*").select("ord", "source", "target", F.coalesce("type", F.lit("depends_on")).alias("edge_type"), "protocol", F.lit(0).alias("filler"))
-    fillers = mods.select((F.col("module_id") + 1_000_000_000).cast("int").alias("ord"), F.explode("consumedBy").alias("source"), F.col("key").alias("target"), F.lit("depends_on").alias("edge_type"), F.lit(None).cast("string").alias("protocol"), F.lit(1).alias("filler"))
-    return mods, declared, fillers
 
-
-def _first_edges(rows: DataFrame) -> DataFrame:
-    first = Window.partitionBy("source_id", "target_id", "edge_type").orderBy("filler", "ord")
-    return with_edge_label(rows.withColumn("_rn", F.row_number().over(first)).where("_rn = 1")).select("source_id", "target_id", "edge_type", F.lit(1.0).alias("weight"), "metadata")
+def ingest_modules(doc: DataFrame) -> Tables:
+    """modules (module_id, key, fields, consumedBy, relationships) and module_directories of a document (``value``).
+    Ids are given in the document's order; ``codebase/`` goes from the start of directories."""
+    rows = doc.select(F.from_json("value", MODULES).alias("d")).select(F.posexplode("d.modules").alias("ord", "m")).select("ord", "m.*").where("name is not null or id is not null")
+    rows = numbered(rows.withColumn("key", F.coalesce("id", "name")), ["ord", "key"], "module_id")
+    mods = rows.select(
+        "module_id", "key", F.coalesce("name", "id").alias("name"), F.coalesce("classification", F.lit("module")).alias("classification"), "type", "technology",
+        F.col("sourceOrigin").alias("source_origin"), F.col("deploymentTarget").alias("deployment_target"), "directories", "relationships", "consumedBy",
+    )
+    dirs = mods.select("module_id", F.explode("directories").alias("directory")).select("module_id", F.regexp_replace("directory", "^codebase/", "").alias("directory")).distinct()
+    return {"modules": mods, "module_directories": dirs}
 
 
-def module_directories(mods: DataFrame) -> DataFrame:
-    return mods.select("module_id", F.explode("directories").alias("directory")).select("module_id", F.regexp_replace(F.rtrim("directory", F.lit("/")), "^codebase/", "").alias("directory")).distinct()
+def _named_ends(rows: DataFrame, mods: DataFrame) -> DataFrame:
+    """Edges (source, target as keys) between known modules, with ids and names."""
+    for end in ("source", "target"):
+        known = mods.select(F.col("key").alias(end), F.col("module_id").alias(f"{end}_id"), F.col("name").alias(f"{end}_name"))
+        rows = rows.join(known, end)
+    return rows
 
 
-def _keys(mods: DataFrame) -> DataFrame:
-    """Names and ids by which edges may point at a module."""
-    both = mods.select(F.col("key").alias("name"), F.col("module_id").alias("id")).unionByName(mods.select("name", F.col("module_id").alias("id")))
-    return both.groupBy("name").agg(F.min("id").alias("id"))
+def _first_edges(rows: DataFrame) -> DataFrame:
+    """The first edge of each (source, target, type): declared ones in their order, then fillers."""
+    first = Window.partitionBy("source_id", "target_id", "edge_type").orderBy("filler", "ord", "n")
+    return rows.withColumn("_rn", F.row_number().over(first)).where("_rn = 1").select("source_id", "target_id", "edge_type", F.lit(1.0).alias("weight"), "metadata")
 
 
 def ingest_modules_single(doc: DataFrame) -> Tables:
-    """modules, module_directories, module_edges of one document (``value``) with modules and relationships.
-    A declared relationship beats a filler from ``consumedBy``; edges to unknown modules are dropped."""
-    mods, declared, fillers = _ingested(doc)
-    edges, _ = resolve_edge_ids(declared.unionByName(fillers), _keys(mods))
-    return {"modules": mods.select("module_id", "key", "name", "classification"), "module_directories": module_directories(mods), "module_edges": _first_edges(edges)}
-
-
-def ingest_edges(doc: DataFrame, ids: DataFrame, consumed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(module_edges, skipped) of a second document (J24): unknown ends and loops are skipped, the first edge of a
-    (source, target, type) stays, and ``consumed`` (source, target) fills what no edge joins."""
-    parsed = doc.select(F.from_json("value", "relationships array<struct<source string, target string, type string, protocol string>>").alias("d"))
-    rows = parsed.select(F.posexplode("d.relationships").alias("ord", "r")).select("ord", "r.*").select("ord", "source", "target", F.coalesce("type", F.lit("depends_on")).alias("edge_type"), "protocol", F.lit(0).alias("filler"))
-    edges, skipped = resolve_edge_ids(rows, ids, drop_loops=True)
-    if consumed is not None:
-        more = consumed.select(F.lit(0).alias("ord"), "source", "target", F.lit("depends_on").alias("edge_type"), F.lit(None).cast("string").alias("protocol"), F.lit(1).alias("filler"))
-        more, _ = resolve_edge_ids(more, ids, drop_loops=True)
-        edges = edges.unionByName(more.join(edges.select("source_id", "target_id").distinct(), ["source_id", "target_id"], "left_anti"))
-    return _first_edges(edges), skipped.select("source", "target", "edge_type")
+    """modules, module_directories, module_edges of one document (``value``) with modules and their relationships.
+
+    Relations go by targetModuleId; those to unknown modules are dropped and the first of a (source, target, type)
+    stays. ``consumedBy`` of shared libraries adds a ``depends_on`` edge where there is none of that type."""
+    tables = ingest_modules(doc)
+    mods = tables["modules"]
+    as_list = F.from_json("relationships", f"array<{_RELATION}>")
+    old = F.from_json("relationships", OLD_RELATIONS)
+    simple = lambda c, kind, what: F.transform(F.coalesce(old[c], F.array().cast("array<string>")), lambda t: F.struct(t.alias("targetModuleId"), F.lit(kind).alias("type"), F.lit(None).cast("string").alias("protocol"), F.concat(F.lit(what), t).alias("description")))
+    via = F.transform(F.coalesce(old["communicatesVia"], F.array().cast(f"array<{_RELATION}>")), lambda c: F.struct(c["targetModuleId"].alias("targetModuleId"), F.lit("communicates_via").alias("type"), c["protocol"].alias("protocol"), c["description"].alias("description")))
+    of_old = F.concat(simple("dependsOnModules", "depends_on", "Depends on "), simple("usesDataStores", "uses_data_store", "Stores data in "), via)
+    relations = F.when(F.ltrim("relationships").startswith("{"), of_old).otherwise(as_list)
+    declared = mods.select(F.col("key").alias("source"), F.col("module_id").alias("ord"), F.posexplode(relations).alias("n", "r"))
+    declared = declared.select("source", "ord", "n", F.col("r.targetModuleId").alias("target"), F.coalesce("r.type", F.lit("depends_on")).alias("edge_type"), "r.protocol", "r.description", F.lit(0).alias("filler"))
+    declared = with_edge_label(_named_ends(declared, mods), defaults=True)
+    fillers = mods.where("classification = 'shared-library'").select(F.col("key").alias("target"), F.col("module_id").alias("ord"), F.posexplode("consumedBy").alias("n", "source"))
+    fillers = _named_ends(fillers.select("source", "target", "ord", "n", F.lit("depends_on").alias("edge_type"), F.lit(1).alias("filler")), mods)
+    fillers = fillers.withColumn("metadata", F.to_json(F.struct(F.concat(F.lit("uses "), "target_name").alias("label"), F.concat("source_name", F.lit(" imports "), "target_name").alias("description"))))
+    cols = ["source_id", "target_id", "edge_type", "filler", "ord", "n", "metadata"]
+    return {"modules": mods.drop("directories", "relationships", "consumedBy"), "module_directories": tables["module_directories"], "module_edges": _first_edges(declared.select(cols).unionByName(fillers.select(cols)))}
+
+
+def ingest_edges(doc: DataFrame, mods: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(module_edges, skipped) of a second document (``value``) with edges and consumedBy (J24). ``mods``: module_id, key,
+    name. Edges with an unknown end and loops are skipped, the first of a (source, target, type) stays, and consumers of
+    a library get a ``depends_on`` edge where there is none of that type. ``skipped``: sourceId, targetId."""
+    parsed = doc.select(F.from_json("value", EDGES).alias("d"))
+    rows = parsed.select(F.posexplode("d.edges").alias("ord", "e")).select("ord", "e.*")
+    rows = rows.select("ord", F.col("sourceId").alias("source"), F.col("targetId").alias("target"), F.coalesce("type", F.lit("depends_on")).alias("edge_type"), "protocol", "description", F.lit(0).alias("filler"), F.lit(0).alias("n"))
+    known = mods.select(F.col("key").alias("name"), F.col("module_id").alias("id"))
+    good, bad = resolve_edge_ids(rows, known, drop_loops=True)
+    edges = with_edge_label(good.join(mods.select(F.col("module_id").alias("target_id"), F.col("name").alias("target_name")), "target_id"))
+    more = parsed.select(F.posexplode("d.consumedBy").alias("ord", "c")).select("ord", F.col("c.libraryId").alias("target"), F.posexplode("c.consumerIds").alias("n", "source"))
+    more = _named_ends(more.withColumns({"edge_type": F.lit("depends_on"), "filler": F.lit(1)}), mods)
+    more = more.withColumn("metadata", F.to_json(F.struct(F.concat(F.lit("uses "), "target_name").alias("label"))))
+    cols = ["source_id", "target_id", "edge_type", "filler", "ord", "n", "metadata"]
+    skipped = bad.where("source <> '' and target <> ''").select(F.col("source").alias("sourceId"), F.col("target").alias("targetId"))
+    return _first_edges(edges.select(cols).unionByName(more.select(cols))), skipped
 
 
 def module_neighbours(modules: DataFrame, edges: DataFrame) -> DataFrame:
@@ -276,27 +342,59 @@ def module_neighbours(modules: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.join(names, "other", "left").select("module_id", "direction", F.coalesce("name", F.concat(F.lit("Module #"), F.col("other").cast("string"))).alias("neighbour"), "edge_type")
 
 
-def apply_classification(files: DataFrame, components: DataFrame, responses: DataFrame, new_confidence: float = 0.5) -> tuple[DataFrame, DataFrame]:
-    """(new component_files, new components) from classified new files (C10). ``responses``: module_id, path,
-    component; an unknown name makes one component of its module, whoever names it first."""
-    valid = responses.where(F.trim("component") != "").join(files.select("module_id", "path"), ["module_id", "path"], "left_semi").withColumn("name", F.trim("component"))
+def apply_classification(new_files: DataFrame, components: DataFrame, responses: DataFrame, new_confidence: float = 0.5) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(component_files, new components, stats) from new files (module_id, path) and their responses.
+
+    ``responses``: module_id, path, existing_component, new_component, purpose. A file goes to the named existing
+    component of its module; else to the proposed new one, which is made once and takes the purpose of the first file
+    (by path) that names it; else nowhere, so that an unknown existing name makes nothing. Test files aren't asked
+    about: they follow ``assign_new_tests``. ``stats``: new_files_found, files_assigned, components_created,
+    orphan_files. ``components``: module_id, component_id, name."""
+    new_files = new_files.select("module_id", "path").distinct()
+    sources, tests = new_files.where(~is_test("path")), new_files.where(is_test("path"))
+    answers = responses.join(sources, ["module_id", "path"], "left_semi").groupBy("module_id", "path").agg(*(F.min(c).alias(c) for c in ("existing_component", "new_component", "purpose")))
     known = components.select("module_id", "name", "component_id")
-    fresh = valid.select("module_id", "name").distinct().join(known, ["module_id", "name"], "left_anti")
+    wanted = answers.join(known.select("module_id", F.col("name").alias("existing_component"), F.lit(True).alias("_known")), ["module_id", "existing_component"], "left")
+    proposed = F.when(F.coalesce(F.col("new_component"), F.lit("")) != "", F.col("new_component"))
+    wanted = wanted.withColumn("name", F.when(F.col("_known"), F.col("existing_component")).otherwise(proposed)).where("name is not null")
+    fresh = wanted.join(known, ["module_id", "name"], "left_anti").groupBy("module_id", "name").agg(F.min_by("purpose", "path").alias("purpose"))
     top = components.agg(F.coalesce(F.max("component_id"), F.lit(0)).alias("_top"))
-    fresh = fresh.withColumn("_n", F.row_number().over(Window.orderBy("module_id", "name"))).join(F.broadcast(top)).select((F.col("_top") + F.col("_n")).cast("long").alias("component_id"), "module_id", "name", F.lit(new_confidence).alias("confidence"))
+    fresh = numbered(fresh, ["module_id", "name"], "_n").join(F.broadcast(top))
+    fresh = cut(fresh.select((F.col("_top") + F.col("_n")).cast("long").alias("component_id"), "module_id", "name", F.coalesce("purpose", F.lit("")).alias("purpose"), F.lit(new_confidence).alias("confidence")), "new-components")
     every = known.unionByName(fresh.select("module_id", "name", "component_id"))
-    return valid.join(every, ["module_id", "name"]).select("component_id", "path").distinct(), fresh
+    own = cut(wanted.join(every, ["module_id", "name"]).select("component_id", "path").distinct(), "classified")
+    followed = assign_new_tests(tests, own.select("path", F.col("component_id").alias("component")), known.withColumnRenamed("component_id", "component"))
+    files = own.withColumn("is_test", F.lit(False)).unionByName(followed.select(F.col("component").alias("component_id"), "path", F.lit(True).alias("is_test")))
+    files = cut(files.distinct(), "classified")
+    one = lambda rows, out: F.broadcast(rows.agg(F.count("*").alias(out)))
+    stats = one(new_files, "new_files_found").join(one(files, "files_assigned")).join(one(fresh, "components_created"))
+    return files, fresh, stats.withColumn("orphan_files", F.col("new_files_found") - F.col("files_assigned"))
+
+
+def _as_text(v: str, field: str) -> Column:
+    """A field of a variant as text: a list becomes lines, what is missing or false becomes empty."""
+    lines = F.array_join(F.try_variant_get(v, f"$.{field}", "array<string>"), "\n")
+    return F.coalesce(lines, F.try_variant_get(v, f"$.{field}", "string"), F.lit(""))
 
 
 def build_tickets(responses: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(tickets, files, links, stats) from response rows (C11): ticket_ord, kind, title, steps, files, change_ids.
-    Map corrections are only counted; steps become lines; links only go to existing change records."""
-    real = responses.where("kind <> 'map_correction'").withColumn("ticket_id", F.row_number().over(Window.orderBy("ticket_ord")).cast("long"))
-    tickets = real.select("ticket_id", "title", F.array_join("steps", "\n").alias("steps"))
-    files = real.select("ticket_id", F.explode("files").alias("path")).distinct()
+    """(tickets, files, links, stats) from responses (C11): request_id, json, the text of a list of tickets.
+
+    Tickets are numbered in order; title, description and acceptance_criteria may be texts or lists, affected_files a
+    text or a list. Map corrections are only counted. Links only go to existing change records (change_id)."""
+    every = responses.select("request_id", F.posexplode(F.from_json("json", "array<string>")).alias("n", "t"))
+    every = every.select("request_id", "n", F.try_parse_json("t").alias("v"))
+    correction = F.coalesce(F.try_variant_get("v", "$.is_map_correction", "boolean"), F.lit(False))
+    rows = cut(every.select(
+        "request_id", "n", correction.alias("correction"), *(_as_text("v", c).alias(c) for c in ("title", "description", "acceptance_criteria")),
+        F.coalesce(F.try_variant_get("v", "$.affected_files", "array<string>"), F.array(F.try_variant_get("v", "$.affected_files", "string"))).alias("files"),
+        F.try_variant_get("v", "$.change_record_ids", "array<bigint>").alias("change_ids"),
+    ), "tickets")
+    real = cut(numbered(rows.where("not correction"), ["request_id", "n"], "ticket_id"), "tickets")
+    files = real.select("ticket_id", F.explode("files").alias("path")).where("path <> ''").distinct()
     links = real.select("ticket_id", F.explode("change_ids").alias("change_id")).distinct().join(changes.select("change_id"), "change_id", "left_semi").select("ticket_id", "change_id")
-    stats = responses.agg(F.count_if(F.col("kind") != "map_correction").alias("tickets"), F.count_if(F.col("kind") == "map_correction").alias("corrections"))
-    return tickets, files, links, stats
+    stats = rows.agg(F.count_if(~F.col("correction")).alias("tickets"), F.count_if("correction").alias("map_corrections"))
+    return real.select("ticket_id", "title", "description", "acceptance_criteria"), files, links, stats
 
 
 def tickets_with_files(tickets: DataFrame, files: DataFrame) -> DataFrame:

@@ -87,3 +87,15 @@ def merge_indexes(edges: list[DataFrame]) -> DataFrame:
     for x in edges[1:]:
         out = out.unionByName(x)
     return out.groupBy("src", "dst", "edge_type").agg(F.sum("cnt").alias("cnt"))
+
+
+def merge_index_results(parts: list[tuple[DataFrame, DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(edges, files, stats) of several indexes' (edges, files, stats) (S5): counts of edges add up, files (path) are
+    joined, definitions too add up. ``stats``: index_id, n_definitions, n_files; an index without files drops out."""
+    every = [x for x in zip(*parts, strict=True)]
+    files, stats = every[1][0].select("path"), every[2][0]
+    for f, s in zip(every[1][1:], every[2][1:], strict=True):
+        files, stats = files.unionByName(f.select("path")), stats.unionByName(s)
+    files = files.distinct()
+    one = stats.where("n_files > 0").agg(F.coalesce(F.sum("n_definitions"), F.lit(0)).alias("n_definitions"), F.count("*").alias("n_indexes"))
+    return merge_indexes(list(every[0])), files, one.join(F.broadcast(files.agg(F.count("*").alias("n_files"))))

@@ -6,14 +6,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def component_pairs(file_edges: DataFrame, component_files: DataFrame) -> DataFrame:
-    """low, high, edge_type, cnt between different components; edges with an unknown end are dropped."""
-    own = component_files.select("component", "path")
+def component_pairs(file_edges: DataFrame, component_files: DataFrame, by: str | None = None) -> DataFrame:
+    """low, high, edge_type, cnt between different components; edges with an unknown end are dropped (J4). With ``by``, a
+    column of ``component_files``, only pairs in the same ``by``, which is a column of the result too."""
+    own = component_files.select(*([by] if by else []), "component", "path")
     rows = file_edges
-    for end, name in (("src", "_a"), ("dst", "_b")):
-        rows = rows.join(own.select(F.col("path").alias(end), F.col("component").alias(name)), end)
-    rows = rows.where("_a <> _b")
-    return rows.groupBy(F.least("_a", "_b").alias("low"), F.greatest("_a", "_b").alias("high"), "edge_type").agg(F.sum("cnt").alias("cnt"))
+    for end, name, of in (("src", "_a", "_m"), ("dst", "_b", "_n")):
+        rows = rows.join(own.select(F.col("path").alias(end), F.col("component").alias(name), *([F.col(by).alias(of)] if by else [])), end)
+    rows = rows.where("_a <> _b and _m = _n" if by else "_a <> _b")
+    return rows.groupBy(*([F.col("_m").alias(by)] if by else []), F.least("_a", "_b").alias("low"), F.greatest("_a", "_b").alias("high"), "edge_type").agg(F.sum("cnt").alias("cnt"))
 
 
 def rollup_edges(file_edges: DataFrame, component_files: DataFrame, by: str | None = None) -> DataFrame:
@@ -22,27 +23,17 @@ def rollup_edges(file_edges: DataFrame, component_files: DataFrame, by: str | No
     weight_raw is the count over sqrt(files of one * files of the other); weight scales the largest to 10
     with one decimal, 0 if all are 0. Source and target are in name order. ``by`` names a module column of
     ``component_files`` within which components are told apart and scaled."""
-    if by:
-        files = component_files.withColumn("component", F.struct(F.col(by).alias("m"), F.col("component").alias("c")))
-    else:
-        files = component_files
-    pairs = component_pairs(file_edges, files)
-    if by:
-        pairs = pairs.where("low.m = high.m")
-    sizes = files.groupBy("component").agg(F.count("*").alias("n"))
+    keys = [by] if by else []
+    pairs = component_pairs(file_edges, component_files, by)
+    sizes = component_files.groupBy(*keys, "component").agg(F.count("*").alias("n"))
     for end, n in (("low", "_n"), ("high", "_m")):
-        pairs = pairs.join(sizes.select(F.col("component").alias(end), F.greatest(F.col("n"), F.lit(1)).alias(n)), end)
+        pairs = pairs.join(sizes.select(*keys, F.col("component").alias(end), F.greatest(F.col("n"), F.lit(1)).alias(n)), [*keys, end])
     pairs = pairs.withColumn("weight_raw", F.col("cnt") / F.sqrt(F.col("_n") * F.col("_m")))
     # The largest weight is one row (one a module); a join keeps the pairs spread over tasks.
-    if by:
-        top = pairs.groupBy(F.col("low.m").alias("_of")).agg(F.max("weight_raw").alias("_top"))
-        pairs = pairs.join(top, F.col("low.m") == F.col("_of"))
-        names = [F.col("low.m").alias(by), F.col("low.c").alias("source"), F.col("high.c").alias("target")]
-    else:
-        pairs = pairs.join(F.broadcast(pairs.agg(F.max("weight_raw").alias("_top"))))
-        names = [F.col("low").alias("source"), F.col("high").alias("target")]
+    top = pairs.groupBy(*keys).agg(F.max("weight_raw").alias("_top"))
+    pairs = pairs.join(top, keys) if by else pairs.join(F.broadcast(top))
     weight = F.when(F.col("_top") > 0, F.round(F.col("weight_raw") * 10 / F.col("_top"), 1)).otherwise(0.0)
-    return pairs.select(*names, "edge_type", "cnt", "weight_raw", weight.alias("weight"))
+    return pairs.select(*keys, F.col("low").alias("source"), F.col("high").alias("target"), "edge_type", "cnt", "weight_raw", weight.alias("weight"))
 
 
 def refresh_edges(file_edges: DataFrame, component_files: DataFrame, edges: DataFrame) -> DataFrame:
@@ -55,7 +46,7 @@ def refresh_edges(file_edges: DataFrame, component_files: DataFrame, edges: Data
     kept = edges.select("source", "target", "edge_type", "weight")
     for end in ("source", "target"):
         kept = kept.join(names.withColumnRenamed("component", end), end, "left_anti")
-    return kept.unionByName(fresh)
+    return fresh.unionByName(kept)
 
 
 def apply_edge_labels(edges: DataFrame, labels: DataFrame) -> DataFrame:

@@ -8,17 +8,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from depweave.functions.paths import extension, leaf, parent
+from depweave.functions.paths import BINARY_EXTENSIONS, extension, parent
+from depweave.functions.names import spare
 from depweave.functions.symbols import is_definition, is_local, kind_name, symbol_module, symbol_name
-from depweave.sources.scratch import cut
-
-#: Extensions whose files are never read as text: fixed values.
-BINARY_EXTENSIONS = [
-    ".png", ".jpg", ".jpeg", ".gif", ".ico", ".svg", ".woff", ".woff2",
-    ".ttf", ".eot", ".otf", ".mp3", ".mp4", ".wav", ".pdf", ".zip",
-    ".tar", ".gz", ".db", ".sqlite", ".pyc", ".pyo", ".so", ".dll",
-    ".exe", ".bin", ".class", ".jar", ".wasm",
-]
+from depweave.operators.cluster import connected_components
+from depweave.sources.scratch import cut, numbered
 
 #: Categories that component decisions may have: fixed values.
 CATEGORIES = ["api_contracts", "patterns", "libraries", "boundaries", "error_handling", "data_flow"]
@@ -44,47 +38,54 @@ def with_doc_filename(modules: DataFrame) -> DataFrame:
     return rows.withColumn("file_name", F.when(again, F.concat("_f", F.lit("_"), F.col("module_id").cast("string"))).otherwise(F.col("_f"))).drop("_f")
 
 
-def cap_lines(files: DataFrame, n: int = 1500, content: str = "content", path: str = "path") -> DataFrame:
-    """Files without binary ones; more than ``n`` lines are cut with a line that says so (F1)."""
-    lines = F.split(content, "\r\n|\n|\r")
-    cut = F.concat(F.array_join(F.slice(lines, 1, n), "\n"), F.format_string("\n... (truncated, %d total lines)", F.size(lines)))
-    return files.where(~extension(path).isin(BINARY_EXTENSIONS)).withColumn(content, F.when(F.size(lines) > n, cut).otherwise(F.col(content)))
+#: What ends a line: fixed values.
+LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 
 
-def _first_breaks(sizes: list[int], budget: int) -> tuple[list[int], list[int], list[int], list[int]]:
-    """For the start of a range that goes on with a group: sums before and with each row at which the first new
-    batch may begin, and if it does, the new batches to the end and the size of the open one."""
+def cap_lines(files: DataFrame, n: int = 1500, content: str = "content", path: str = "path") -> DataFrame:
+    """Files without binary ones (F1). A text becomes its lines, joined by line feeds; an end of line at the end begins
+    no new one. Of more than ``n`` lines the first ``n`` stay, with a line that says so."""
+    lines = F.split(content, LINE_ENDS)
+    lines = F.when(F.element_at(lines, -1) == "", F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines)
+    cut = F.concat(F.array_join(F.slice(lines, 1, n), "\n"), F.lit(f"\n... (truncated at {n} lines)"))
+    return files.where(~extension(path).isin(BINARY_EXTENSIONS)).withColumn(content, F.when(F.size(lines) > n, cut).otherwise(F.array_join(lines, "\n")))
+
+
+def _first_breaks(sizes: list[int], budget: int) -> tuple[int, int, list[int], list[int], list[int]]:
+    """Of a range that holds one group only: batches begun after the first and the size of the open one if a batch
+    begins with the range; and where one goes on into it: the sums with each row at which the next batch may begin,
+    and for each the new batches to the end and the size of the open one."""
     n, sums = len(sizes), [0]
     for s in sizes:
         sums.append(sums[-1] + s)
-    after, k = [n] * n, 0
+    more, rest, after, k = [0] * n, [0] * n, [n] * n, 0
+    # Where the batch that begins at row i ends.
     for i in range(n):
         k = max(k, i + 1)
-        while k < n and not (sums[k] > sums[i] and sums[k + 1] - sums[i] > budget):
+        while k < n and sums[k + 1] - sums[i] <= budget:
             k += 1
         after[i] = k
-    breaks, rest = [0] * (n + 1), [0] * n
     for i in range(n - 1, -1, -1):
-        k = after[i]
-        breaks[i], rest[i] = (1, sums[n] - sums[i]) if k == n else (1 + breaks[k], rest[k])
+        more[i], rest[i] = (0, sums[n] - sums[i]) if after[i] == n else (1 + more[after[i]], rest[after[i]])
     rows: list[int] = []
     for j in range(n):
-        # Of rows of size 0 the first tells all: there the sums before and with it are equal.
-        if not (j > 1 and sums[j + 1] == sums[j] == sums[j - 1]):
+        if not rows or sums[j + 1] > sums[rows[-1] + 1]:  # of equal sums the first tells all
             rows.append(j)
-        if sums[j] > 0 and sums[j + 1] > budget:
+        if sums[j + 1] > budget:
             break
-    return [sums[j] for j in rows], [sums[j + 1] for j in rows], [breaks[j] for j in rows], [rest[j] for j in rows]
+    return more[0], rest[0], [sums[j + 1] for j in rows], [1 + more[j] for j in rows], [rest[j] for j in rows]
 
 
 def batch_by_budget(df: DataFrame, group: str, order: str, size: str, budget: int) -> DataFrame:
-    """``df`` with batch_no (F2): within a group in order, a new batch begins where the current one isn't empty and
+    """``df`` with batch_no (F2): within a group in order, a new batch begins where the current one has a row and
     would exceed the budget. Groups may be of any size: sorted ranges are walked at once, and only the open size
-    and the batch number go from range to range."""
+    and the batch number go from range to range. Rows keep their number, whatever repeats; null groups are a group.
+    """
     keys = [group, order, size]
-    rows = cut(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_range", F.spark_partition_id()), "batches")
+    (at_name,) = spare(df.columns, "range")
+    rows = cut(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn(at_name, F.spark_partition_id()), "batches")
     # Ranges whole and in order again, as files may be read in parts.
-    dealt = lambda t: t.repartition("_range").sortWithinPartitions("_range", *keys)
+    dealt = lambda t: t.repartition(at_name).sortWithinPartitions(at_name, *keys)
 
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind, now = None, None
@@ -92,10 +93,11 @@ def batch_by_budget(df: DataFrame, group: str, order: str, size: str, budget: in
         def row() -> pa.RecordBatch:
             at, first, sizes, last, total, no = now
             whole = last is sizes
-            before, upto, breaks, rest = _first_breaks(sizes, budget) if whole else ([], [], [], [])
-            values = [at, first, first if whole else last[0], whole, sum(sizes) if whole else total, no, before, upto, breaks, rest]
-            types = [pa.int32(), kind, kind, pa.bool_(), pa.int64(), pa.int32(), *[pa.list_(pa.int64())] * 4]
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], names=["at", "first", "last", "whole", "total", "no", "before", "upto", "breaks", "rest"])
+            no, total, upto, breaks, rest = _first_breaks(sizes, budget) if whole else (no, total, [], [], [])
+            values = [at, first, first if whole else last[0], whole, sum(sizes), total, no, upto, breaks, rest]
+            types = [pa.int32(), kind, kind, pa.bool_(), pa.int64(), pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 3]
+            names = ["at", "first", "last", "whole", "sum", "total", "no", "upto", "breaks", "rest"]
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], names=names)
 
         for batch in batches:
             kind = batch.column(1).type
@@ -110,7 +112,7 @@ def batch_by_budget(df: DataFrame, group: str, order: str, size: str, budget: in
                     now[2].append(s)
                 elif now[3] is now[2] or g != now[3][0]:
                     now[3:] = [(g,), s, 0]
-                elif now[4] > 0 and now[4] + s > budget:
+                elif now[4] + s > budget:
                     now[4:] = [s, now[5] + 1]
                 else:
                     now[4] += s
@@ -118,42 +120,43 @@ def batch_by_budget(df: DataFrame, group: str, order: str, size: str, budget: in
             yield row()
 
     kind = df.schema[group].dataType.simpleString()
-    lists = ", ".join(f"{c} array<bigint>" for c in ("before", "upto", "breaks", "rest"))
-    found = dealt(rows.select("_range", group, order, F.col(size).cast("long").alias(size))).select("_range", group, size)
-    found = found.mapInArrow(ends, f"at int, first {kind}, last {kind}, whole boolean, total bigint, no int, {lists}")
-    carried: dict[int, tuple[int, int]] = {}
+    lists = ", ".join(f"{c} array<bigint>" for c in ("upto", "breaks", "rest"))
+    found = dealt(rows.select(at_name, group, order, F.col(size).cast("long").alias(size))).select(at_name, group, size)
+    found = found.mapInArrow(ends, f"at int, first {kind}, last {kind}, whole boolean, sum bigint, total bigint, no bigint, {lists}")
+    # Of each range: whether it goes on with a group, and the open size and batch number there.
+    carried: dict[int, tuple[bool, int, int]] = {}
     last, total, no = None, 0, 0
     for r in cut(found, "batch-ends").orderBy("at").toLocalIterator():
-        total, no = (total, no) if carried and r["first"] == last else (0, 0)
-        carried[r["at"]] = (total, no)
-        if not r["whole"]:
+        goes_on = bool(carried) and r["first"] == last
+        carried[r["at"]] = (goes_on, total, no) if goes_on else (False, 0, 0)
+        if not r["whole"] or not goes_on:
             total, no = r["total"], r["no"]
         else:
-            hits = (i for i, (b, u) in enumerate(zip(r["before"], r["upto"], strict=True)) if total + b > 0 and total + u > budget)
-            hit = next(hits, None)
-            total, no = (total + r["total"], no) if hit is None else (r["rest"][hit], no + r["breaks"][hit])
+            hit = next((i for i, u in enumerate(r["upto"]) if total + u > budget), None)
+            total, no = (total + r["sum"], no) if hit is None else (r["rest"][hit], no + r["breaks"][hit])
         last = r["last"]
-    at_group, at_size, at_range = (rows.columns.index(c) for c in (group, size, "_range"))
+    at_group, at_size, at_range = (rows.columns.index(c) for c in (group, size, at_name))
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, own, total, no = None, None, 0, 0
+        now, own, has, total, no = None, None, False, 0, 0
         for batch in batches:
             out = []
             for at, g, s in zip(*(batch.column(i).to_pylist() for i in (at_range, at_group, at_size)), strict=True):
                 s = int(s or 0)
                 if at != now:
-                    now, own, (total, no) = at, g, carried[at]
+                    now, own, (has, total, no) = at, g, carried[at]
                 elif g != own:
-                    own, total, no = g, 0, 0
-                if total > 0 and total + s > budget:
+                    own, has, total, no = g, False, 0, 0
+                if has and total + s > budget:
                     total, no = s, no + 1
                 else:
                     total += s
+                has = True
                 out.append(no)
             kept = [i for i in range(batch.num_columns) if i != at_range]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(out, pa.int32())], names=[*(batch.schema.names[i] for i in kept), "batch_no"])
 
-    return dealt(rows).mapInArrow(number, rows.drop("_range").withColumn("batch_no", F.lit(0)).schema)
+    return dealt(rows).mapInArrow(number, rows.drop(at_name).withColumn("batch_no", F.lit(0)).schema)
 
 
 def _joined(items: Column, order: str, sep: str) -> Column:
@@ -196,7 +199,7 @@ def cluster_requests(assign: DataFrame, metadata: DataFrame, dirs: DataFrame, ed
 def elevation_requests(decisions: DataFrame, components: DataFrame) -> DataFrame:
     """module_id, request (F6): component decisions as ``[id] (category) text``, for modules in which more than one
     component has any."""
-    rows = decisions.join(components.select("component_id", "module_id", "name"), "component_id")
+    rows = decisions.drop("module_id").join(components.select("component_id", "module_id", "name"), "component_id")
     line = F.format_string("[%d] (%s) %s", "decision_id", "category", "text")
     per = rows.groupBy("module_id", "component_id", "name").agg(_joined(F.struct(F.col("decision_id").alias("o"), line.alias("text")), "o", "\n").alias("body"))
     block = F.concat(F.lit("## "), "name", F.lit("\n"), "body")
@@ -231,7 +234,7 @@ def ticket_request(net: DataFrame) -> DataFrame:
     for c in ("component_name", "module_name"):
         if c in net.columns:
             owner = F.coalesce(F.when(F.col(c) != "", F.concat(F.lit(" in "), c)), owner)
-    rows = net.withColumn("_n", F.row_number().over(Window.orderBy("entity_type", "entity_id")))
+    rows = numbered(net, ["entity_type", "entity_id"], "_n")
     head = F.concat(F.col("_n").cast("string"), F.lit(". "), F.upper("action"), F.lit(" "), "entity_type", F.lit(" #"), F.col("entity_id").cast("string"), owner)
     was = F.when(F.col("old_value").isNotNull(), F.concat(F.lit("\n   was: "), "old_value")).otherwise("")
     now = F.when(F.col("new_value").isNotNull(), F.concat(F.lit("\n   now: "), "new_value")).otherwise("")
@@ -267,10 +270,31 @@ def dedupe_decisions(df: DataFrame, order: list[str], by: tuple[str, ...] = ())
     return df.withColumn("_rn", F.row_number().over(key)).where("_rn = 1").drop("_rn")
 
 
-def cross_cutting(decisions: DataFrame, share: float = 0.5) -> DataFrame:
+def near_texts(texts: DataFrame, similar: float = 0.8, tables: int = 8) -> DataFrame:
+    """category, text_key, like: of distinct normalised texts, the smallest one that near-equal texts of the same
+    category lead to. Near-equal: word sets of Jaccard similarity ``similar`` or more, found by MinHash tables."""
+    from pyspark.ml.feature import HashingTF, MinHashLSH
+
+    rows = texts.select("category", "text_key").distinct().where("text_key <> ''")
+    rows = rows.withColumn("words", F.split("text_key", " ")).withColumn("id", F.concat_ws("\u0001", "category", "text_key"))
+    if rows.isEmpty():
+        return texts.sparkSession.createDataFrame([], "category string, text_key string, like string")
+    rows = cut(HashingTF(inputCol="words", outputCol="features", numFeatures=1 << 20, binary=True).transform(rows).select("id", "category", "features"), "near-texts")
+    model = MinHashLSH(inputCol="features", outputCol="hashes", numHashTables=tables, seed=7).fit(rows)
+    pairs = model.approxSimilarityJoin(rows, rows, 1 - similar + 1e-9, "away").where("datasetA.id < datasetB.id and datasetA.category <=> datasetB.category")
+    found = connected_components(pairs.select(F.col("datasetA.id").alias("src"), F.col("datasetB.id").alias("dst")))
+    text = lambda c: F.substring_index(c, "\u0001", -1)
+    return found.select(F.substring_index("node", "\u0001", 1).alias("category"), text("node").alias("text_key"), text("component").alias("like"))
+
+
+def cross_cutting(decisions: DataFrame, share: float = 0.5, similar: float | None = None) -> DataFrame:
     """module_id, category, text_key, components (A28): statements in more than ``share`` of a module's components
-    that have decisions, where there are at least two such. ``decisions``: module_id, component_id, category, text."""
+    that have decisions, where there are at least two such. ``decisions``: module_id, component_id, category, text.
+    With ``similar`` near-equal statements count as one, named by the smallest text (``near_texts``)."""
     rows = decisions.select("module_id", "component_id", "category", norm_text("text").alias("text_key")).distinct()
+    if similar is not None:
+        like = near_texts(rows, similar)
+        rows = rows.join(like, ["category", "text_key"], "left").withColumn("text_key", F.coalesce("like", "text_key")).drop("like").distinct()
     total = rows.groupBy("module_id").agg(F.countDistinct("component_id").alias("total")).where("total > 1")
     held = rows.groupBy("module_id", "category", "text_key").agg(F.count("*").alias("components"))
     return held.join(total, "module_id").where(F.col("components") / F.col("total") > share).select("module_id", "category", "text_key", "components", "total")
@@ -374,4 +398,4 @@ def render_tickets(tickets: DataFrame, files: DataFrame) -> DataFrame:
     """ticket_id, text: a ticket as Markdown (F16)."""
     f = files.groupBy("ticket_id").agg(F.array_join(F.array_sort(F.collect_set(F.concat(F.lit("- `"), "path", F.lit("`")))), "\n").alias("files"))
     rows = tickets.join(f, "ticket_id", "left")
-    return rows.select("ticket_id", F.concat(F.lit("## "), "title", F.lit("\n\n"), F.coalesce("steps", F.lit("")), F.when(F.col("files").isNotNull(), F.concat(F.lit("\n\n**Files:**\n"), "files")).otherwise("")).alias("text"))
+    return rows.select("ticket_id", F.concat(F.lit("## "), "title", F.lit("\n\n"), F.coalesce("description", F.lit("")), F.when(F.coalesce("acceptance_criteria", F.lit("")) != "", F.concat(F.lit("\n\n**Acceptance criteria:**\n"), "acceptance_criteria")).otherwise(""), F.when(F.col("files").isNotNull(), F.concat(F.lit("\n\n**Files:**\n"), "files")).otherwise("")).alias("text"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from depweave.sources.scratch import numbered
@@ -48,13 +48,24 @@ def list_versions(versions: DataFrame) -> DataFrame:
 
 
 def compare_versions(old: DataFrame, new: DataFrame) -> DataFrame:
-    """decision_id, change, old and new category and text, by decision_id (J6): ``added``, ``removed``,
-    ``changed`` (category or text), ``unchanged``. Rows without decision_id are left out."""
-    side = lambda df, p: df.where("decision_id is not null").select("decision_id", F.col("category").alias(f"{p}_category"), F.col("text").alias(f"{p}_text"), F.lit(True).alias(f"_{p}"))
+    """decision_id, change, then of both sides category, text and source, and the names of the owners, by decision_id
+    (J6): ``added``, ``removed``, ``changed`` (category or text), ``unchanged``. Names are the new side's, of a removed
+    decision the old side's. Rows without decision_id are left out; a side may lack source and names."""
+    def side(df: DataFrame, p: str) -> DataFrame:
+        own = [F.col(c) if c in df.columns else F.lit(None).cast("string") for c in ("category", "text", "source", "module_name", "component_name")]
+        names = [f"{p}_category", f"{p}_text", f"{p}_source", f"_{p}_module", f"_{p}_component"]
+        return df.where("decision_id is not null").select("decision_id", *(c.alias(n) for c, n in zip(own, names, strict=True)), F.lit(True).alias(f"_{p}"))
+
     rows = side(old, "old").join(side(new, "new"), "decision_id", "full_outer")
     same = F.col("old_category").eqNullSafe(F.col("new_category")) & F.col("old_text").eqNullSafe(F.col("new_text"))
     change = F.when(F.col("_old").isNull(), "added").when(F.col("_new").isNull(), "removed").when(same, "unchanged").otherwise("changed")
-    return rows.select("decision_id", change.alias("change"), "old_category", "new_category", "old_text", "new_text")
+    name = lambda c: F.when(F.col("_new"), F.col(f"_new_{c}")).otherwise(F.col(f"_old_{c}")).alias(f"{c}_name")
+    return rows.select("decision_id", change.alias("change"), name("module"), name("component"), "old_category", "new_category", "old_text", "new_text", "old_source", "new_source")
+
+
+def change_counts(diff: DataFrame) -> DataFrame:
+    """One row: added, removed, changed, unchanged of a version diff."""
+    return diff.agg(*(F.count_if(F.col("change") == c).alias(c) for c in ("added", "removed", "changed", "unchanged")))
 
 
 def latest_run(runs: DataFrame) -> DataFrame:
@@ -71,6 +82,17 @@ def validation_summary(runs: DataFrame, outcomes: DataFrame, decisions: DataFram
     return own.groupBy("status").agg(F.count("*").alias("n")), rows.join(live, "decision_id", "left")
 
 
+def validation_overview(runs: DataFrame, outcomes: DataFrame, decisions: DataFrame) -> DataFrame:
+    """One row (J5): run_id of the newest completed run (null without one), the ids of modules and components that its
+    non-trivial outcomes touch, in order, and the new_file_paths of its summary. Ids other than 0 count."""
+    _, rows = validation_summary(runs, outcomes, decisions)
+    ids = rows.agg(*(F.array_sort(F.collect_set(F.when(F.col(c) != 0, F.col(c)))).alias(f"affected_{c}s") for c in ("module_id", "component_id")))
+    run = runs.join(F.broadcast(latest_run(runs)), "run_id", "left_semi")
+    paths = F.from_json(run["summary"] if "summary" in runs.columns else F.lit(None).cast("string"), "new_file_paths array<string>")["new_file_paths"]
+    one = run.agg(F.max("run_id").alias("run_id"), F.first(paths).alias("_paths"))
+    return one.join(F.broadcast(ids)).select("run_id", "affected_module_ids", "affected_component_ids", F.coalesce("_paths", F.array().cast("array<string>")).alias("new_file_paths"))
+
+
 def validation_stats(outcomes: DataFrame, by: str = "run_id") -> DataFrame:
     """Counts of each of the seven statuses, 0 where there is none."""
     return outcomes.groupBy(by).pivot("status", STATUSES).agg(F.count(F.lit(1))).na.fill(0, STATUSES)
@@ -109,7 +131,7 @@ def apply_elevation(decisions: DataFrame, elevated: DataFrame) -> DataFrame:
     category, text, detail, source_ids (array of decision ids)."""
     gone = elevated.select(F.explode("source_ids").alias("decision_id")).distinct()
     top = decisions.agg(F.coalesce(F.max("decision_id"), F.lit(0)).alias("_top"))
-    rows = elevated.withColumn("_n", F.row_number().over(Window.orderBy("ord"))).join(F.broadcast(top))
+    rows = numbered(elevated, ["ord"], "_n").join(F.broadcast(top))
     rows = rows.select((F.col("_top") + F.col("_n")).cast("long").alias("decision_id"), "module_id", "category", "text", "detail", F.lit("pipeline_generated").alias("source"))
     return decisions.join(gone, "decision_id", "left_anti").unionByName(rows, allowMissingColumns=True).select(decisions.columns)
 

@@ -8,6 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from depweave.functions.paths import parent
+from depweave.sources.scratch import cut
+
 #: Weight of a count by edge type: fixed values.
 TYPE_WEIGHTS = {"call": 1.0, "import": 0.3, "inheritance": 0.5}
 
@@ -30,43 +33,65 @@ def combine_weights(edges: DataFrame, nodes: DataFrame | None = None, weights: d
     return counts.groupBy("src", "dst").agg(F.sum(F.log2(1 + F.col("cnt")) * _by_type(weights or TYPE_WEIGHTS)).alias("weight"))
 
 
-def both_ways(edges: DataFrame) -> DataFrame:
-    """Every edge from either end: (node, other, weight)."""
-    return edges.select("*", F.explode(F.array(F.struct(F.col("src").alias("node"), F.col("dst").alias("other")), F.struct(F.col("dst").alias("node"), F.col("src").alias("other")))).alias("_e")).select("_e.node", "_e.other", "weight")
-
-
 def degrees(edges: DataFrame) -> DataFrame:
     """node, degree: distinct neighbours of nodes that have edges."""
     pairs = edges.select("src", "dst").distinct()
     return pairs.select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
 
 
-def average_degree(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """One row avg_degree over all nodes."""
-    sums = degrees(edges).agg(F.coalesce(F.sum("degree"), F.lit(0)).alias("total"))
-    return nodes.select("node").distinct().agg(F.count("*").alias("n")).join(F.broadcast(sums)).select((F.col("total") / F.col("n")).alias("avg_degree"))
+def average_degree(edges: DataFrame) -> DataFrame:
+    """One row avg_degree over the nodes that have edges, 0 without any."""
+    return degrees(edges).agg(F.coalesce(F.avg("degree"), F.lit(0.0)).alias("avg_degree"))
 
 
 def _picked(counts: DataFrame, value: str, place: Column) -> DataFrame:
-    """One row with the value at the 0-based ``place`` among all, in ascending order.
-
-    ``counts`` has (value, n) for each distinct value, so the ordered window sees a row per distinct value
-    and not per node."""
-    order = Window.orderBy(value)
-    upto = counts.withColumn("_upto", F.sum("n").over(order)).withColumn("_all", F.sum("n").over(Window.partitionBy()))
-    return upto.where(F.col("_upto") > place).agg(F.min(value).alias(value))
-
-
-def drop_noise(edges: DataFrame, nodes: DataFrame, sparse_degree_threshold: float = 6.0, weak: float = 0.5) -> DataFrame:
-    """Where the average degree reaches the threshold, without edges lighter than ``weak`` whose ends both
-    have at most the upper median degree (of nodes with edges) (A8)."""
-    deg = degrees(edges)
-    median = _picked(deg.groupBy("degree").agg(F.count("*").alias("n")), "degree", F.floor(F.col("_all") / 2)).withColumnRenamed("degree", "_median")
-    gate = average_degree(edges, nodes).join(F.broadcast(median))
-    rows = edges.join(F.broadcast(gate))
+    """partition and the value at the 0-based ``place`` among all of the partition, in ascending order.
+
+    ``counts`` has (partition, value, n) for each distinct value, so the ordered window sees a row per distinct
+    value and not per node."""
+    each = Window.partitionBy("partition")
+    upto = counts.withColumn("_upto", F.sum("n").over(each.orderBy(value))).withColumn("_all", F.sum("n").over(each))
+    return upto.where(F.col("_upto") > place).groupBy("partition").agg(F.min(value).alias(value))
+
+
+def _parted(edges: DataFrame, partition: DataFrame | None) -> DataFrame:
+    """The edges inside partitions (node, partition), written with their partition; all in one without any."""
+    rows = edges.select("src", "dst", "weight")
+    if partition is None:
+        return cut(rows.withColumn("partition", F.lit("__all__")), "weighted")
+    own = partition.select("node", "partition")
+    rows = rows.join(own.select(F.col("node").alias("src"), "partition"), "src")
+    rows = rows.join(own.select(F.col("node").alias("dst"), F.col("partition").alias("_q")), "dst").where("partition = _q")
+    return cut(rows.select("src", "dst", "weight", "partition"), "weighted")
+
+
+def _facts(rows: DataFrame, facts: DataFrame, partition: DataFrame | None) -> DataFrame:
+    """``rows`` with the facts of their partition: one row without partitions, else left to the planner."""
+    return rows.join(F.broadcast(facts) if partition is None else facts, "partition")
+
+
+def _degrees_by(edges: DataFrame) -> DataFrame:
+    """node, partition, degree of edges that are inside partitions, written once for all that read it."""
+    pairs = edges.select("src", "dst", "partition").distinct()
+    return cut(pairs.select(F.explode(F.array("src", "dst")).alias("node"), "partition").groupBy("node", "partition").agg(F.count("*").alias("degree")), "degrees")
+
+
+def _with_degrees(edges: DataFrame, deg: DataFrame) -> DataFrame:
     for end in ("src", "dst"):
-        rows = rows.join(deg.select(F.col("node").alias(end), F.col("degree").alias(f"_{end}")), end)
-    noise = (F.col("avg_degree") >= sparse_degree_threshold) & (F.col("weight") < weak) & (F.col("_src") <= F.col("_median")) & (F.col("_dst") <= F.col("_median"))
+        edges = edges.join(deg.select(F.col("node").alias(end), F.col("degree").alias(f"_{end}")), end)
+    return edges
+
+
+def drop_noise(edges: DataFrame, partition: DataFrame | None = None, sparse_degree_threshold: float = 6.0, weak: float = 0.5) -> DataFrame:
+    """Where the average degree of nodes with edges reaches the threshold, without edges lighter than ``weak`` whose
+    ends both have at most the upper median degree (A8). With ``partition`` (node, partition) each partition has its
+    own degrees, average and median, and edges between partitions go."""
+    edges = _parted(edges, partition)
+    deg = _degrees_by(edges)
+    median = _picked(deg.groupBy("partition", "degree").agg(F.count("*").alias("n")), "degree", F.floor(F.col("_all") / 2))
+    gate = deg.groupBy("partition").agg(F.avg("degree").alias("_average")).join(median.withColumnRenamed("degree", "_median"), "partition")
+    rows = _with_degrees(_facts(edges, gate, partition), deg)
+    noise = (F.col("_average") >= sparse_degree_threshold) & (F.col("weight") < weak) & (F.col("_src") <= F.col("_median")) & (F.col("_dst") <= F.col("_median"))
     return rows.where(~noise).select("src", "dst", "weight")
 
 
@@ -78,8 +103,6 @@ def directory_affinity(nodes: DataFrame) -> DataFrame:
     """src, dst, weight of files that share a directory, through a virtual node where it has many.
 
     Pairs are made only within directories of at most SOME files."""
-    from depweave.functions.paths import parent
-
     rows = nodes.select("node").distinct().withColumn("dir", parent("node"))
     sizes = rows.groupBy("dir").agg(F.count("*").alias("n")).where("n >= 2")
     rows = rows.join(sizes, "dir")
@@ -101,30 +124,35 @@ def add_directory_affinity(nodes: DataFrame, edges: DataFrame) -> tuple[DataFram
     return marked, out
 
 
-def strip_virtual(assign: DataFrame) -> DataFrame:
-    """Assignments of files alone (A10)."""
-    return assign.where(~F.startswith("node", F.lit("__dir__/")))
+def strip_virtual(assign: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Assignments of files alone: without the ``nodes`` (node, is_virtual) that are marked as virtual (A10)."""
+    return assign.join(nodes.where("is_virtual").select("node"), "node", "left_anti").select(assign.columns)
 
 
-def hub_threshold(edges: DataFrame, nodes: DataFrame, percentile: int = 90) -> DataFrame:
-    """One row: threshold, the degree at place n * percentile // 100 of all nodes (at least 2), and the
+def hub_threshold(edges: DataFrame, nodes: DataFrame, percentile: int = 90, partition: DataFrame | None = None) -> DataFrame:
+    """partition, threshold, largest: the degree at place n * percentile // 100 of all nodes (at least 2), and the
     largest degree. Nodes without edges count with degree 0."""
-    deg = degrees(edges)
-    every = nodes.select("node").distinct().join(deg, "node", "left").groupBy(F.coalesce("degree", F.lit(0)).alias("degree")).agg(F.count("*").alias("n"))
+    return _hub_threshold(_degrees_by(_parted(edges, partition)), nodes, percentile, partition)
+
+
+def _hub_threshold(deg: DataFrame, nodes: DataFrame, percentile: int, partition: DataFrame | None) -> DataFrame:
+    own = nodes.select("node").distinct()
+    own = own.withColumn("partition", F.lit("__all__")) if partition is None else own.join(partition.select("node", "partition"), "node")
+    every = own.join(deg.select("node", "degree"), "node", "left").groupBy("partition", F.coalesce("degree", F.lit(0)).alias("degree")).agg(F.count("*").alias("n"))
     picked = _picked(every, "degree", F.floor(F.col("_all") * percentile / 100))
-    return picked.select(F.greatest(F.col("degree"), F.lit(2)).alias("threshold")).join(F.broadcast(deg.agg(F.max("degree").alias("largest"))))
+    return picked.select("partition", F.greatest(F.col("degree"), F.lit(2)).alias("threshold")).join(deg.groupBy("partition").agg(F.max("degree").alias("largest")), "partition")
 
 
-def dampen_hubs(edges: DataFrame, nodes: DataFrame, percentile: int = 90) -> DataFrame:
+def dampen_hubs(edges: DataFrame, nodes: DataFrame, percentile: int = 90, partition: DataFrame | None = None) -> DataFrame:
     """Weights divided by sqrt(degree / threshold) for each end above the threshold; unchanged where no
-    degree exceeds 1 (A11)."""
-    deg = degrees(edges)
-    rows = edges.join(F.broadcast(hub_threshold(edges, nodes, percentile)))
+    degree exceeds 1 (A11). With ``partition`` each partition has its own degrees and threshold, and edges between
+    partitions go."""
+    edges = _parted(edges, partition)
+    deg = _degrees_by(edges)
+    rows = _with_degrees(_facts(edges, _hub_threshold(deg, nodes, percentile, partition), partition), deg)
     factor = F.lit(1.0)
-    for end in ("src", "dst"):
-        rows = rows.join(deg.select(F.col("node").alias(end), F.col("degree").alias(f"_{end}")), end)
-        d = F.col(f"_{end}")
-        factor = factor * F.when(d > F.col("threshold"), F.sqrt(d / F.col("threshold"))).otherwise(1.0)
+    for end in ("_src", "_dst"):
+        factor = factor * F.when(F.col(end) > F.col("threshold"), F.sqrt(F.col(end) / F.col("threshold"))).otherwise(1.0)
     return rows.select("src", "dst", F.when(F.col("largest") <= 1, F.col("weight")).otherwise(F.col("weight") / factor).alias("weight"))
 
 

@@ -61,9 +61,19 @@ def symbol_flags(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("symbol", F.col("relative_path").alias("path")).agg(F.count("*").alias("n"), F.bool_and("is_definition").alias("all_definitions"), F.bool_or("is_callable").alias("callable"))
 
 
-@register(query("SELECT DISTINCT symbol, rtrim(symbol, '.') AS name FROM occ", "occ"))
+_SYMBOL = """'scheme py pkg `src/m' || (l_partkey % 7) || CASE WHEN l_orderkey % 2 = 0 THEN '/core`/' ELSE '`/' END || CASE l_orderkey % 5 WHEN 0 THEN 'f' || l_suppkey || '(a).' WHEN 1 THEN 'C' || l_suppkey || '#' WHEN 2 THEN 'C' || l_suppkey || '#m().' WHEN 3 THEN 'x' || l_suppkey || '.' ELSE '' END"""
+
+
+@register(
+    query(
+        "SELECT DISTINCT symbol, CASE WHEN n = '' THEN symbol ELSE n END AS name, split_part(symbol, '`', 2) AS module FROM (SELECT symbol, rtrim(regexp_replace(regexp_extract(rtrim(symbol, '.'), '[^/]*$'), '\\([^)]*\\)\\.$', ''), '#') AS n FROM s)",
+        s=f"SELECT {_SYMBOL} AS symbol FROM lineitem",
+    )
+)
 def symbol_names(spark: SparkSession, sf: str) -> DataFrame:
-    return V.occurrences(spark, sf).select("symbol", symbols.symbol_name().alias("name")).distinct()
+    """Line items as functions, classes, methods, variables and modules of packages."""
+    rows = V.table(spark, sf, "lineitem").select(F.expr(_SYMBOL).alias("symbol"))
+    return rows.select("symbol", symbols.symbol_name().alias("name"), symbols.symbol_module().alias("module")).distinct()
 
 
 @register(query("SELECT path, symbol, def_path, cnt, callable FROM resolved", "resolved"))
@@ -72,7 +82,7 @@ def resolve_references(spark: SparkSession, sf: str) -> DataFrame:
     return resolution.resolve_references(occ, kinds=resolution.symbol_kinds(V.symbols(spark, sf))).select("path", "symbol", "def_path", "cnt", "callable")
 
 
-@register(query("SELECT p.path, d.path AS def_path, count(*) AS cnt FROM (SELECT p_brand || '/' || p_type || '/p' || p_partkey || '.py' AS path, 'o' || (p_partkey * 3) AS target FROM part WHERE p_size % 7 = 0) p JOIN defs d ON d.symbol = p.target WHERE p.path <> d.path GROUP BY ALL", "defs"))
+@register(query("SELECT p.path, d.path AS def_path, count(*) AS cnt FROM (SELECT p_brand || '/' || p_type || '/p' || p_partkey || '.py' AS path, 'o' || (p_partkey * 3) AS target FROM part) p JOIN defs d ON d.symbol = p.target WHERE p.path <> d.path GROUP BY ALL", "defs"))
 def resolve_inheritance(spark: SparkSession, sf: str) -> DataFrame:
     return resolution.resolve_inheritance(V.relationships(spark, sf), V.occurrences(spark, sf)).select("path", "def_path", "cnt")
 
@@ -82,10 +92,25 @@ def file_edges(spark: SparkSession, sf: str) -> DataFrame:
     return _edges(spark, sf).select("src", "dst", "edge_type", "cnt")
 
 
-@register(query("SELECT src, dst, edge_type, CAST(2 * sum(cnt) AS BIGINT) AS cnt FROM fedges GROUP BY ALL", "fedges"))
+@register(query("SELECT src, dst, edge_type, cnt FROM fedges", "fedges"))
 def merge_indexes(spark: SparkSession, sf: str) -> DataFrame:
-    e = _edges(spark, sf).select("src", "dst", "edge_type", "cnt")
-    return resolution.merge_indexes([e, e])
+    """Orders of even and of odd customers as two indexes: all lines of an order are in one of them."""
+    occ, sym = V.occurrences(spark, sf), V.symbols(spark, sf)
+    even = F.endswith("symbol", F.lit("()."))
+    return resolution.merge_indexes([resolution.file_edges(occ.where(c), sym.where(c)).select("src", "dst", "edge_type", "cnt") for c in (even, ~even)])
+
+
+@register(query("SELECT (SELECT count(*) FROM defs) AS n_definitions, CAST(2 AS BIGINT) AS n_indexes, (SELECT count(*) FROM nodes) AS n_files, (SELECT count(*) FROM fedges) AS n_edges", "defs", "nodes", "fedges"))
+def merge_index_results(spark: SparkSession, sf: str) -> DataFrame:
+    """The same two indexes and one without files: files joined, definitions added up."""
+    occ, sym = V.occurrences(spark, sf), V.symbols(spark, sf)
+    even = F.endswith("symbol", F.lit("()."))
+    parts = []
+    for c in (even, ~even, F.lit(False)):
+        files = occ.where(c).select(F.col("relative_path").alias("path"))
+        parts.append((resolution.file_edges(occ.where(c), sym.where(c)), files, resolution.index_stats(occ.where(c), files)))
+    edges, _, stats = resolution.merge_index_results(parts)
+    return stats.join(F.broadcast(edges.agg(F.count("*").alias("n_edges"))))
 
 
 @register(query("SELECT (SELECT count(*) FROM defs) AS n_definitions, count(*) AS n_files FROM nodes", "defs", "nodes"))
@@ -110,14 +135,14 @@ def degrees(spark: SparkSession, sf: str) -> DataFrame:
 @register(
     query(
         "SELECT src, dst, round(weight, 6) AS weight FROM weighted JOIN deg a ON a.node = src JOIN deg b ON b.node = dst WHERE NOT ((SELECT v FROM avg_deg) >= 6.0 AND round(weight, 9) < 0.5 AND a.degree <= (SELECT degree FROM med) AND b.degree <= (SELECT degree FROM med))",
-        "deg", "nodes",
-        avg_deg="SELECT CAST((SELECT sum(degree) FROM deg) AS DOUBLE) / (SELECT count(*) FROM nodes) AS v",
+        "deg",
+        avg_deg="SELECT avg(degree) AS v FROM deg",
         med="SELECT degree FROM (SELECT degree, row_number() OVER (ORDER BY degree) - 1 AS p, count(*) OVER () AS n FROM deg) WHERE p = n // 2",
     )
 )
 def noise_filter(spark: SparkSession, sf: str) -> DataFrame:
     e = _weighted(spark, sf).withColumn("weight", F.round("weight", 9))
-    return weights.drop_noise(e, _nodes(spark, sf)).select("src", "dst", *_r("weight"))
+    return weights.drop_noise(e).select("src", "dst", *_r("weight"))
 
 
 _DIRS = {"d": f"SELECT node, {DIR.format('node')} AS dir FROM nodes", "s": "SELECT dir, count(*) AS n FROM d GROUP BY 1 HAVING count(*) >= 2"}
@@ -200,7 +225,7 @@ def redistribute(spark: SparkSession, sf: str) -> DataFrame:
         "nodes", a=_A,
         l="SELECT cluster, leaf, row_number() OVER (PARTITION BY cluster ORDER BY count(*) DESC, leaf) AS rn FROM (SELECT cluster, split_part(node, '/', 2) AS leaf FROM a) GROUP BY cluster, leaf",
         u="SELECT cluster, up, row_number() OVER (PARTITION BY cluster ORDER BY count(*) DESC, up) AS rn FROM (SELECT cluster, split_part(node, '/', 1) AS up FROM a) GROUP BY cluster, up",
-        g="SELECT cluster, CASE WHEN count(*) OVER (PARTITION BY leaf) > 1 THEN up || '_' || leaf ELSE leaf END AS f FROM l JOIN u USING (cluster) WHERE l.rn = 1 AND u.rn = 1",
+        g="SELECT cluster, CASE WHEN count(*) OVER (PARTITION BY leaf) > 1 THEN up || '/' || leaf ELSE leaf END AS f FROM l JOIN u USING (cluster) WHERE l.rn = 1 AND u.rn = 1",
     )
 )
 def name_clusters(spark: SparkSession, sf: str) -> DataFrame:
@@ -255,14 +280,7 @@ def globalise_ids(spark: SparkSession, sf: str) -> DataFrame:
     return cluster.globalise_ids(rows).select("node", "cluster")
 
 
-@register(
-    query(
-        "SELECT node, min(r) AS component FROM reach GROUP BY 1",
-        "weighted",
-        e="SELECT src AS a, dst AS b FROM weighted WHERE weight > 1.35 UNION SELECT dst, src FROM weighted WHERE weight > 1.35",
-        reach="SELECT a AS node, a AS r FROM e UNION SELECT reach.node, e.b FROM reach JOIN e ON e.a = reach.r",
-    )
-)
+@register()
 def connected_components(spark: SparkSession, sf: str) -> DataFrame:
     return cluster.connected_components(_weighted(spark, sf), _nodes(spark, sf))
 
@@ -279,32 +297,40 @@ def communities_targeted(spark: SparkSession, sf: str) -> DataFrame:
 
 @register()
 def discover_components(spark: SparkSession, sf: str) -> DataFrame:
-    return components.discover(V.occurrences(spark, sf), V.symbols(spark, sf), V.relationships(spark, sf))["component_edges"]
+    return components.discover(V.occurrences(spark, sf), V.symbols(spark, sf), V.relationships(spark, sf))["component_edges"].select("source", "target", "edge_type", "cnt", "weight")
 
 
 @register(
     query(
-        "SELECT t.node AS path, coalesce(b.c, m.c, 'unassigned') AS component, CASE WHEN b.c IS NOT NULL THEN 'calls' WHEN m.c IS NOT NULL THEN 'name' ELSE 'unassigned' END AS how FROM t LEFT JOIN b USING (node) LEFT JOIN m USING (node)",
-        "fedges", "nodes", calls=_CALLS,
-        t="SELECT node FROM nodes WHERE node LIKE '%3.py'",
-        s="SELECT x.node, split_part(other, '/', 1) AS c, sum(cnt) AS k FROM calls x WHERE x.node IN (SELECT node FROM t) AND other NOT LIKE '%3.py' GROUP BY ALL",
-        b="SELECT node, c FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY k DESC, c) AS rn FROM s) WHERE rn = 1",
-        src="SELECT split_part(node, '/', 1) AS c, split_part(node, '/', 2) AS folder, count(*) AS k FROM nodes WHERE node NOT LIKE '%3.py' GROUP BY 1, 2",
-        m="SELECT node, c FROM (SELECT node, c, row_number() OVER (PARTITION BY node ORDER BY k DESC, c) AS rn FROM t JOIN src ON folder = split_part(node, '/', 2)) WHERE rn = 1",
+        "SELECT t.path, coalesce(b.c, m.c, 'unassigned') AS component, CASE WHEN b.c IS NOT NULL THEN 'calls' WHEN m.c IS NOT NULL THEN 'name' ELSE 'unassigned' END AS how FROM t LEFT JOIN b USING (path) LEFT JOIN m USING (path)",
+        t="SELECT DISTINCT CASE s_suppkey % 4 WHEN 0 THEN 'tests/test_NATION_' || s_nationkey || '.py' WHEN 1 THEN 'tests/test_c' || s_suppkey || '_' || s_nationkey || '.py' WHEN 2 THEN 'NATION_' || s_nationkey || '/check_' || s_suppkey || '.py' ELSE 'tests/x' || s_suppkey || '.py' END AS path FROM supplier",
+        src="SELECT 'n' || c_nationkey AS c, 'nation_' || c_nationkey || '/c' || c_custkey || '/' || (c_custkey % 30) || '.py' AS path FROM customer",
+        calls="SELECT t.path, src.path AS other, 1 + length(src.path) % 3 AS k FROM t JOIN src ON regexp_extract(t.path, '[0-9]+') = regexp_extract(src.path, '/c([0-9]+)/', 1) WHERE t.path LIKE 'tests/x%'",
+        b="SELECT path, c FROM (SELECT calls.path, c, row_number() OVER (PARTITION BY calls.path ORDER BY sum(k) DESC, c) AS rn FROM calls JOIN src ON src.path = other GROUP BY calls.path, c) WHERE rn = 1",
+        w="SELECT path, CASE WHEN starts_with(stem, 'test_') THEN substr(stem, 6) ELSE '' END AS subj, folder FROM (SELECT path, lower(regexp_extract(path, '([^/]*)[.]py$', 1)) AS stem, lower(split_part(path, '/', 1)) AS folder FROM t)",
+        names="SELECT path, unnest([subj, CASE WHEN contains(subj, '_') THEN split_part(subj, '_', 1) ELSE '' END, CASE WHEN contains(subj, '_') THEN replace(subj, '_', '/') ELSE '' END, CASE WHEN folder = 'tests' THEN '' ELSE folder END]) AS name FROM w",
+        m="SELECT path, c FROM (SELECT x.path, c, row_number() OVER (PARTITION BY x.path ORDER BY count(DISTINCT src.path) DESC, c) AS rn FROM names x JOIN src ON x.name <> '' AND contains(lower(src.path), x.name) GROUP BY x.path, c) WHERE rn = 1",
     )
 )
 def assign_tests(spark: SparkSession, sf: str) -> DataFrame:
-    """Files that end in 3 as tests; of their names only the directory's fits source paths."""
-    n = _nodes(spark, sf).select(F.col("node").alias("path"))
-    own = n.where("path not like '%3.py'").select(F.split_part("path", F.lit("/"), F.lit(1)).alias("component"), "path")
-    return components.assign_tests(n.where("path like '%3.py'"), _calls(spark, sf), own)
+    """Suppliers as test files of four kinds, customers as source files of their nation."""
+    text = lambda *xs: F.concat(*(F.lit(x) if isinstance(x, str) else x.cast("string") for x in xs))
+    key, nation = F.col("s_suppkey"), F.col("s_nationkey")
+    path = F.when(key % 4 == 0, text("tests/test_NATION_", nation, ".py")).when(key % 4 == 1, text("tests/test_c", key, "_", nation, ".py"))
+    path = path.when(key % 4 == 2, text("NATION_", nation, "/check_", key, ".py")).otherwise(text("tests/x", key, ".py"))
+    tests = V.table(spark, sf, "supplier").select(path.alias("path")).distinct()
+    c = V.table(spark, sf, "customer")
+    own = c.select(text("n", F.col("c_nationkey")).alias("component"), text("nation_", F.col("c_nationkey"), "/c", F.col("c_custkey"), "/", F.col("c_custkey") % 30, ".py").alias("path"))
+    pairs = tests.where("path like 'tests/x%'").select(F.col("path").alias("src"), F.regexp_extract("path", "[0-9]+", 0).alias("k"))
+    calls = pairs.join(own.select(F.col("path").alias("dst"), F.regexp_extract("path", "/c([0-9]+)/", 1).alias("k")), "k").select("src", "dst", (1 + F.length("dst") % 3).alias("cnt"))
+    return components.assign_tests(tests, calls, own)
 
 
 @register(
     query(
         "SELECT p.path, coalesce(b.target, p.component) AS component FROM pfiles p LEFT JOIN b USING (path)",
         "pfiles",
-        s="SELECT path, 'Brand#' || (l_suppkey % 40) AS target, l_quantity AS confidence FROM lineitem JOIN (SELECT p_partkey, p_brand || '/' || p_type || '/p' || p_partkey || '.py' AS path FROM part) ON p_partkey = l_partkey WHERE l_orderkey % 50 = 0",
+        s="SELECT path, 'Brand#' || (l_suppkey % 40) AS target, l_quantity AS confidence FROM lineitem JOIN (SELECT p_partkey, p_brand || '/' || p_type || '/p' || p_partkey || '.py' AS path FROM part) ON p_partkey = l_partkey",
         b="SELECT path, target FROM (SELECT path, target, row_number() OVER (PARTITION BY path ORDER BY confidence DESC, target) AS rn FROM s) WHERE rn = 1 AND target IN (SELECT component FROM pfiles)",
     )
 )
@@ -330,9 +356,10 @@ def files_in_module(spark: SparkSession, sf: str) -> DataFrame:
     return paths.files_in_module(V.repo_files(spark, sf), dirs)
 
 
-@register(query("SELECT path FROM rfiles WHERE NOT (list_contains(string_split(path, '/'), 'node_modules') OR starts_with(path, 'build/') OR list_contains(string_split(path, '/'), 'build') OR path LIKE '%.min.js')", "rfiles"))
+@register(query("SELECT path FROM rfiles WHERE NOT (list_contains(string_split(path, '/'), 'node_modules') OR list_contains(string_split(path, '/'), 'build') OR path LIKE '%.min.js' OR regexp_matches(path, '^src/.*[.]rs$') OR regexp_matches(path, '[0-9]_[^a-l].*[.]h$') OR regexp_matches(path, '(^|/)[^/]..[.]py$'))", "rfiles"))
 def exclude_globs(spark: SparkSession, sf: str) -> DataFrame:
-    return paths.exclude_globs(V.repo_files(spark, sf), ["node_modules/**", "build/**", "*.min.js"])
+    """Among them a star and a class that cross or meet directories, and texts that are no globs."""
+    return paths.exclude_globs(V.repo_files(spark, sf), ["node_modules/**", "build/**", "*.min.js", "src/*.rs", "*[0-9]_[!a-l]*.h", "**/???.py", "a**", "[x"])
 
 
 @register(query("SELECT o.path FROM rfiles o WHERE NOT EXISTS (SELECT 1 FROM rfiles t WHERE t.path = o.path AND length(t.path) % 2 = 0)", "rfiles"))
@@ -419,7 +446,8 @@ def record_changes(spark: SparkSession, sf: str) -> DataFrame:
 @register(
     query(
         """SELECT coalesce(a.decision_id, b.decision_id) AS decision_id, CASE WHEN a.decision_id IS NULL THEN 'added' WHEN b.decision_id IS NULL THEN 'removed' WHEN a.category IS DISTINCT FROM b.category OR a.text IS DISTINCT FROM b.text THEN 'changed' ELSE 'unchanged' END AS change,
-        a.category AS old_category, b.category AS new_category, a.text AS old_text, b.text AS new_text FROM v1 a FULL JOIN v2 b ON a.decision_id = b.decision_id""",
+        CASE WHEN b.decision_id IS NOT NULL THEN b.module_name ELSE a.module_name END AS module_name, CASE WHEN b.decision_id IS NOT NULL THEN b.component_name ELSE a.component_name END AS component_name,
+        a.category AS old_category, b.category AS new_category, a.text AS old_text, b.text AS new_text, a.source AS old_source, b.source AS new_source FROM v1 a FULL JOIN v2 b ON a.decision_id = b.decision_id""",
         "v1", "v2",
     )
 )
@@ -634,12 +662,13 @@ def cross_cutting(spark: SparkSession, sf: str) -> DataFrame:
 @register(
     query(
         "SELECT source, doc_id, b AS batch_no FROM fold",
-        d="SELECT source, doc_id, CAST(length(text) AS BIGINT) AS s, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents",
-        fold="SELECT source, doc_id, rn, s AS total, 0 AS b FROM d WHERE rn = 1 UNION ALL SELECT d.source, d.doc_id, d.rn, CASE WHEN f.total > 0 AND f.total + d.s > 20000 THEN d.s ELSE f.total + d.s END, CASE WHEN f.total > 0 AND f.total + d.s > 20000 THEN f.b + 1 ELSE f.b END FROM fold f JOIN d ON d.source = f.source AND d.rn = f.rn + 1",
+        d="SELECT source, doc_id, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE CAST(length(text) AS BIGINT) END AS s, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents",
+        fold="SELECT source, doc_id, rn, s AS total, 0 AS b FROM d WHERE rn = 1 UNION ALL SELECT d.source, d.doc_id, d.rn, CASE WHEN f.total + d.s > 20000 THEN d.s ELSE f.total + d.s END, CASE WHEN f.total + d.s > 20000 THEN f.b + 1 ELSE f.b END FROM fold f JOIN d ON d.source = f.source AND d.rn = f.rn + 1",
     )
 )
 def batch_by_budget(spark: SparkSession, sf: str) -> DataFrame:
-    rows = V.table(spark, sf, "documents").select("source", "doc_id", F.length("text").alias("size"))
+    """Every third document as an empty file."""
+    rows = V.table(spark, sf, "documents").select("source", "doc_id", F.when(F.col("doc_id") % 3 == 0, 0).otherwise(F.length("text")).alias("size"))
     return textbatch.batch_by_budget(rows, "source", "doc_id", "size", 20000).select("source", "doc_id", "batch_no")
 
 
@@ -650,12 +679,16 @@ def extract_json(spark: SparkSession, sf: str) -> DataFrame:
     return ok.select("request_id", one.cast("long").alias("k"))
 
 
-@register(query("SELECT doc_id, len(string_split(text, chr(10))) > 20 AS capped, CAST(CASE WHEN len(string_split(text, chr(10))) > 20 THEN 21 ELSE len(string_split(text, chr(10))) END AS INTEGER) AS lines, length(text) // 4 AS tokens FROM documents WHERE NOT contains(text, chr(13))"))
+@register(
+    query(
+        "SELECT doc_id, CASE WHEN len(ls) > 20 THEN array_to_string(ls[1:20], chr(10)) || chr(10) || '... (truncated at 20 lines)' ELSE array_to_string(ls, chr(10)) END AS content, tokens FROM ls",
+        raw=r"SELECT doc_id, length(text) // 4 AS tokens, regexp_split_to_array(text, '\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]') AS x FROM documents",
+        ls="SELECT doc_id, tokens, CASE WHEN x[-1] = '' THEN x[1:len(x) - 1] ELSE x END AS ls FROM raw",
+    )
+)
 def cap_lines(spark: SparkSession, sf: str) -> DataFrame:
-    rows = V.table(spark, sf, "documents").where("not contains(text, '\\r')").select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.col("text").alias("content"), "text")
-    n = F.size(F.split("content", "\n"))
-    out = textbatch.with_token_estimate(textbatch.cap_lines(rows, 20), "text")
-    return out.select("doc_id", (F.col("content") != F.col("text")).alias("capped"), n.cast("int").alias("lines"), "tokens")
+    rows = V.table(spark, sf, "documents").select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.col("text").alias("content"), "text")
+    return textbatch.with_token_estimate(textbatch.cap_lines(rows, 20), "text").select("doc_id", "content", "tokens")
 
 
 @register(

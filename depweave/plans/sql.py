@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from depweave.functions.paths import TEST_PATTERNS
+
 PATH = "p_brand || '/' || p_type || '/p' || p_partkey || '.py'"
 DIR = "CASE WHEN strpos({0}, '/') = 0 THEN '.' ELSE regexp_replace({0}, '/[^/]*$', '') END"
-TEST = "(^|/)tests?/|(^|/)test_[^/]+\\.\\w+$|(^|/)conftest\\.py$|(^|/)__tests__/|(^|/)spec/|(^|/)fixtures?/|(^|/)mocks?/"
+TEST = "|".join(TEST_PATTERNS)
 
 VIEWS = {
     "occ": f"""SELECT 'idx' AS index_id, l_orderkey AS doc_ord, (l_linenumber * CAST(1000000 AS BIGINT) + l_suppkey) * 1000000 + l_partkey AS occ_ord, {PATH} AS path,
         'o' || l_orderkey || CASE WHEN o_custkey % 2 = 0 THEN '().' ELSE '' END AS symbol, CASE WHEN l_linenumber = 1 THEN 1 ELSE 0 END AS roles, [17, 26, 9, 7, 0][o_custkey % 5 + 1] AS kind
-        FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey WHERE l_orderkey % 3 = 0""",
+        FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey""",
     "defs": "SELECT symbol, path FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY doc_ord DESC, occ_ord DESC) AS rn FROM occ WHERE roles % 2 = 1) WHERE rn = 1",
     "kinds": "SELECT symbol, kind FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY doc_ord DESC, occ_ord DESC) AS rn FROM occ WHERE kind <> 0) WHERE rn = 1",
     "listed": "SELECT symbol, path FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY doc_ord DESC, occ_ord DESC) AS rn FROM occ) WHERE rn = 1",
@@ -36,10 +38,11 @@ VIEWS = {
     "medges": """SELECT source_id, (source_id + k) % 5 AS target_id, ['depends_on', 'uses_data_store', 'communicates_via'][source_id % 3 + 1] AS edge_type, k * 1.5::DOUBLE AS weight,
         CASE WHEN k = 1 THEN '{"label": "m' || source_id || '"}' ELSE 'oops' END AS metadata FROM (SELECT module_id AS source_id, unnest([1, 2]) AS k FROM mods)""",
     "cedges": """SELECT source_id, target_id, CASE WHEN (source_id + target_id) % 2 = 0 THEN 'call' ELSE 'import' END AS edge_type, CAST(count(*) AS DOUBLE) AS weight FROM (
-        SELECT CAST(c_nationkey AS BIGINT) AS source_id, CAST(s_nationkey AS BIGINT) AS target_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_orderkey % 3 = 0)
-        WHERE source_id <> target_id AND (source_id * 7 + target_id) % 5 = 0 GROUP BY source_id, target_id""",
-    "v1": "SELECT o_orderkey AS decision_id, o_orderpriority AS category, o_orderstatus AS text FROM orders WHERE o_orderdate < TIMESTAMP '1999-01-01'",
-    "v2": "SELECT o_orderkey AS decision_id, CASE WHEN o_orderkey % 10 = 0 THEN 'new ' || o_orderpriority ELSE o_orderpriority END AS category, o_orderstatus AS text FROM orders WHERE o_orderdate < TIMESTAMP '2000-06-01' AND o_orderkey % 11 <> 0",
+        SELECT CAST(c_nationkey AS BIGINT) AS source_id, CAST(s_nationkey AS BIGINT) AS target_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey)
+        WHERE source_id <> target_id GROUP BY source_id, target_id""",
+    "v1": "SELECT o_orderkey AS decision_id, o_orderpriority AS category, o_orderstatus AS text, 'c' || (o_custkey % 9) AS component_name, 'm' || (o_custkey % 3) AS module_name, 'human' AS source FROM orders WHERE o_orderdate < TIMESTAMP '1999-01-01'",
+    "v2": """SELECT o_orderkey AS decision_id, CASE WHEN o_orderkey % 10 = 0 THEN 'new ' || o_orderpriority ELSE o_orderpriority END AS category, o_orderstatus AS text, 'c' || (o_custkey % 8) AS component_name, 'm' || (o_custkey % 3) AS module_name,
+        CASE WHEN o_orderkey % 4 = 0 THEN 'chat' ELSE 'human' END AS source FROM orders WHERE o_orderdate < TIMESTAMP '2000-06-01' AND o_orderkey % 11 <> 0""",
     "outc": """SELECT event_id AS ord, user_id AS run_id, event_id * 7 % 5000 AS decision_id, ['confirmed', 'updated', 'outdated', 'new', 'implemented', 'diverged', 'unchanged'][event_id % 7 + 1] AS status, 'text ' || event_id AS new_text FROM events""",
     "vruns": "SELECT user_id AS run_id, min(ts) AS created_at, CASE WHEN user_id % 2 = 0 THEN 'completed' ELSE 'running' END AS status FROM events GROUP BY user_id",
     "rfiles": """SELECT DISTINCT CASE WHEN d = '' THEN n ELSE d || '/' || n END AS path FROM (

@@ -83,7 +83,7 @@ def components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def component_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers are source files of their nation, every tenth supplier's file is a test."""
+    """Customers are source files of their nation, suppliers are tests."""
     c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("component_id"), F.concat(F.lit("nation_"), F.col("c_nationkey").cast("string"), F.lit("/c"), F.col("c_custkey").cast("string"), F.lit(".py")).alias("path"), F.lit(False).alias("is_test"))
     s = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("long").alias("component_id"), F.concat(F.lit("nation_"), F.col("s_nationkey").cast("string"), F.lit("/tests/s"), F.col("s_suppkey").cast("string"), F.lit(".py")).alias("path"), F.lit(True).alias("is_test"))
     return c.unionByName(s)
@@ -104,7 +104,7 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def module_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges between the regions of a supplier's and its line items' parts' numbers."""
+    """Edges from each region to the next two, with labels for the first."""
     r = modules(spark, sf_dir).select(F.col("module_id").alias("source_id"))
     kinds = F.array(*(F.lit(k) for k in ("depends_on", "uses_data_store", "communicates_via")))
     step = F.explode(F.array(F.lit(1), F.lit(2)))
@@ -131,11 +131,14 @@ def map_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 def version(spark: SparkSession, sf_dir: str, which: int) -> DataFrame:
     """Decisions at two times: the second has other priorities for every tenth order and lacks every eleventh."""
     d = table(spark, sf_dir, "orders")
-    old = d.where("o_orderdate < timestamp'1999-01-01'")
+    key = F.col("o_orderkey")
+    named = lambda p, by: F.concat(F.lit(p), (F.col("o_custkey") % by).cast("string"))
     if which == 1:
-        return old.select(F.col("o_orderkey").alias("decision_id"), F.col("o_orderpriority").alias("category"), F.col("o_orderstatus").alias("text"))
+        old = d.where("o_orderdate < timestamp'1999-01-01'")
+        return old.select(key.alias("decision_id"), F.col("o_orderpriority").alias("category"), F.col("o_orderstatus").alias("text"), named("c", 9).alias("component_name"), named("m", 3).alias("module_name"), F.lit("human").alias("source"))
     new = d.where("o_orderdate < timestamp'2000-06-01' and o_orderkey % 11 <> 0")
-    return new.select(F.col("o_orderkey").alias("decision_id"), F.when(F.col("o_orderkey") % 10 == 0, F.concat(F.lit("new "), "o_orderpriority")).otherwise(F.col("o_orderpriority")).alias("category"), F.col("o_orderstatus").alias("text"))
+    category = F.when(key % 10 == 0, F.concat(F.lit("new "), "o_orderpriority")).otherwise(F.col("o_orderpriority"))
+    return new.select(key.alias("decision_id"), category.alias("category"), F.col("o_orderstatus").alias("text"), named("c", 8).alias("component_name"), named("m", 3).alias("module_name"), F.when(key % 4 == 0, "chat").otherwise("human").alias("source"))
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,7 +155,7 @@ def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def repo_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages as files of a source tree, of many kinds."""
+    """Orders as files of a source tree, of many kinds."""
     names = ["app.py", "Main.java", "lib.rs", "x.TS", "y.ts", "util.h", "mod.go", "README", "notes.txt", "package.json", "web.csproj", "a.min.js", ".env", "test_app.py", "conftest.py", "data.xyz", "q.XYZ", "logo.png"]
     dirs = ["src", "src/core", "node_modules/lib", "tests", "build/out", "spec/unit", "", "docs/api", "pkg/vendor"]
     pick = lambda xs, by: F.element_at(F.array(*(F.lit(x) for x in xs)), (by % len(xs) + 1).cast("int"))

@@ -92,10 +92,11 @@ def coverage(files: DataFrame, excludes: list[str] | None = None) -> DataFrame:
 
 def coverage_summary(counts: DataFrame, top: int = 5) -> DataFrame:
     """rank, label, n: the ``top`` unrecognised extensions and one row for the rest (A18). ``counts``: ext, n."""
-    ranked = counts.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "ext")))
-    first = ranked.where(F.col("rank") <= top).select("rank", F.concat(F.lit("."), "ext").alias("label"), "n")
-    rest = ranked.where(F.col("rank") > top).agg(F.count("*").alias("k"), F.sum("n").alias("n")).where("k > 0")
-    return first.unionByName(rest.select(F.lit(top + 1).alias("rank"), F.format_string("and %d more", "k").alias("label"), "n"))
+    first = counts.orderBy(F.desc("n"), "ext").limit(top)
+    ranked = first.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "ext")))  # ``top`` rows
+    rest = counts.join(F.broadcast(first.select("ext")), "ext", "left_anti").agg(F.count("*").alias("k"), F.sum("n").alias("n")).where("k > 0")
+    more = F.format_string("... and %d more extensions (%d files)", "k", "n")
+    return ranked.select("rank", F.concat(F.lit("."), "ext").alias("label"), "n").unionByName(rest.select(F.lit(top + 1).alias("rank"), more.alias("label"), "n"))
 
 
 def filter_languages(df: DataFrame, aliases: list[str]) -> DataFrame:

@@ -18,12 +18,14 @@ INDEX = (
     "relationships array<struct<symbol string, is_implementation boolean, is_reference boolean, is_type_definition boolean, is_definition boolean>>>>>>"
 )
 
-#: A map as nested records.
+_DECISIONS = "decisions array<struct<id long, category string, text string, detail string, source string>>"
+_EDGES = "array<struct<source_id long, target_id long, edge_type string, weight double, metadata string>>"
+
+#: A map as nested records. The metadata of an edge is an object, read as its text.
 MAP = (
-    "modules array<struct<id long, name string, classification string, directories array<string>, decisions array<struct<id long, category string, text string, detail string, source string>>, "
-    "components array<struct<id long, name string, purpose string, confidence double, files array<struct<path string, is_test boolean>>, "
-    "decisions array<struct<id long, category string, text string, detail string, source string>>>>>>, "
-    "module_edges array<struct<source long, target long, edge_type string, weight double, metadata string>>, component_edges array<struct<source long, target long, edge_type string, weight double, metadata string>>"
+    "modules array<struct<id long, name string, classification string, type string, technology string, source_origin string, deployment_target string, directories array<string>, "
+    f"{_DECISIONS}, components array<struct<id long, name string, purpose string, confidence double, files array<struct<path string, is_test boolean>>, {_DECISIONS}>>>>, "
+    f"module_edges {_EDGES}, component_edges {_EDGES}"
 )
 
 
@@ -119,8 +121,12 @@ def overwrite_partitions(df: DataFrame, path: str, by: Sequence[str]) -> None:
 
 
 def write_map_json(nested: DataFrame, path: str, version: int = 1) -> None:
-    """One line ``{"version": .., "map": ..}`` a map."""
-    nested.select(F.to_json(F.struct(F.lit(version).alias("version"), F.struct("*").alias("map"))).alias("value")).write.text(path)
+    """One line ``{"version": .., "map": ..}`` a map, the metadata of edges as objects."""
+    def edges(name: str):
+        return F.transform(name, lambda e: F.struct(*(e[c].alias(c) for c in ("source_id", "target_id", "edge_type", "weight")), F.try_parse_json(e["metadata"]).alias("metadata"))).alias(name)
+
+    whole = F.struct("modules", edges("module_edges"), edges("component_edges"))
+    nested.select(F.to_json(F.struct(F.lit(version).alias("version"), whole.alias("map"))).alias("value")).write.text(path)
 
 
 def write_docs(docs: DataFrame, path: str) -> None:

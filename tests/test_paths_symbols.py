@@ -46,6 +46,10 @@ def test_strip_and_add_prefix(spark):
     inner = spark.createDataFrame([("a.py", 0)], "relative_path string, doc_ord long")
     assert paths.detect_add_prefix(inner, dirs, "file:///home/x/src/core").first()[0] == "src/core/"
     assert paths.detect_add_prefix(docs, dirs, "file:///home/x/src/core").first()[0] == ""
+    assert paths.detect_add_prefix(inner, dirs, "file:///home/o'neil/src/core/").first()[0] == "src/core/"
+    out = spark.createDataFrame([("repo/src/a.py", 0)], "relative_path string, doc_ord long")
+    assert paths.detect_add_prefix(out, dirs, "/x/src/core").first()[0] == "src/core/"
+    assert paths.detect_add_prefix(out, dirs, "/x/src/core", strip="repo/").first()[0] == ""
     moved = paths.prepend_prefix(table(spark, ["a.py", "../b.py"], "relative_path"), "p/")
     assert got(moved, "relative_path") == ["../b.py", "p/a.py"]
 
@@ -63,6 +67,18 @@ def test_filters(spark):
     left = got(paths.exclude_globs(files, ["node_modules/**", "*.min.js", "src/**/*.ts"]))
     assert left == [".hidden.py", "Makefile", "a.py", "x.PNG"]
     assert got(paths.exclude_globs(files, [])) == got(files)
+    assert got(paths.filter_source_like(table(spark, ["a.py", "b.json", "c.md", "d.PNG", "e.css", ".f.py", "g", "h/i.rs"]))) == ["a.py", "c.md", "h/i.rs"]
+
+
+def test_globs(spark):
+    names = ["src/a.js", "src/d/b.js", "x1.py", "xa.py", "x].py", "d/x2.py", "a/b/c", "a/c", "q-1", "w^", "n\nl.py"]
+    files = table(spark, names)
+    cases = {
+        "src/*.js": {"src/a.js", "src/d/b.js"}, "x[0-9].py": {"x1.py", "d/x2.py"}, "x[!0-9].py": {"xa.py", "x].py"}, "x[]].py": {"x].py"}, "a/**/c": {"a/b/c", "a/c"}, "a/?/c": {"a/b/c"},
+        "**": set(names), "a**": set(), "[x": set(), "***": set(), "q[-]1": {"q-1"}, "w[^a]": {"w^"}, "*.py": {"x1.py", "xa.py", "x].py", "d/x2.py", "n\nl.py"}, "": set(),
+    }
+    for pattern, gone in cases.items():
+        assert set(got(paths.exclude_globs(files, [pattern]))) == set(names) - gone, pattern
 
 
 def test_match_paths(spark):

@@ -1,47 +1,12 @@
-"""Queries over whole tables: DuckDB on the SQL twins without the filters that they still have, and brute force."""
+"""Queries that SQL is too slow for or can't express: brute force over whole tables, and the bounds of searches."""
 
 import inspect
 
-import pytest
 from pyspark.sql import functions as F
 
 from depweave.operators import cluster
 from depweave.plans import registry
-from tests.test_queries import SF_DIR, duck, pytestmark, rows_of  # noqa: F401
-
-#: What the twins leave out of a table.
-LINES, PARTS = " WHERE l_orderkey % 3 = 0", " WHERE p_size % 7 = 0"
-PAIRS, SUGGESTED = " AND (source_id * 7 + target_id) % 5 = 0", " WHERE l_orderkey % 50 = 0"
-
-
-def compare(spark, duck, name, *filters):  # noqa: F811
-    sql = registry.SQL[name]
-    for text in filters:
-        assert text in sql
-        sql = sql.replace(text, "")
-    got = duck.execute(sql)
-    columns = [c[0] for c in got.description]
-    df = registry.QUERIES[name](spark, SF_DIR)
-    assert rows_of(df.columns, df.collect()) == rows_of(columns, got.fetchall())
-
-
-@pytest.mark.parametrize("name", sorted(n for n, sql in registry.SQL.items() if "occ AS (" in sql and n not in ("connected_components", "resolve_inheritance")))
-def test_all_occurrences_count(spark, duck, name):  # noqa: F811
-    compare(spark, duck, name, LINES)
-
-
-def test_all_parts_implement(spark, duck):  # noqa: F811
-    compare(spark, duck, "resolve_inheritance", LINES, PARTS)
-
-
-@pytest.mark.parametrize("name", sorted(n for n, sql in registry.SQL.items() if "cedges AS (" in sql))
-def test_all_component_edges(spark, duck, name):  # noqa: F811
-    compare(spark, duck, name, LINES, PAIRS)
-
-
-def test_all_suggestions(spark, duck):  # noqa: F811
-    compare(spark, duck, "reconcile_misplaced", SUGGESTED)
-
+from tests.test_queries import SF_DIR, duck, pytestmark  # noqa: F401
 
 def test_components_of_all_edges(spark, duck):  # noqa: F811
     """Every file is there, and edges of any weight join: against a union-find over all line items."""
