@@ -30,33 +30,39 @@ def occurrence_totals(occ: DataFrame) -> DataFrame:
     return occ.groupBy("index_id").agg(F.count("*").alias("total"), F.count_if(empty).alias("empty"), F.count_if(~empty & is_local()).alias("local"), F.count_if(~empty & ~is_local()).alias("non_local"))
 
 
-def _combined(occ: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Definitions by occurrences, and by symbol lists where there is none."""
-    defs = definitions(occ)
-    return defs.unionByName(_listed(symbols).join(defs, ["index_id", "symbol"], "left_anti").select("index_id", "symbol", "path"))
+def _known(occ: DataFrame, symbols: DataFrame) -> DataFrame:
+    """index_id, symbol, own (where occurrences define it), any (the same, else where a symbol list has it)."""
+    both = definitions(occ).withColumnRenamed("path", "own").join(_listed(symbols).withColumnRenamed("path", "listed"), ["index_id", "symbol"], "full_outer")
+    return both.select("index_id", "symbol", "own", F.coalesce("own", "listed").alias("any"))
 
 
-def _pairs(refs: DataFrame, defs: DataFrame) -> DataFrame:
-    rows = refs.join(defs.withColumnRenamed("path", "def_path"), ["index_id", "symbol"]).where("path <> def_path")
-    return rows.select(F.least("path", "def_path").alias("src"), F.greatest("path", "def_path").alias("dst")).distinct()
+def _resolved(occ: DataFrame, symbols: DataFrame) -> DataFrame:
+    """definitions (occurrences, combined), path, cnt, def_path (null: unresolved) of every reference, from one pass over
+    the occurrences' references and definitions."""
+    hit = references(occ).join(_known(occ, symbols), ["index_id", "symbol"], "left")
+    kinds = F.explode(F.array(*(F.struct(F.lit(k).alias("definitions"), F.col(c).alias("def_path")) for k, c in (("occurrences", "own"), ("combined", "any"))))).alias("d")
+    return hit.select("path", "cnt", kinds).select("d.definitions", "path", "cnt", "d.def_path")
+
+
+def _pair():
+    """The pair of files that a reference joins; null within a file."""
+    return F.when(F.col("path") != F.col("def_path"), F.struct(F.least("path", "def_path").alias("src"), F.greatest("path", "def_path").alias("dst")))
 
 
 def resolution_report(occ: DataFrame, symbols: DataFrame) -> DataFrame:
     """definitions, resolved, unresolved, file_pairs under occurrence definitions and combined ones."""
-    refs = references(occ)
-    out = None
-    for name, defs in (("occurrences", definitions(occ)), ("combined", _combined(occ, symbols))):
-        hit = refs.join(defs.select("index_id", "symbol", F.lit(True).alias("hit")), ["index_id", "symbol"], "left")
-        one = hit.agg(F.coalesce(F.sum(F.when(F.col("hit"), F.col("cnt"))), F.lit(0)).alias("resolved"), F.coalesce(F.sum(F.when(F.col("hit").isNull(), F.col("cnt"))), F.lit(0)).alias("unresolved"))
-        one = one.join(F.broadcast(_pairs(refs, defs).agg(F.count("*").alias("file_pairs")))).select(F.lit(name).alias("definitions"), "resolved", "unresolved", "file_pairs")
-        out = one if out is None else out.unionByName(one)
-    return out
+    rows = _resolved(occ, symbols).withColumn("pair", _pair())
+    found = F.col("def_path").isNotNull()
+    sums = rows.groupBy("definitions").agg(*(F.coalesce(F.sum(F.when(c, F.col("cnt"))), F.lit(0)).alias(n) for c, n in ((found, "resolved"), (~found, "unresolved"))), F.countDistinct("pair").alias("file_pairs"))
+    both = F.explode(F.array(F.lit("occurrences"), F.lit("combined"))).alias("definitions")  # an index without references has its rows too
+    rows = occ.sparkSession.range(1).select(both).join(sums, "definitions", "left")
+    return rows.select("definitions", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("resolved", "unresolved", "file_pairs")))
 
 
 def gained_edges(occ: DataFrame, symbols: DataFrame) -> DataFrame:
     """src, dst that only the combined definitions give."""
-    refs = references(occ)
-    return _pairs(refs, _combined(occ, symbols)).join(_pairs(refs, definitions(occ)), ["src", "dst"], "left_anti")
+    rows = _resolved(occ, symbols).withColumn("pair", _pair()).where("pair is not null")
+    return rows.groupBy("pair").agg(F.bool_or(F.col("definitions") == "occurrences").alias("had")).where("not had").select("pair.src", "pair.dst")
 
 
 def unresolved(occ: DataFrame) -> DataFrame:

@@ -424,7 +424,7 @@ def stream_collapse(spark: SparkSession, sf: str) -> DataFrame:
     place = scratch.new_path(spark, "stream")
     log = V.changes(spark, sf)
     log.repartition(6, "entity_id").write.parquet(f"{place}/log")
-    return collapse.stream_collapse(spark, f"{place}/log", log.schema, f"{place}/state", files_per_batch=2).select(_NET_COLS)
+    return collapse.stream_collapse(spark, f"{place}/log", log.schema, f"{place}/state", files_per_batch=2, buckets=8).select(_NET_COLS)
 
 
 @register(query("SELECT entity_type, entity_id, ord FROM ch WHERE baseline_id = (SELECT max(baseline_id) FROM ch)", "ch"))
@@ -774,3 +774,6 @@ def check_owner(spark: SparkSession, sf: str) -> DataFrame:
 def replace_scope(spark: SparkSession, sf: str) -> DataFrame:
     new = V.table(spark, sf, "region").select(F.lit(3).cast("long").alias("component_id"), F.concat(F.lit("fresh_"), F.col("r_regionkey").cast("string")).alias("path"))
     return readers.replace_scope(V.component_files(spark, sf).select("component_id", "path"), new, ["component_id"])
+
+
+from depweave.plans import more  # noqa: E402, F401  (registers more queries)

@@ -26,9 +26,25 @@ def shared_dir(spark: SparkSession) -> str:
     return _own.setdefault(context.applicationId, f"file://{tempfile.mkdtemp(prefix='depweave-')}")
 
 
+def _root(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/depweave/{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/depweave/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the application's part of the shared folder."""
+    return f"{_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder, through Hadoop, so any file system will do. Nothing there is fine."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all that this application has cut so far. Results are read from it until they are written elsewhere, so
+    this is for the end of an application or between its jobs."""
+    remove(spark, _root(spark))
 
 
 def cut(df: DataFrame, name: str = "step") -> DataFrame:

@@ -5,37 +5,66 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from depweave.operators.changes import collapse_state, merge_states, net_changes
+from depweave.sources.scratch import remove
 
 
 def stream_collapse(
-    spark: SparkSession, log_dir: str, schema: T.StructType, state_dir: str, key_cols: Sequence[str] = ("entity_type", "entity_id"), order_cols: Sequence[str] = ("ord",), files_per_batch: int = 1000
+    spark: SparkSession, log_dir: str, schema: T.StructType, state_dir: str, key_cols: Sequence[str] = ("entity_type", "entity_id"), order_cols: Sequence[str] = ("ord",), files_per_batch: int = 1000, buckets: int = 64
 ) -> DataFrame:
     """Take in the new files of ``log_dir`` (Parquet) and return the net deltas of all records so far.
 
-    The state per entity (count, first, last) merges with each batch's. Batch ``b`` reads the state that the
-    batch before it left and writes ``state_dir/state-b`` whole, so a repeated batch writes the same again.
+    The state per entity (count, first, last) lies in buckets by a hash of the key. Batch ``b`` reads those buckets that
+    its records touch, as the batches before it left them, and writes them anew to ``state_dir/state-b``; a small table
+    ``state_dir/buckets-b`` says which batch each bucket is from. A repeated batch writes the same again. What no
+    table of the last two batches names is deleted.
     """
 
-    def path(batch: int) -> str:
-        return f"{state_dir}/state-{batch}"
+    def place(bucket: int, batch: int) -> str:
+        return f"{state_dir}/state-{batch}/bucket={bucket}"
+
+    def held(spark: SparkSession, batch: int) -> dict[int, int]:
+        """At most ``buckets`` rows."""
+        return {r.bucket: r.batch for r in spark.read.parquet(f"{state_dir}/buckets-{batch}").collect()} if batch >= 0 else {}
 
     def take_in(rows: DataFrame, batch: int) -> None:
-        state = collapse_state(rows, key_cols, order_cols)
-        if batch > 0:
-            state = merge_states(rows.sparkSession.read.parquet(path(batch - 1)), state, key_cols, order_cols)
-        state.write.mode("overwrite").parquet(path(batch))
+        spark = rows.sparkSession
+        before = held(spark, batch - 1)
+        new = collapse_state(rows, key_cols, order_cols).withColumn("bucket", F.pmod(F.xxhash64(*key_cols), F.lit(buckets)).cast("int"))
+        came = f"{state_dir}/came"
+        new.write.mode("overwrite").parquet(came)
+        new = spark.read.schema(new.schema).parquet(came)
+        touched = sorted(r.bucket for r in new.select("bucket").distinct().collect())
+        state = new.drop("bucket")
+        old = [place(b, before[b]) for b in touched if b in before]
+        if old:
+            state = merge_states(spark.read.schema(state.schema).parquet(*old), state, key_cols, order_cols)
+        state = state.withColumn("bucket", F.pmod(F.xxhash64(*key_cols), F.lit(buckets)).cast("int"))
+        state.write.mode("overwrite").partitionBy("bucket").parquet(f"{state_dir}/state-{batch}")
+        now = before | dict.fromkeys(touched, batch)
+        spark.createDataFrame(sorted(now.items()), "bucket int, batch long").coalesce(1).write.mode("overwrite").parquet(f"{state_dir}/buckets-{batch}")
+        # The batch before this one is committed, so what only the one before that named is read by nobody.
+        for bucket, at in (held(spark, batch - 2) if batch > 1 else {}).items():
+            if before.get(bucket) != at:
+                remove(spark, place(bucket, at))
+        if batch > 1:
+            remove(spark, f"{state_dir}/buckets-{batch - 2}")
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(log_dir)
     query = stream.writeStream.foreachBatch(take_in).option("checkpointLocation", f"{state_dir}/progress").trigger(availableNow=True).start()
     query.awaitTermination()
-    return net_changes(spark.read.parquet(path(last_batch(spark, f"{state_dir}/progress"))), key_cols)
+    state = collapse_state(spark.createDataFrame([], schema), key_cols, order_cols)
+    paths = [place(b, at) for b, at in held(spark, last_batch(spark, f"{state_dir}/progress")).items()]
+    return net_changes(spark.read.schema(state.schema).parquet(*paths) if paths else state, key_cols)
 
 
 def last_batch(spark: SparkSession, progress: str) -> int:
-    """The last batch that the stream has committed; read through Hadoop, so any file system will do."""
+    """The last batch that the stream has committed, -1 before the first; read through Hadoop, so any file system will
+    do."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{progress}/commits")
-    files = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(hadoop)
-    return max(int(f.getPath().getName()) for f in files if f.getPath().getName().isdigit())
+    system = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files = system.listStatus(hadoop) if system.exists(hadoop) else []
+    return max((int(f.getPath().getName()) for f in files if f.getPath().getName().isdigit()), default=-1)

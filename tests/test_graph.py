@@ -333,8 +333,11 @@ def test_discovery_end_to_end(spark):
     assert {(r.dir, r.n) for r in out["directories"].collect()} == {(f"app{g}/core", 6) for g in range(3)} and out["calls"].count() == 30
 
 
-def test_discovery_with_responses(spark):
-    """One cluster is split, one renamed to the name of another, files move, and edges get labels."""
+def test_discovery_with_responses(spark, monkeypatch):
+    """One cluster is split, one renamed to the name of another, files move, and edges get labels. Every partition is a
+    cluster here."""
+    whole = lambda graph, nodes, targets, part: part.select("node", "partition", F.lit(0).alias("cluster"))
+    monkeypatch.setattr(cluster, "communities_targeted", whole)
     names = {r.name: r.cluster for r in discovered(spark)["clusters"].select("name", "cluster").distinct().collect()}
     zero, one, two = (names[f"app{g}/core"] for g in range(3))
     rows = [

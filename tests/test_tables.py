@@ -41,13 +41,18 @@ def test_net_delta_of_every_kind(spark):
 def test_stream_equals_batch(spark, tmp_path):
     rows = [("decision", k, *r) for k, (records, _) in enumerate(RECORDS.values()) for r in records]
     df = log(spark, rows)
-    first, second = df.where("ord < 8"), df.where("ord >= 8")
+    first, second = df.where("ord < 8").cache(), df.where("ord >= 8")
     first.repartition(3).write.parquet(str(tmp_path / "log"))
-    one = collapse.stream_collapse(spark, str(tmp_path / "log"), df.schema, str(tmp_path / "state"), files_per_batch=1)
+    one = collapse.stream_collapse(spark, str(tmp_path / "log"), df.schema, str(tmp_path / "state"), files_per_batch=1, buckets=3)
     assert sorted(map(tuple, one.collect()), key=str) == sorted(map(tuple, changes.collapse_changes(first).collect()), key=str)
     second.write.mode("append").parquet(str(tmp_path / "log"))
-    two = collapse.stream_collapse(spark, str(tmp_path / "log"), df.schema, str(tmp_path / "state"), files_per_batch=1)
+    two = collapse.stream_collapse(spark, str(tmp_path / "log"), df.schema, str(tmp_path / "state"), files_per_batch=1, buckets=3)
     assert sorted(map(tuple, two.collect()), key=str) == sorted(map(tuple, changes.collapse_changes(df).collect()), key=str)
+    # Of old buckets only those stay that one of the last two tables names.
+    tables = {p.name: {(r.bucket, r.batch) for r in spark.read.parquet(str(p)).collect()} for p in (tmp_path / "state").glob("buckets-*")}
+    assert len(tables) == 2
+    left = {(int(p.name.split("=")[1]), int(p.parent.name.split("-")[1])) for p in (tmp_path / "state").glob("state-*/bucket=*")}
+    assert left == set.union(*tables.values())
 
 
 def test_baselines(spark):
