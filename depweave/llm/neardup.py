@@ -11,8 +11,9 @@ Plan (every step is a distributed job; the driver sees counts only):
    the others are confirmed on their full shingle sets.
 4. Components of the confirmed links. A bucket whose members are all in one component is done. In any
    other bucket the pairs *between* components are compared in blocks of bounded size, first by bits, then
-   by sets; only links leave a block, and they are confirmed too. So no link between components is lost
-   to the star, and no table of pairs is ever made.
+   by sets; only links leave a block, and they are confirmed too. Members of the bucket's largest component
+   meet the others only, never each other. So no link between components is lost to the star, and no table
+   of pairs is ever made.
 
 With 40 bands of 5 minima a pair of similarity 0.8 shares no band with probability 1.3e-7, and the
 estimate from 200 minima of 4 bits is held to five standard deviations below the threshold.
@@ -27,13 +28,14 @@ from math import sqrt
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from depweave.llm.bloom import only_keys
-from depweave.llm.graph import components
+from depweave.llm.bloom import blocks_for, bloom, may_hold, only_keys
 from depweave.llm.store import save
 from depweave.llm.words import mixed, shingle_set
+from depweave.operators.cluster import connected_components
+from depweave.operators.spread import spread_join
 
 
 @dataclass(frozen=True)
@@ -164,8 +166,9 @@ def _sized(how: MinHash, x: str, y: str):
     return F.least(x, y) * 100 >= F.greatest(x, y) * how.similar
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, how: MinHash) -> DataFrame:
-    """Of pairs (a, b) of documents, those with 100 * intersection >= ``similar`` * union on full sets."""
+def confirm(pairs: DataFrame, docs: DataFrame, how: MinHash, repeated: bool = False) -> DataFrame:
+    """Of pairs (a, b) of documents (a written table), those with 100 * intersection >= ``similar`` * union on full
+    sets. ``repeated``: some doc_id has several rows; then any of its texts will do."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, None
@@ -173,24 +176,27 @@ def confirm(pairs: DataFrame, docs: DataFrame, how: MinHash) -> DataFrame:
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             keep = []
             for i in range(batch.num_rows):
-                if a[i] != last:
+                if a[i] != last or repeated:  # an id with several texts has several sets
                     last, held = a[i], shingle_set(batch.column(2)[i].as_py(), how.shingle)
                 other = shingle_set(batch.column(3)[i].as_py(), how.shingle)
                 both = np.concatenate((held, other))
                 both.sort(kind="stable")
                 shared = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * shared >= how.similar * (len(both) - shared))
+                keep.append(shared > 0 and 100 * shared >= how.similar * (len(both) - shared))
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
     ends = save(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "neardup-ends")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = save(only_keys(texts, "doc_id", ends), "neardup-texts")
+    texts = only_keys(texts, "doc_id", ends)
+    texts = save(texts.distinct() if repeated else texts, "neardup-texts")
     left, right = (texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
+    # A star's centre is in many pairs: they are dealt over tasks, and its text goes to each of those once.
+    both = spread_join(pairs.join(right, "b"), left, "a", counted=pairs)
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
 
 
-def _open_sets(ids: DataFrame, docs: DataFrame, how: MinHash) -> DataFrame:
+def _open_sets(ids: DataFrame, docs: DataFrame, how: MinHash, repeated: bool) -> DataFrame:
     """id and its shingle set as sorted unsigned 32-bit hashes, of the documents named by ``ids``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +207,8 @@ def _open_sets(ids: DataFrame, docs: DataFrame, how: MinHash) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["id", "shingles"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    return only_keys(rows, "id", ids).mapInArrow(run, "id long, shingles binary").dropDuplicates(["id"])
+    sets = only_keys(rows, "id", ids).mapInArrow(run, "id long, shingles binary").where("octet_length(shingles) > 0")
+    return sets.distinct() if repeated else sets
 
 
 class _Forest:
@@ -233,21 +240,30 @@ def _linked(i: int, others: np.ndarray, sets: list[np.ndarray], how: MinHash) ->
     return 100 * (shared + 2) >= how.similar * (union - 2), 100 * (shared - 2) >= how.similar * (union + 2)
 
 
+def _blocks(open_: DataFrame, how: MinHash) -> DataFrame:
+    """Members of open buckets (key, band, id, component) with their block ``own``: the bucket's largest component has
+    ``near`` blocks, numbered after the ``far`` ones of all others, dealt by a hash of the id."""
+    sizes = open_.groupBy("key", "component").agg(F.count("*").alias("n"))
+    shape = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("n"), F.sum("n").alias("members"))
+    blocks = lambda n: F.ceil(n / how.block).cast("int")
+    shape = save(shape.select("key", "main", blocks(F.col("n")).alias("near"), blocks(F.col("members") - F.col("n")).alias("far")), "neardup-shape")
+    chance = F.xxhash64("id")
+    own = F.when(F.col("component") == F.col("main"), F.col("far") + F.pmod(chance, "near")).otherwise(F.pmod(chance, "far"))
+    return spread_join(open_, shape, "key").select("key", "band", "id", "component", "near", "far", own.cast("int").alias("own"))
+
+
 def _between(buckets: DataFrame, how: MinHash) -> DataFrame:
     """Pairs between components in the same bucket that are linked, by sets of 32-bit hashes.
 
-    ``buckets`` has (key, band, members, id, component, n, bits, keys, shingles). A bucket of many members is
-    cut into blocks by a hash of the id; each pair of blocks is a tile, so a tile holds about 2 * ``block``
-    rows. In a tile, pairs of different components that first meet in this band are estimated bit by bit;
-    those that pass are compared on their sets, unless links found before have joined their components.
-    Only links leave a tile.
+    ``buckets`` has (key, band, own, near, far, id, component, n, bits, keys, shingles), see ``_blocks``. Each pair of
+    blocks is a tile, so a tile holds about 2 * ``block`` rows. In a tile, pairs of different components that first
+    meet in this band are estimated bit by bit; those that pass are compared on their sets, unless links found
+    before have joined their components. Only links leave a tile.
     """
-    blocks = F.ceil(F.col("members") / how.block).cast("int")
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    rows = buckets.withColumn("blocks", blocks).withColumn("own", own)
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    # Blocks of the largest component come after the others and meet those only.
+    last = F.when(F.col("own") < F.col("far"), F.col("far") + F.col("near")).otherwise(F.col("far")) - 1
     held = ["id", "component", "n", "own", "band", "bits", "keys", "shingles"]
-    tiles = rows.select("key", *held, other).withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
+    tiles = buckets.select("key", *held, F.explode(F.sequence(F.lit(0), last)).alias("other")).withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
     tiles = tiles.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "id")
 
     def pairs_of(ids, comp, n, own, band, bits, keys, sets, tile) -> Iterator[pa.RecordBatch]:
@@ -328,46 +344,59 @@ def near_duplicates(docs: DataFrame, how: MinHash | None = None) -> DataFrame:
 
     Only ``doc_id`` and ``text`` are read; other columns, whatever their names, don't matter. A null or
     empty text, or one of white space, has no shingles and is linked with nothing: its component is its
-    own doc_id. Repeated rows each get their row back; rows that share a doc_id count as one document.
-    Rows without doc_id join the class of equal texts and are never the one that is kept. An empty table
-    gives an empty result.
+    own doc_id. Repeated rows each get their row back; rows that share a doc_id are one document, which is
+    linked with whatever one of its texts is linked with. Rows without doc_id join the class of equal texts
+    and are never the one that is kept. An empty table gives an empty result.
     """
     how = how or MinHash()
     signed = save(sign(docs, how), "neardup-signed")
     prints = ["print_a", "print_b"]
-    classes = save(signed.where("print_a is not null").groupBy(*prints).agg(F.min("doc_id").alias("id")), "neardup-classes")
-    reps = signed.where("print_a is not null").join(classes.select(F.col("id").alias("doc_id"), *prints), ["doc_id", *prints]).dropDuplicates(["doc_id"])
+    full = signed.where("print_a is not null")
+    classes = save(full.groupBy(*prints).agg(F.min("doc_id").alias("id")), "neardup-classes")
+    known = full.where("doc_id is not null")
+    repeated = not known.groupBy("doc_id").count().where("count > 1").isEmpty()
+    reps = known.join(classes.select(F.col("id").alias("doc_id"), *prints), ["doc_id", *prints])
+    reps = reps.dropDuplicates(["doc_id", *prints]) if repeated else reps
     reps = save(reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bits", "keys"), "neardup-reps")
     bits = reps.select("id", "n", "bits")
 
-    # Stars: each class with the smallest of its bucket.
-    bucket = Window.partitionBy("key")
+    # Stars: each class with the smallest of its bucket. Keys are counted before they are shuffled, and only
+    # members of buckets of several are looked up.
     banded = reps.select("id", F.posexplode("keys").alias("band", "key"))
-    banded = banded.withColumn("first", F.min("id").over(bucket)).withColumn("members", F.count("*").over(bucket))
-    banded = save(banded.where("members > 1"), "neardup-buckets")
+    buckets = banded.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("members")).where("members > 1")
+    buckets = save(buckets.select("key", "first"), "neardup-buckets")
+    blocks = blocks_for(buckets.count())
+    members = save(may_hold(banded, "key", bloom(buckets, "key", blocks), blocks), "neardup-members")
+    banded = save(spread_join(members, buckets, "key"), "neardup-banded")
 
     def with_bits(pairs: DataFrame) -> DataFrame:
-        for x in "ab":
-            pairs = pairs.join(bits.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")), x)
-        return pairs.where(_sized(how, "n_a", "n_b"))
+        left, right = (bits.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab")
+        return spread_join(pairs, left, "a").join(right, "b").where(_sized(how, "n_a", "n_b"))
 
-    stars = banded.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
+    stars = save(banded.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct(), "neardup-pairs")
     stars = save(_estimate(with_bits(stars), how), "neardup-stars")
-    links = save(confirm(stars, docs, how), "neardup-links")
-    label = components(links)
+    links = confirm(stars, docs, how, repeated)
+    if repeated:  # texts of one document
+        of = known.join(classes, prints).groupBy("doc_id", "id").count()
+        first = of.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("last")).where("a < last").select("doc_id", "a")
+        links = links.unionByName(of.join(first, "doc_id").where("a <> id").select("a", F.col("id").alias("b")))
+    links = save(links, "neardup-links")
+    label = connected_components(links, src="a", dst="b")
 
     # What the stars left open: buckets whose members are in more than one component.
-    named = banded.join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    open_keys = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    left_over = save(named.join(open_keys, "key", "left_semi").select("key", "band", "members", "id", "component"), "neardup-open")
-    sets = _open_sets(save(left_over.select("id").distinct(), "neardup-open-ids"), docs, how)
+    named = save(banded.join(label.withColumnRenamed("node", "id"), "id", "left").select("key", "band", "id", F.coalesce("component", "id").alias("component")), "neardup-named")
+    open_keys = save(named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key"), "neardup-open-keys")
+    open_ = save(spread_join(named, open_keys, "key"), "neardup-open")
+    sets = _open_sets(save(open_.select("id").distinct(), "neardup-open-ids"), docs, how, repeated)
     short = F.transform("keys", lambda k: F.substring(F.lpad(F.hex(k), 16, "0"), 9, 8))
-    known = reps.join(sets, "id").select("id", "n", "bits", F.unhex(F.array_join(short, "")).alias("keys"), "shingles")
-    known = save(known, "neardup-sets")
-    more = save(_between(left_over.join(known, "id"), how), "neardup-between")
-    more = save(confirm(more, docs, how), "neardup-more")
-    label = components(links.unionByName(more))
-
-    found = signed.join(classes, prints, "left").join(label.withColumnRenamed("node", "id"), "id", "left")
-    component = F.coalesce("component", "id", "doc_id")
+    held = reps.join(sets, "id").select("id", "n", "bits", F.unhex(F.array_join(short, "")).alias("keys"), "shingles")
+    held = save(held, "neardup-sets")
+    more = save(_between(_blocks(open_, how).join(held, "id"), how), "neardup-between")
+    more = save(confirm(more, docs, how, repeated), "neardup-more")
+    label = label if more.isEmpty() else connected_components(links.unionByName(more), src="a", dst="b")
+
+    # Copies of one text may be very many: classes get their components first, then rows their class.
+    final = save(classes.join(label.withColumnRenamed("node", "id"), "id", "left").select(*prints, F.coalesce("component", "id").alias("component")), "neardup-final")
+    found = spread_join(signed.select("doc_id", "n_shingles", *prints), final, prints, "left")
+    component = F.coalesce("component", "doc_id")
     return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))

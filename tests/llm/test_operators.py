@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from depweave.llm import ann, bpe, mixing, neardup, quality, sharding, tokenbin, tokencount, topk, urlfilter
-from depweave.llm.graph import components
+from depweave.operators.cluster import connected_components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
@@ -124,7 +124,7 @@ def test_estimate_is_near_the_similarity():
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(90)] + [(i, i + 1) for i in range(300, 360)] + [(5, 5), (None, 3)]
-    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long"), src="a", dst="b").collect()}
     root = {x: x for e in edges if None not in e for x in e}
     for _ in range(400):
         for a, b in edges:
