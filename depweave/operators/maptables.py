@@ -421,6 +421,7 @@ def flag_nodes(nodes: DataFrame, changes: DataFrame, outcomes: DataFrame) -> Dat
 
 
 def group_decisions(decisions: DataFrame, by: str = "category", blank: str = "General") -> DataFrame:
-    """Groups of decisions in id order (A25); a blank category is ``General``."""
+    """group, decision_id, text: decisions with their group, to be listed by group and id (A25); a blank category is
+    ``General``. A group may hold any number of decisions, so it isn't made one row."""
     key = F.when(F.trim(F.coalesce(F.col(by).cast("string"), F.lit(""))) == "", blank).otherwise(F.col(by).cast("string"))
-    return decisions.groupBy(key.alias("group")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("decision_id", "text"))).alias("decisions"))
+    return decisions.select(key.alias("group"), "decision_id", "text")

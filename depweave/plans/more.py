@@ -256,11 +256,11 @@ def apply_split_responses(spark: SparkSession, sf: str) -> DataFrame:
     return components.apply_split_responses(c.select("cluster", "path"), c.where("k % 4 <> 0").select("cluster", "part_ord", "name", "path"))
 
 
-@register(query("""SELECT n_nationkey AS cluster, CASE WHEN k = 2 THEN 'p' || p ELSE CASE WHEN k IN (1, 2) AND n > 0 THEN 'p0' ELSE n_name END END AS name, CAST(CASE WHEN k = 0 THEN 0.3 WHEN k = 3 THEN coalesce(conf, 0.5) ELSE coalesce(conf, 0.7) END AS DOUBLE) AS confidence FROM (
-                SELECT n_nationkey, n_name, n_nationkey % 4 AS k, 2 AS n, CASE WHEN n_nationkey % 3 = 0 THEN 0.9 END AS conf FROM nation) JOIN (SELECT unnest([0, 1]) AS p) ON k = 2 OR p = 0"""))
+@register(query("""SELECT c_custkey AS cluster, CASE WHEN k = 2 THEN 'p' || p WHEN k = 1 THEN 'p0' ELSE c_name END AS name, CAST(CASE WHEN k = 0 THEN 0.3 WHEN k = 3 THEN coalesce(conf, 0.5) ELSE coalesce(conf, 0.7) END AS DOUBLE) AS confidence FROM (
+                SELECT c_custkey, c_name, c_custkey % 4 AS k, CASE WHEN c_custkey % 3 = 0 THEN 0.9 END AS conf FROM customer) JOIN (SELECT unnest([0, 1]) AS p) ON k = 2 OR p = 0"""))
 def components_from_responses(spark: SparkSession, sf: str) -> DataFrame:
-    """Nations as clusters: without an answer, with one name for two parts, split in two, and without parts."""
-    n = V.table(spark, sf, "nation").select(F.col("n_nationkey").alias("cluster"), F.col("n_name").alias("name"))
+    """Customers as clusters: without an answer, with one name for two parts, split in two, and without parts."""
+    n = V.table(spark, sf, "customer").select(F.col("c_custkey").alias("cluster"), F.col("c_name").alias("name"))
     k = F.col("cluster") % 4
     parts = F.when(k.isin(1, 2), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(None).cast("int")))
     r = n.where("cluster % 4 > 0").select("cluster", F.lit(True).alias("ok"), (k == 2).alias("should_split"), F.when(F.col("cluster") % 3 == 0, 0.9).alias("confidence"), F.lit("main").alias("primary_responsibility"), F.explode(parts).alias("part_ord"))
@@ -351,17 +351,17 @@ def apply_proposals(spark: SparkSession, sf: str) -> DataFrame:
 # The map.
 
 
-_MODDOC = "SELECT 'n' || n_nationkey AS key, n_nationkey AS k, n_regionkey AS r, n_name AS name FROM nation"
+_MODDOC = "SELECT 'n' || c_custkey AS key, c_custkey AS k, 'C' || c_custkey AS name FROM customer"
 
 
-@register(query("SELECT a.name AS source, b.name AS target, edge_type, label FROM (SELECT key AS s, 'n' || ((k + 1) % 30) AS t, 'communicates_via' AS edge_type, CASE WHEN k % 2 = 0 THEN 'p: ' ELSE 'calls ' END AS pre FROM m UNION ALL SELECT key, 'n' || (k * 7 % 30), 'depends_on', 'uses ' FROM m WHERE k % 3 <> 0 UNION ALL SELECT 'n' || ((k + 2) % 25), key, 'depends_on', 'uses ' FROM m WHERE k % 5 = 0 AND NOT EXISTS (SELECT 1 FROM m x WHERE x.k = (m.k + 2) % 25 AND x.k % 3 <> 0 AND x.k * 7 % 30 = m.k)) JOIN m a ON a.key = s JOIN m b ON b.key = t, LATERAL (SELECT pre || b.name AS label)", m=_MODDOC))
+@register(query("SELECT a.name AS source, b.name AS target, edge_type, label FROM (SELECT key AS s, 'n' || (k + 1) AS t, 'communicates_via' AS edge_type, CASE WHEN k % 2 = 0 THEN 'p: ' ELSE 'calls ' END AS pre FROM m UNION ALL SELECT key, 'n' || (k * 7 % 151), 'depends_on', 'uses ' FROM m WHERE k % 3 <> 0 UNION ALL SELECT 'n' || (k + 2), key, 'depends_on', 'uses ' FROM m WHERE k % 5 = 0 AND NOT EXISTS (SELECT 1 FROM m x WHERE x.k = m.k + 2 AND x.k % 3 <> 0 AND x.k * 7 % 151 = m.k)) JOIN m a ON a.key = s JOIN m b ON b.key = t, LATERAL (SELECT pre || b.name AS label)", m=_MODDOC))
 def ingest_modules(spark: SparkSession, sf: str) -> DataFrame:
-    """Nations as modules of one published document, with relationships and consumers."""
-    k = F.col("n_nationkey")
+    """Customers as modules of one published document, with relationships and consumers."""
+    k = F.col("c_custkey")
     relation = lambda t, kind, protocol: F.struct(t.alias("targetModuleId"), F.lit(kind).alias("type"), protocol.alias("protocol"))
-    via = relation(text("n", (k + 1) % 30), "communicates_via", F.when(k % 2 == 0, "p").otherwise(""))
-    uses = F.when(k % 3 != 0, relation(text("n", k * 7 % 30), "depends_on", F.lit(None).cast("string")))
-    m = V.table(spark, sf, "nation").select(k.alias("k"), F.struct(text("n", k).alias("id"), F.col("n_name").alias("name"), F.when(k % 5 == 0, "shared-library").otherwise("module").alias("classification"), F.filter(F.array(via, uses), lambda x: x.isNotNull()).alias("relationships"), F.when(k % 5 == 0, F.array(text("n", (k + 2) % 25))).alias("consumedBy")).alias("m"))
+    via = relation(text("n", k + 1), "communicates_via", F.when(k % 2 == 0, "p").otherwise(""))
+    uses = F.when(k % 3 != 0, relation(text("n", k * 7 % 151), "depends_on", F.lit(None).cast("string")))
+    m = V.table(spark, sf, "customer").select(k.alias("k"), F.struct(text("n", k).alias("id"), text("C", k).alias("name"), F.when(k % 5 == 0, "shared-library").otherwise("module").alias("classification"), F.filter(F.array(via, uses), lambda x: x.isNotNull()).alias("relationships"), F.when(k % 5 == 0, F.array(text("n", k + 2))).alias("consumedBy")).alias("m"))
     doc = m.agg(F.to_json(F.struct(F.transform(F.array_sort(F.collect_list(F.struct("k", F.to_json("m").alias("j")))), lambda x: F.from_json(x["j"], m.schema["m"].dataType)).alias("modules"))).alias("value"))
     out = maptables.ingest_modules_single(doc)
     names = out["modules"].select("module_id", "name")

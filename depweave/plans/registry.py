@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -558,16 +560,33 @@ def import_map_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 @register(
     query(
-        """SELECT 'modules' AS table_name, count(*) AS n FROM mods WHERE module_id <> 2 UNION ALL SELECT 'module_directories', count(*) FROM mdirs WHERE module_id <> 2 UNION ALL SELECT 'components', count(*) FROM comps WHERE module_id <> 2
-        UNION ALL SELECT 'component_files', count(*) FROM cfiles WHERE component_id NOT IN (SELECT component_id FROM gone) UNION ALL SELECT 'component_edges', count(*) FROM cedges WHERE source_id NOT IN (SELECT component_id FROM gone) AND target_id NOT IN (SELECT component_id FROM gone)
-        UNION ALL SELECT 'module_edges', count(*) FROM medges WHERE source_id <> 2 AND target_id <> 2
-        UNION ALL SELECT 'decisions', count(*) FROM decs WHERE (module_id IS NULL OR module_id <> 2) AND (component_id IS NULL OR component_id NOT IN (SELECT component_id FROM gone))""",
+        """SELECT 'module' AS kind, module_id AS a, name AS b FROM mods WHERE module_id <> 2 UNION ALL SELECT 'directory', module_id, directory FROM mdirs WHERE module_id <> 2 UNION ALL SELECT 'component', component_id, name FROM comps WHERE module_id <> 2
+        UNION ALL SELECT 'file', component_id, path FROM cfiles WHERE component_id NOT IN (SELECT component_id FROM gone) UNION ALL SELECT 'component edge', source_id, CAST(target_id AS VARCHAR) FROM cedges WHERE source_id NOT IN (SELECT component_id FROM gone) AND target_id NOT IN (SELECT component_id FROM gone)
+        UNION ALL SELECT 'module edge', source_id, CAST(target_id AS VARCHAR) FROM medges WHERE source_id <> 2 AND target_id <> 2
+        UNION ALL SELECT 'decision', decision_id, text FROM decs WHERE (module_id IS NULL OR module_id <> 2) AND (component_id IS NULL OR component_id NOT IN (SELECT component_id FROM gone))""",
         "mods", "mdirs", "comps", "cfiles", "decs", "medges", "cedges", gone="SELECT component_id FROM comps WHERE module_id = 2",
     )
 )
 def cascade_delete(spark: SparkSession, sf: str) -> DataFrame:
     t = V.map_tables(spark, sf)
-    return maptables.table_counts(maptables.delete_modules(t, t["modules"].where("module_id = 2")))
+    left = maptables.delete_modules(t, t["modules"].where("module_id = 2"))
+    shown = [("module", "modules", "module_id", "name"), ("directory", "module_directories", "module_id", "directory"), ("component", "components", "component_id", "name"), ("file", "component_files", "component_id", "path"), ("component edge", "component_edges", "source_id", "target_id"), ("module edge", "module_edges", "source_id", "target_id"), ("decision", "decisions", "decision_id", "text")]
+    parts = [left[table].select(F.lit(kind).alias("kind"), F.col(a).alias("a"), F.col(b).cast("string").alias("b")) for kind, table, a, b in shown]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@register(
+    query(
+        """SELECT 'component' AS kind, row_number() OVER (ORDER BY module_id, component_id) AS id, module_id + 1 AS owner, name AS text FROM comps
+        UNION ALL SELECT 'decision', row_number() OVER (ORDER BY component_id IS NOT NULL, m, c, decision_id), coalesce(m, c), text FROM (SELECT d.decision_id, d.component_id, d.text, d.module_id + 1 AS m, n.c FROM decs d LEFT JOIN (SELECT component_id, row_number() OVER (ORDER BY module_id, component_id) AS c FROM comps) n ON n.component_id = d.component_id)""",
+        "comps", "decs",
+    )
+)
+def import_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """Components and decisions of an imported map, with their new ids and owners."""
+    t = maptables.import_tables(V.map_tables(spark, sf))
+    own = t["components"].select(F.lit("component").alias("kind"), F.col("component_id").alias("id"), F.col("module_id").alias("owner"), F.col("name").alias("text"))
+    return own.unionByName(t["decisions"].select(F.lit("decision").alias("kind"), F.col("decision_id").alias("id"), F.coalesce("module_id", "component_id").alias("owner"), "text"))
 
 
 _REL = "SELECT 'NATION_' || (o_custkey % 30) AS source, 'NATION_' || (o_orderkey % 27) AS target, CASE WHEN o_orderkey % 3 = 0 THEN 'uses_data_store' ELSE 'depends_on' END AS edge_type, o_orderkey AS ord FROM orders"
@@ -621,9 +640,11 @@ def module_pair_strength(spark: SparkSession, sf: str) -> DataFrame:
     return rollup.module_pair_strength(e, V.components(spark, sf).select(F.col("component_id").alias("component"), F.col("module_id").alias("module")), m)
 
 
-@register(query("SELECT module_id, direction, coalesce(m.name, 'Module #' || other) AS neighbour, edge_type FROM (SELECT source_id AS module_id, target_id AS other, 'depends_on' AS direction, edge_type FROM medges UNION ALL SELECT target_id, source_id, 'used_by', edge_type FROM medges) e LEFT JOIN (SELECT module_id AS mid, name FROM mods WHERE module_id <> 3) m ON m.mid = other", "medges", "mods"))
+@register(query("SELECT module_id, direction, coalesce(m.name, 'Module #' || other) AS neighbour, edge_type FROM (SELECT source_id AS module_id, target_id AS other, 'depends_on' AS direction, edge_type FROM cedges UNION ALL SELECT target_id, source_id, 'used_by', edge_type FROM cedges) e LEFT JOIN (SELECT component_id AS mid, name FROM comps WHERE component_id <> 3) m ON m.mid = other", "cedges", "comps"))
 def module_neighbours(spark: SparkSession, sf: str) -> DataFrame:
-    return maptables.module_neighbours(V.modules(spark, sf).where("module_id <> 3"), V.module_edges(spark, sf))
+    """Nations as modules, of which one has no name, with the edges of all line items."""
+    mods = V.components(spark, sf).where("component_id <> 3").select(F.col("component_id").alias("module_id"), "name")
+    return maptables.module_neighbours(mods, V.component_edges(spark, sf))
 
 
 @register(query("SELECT component_id, name FROM comps WHERE module_id IN (SELECT module_id FROM mods WHERE classification <> 'supporting-asset' AND source_origin = 'in-repo') AND component_id IN (SELECT component_id FROM cfiles WHERE NOT is_test)", "comps", "mods", "cfiles"))
@@ -632,9 +653,9 @@ def component_worklist(spark: SparkSession, sf: str) -> DataFrame:
     return maptables.component_worklist(t["modules"], t["components"], t["component_files"]).select("component_id", "name")
 
 
-@register(query("SELECT CASE WHEN trim(coalesce(detail, '')) = '' THEN 'General' ELSE detail END AS \"group\", count(*) AS n FROM decs GROUP BY 1", "decs"))
+@register(query("SELECT CASE WHEN trim(coalesce(detail, '')) = '' THEN 'General' ELSE detail END AS \"group\", decision_id, text FROM decs", "decs"))
 def group_decisions(spark: SparkSession, sf: str) -> DataFrame:
-    return maptables.group_decisions(V.decisions(spark, sf), "detail").select("group", "n")
+    return maptables.group_decisions(V.decisions(spark, sf), "detail")
 
 
 # Text.
@@ -672,11 +693,11 @@ def batch_by_budget(spark: SparkSession, sf: str) -> DataFrame:
     return textbatch.batch_by_budget(rows, "source", "doc_id", "size", 20000).select("source", "doc_id", "batch_no")
 
 
-@register(query("SELECT request_id, CAST(regexp_extract(text, '\"k\": ([0-9]+)', 1) AS BIGINT) AS k FROM resp WHERE text LIKE '%{%'", "resp"))
+@register(query("SELECT request_id, CASE WHEN text LIKE '%{%' THEN 'json' ELSE 'none' END AS state, CASE WHEN text LIKE '%{%' THEN CAST(regexp_extract(text, '\"k\": ([0-9]+)', 1) AS BIGINT) END AS k FROM resp", "resp"))
 def extract_json(spark: SparkSession, sf: str) -> DataFrame:
-    ok, _ = textbatch.extract_json(V.responses(spark, sf))
+    ok, bad = textbatch.extract_json(V.responses(spark, sf))
     one = F.coalesce(F.get_json_object("json", "$.k"), F.get_json_object("json", "$[0].k"))
-    return ok.select("request_id", one.cast("long").alias("k"))
+    return ok.select("request_id", F.lit("json").alias("state"), one.cast("long").alias("k")).unionByName(bad.select("request_id", F.lit("none").alias("state"), F.lit(None).cast("long").alias("k")))
 
 
 @register(
@@ -693,14 +714,18 @@ def cap_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 @register(
     query(
-        "SELECT path, coalesce(n_kinds, 0) AS n_kinds, CAST(coalesce(least(e, 30), 0) AS INTEGER) AS n_exports FROM (SELECT node AS path FROM nodes) LEFT JOIN (SELECT path, count(DISTINCT kind) FILTER (kind IN (17, 26, 9, 7)) AS n_kinds, count(*) FILTER (kind IN (17, 7)) AS e FROM occ GROUP BY 1) USING (path)",
+        "SELECT path, coalesce(kinds, '') AS kinds, coalesce(exports, '') AS exports FROM (SELECT node AS path FROM nodes) LEFT JOIN k USING (path) LEFT JOIN e USING (path)",
         "nodes", "occ",
+        x="SELECT path, kind, CASE kind WHEN 17 THEN 'Function' WHEN 26 THEN 'Method' WHEN 9 THEN 'Constructor' WHEN 7 THEN 'Class' END AS kn, rtrim(symbol, '.') AS name, doc_ord, occ_ord FROM occ WHERE kind <> 0",
+        k="SELECT path, string_agg(kn || '=' || names, ';' ORDER BY kn) AS kinds FROM (SELECT path, kn, string_agg(name, ',' ORDER BY doc_ord, occ_ord) AS names FROM x GROUP BY 1, 2) GROUP BY 1",
+        e="SELECT path, string_agg(name, ',' ORDER BY rn) AS exports FROM (SELECT path, name, row_number() OVER (PARTITION BY path ORDER BY doc_ord, occ_ord) AS rn FROM x WHERE kind IN (17, 7)) WHERE rn <= 30 GROUP BY 1",
     )
 )
 def file_metadata(spark: SparkSession, sf: str) -> DataFrame:
     occ = V.occurrences(spark, sf)
     rows = textbatch.file_metadata(occ.select(F.col("relative_path").alias("path")), V.symbols(spark, sf), occ)
-    return rows.select("path", F.size("symbol_kinds").cast("long").alias("n_kinds"), F.size("exports").alias("n_exports"))
+    kinds = F.array_join(F.transform(F.array_sort(F.map_keys("symbol_kinds")), lambda k: F.concat(k, F.lit("="), F.array_join(F.col("symbol_kinds")[k], ","))), ";")
+    return rows.select("path", kinds.alias("kinds"), F.array_join("exports", ",").alias("exports"))
 
 
 # Diagnostics.

@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from depweave.functions.names import spare
+
 _own: dict[str, str] = {}
 
 
@@ -59,8 +61,9 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
 def numbered(df: DataFrame, order: list[str], out: str) -> DataFrame:
     """``df`` with numbers from 1 in the given order: sorted ranges are written, and each range's rows follow
     the counts of those before it. Only counts, one row a range, meet in one task."""
+    at, place, ahead, n = spare([*df.columns, out], "range", "place", "ahead", "n")
     rows = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    rows = cut(rows.withColumns({"_range": F.spark_partition_id(), "_place": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}), "numbered")
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = rows.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    return rows.join(F.broadcast(ranges), "_range").withColumn(out, F.col("_before") + F.col("_place") + 1).drop("_range", "_place", "_before")
+    rows = cut(rows.withColumns({at: F.spark_partition_id(), place: F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}), "numbered")
+    before = Window.orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = rows.groupBy(at).agg(F.count("*").alias(n)).select(at, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(ahead))
+    return rows.join(F.broadcast(ranges), at).withColumn(out, F.col(ahead) + F.col(place) + 1).drop(at, place, ahead)
