@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from depweave.llm.store import save
+from depweave.operators.spread import spread_join
 
 #: The words that sizes count.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -61,49 +62,62 @@ def targets(sizes: DataFrame, how: Mix) -> DataFrame:
     return rows.select("source", "source_size", "n", target.alias("target"))
 
 
-def mix(docs: DataFrame, how: Mix | None = None) -> DataFrame:
-    """``docs`` plus size, source_size, target, taken (words taken, repeats counted).
+def _taken(docs: DataFrame, kept: list[str], how: Mix) -> DataFrame:
+    """body (a struct of the kept columns), size, source_size, target, taken.
 
-    The sum of ``taken`` over a source is its target rounded to a word. A null source is a source of its
-    own, after all others; null or empty texts have size 0 and take nothing. Rows that repeat a doc_id are
-    documents of their own, in the order of their texts' hashes. An empty table gives an empty result.
-    Columns of ``docs`` named like the new ones are replaced.
-    """
-    how = how or Mix()
-    new = ["size", "source_size", "target", "taken"]
-    kept = [c for c in docs.columns if c.lower() not in new]
-    key = F.md5(F.concat(F.lit(f"{how.seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    rows = docs.select(*(docs[c] for c in kept), word_count("text").alias("size"), key.alias("_key"), F.xxhash64("text").alias("_tie"))
-    totals = save(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), "mix-sources")
+    Words are counted once into a narrow table, and once more only where texts themselves are kept."""
+    body = F.struct(*(docs[c] for c in kept)) if kept else F.struct(F.lit(0).alias("none"))
+    source = F.coalesce(F.concat(F.lit("s"), docs["source"].cast("string")), F.lit("none"))
+    key = F.md5(F.concat(F.lit(f"{how.seed}:"), F.coalesce(docs["doc_id"].cast("string"), F.lit(""))))
+    rows = docs.select(body.alias("body"), docs["source"].alias("source"), source.alias("of"), docs["doc_id"].alias("doc_id"), word_count("text").alias("size"), key.alias("key"), F.xxhash64(docs["text"]).alias("tie"))
+    if "text" in (c.lower() for c in kept):
+        sizes = save(rows.select("source", "of", "size", "key"), "mix-sizes")
+    else:
+        rows = sizes = save(rows, "mix-sizes")
+    totals = save(sizes.groupBy("source", "of").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), "mix-sources")
     n_sources, n_rows = totals.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     few = n_sources <= how.most_sources
     each = max(how.range_rows, -(-n_rows // how.most_ranges))
-    plan = targets(totals, how).select(F.col("source").alias("_of"), "source_size", "target", F.greatest(F.lit(1), F.ceil(F.col("n") / each)).alias("_ranges"))
-    rows = rows.join(F.broadcast(plan) if few else plan, F.col("source").eqNullSafe(F.col("_of"))).drop("_of")
-    share = F.conv(F.substring("_key", 1, 8), 16, 10).cast("long")
-    rows = rows.withColumn("_range", F.floor(share * F.col("_ranges") / F.lit(2**32)).cast("long"))
-
-    sums = rows.groupBy("source", "_range").agg(F.sum("size").alias("_sum"))
-    along = Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(F.col("source").alias("_of"), F.col("_range").alias("_at"), F.coalesce(F.sum("_sum").over(along), F.lit(0)).alias("_offset"))
-    at = F.col("source").eqNullSafe(F.col("_of")) & (F.col("_range") == F.col("_at"))
-    # At most ``most_ranges`` and one for each source.
-    rows = rows.join(F.broadcast(offsets) if few else offsets, at).drop("_of", "_at")
+    plan = targets(totals, how).select(F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("none")).alias("of"), "source_size", "target", F.greatest(F.lit(1), F.ceil(F.col("n") / each)).alias("ranges"))
+    share = F.conv(F.substring("key", 1, 8), 16, 10).cast("long")
 
-    within = Window.partitionBy("source", "_range").orderBy("_key", "doc_id", "_tie", "size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_before", F.col("_offset") + F.coalesce(F.sum("size").over(within), F.lit(0)))
+    def ranged(table: DataFrame) -> DataFrame:
+        joined = table.join(F.broadcast(plan), "of") if few else spread_join(table, plan, "of", counted=sizes)
+        return joined.withColumn("range", F.floor(share * F.col("ranges") / F.lit(2**32)).cast("long"))
+
+    sums = ranged(sizes).groupBy("of", "range").agg(F.sum("size").alias("sum"))
+    along = Window.partitionBy("of").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("of", "range", F.coalesce(F.sum("sum").over(along), F.lit(0)).alias("offset"))
+    # At most ``most_ranges`` and one for each source.
+    rows = ranged(rows).join(F.broadcast(offsets) if few else offsets, ["of", "range"])
+    within = Window.partitionBy("of", "range").orderBy("key", "doc_id", "tie", "size").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("offset") + F.coalesce(F.sum("size").over(within), F.lit(0))
     budget = F.round("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
     rest = budget - epochs * F.col("source_size")
-    taken = epochs * F.col("size") + F.least(F.col("size"), F.greatest(F.lit(0).cast("long"), rest - F.col("_before")))
-    return rows.select(*kept, "size", "source_size", "target", taken.alias("taken"))
+    taken = epochs * F.col("size") + F.least(F.col("size"), F.greatest(F.lit(0).cast("long"), rest - F.col("before")))
+    return rows.withColumn("before", before).select("body", "size", "source_size", "target", taken.alias("taken"))
+
+
+def mix(docs: DataFrame, how: Mix | None = None, columns: list[str] | None = None) -> DataFrame:
+    """``columns`` of ``docs`` (by default all) plus size, source_size, target, taken (words taken, repeats counted).
+
+    The sum of ``taken`` over a source is its target rounded to a word. A null source is a source of its
+    own, after all others; null or empty texts have size 0 and take nothing. Rows that repeat a doc_id are
+    documents of their own, in the order of their texts' hashes. An empty table gives an empty result.
+    Columns named like the new ones are replaced, all other names are free.
+    """
+    new = ["size", "source_size", "target", "taken"]
+    kept = [c for c in columns or docs.columns if c.lower() not in new]
+    return _taken(docs, kept, how or Mix()).select(*(F.col("body")[c].alias(c) for c in kept), *new)
 
 
 def mixed_documents(docs: DataFrame, how: Mix | None = None) -> DataFrame:
-    """The mix as documents, with the columns of ``docs``: a document comes as often as the mix takes it,
-    the one that a budget cuts through if at least half of it is taken. Documents without words, which
-    cost nothing, come once."""
-    rows = mix(docs, how)
+    """The mix as documents, with the columns of ``docs``, whatever their names: a document comes as often as the mix
+    takes it, the one that a budget cuts through if at least half of it is taken. Documents without words, which
+    cost nothing, come once. Null sources, repeated rows and an empty table are as in ``mix``."""
+    rows = _taken(docs, docs.columns, how or Mix())
     copies = F.when(F.col("size") == 0, 1).otherwise(F.round(F.col("taken") / F.col("size"))).cast("int")
-    rows = rows.withColumn("_copies", copies).where("_copies > 0")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
+    rows = rows.select("body", copies.alias("copies")).where("copies > 0")
+    rows = rows.select("body", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return rows.select(*(F.col("body")[c].alias(c) for c in docs.columns))
