@@ -33,12 +33,12 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(docs, columns=["doc_id"]).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    return sharding.shard(docs).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    return sharding.shard(docs, columns=["doc_id"]).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
