@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from depweave.functions.names import spare
+
 LANES = 4
 
 
@@ -28,22 +30,25 @@ def _mask(key: Column, lane: int) -> Column:
 
 
 def bloom(keys: DataFrame, key: str, blocks: int) -> DataFrame:
-    """_block and _lane0.._lane3 of the filter of a column."""
-    masks = keys.select(_block(F.col(key), blocks).alias("_block"), *(_mask(F.col(key), i).alias(f"_lane{i}") for i in range(LANES)))
-    return masks.groupBy("_block").agg(*(F.bit_or(f"_lane{i}").alias(f"_lane{i}") for i in range(LANES)))
+    """block and lane0.. of the filter of a column."""
+    masks = keys.select(_block(F.col(key), blocks).alias("block"), *(_mask(F.col(key), i).alias(f"lane{i}") for i in range(LANES)))
+    return masks.groupBy("block").agg(*(F.bit_or(f"lane{i}").alias(f"lane{i}") for i in range(LANES)))
 
 
-def marked(rows: DataFrame, key: str, filter_: DataFrame, blocks: int) -> DataFrame:
-    """``rows`` plus ``_may``: whether the filter may hold the key (false for a null one)."""
-    joined = rows.withColumn("_block", _block(F.col(key), blocks)).join(F.broadcast(filter_), "_block", "left")
-    may = F.col(key).isNotNull()
-    for i in range(LANES):
-        may = may & (F.col(f"_lane{i}").bitwiseAND(_mask(F.col(key), i)) != 0)
-    return joined.select(*rows.columns, F.coalesce(may, F.lit(False)).alias("_may"))
+def marked(rows: DataFrame, key: str, filter_: DataFrame, blocks: int) -> tuple[DataFrame, str]:
+    """``rows`` with one more column, and its name: whether the filter may hold the key (false for a null one)."""
+    block, may, *lanes = spare(rows.columns, "block", "may", *(f"lane{i}" for i in range(LANES)))
+    bits = filter_.toDF(block, *lanes)
+    joined = rows.withColumn(block, _block(F.col(key), blocks)).join(F.broadcast(bits), block, "left")
+    hit = F.col(key).isNotNull()
+    for i, lane in enumerate(lanes):
+        hit = hit & (F.col(lane).bitwiseAND(_mask(F.col(key), i)) != 0)
+    return joined.select(*rows.columns, F.coalesce(hit, F.lit(False)).alias(may)), may
 
 
 def may_hold(rows: DataFrame, key: str, filter_: DataFrame, blocks: int) -> DataFrame:
-    return marked(rows, key, filter_, blocks).where("_may").drop("_may")
+    own, may = marked(rows, key, filter_, blocks)
+    return own.where(F.col(may)).drop(may)
 
 
 def only_keys(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
@@ -56,5 +61,5 @@ def only_keys(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
 def without_keys(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     """Left anti join with ``keys`` (distinct): rows that the filter rules out pass by, the others are looked up."""
     blocks = blocks_for(keys.count())
-    own = marked(rows, key, bloom(keys, key, blocks), blocks)
-    return own.where("not _may").drop("_may").unionByName(own.where("_may").drop("_may").join(keys, key, "left_anti"))
+    own, may = marked(rows, key, bloom(keys, key, blocks), blocks)
+    return own.where(~F.col(may)).drop(may).unionByName(own.where(F.col(may)).drop(may).join(keys, key, "left_anti").select(rows.columns))

@@ -15,17 +15,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from depweave.llm.bloom import blocks_for, bloom, may_hold
+from depweave.llm.store import save
+from depweave.operators.spread import spread_join
 
 
 @dataclass(frozen=True)
 class UrlRules:
     """``default``: the verdict without a rule. ``bits_per_rule`` and ``max_blocks`` (of 256 bits) bound the
     filter: 2**18 blocks are 8 MB. With more rules than that suits, more keys reach the exact join; results
-    stay the same."""
+    stay the same. Up to ``few_rules`` rules are broadcast for the exact hash join; more are shuffled."""
 
     default: str = "allow"
     bits_per_rule: int = 32
     max_blocks: int = 1 << 18
+    few_rules: int = 1 << 16
 
 
 def url_host(url: str) -> Column:
@@ -51,7 +54,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, how: UrlRules | None = None,
     (host and path together) wins, ties to the smaller text, and of repeated rules the smaller verdict.
     A null URL or one without ``://`` has an empty host and path and gets the default verdict. Repeated
     pages keep their rows; an empty page or rule table works. Columns of ``pages`` named like the new ones
-    are replaced; any others stay.
+    are replaced; any others stay, whatever their names.
     """
     how = how or UrlRules()
     lower = F.translate(F.coalesce("host", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -59,13 +62,16 @@ def judge_urls(pages: DataFrame, rules: DataFrame, how: UrlRules | None = None,
     listed = listed.where("host <> ''").groupBy("key", "cut").agg(F.min("verdict").alias("verdict"))
     # Bounded: one row for each length that a rule's path has.
     cuts = sorted(r.cut for r in listed.select("cut").distinct().collect())
-    blocks = blocks_for(listed.count(), how.bits_per_rule, how.max_blocks)
+    n = listed.count()
+    blocks = blocks_for(n, how.bits_per_rule, how.max_blocks)
 
     new = ["host", "path", "rule", "verdict"]
     kept = [c for c in pages.columns if c.lower() not in new]
-    pages = pages.select(*(pages[c] for c in kept)).withColumn("host", url_host(url)).withColumn("path", url_path(url))
+    body = F.struct(*(pages[c] for c in kept)) if kept else F.struct(F.lit(0).alias("none"))
+    pages = pages.select(body.alias("body"), url_host(url).alias("host"), url_path(url).alias("path"))
+    own = [F.col("body")[c].alias(c) for c in kept]
     if not cuts:
-        return pages.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(how.default)})
+        return pages.select(*own, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(how.default).alias("verdict"))
 
     # A URL's verdict hangs on host and path only: each pair that may match is judged once.
     labels = F.split("host", r"\.")
@@ -76,10 +82,13 @@ def judge_urls(pages: DataFrame, rules: DataFrame, how: UrlRules | None = None,
     distinct = pages.select("host", "path").where("host <> ''").distinct()
     possible = distinct.select("host", "path", F.explode(keys).alias("k")).select("host", "path", "k.key", "k.cut")
     possible = may_hold(possible, "key", bloom(listed, "key", blocks), blocks)
-    hits = possible.join(listed, ["key", "cut"])
+    if n <= how.few_rules:
+        hits = possible.join(F.broadcast(listed), ["key", "cut"])
+    else:
+        hits = spread_join(save(possible, "url-keys"), listed, ["key", "cut"], hint="shuffle_hash")
     best = F.min_by(F.struct("key", "verdict"), F.struct(-F.length("key"), F.col("key"), F.col("verdict")))
-    judged = hits.groupBy("host", "path").agg(best.alias("best"))
-    return (
-        pages.join(judged, ["host", "path"], "left")
-        .select(*kept, "host", "path", F.col("best.key").alias("rule"), F.coalesce("best.verdict", F.lit(how.default)).alias("verdict"))
+    judged = save(hits.groupBy("host", "path").agg(best.alias("best")), "url-verdicts")
+    # One URL may be that of many pages.
+    return spread_join(pages, judged, ["host", "path"], "left").select(
+        *own, "host", "path", F.col("best.key").alias("rule"), F.coalesce("best.verdict", F.lit(how.default)).alias("verdict")
     )
