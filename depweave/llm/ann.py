@@ -183,8 +183,9 @@ def nearest(table: DataFrame, how: Probing | None = None, vector: str = "embeddi
 
     The score is the inner product of the original vectors in doubles. Vectors that are null, empty, zero or
     hold null or non-finite components take no part, nor do rows without vec_id; short vectors are filled up
-    with zeros. Rows that repeat a vec_id are candidates of their own but one query. Every row is in some
-    list; long lists are dealt over several tiles. An empty table gives an empty result.
+    with zeros. Rows that repeat a vec_id are candidates of their own but one query: the smallest of their vectors.
+    Every row is in some list; long lists are dealt over several tiles. A query whose lists hold fewer than ``k``
+    candidates searches all lists, so it is short only where the table is. An empty table gives an empty result.
     """
     how = how or Probing()
     rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"))
@@ -207,41 +208,54 @@ def nearest(table: DataFrame, how: Probing | None = None, vector: str = "embeddi
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, pa.int32())], names=["vec_id", "v", "list"])
 
     groups = max(1, min(len(lists.centroids), -(-n // how.tile_docs)))
-
-    def probing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            away = _distances(placed(matrix(batch.column(1), width), lists.rotation, None), lists.centroids)
-            to = np.argsort(away, axis=1)[:, : lists.probes].astype(np.int32)
-            for g in range(groups):  # of each group of lists the probed ones
-                own = to % groups == g
-                rows = np.flatnonzero(own.any(1))
-                ends = np.concatenate(([0], np.cumsum(own[rows].sum(1)))).astype(np.int32)
-                probes = pa.ListArray.from_arrays(pa.array(ends), pa.array(to[rows][own[rows]], pa.int32()))
-                at = pa.array(rows)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(np.full(len(rows), g, np.int32)), probes], names=["vec_id", "v", "tile", "probes"])
-
     index = save(rows.select("vec_id", "v").mapInArrow(keyed, "vec_id long, v array<double>, list int"), "ann-index")
-    asked = rows.where(F.pmod("vec_id", F.lit(how.every)) == 0).dropDuplicates(["vec_id"]).select("vec_id", "v")
-    asked = save(asked.mapInArrow(probing, "vec_id long, v array<double>, tile int, probes array<int>"), "ann-queries")
     # One row a group of lists, of which there are ``most_lists`` at most. A long list is dealt over parts.
     index = index.withColumn("tile", F.col("list") % groups)
     shape = index.groupBy("tile").agg(F.ceil(F.count("*") / (2 * how.tile_docs)).cast("int").alias("parts"))
-    turns = asked.groupBy("tile").agg(F.ceil(F.count("*") / how.tile_queries).cast("int").alias("turns"))
-    shape = F.broadcast(shape.join(turns, "tile"))
     key = F.xxhash64("vec_id")
     each = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
-    docs = index.join(shape, "tile").select("vec_id", "v", "list", "tile", F.pmod(key, "parts").cast("int").alias("part"), each("turns").alias("turn"))
-    queries = asked.join(shape, "tile").select("vec_id", "v", "probes", "tile", each("parts").alias("part"), F.pmod(key, "turns").cast("int").alias("turn"))
-
-    def run(docs: pa.Table, queries: pa.Table) -> pa.Table:
-        kinds = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
-        if not docs.num_rows or not queries.num_rows:
-            return kinds.empty_table()
-        x, q = (matrix(t["v"], width) for t in (docs, queries))
-        ids, of = (t["vec_id"].to_numpy() for t in (docs, queries))
-        probes = [np.array(p, np.int32) for p in queries["probes"].to_pylist()]
-        at, score, vec = search_lists(ids, x, docs["list"].to_numpy(), of, q, probes, lists, how)
-        return pa.table([pa.array(of[at]), pa.array(vec), pa.array(score)], schema=kinds)
-
-    tile = ["tile", "part", "turn"]
-    return best(docs.groupBy(*tile).cogroup(queries.groupBy(*tile)).applyInArrow(run, out), how.k)
+
+    def searched(queries: DataFrame, probes: int) -> DataFrame:
+        """The best of the ``probes`` nearest lists for queries (vec_id, v)."""
+
+        def probing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                away = _distances(placed(matrix(batch.column(1), width), lists.rotation, None), lists.centroids)
+                to = np.argsort(away, axis=1)[:, :probes].astype(np.int32)
+                for g in range(groups):  # of each group of lists the probed ones
+                    own = to % groups == g
+                    rows = np.flatnonzero(own.any(1))
+                    ends = np.concatenate(([0], np.cumsum(own[rows].sum(1)))).astype(np.int32)
+                    wanted = pa.ListArray.from_arrays(pa.array(ends), pa.array(to[rows][own[rows]], pa.int32()))
+                    at = pa.array(rows)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(np.full(len(rows), g, np.int32)), wanted], names=["vec_id", "v", "tile", "probes"])
+
+        asked = save(queries.mapInArrow(probing, "vec_id long, v array<double>, tile int, probes array<int>"), "ann-queries")
+        turns = asked.groupBy("tile").agg(F.ceil(F.count("*") / how.tile_queries).cast("int").alias("turns"))
+        plan = F.broadcast(shape.join(turns, "tile"))
+        docs = index.join(plan, "tile").select("vec_id", "v", "list", "tile", F.pmod(F.xxhash64("vec_id", "v"), "parts").cast("int").alias("part"), each("turns").alias("turn"))
+        asked = asked.join(plan, "tile").select("vec_id", "v", "probes", "tile", each("parts").alias("part"), F.pmod(key, "turns").cast("int").alias("turn"))
+
+        def run(docs: pa.Table, queries: pa.Table) -> pa.Table:
+            kinds = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+            if not docs.num_rows or not queries.num_rows:
+                return kinds.empty_table()
+            x, q = (matrix(t["v"], width) for t in (docs, queries))
+            ids, of = (t["vec_id"].to_numpy() for t in (docs, queries))
+            wanted = [np.array(p, np.int32) for p in queries["probes"].to_pylist()]
+            at, score, vec = search_lists(ids, x, docs["list"].to_numpy(), of, q, wanted, lists, how)
+            return pa.table([pa.array(of[at]), pa.array(vec), pa.array(score)], schema=kinds)
+
+        tile = ["tile", "part", "turn"]
+        return best(docs.groupBy(*tile).cogroup(asked.groupBy(*tile)).applyInArrow(run, out), how.k)
+
+    asked = rows.where(F.pmod("vec_id", F.lit(how.every)) == 0).groupBy("vec_id").agg(F.min("v").alias("v"), F.count("*").alias("copies"))
+    found = save(searched(asked.select("vec_id", "v"), lists.probes), "ann-found")
+    # Where the probed lists held fewer than there are to be found, all lists are searched.
+    have = found.groupBy(F.col("query_id").alias("vec_id")).agg(F.count("*").alias("have"))
+    short = asked.join(have, "vec_id", "left").where(F.coalesce("have", F.lit(0)) < F.least(F.lit(how.k), n - F.col("copies")))
+    short = save(short.select("vec_id", "v"), "ann-short")
+    if short.isEmpty():
+        return found
+    kept = found.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti")
+    return kept.unionByName(searched(short, len(lists.centroids))).select("query_id", "rank", "vec_id", "score")
