@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from depweave.functions.names import spare
@@ -16,22 +17,21 @@ def spread_join(rows: DataFrame, table: DataFrame, keys: str | Sequence[str], ho
     A key of more than ``part_rows`` rows (or more, if else there were over ``most_hot`` such keys) is dealt by a
     hash of the whole row over as many parts as it needs, and its rows of ``table`` are copied for each part. All
     copies together are fewer than twice ``most_hot`` for each row that ``table`` has of a key. Rows with a null
-    key match nothing and stay where they are. Keys are counted in ``counted``, or in ``rows``, which is then read twice
+    key match nothing and are dealt too. Keys are counted in ``counted``, or in ``rows``, which is then read twice
     and so should be a written table or a scan. ``hint`` is a join hint for ``table``.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     count, parts, part = spare([*rows.columns, *table.columns], "count", "parts", "part")
-    known = rows if counted is None else counted
-    for c in keys:
-        known = known.where(F.col(c).isNotNull())
-    sizes = known.groupBy(*keys).agg(F.count("*").alias(count))
+    sizes = (rows if counted is None else counted).groupBy(*keys).agg(F.count("*").alias(count))
     n, top = sizes.agg(F.coalesce(F.sum(count), F.lit(0)), F.coalesce(F.max(count), F.lit(0))).first()
     limit = max(part_rows, -(-n // most_hot))
     if top <= limit:
         return rows.join(table.hint(hint) if hint else table, keys, how)
+    null = reduce(Column.__or__, (F.col(c).isNull() for c in keys))
     # At most ``most_hot`` rows, or n / part_rows where that is less.
-    hot = F.broadcast(sizes.where(F.col(count) > limit).select(*keys, F.ceil(F.col(count) / limit).alias(parts)))
+    hot = F.broadcast(sizes.where((F.col(count) > limit) & ~null).select(*keys, F.ceil(F.col(count) / limit).alias(parts)))
     whole = F.xxhash64(*(f.name for f in rows.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()))
-    left = rows.join(hot, keys, "left").withColumn(part, F.pmod(whole, F.coalesce(parts, F.lit(1)).cast("long"))).drop(parts)
+    place = F.when(null, F.pmod(whole, F.lit(most_hot))).otherwise(F.pmod(whole, F.coalesce(parts, F.lit(1)).cast("long")))
+    left = rows.join(hot, keys, "left").withColumn(part, place).drop(parts)
     right = table.join(hot, keys, "left").withColumn(part, F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(parts, F.lit(1)).cast("long") - 1))).drop(parts)
     return left.join(right.hint(hint) if hint else right, [*keys, part], how).drop(part)
