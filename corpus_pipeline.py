@@ -15,30 +15,51 @@ from depweave.llm.store import save
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts; the others go."""
+    """Documents that the classifier accepts; the others go.
+
+    Null and empty texts get the mean label of the voters; repeated rows are judged alike; other columns, whatever
+    their names, come through unchanged; an empty table stays empty."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality.score(docs, labels, columns=docs.columns).where("predicted = 1").select(docs.columns)
+    if not {c.lower() for c in docs.columns} & {"held_out", "score", "predicted"}:
+        return quality.score(docs, labels, columns=docs.columns).where("predicted = 1").select(docs.columns)
+    body = F.struct(*(docs[c] for c in docs.columns)).alias("body")
+    found = quality.score(docs.select("doc_id", "text", body), labels, columns=["body"]).where("predicted = 1")
+    return found.select(*(F.col("body")[c].alias(c) for c in docs.columns))
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one of the smallest doc_id.
 
-    Shingles of five words, similarity 0.8 or more. Of rows that share a doc_id one stays."""
-    found = neardup.near_duplicates(docs, neardup.MinHash(shingle=5))
-    gone = save(found.where("not kept and doc_id is not null").select("doc_id").distinct(), "dedup-gone")
-    kept = without_keys(docs, "doc_id", gone).select(docs.columns)
-    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return kept
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    Shingles of five words, similarity 0.8 or more. Null and empty texts are linked with nothing and stay. Where
+    doc_ids are null or repeated, the pair of doc_id and text stands for a document (by a 64-bit hash, of which the
+    smallest stays), so that decisions hang on texts; of rows that are equal in both one stays. Other columns,
+    whatever their names, come through unchanged; an empty table stays empty."""
+    how = neardup.MinHash(shingle=5)
+    counts = docs.groupBy("doc_id").count()
+    if counts.where("doc_id is null or count > 1").isEmpty():
+        gone = neardup.near_duplicates(docs, how).where("not kept").select("doc_id")
+        return without_keys(docs, "doc_id", save(gone, "dedup-gone"))
+    body = F.struct(*(docs[c] for c in docs.columns))
+    order = F.xxhash64(*(f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()))
+    keyed = docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), docs["text"].alias("text"), body.alias("body"), order.alias("order"))
+    keyed = save(keyed, "dedup-keyed")
+    gone = neardup.near_duplicates(keyed, how).where("not kept").select("doc_id").distinct()
+    kept = without_keys(keyed, "doc_id", save(gone, "dedup-gone")).groupBy("doc_id").agg(F.min_by("body", "order").alias("body"))
+    return kept.select(*(F.col("body")[c].alias(c) for c in docs.columns))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the sources' targets take, as often as they take them."""
+    """The documents that the sources' targets take, as often as they take them.
+
+    Null sources are a source; documents without words come once; repeated rows are documents of their own; other
+    columns, whatever their names, come through unchanged; an empty table stays empty."""
     return mixing.mixed_documents(docs)
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, with digests of the ids and of the text decoded from them."""
+    """doc_id, token ids of each document, with digests of the ids and of the text decoded from them.
+
+    A null text is an empty one without ids; repeated rows are encoded each; an empty table stays empty."""
     return bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.json"), ids=True)
 
 

@@ -21,6 +21,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from depweave.llm.memory import let_go
+
 #: The split of GPT-2's byte-level pre-tokenizer (a fixed value of that public format).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -51,7 +53,7 @@ class ByteBpe:
     one index.
     """
 
-    def __init__(self, path: str, hold: int = 250_000, symbols: int = 1_500_000):
+    def __init__(self, path: str, hold: int = 250_000, symbols: int = 400_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, pre = spec["model"], spec["pre_tokenizer"] or {}
@@ -88,6 +90,8 @@ class ByteBpe:
         self.split = regex.compile(SPLIT).findall
         self.apart = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.specials, key=len, reverse=True)) + ")").split if self.specials else None
         self.numbers, self.coded = _Numbers(), []
+        del spec, model, vocab, pairs
+        let_go()
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair; -1 without one."""
@@ -205,7 +209,7 @@ def bpe(path: str) -> ByteBpe:
     return ByteBpe(path)
 
 
-def stretches(column: pa.Array, most: int = 6_000_000) -> Iterator[tuple[int, list[str]]]:
+def stretches(column: pa.Array, most: int = 2_000_000) -> Iterator[tuple[int, list[str]]]:
     """Runs of whole texts (null: empty) of about ``most`` characters, with the row that each begins at."""
     start, held, size = 0, [], 0
     for i, text in enumerate(column):
@@ -242,7 +246,7 @@ def encode_decode(docs: DataFrame, path: str, ids: bool = False, text: bool = Fa
                 ]
                 columns += [pa.array(coded, pa.binary())] * ids + [pa.array(decoded, pa.string())] * text
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * ids + ["decoded"] * text)
-        coder.forget()  # workers live on, and other stages need the memory
-        pa.default_memory_pool().release_unused()
+        coder.forget()
+        let_go()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from depweave.llm.bloom import blocks_for, bloom, may_hold, only_keys
+from depweave.llm.memory import let_go
 from depweave.llm.store import save
 from depweave.llm.words import mixed, shingle_set
 from depweave.operators.cluster import connected_components
@@ -144,6 +145,7 @@ def sign(docs: DataFrame, how: MinHash) -> DataFrame:
                     ids, sets, held = [], [], 0
             if ids:
                 yield of(ids, sets)
+        let_go()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _SIGNED)
 
@@ -185,6 +187,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, how: MinHash, repeated: bool = Fa
                 keep.append(shared > 0 and 100 * shared >= how.similar * (len(both) - shared))
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
+        let_go()
 
     ends = save(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "neardup-ends")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -335,6 +338,8 @@ def _between(buckets: DataFrame, how: MinHash) -> DataFrame:
                 rest.append(part)
         if rest:
             yield from pairs_of(*together(rest))
+        rest = []
+        let_go()
 
     return tiles.select(*held, F.xxhash64("key", "low", "high").alias("tile")).mapInArrow(run, "a long, b long").distinct()
 
@@ -386,14 +391,16 @@ def near_duplicates(docs: DataFrame, how: MinHash | None = None) -> DataFrame:
     # What the stars left open: buckets whose members are in more than one component.
     named = save(banded.join(label.withColumnRenamed("node", "id"), "id", "left").select("key", "band", "id", F.coalesce("component", "id").alias("component")), "neardup-named")
     open_keys = save(named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key"), "neardup-open-keys")
-    open_ = save(spread_join(named, open_keys, "key"), "neardup-open")
-    sets = _open_sets(save(open_.select("id").distinct(), "neardup-open-ids"), docs, how, repeated)
-    short = F.transform("keys", lambda k: F.substring(F.lpad(F.hex(k), 16, "0"), 9, 8))
-    held = reps.join(sets, "id").select("id", "n", "bits", F.unhex(F.array_join(short, "")).alias("keys"), "shingles")
-    held = save(held, "neardup-sets")
-    more = save(_between(_blocks(open_, how).join(held, "id"), how), "neardup-between")
-    more = save(confirm(more, docs, how, repeated), "neardup-more")
-    label = label if more.isEmpty() else connected_components(links.unionByName(more), src="a", dst="b")
+    if not open_keys.isEmpty():
+        open_ = save(spread_join(named, open_keys, "key"), "neardup-open")
+        sets = _open_sets(save(open_.select("id").distinct(), "neardup-open-ids"), docs, how, repeated)
+        short = F.transform("keys", lambda k: F.substring(F.lpad(F.hex(k), 16, "0"), 9, 8))
+        held = reps.join(sets, "id").select("id", "n", "bits", F.unhex(F.array_join(short, "")).alias("keys"), "shingles")
+        held = save(held, "neardup-sets")
+        more = save(_between(_blocks(open_, how).join(held, "id"), how), "neardup-between")
+        more = save(confirm(more, docs, how, repeated), "neardup-more")
+        if not more.isEmpty():
+            label = connected_components(links.unionByName(more), src="a", dst="b")
 
     # Copies of one text may be very many: classes get their components first, then rows their class.
     final = save(classes.join(label.withColumnRenamed("node", "id"), "id", "left").select(*prints, F.coalesce("component", "id").alias("component")), "neardup-final")

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from depweave.functions.names import spare
+from depweave.llm.memory import let_go
 
 
 @dataclass(frozen=True)
@@ -150,7 +151,9 @@ def learn(docs: DataFrame, labels: DataFrame, how: Voting, label: str = "quality
         if names:
             order = np.argsort(np.array(names, dtype=object))  # rows come in any order
             found = fit(np.stack([held[i] for i in order]), np.array(kinds)[order], how)
+            del held
             yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (found.space, found.vectors, found.labels)], names=["space", "vectors", "labels"])
+        let_go()
 
     found = _counted(rows, how).repartition(1).mapInArrow(run, "space binary, vectors binary, labels binary").first()
     if found is None:
@@ -173,9 +176,14 @@ def score(docs: DataFrame, labels: DataFrame, how: Voting | None = None, columns
     kept = [c for c in columns or ["doc_id"] if c.lower() not in new]
     voters = learn(docs, labels, how)
     model = docs.sparkSession.sparkContext.broadcast(voters)
-    (text,) = spare([*kept, *new], "text")
-    rows = docs.select(*(docs[c] for c in kept), held_out().alias("held_out"), docs["text"].cast("string").alias(text))
-    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("score", T.DoubleType())])
+    rows = [docs[c] for c in kept] + [held_out().alias("held_out")]
+    if "text" in kept and docs.schema["text"].dataType == T.StringType():
+        at = kept.index("text")
+    else:
+        at = len(rows)
+        rows.append(docs["text"].cast("string").alias(*spare([*kept, *new], "text")))
+    rows = docs.select(*rows)
+    schema = T.StructType([*rows.schema.fields[: len(kept) + 1], T.StructField("score", T.DoubleType())])
     names = schema.fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,7 +194,8 @@ def score(docs: DataFrame, labels: DataFrame, how: Voting | None = None, columns
                 if voters is None:
                     found = np.full(part.num_rows, how.prior)
                 else:
-                    found = voters.scores(np.stack([term_counts(x.as_py(), how) for x in part.column(part.num_columns - 1)]), how)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(found.astype(np.float64))], names=names)
+                    found = voters.scores(np.stack([term_counts(x.as_py(), how) for x in part.column(at)]), how)
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(names) - 1], pa.array(found.astype(np.float64))], names=names)
+        let_go()
 
     return rows.mapInArrow(run, schema).withColumn("predicted", F.when(F.col("score") >= how.accept, 1).otherwise(0))
