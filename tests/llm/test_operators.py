@@ -259,26 +259,56 @@ def test_mixed_documents(spark, docs):
         assert counts.get(i, 0) == (1 if n == 0 else int(t / n + 0.5))
 
 
-def test_sharding(spark, docs):
+def plain_schedule(sizes, shards):
+    """Loads and, per size, how many of it each shard got: one item at a time to the least-loaded shard."""
+    loads, got = [0] * shards, {}
+    for size in sorted(sizes, reverse=True):
+        i = loads.index(min(loads))
+        loads[i] += size
+        got.setdefault(size, [0] * shards)[i] += 1
+    return loads, got
+
+
+def test_schedule_of_a_histogram():
+    rng = random.Random(12)
+    for shards in (1, 3, 24):
+        for _ in range(60):
+            hist = {rng.randrange(1, rng.choice([5, 50, 5000])): rng.choice([1, 2, 7, rng.randrange(1, 2000)]) for _ in range(rng.randrange(1, 12))}
+            _, want = plain_schedule([s for s, n in hist.items() for _ in range(n)], shards)
+            got = {s: [b - a for a, b in zip([0, *ends], ends, strict=False)] for s, ends in sharding.schedule(list(hist.items()), shards)}
+            assert got == want
+
+
+@pytest.mark.parametrize("few", [1 << 15, 0])
+def test_sharding(spark, docs, few):
     df, rows = docs
-    got = sharding.shard(df).collect()
+    got = sharding.shard(df, sharding.Shards(range_rows=16, few_sizes=few)).collect()
     assert len(got) == len(rows)
     text = {i: t or "" for i, t, *_ in rows}
     assert all(r["size"] == len(text[r.doc_id].encode()) + 8 and r.text_crc32 == zlib.crc32(text[r.doc_id].encode()) for r in got)
-    assert len({(text[r.doc_id], r.shard) for r in got}) == len(set(text.values()))
+    where = {(text[r.doc_id], r.shard) for r in got}
+    assert len(where) == len(set(text.values()))
     for s in range(24):
         assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
     assert {(r.law, r.grown_shard) for r in got} == {("bytes", None)}
-    assert sharding.shard(empty(spark)).collect() == []
-    # Without bundles to speak of, loads are those of the plain rule.
+    # Every size has as many groups in each shard as the plain rule gives it.
     groups = {}
     for r in got:
         groups[text[r.doc_id]] = groups.get(text[r.doc_id], 0) + r["size"]
-    plain = [0] * 24
-    for size in sorted(groups.values(), reverse=True):
-        plain[plain.index(min(plain))] += size
-    loads = [sum(r["size"] for r in got if r.shard == s) for s in range(24)]
-    assert max(loads) <= max(max(plain), 1.1 * sum(plain) / 24)
+    placed = {}
+    for t, s in where:
+        placed.setdefault(groups[t], [0] * 24)[s] += 1
+    assert placed == plain_schedule(groups.values(), 24)[1]
+
+
+def test_sharding_of_nothing_and_of_clashing_names(spark, docs):
+    assert sharding.shard(empty(spark)).collect() == []
+    df, rows = docs
+    odd = df.withColumns({c: F.lit(c) for c in ("own", "pooled", "group", "_group", "offset", "_offset", "bytes", "range", "body", "part", "ends", "place", "number", "chance", "shard")})
+    got = sharding.shard(odd)
+    assert got.columns == [c for c in odd.columns if c not in ("size", "shard")] + ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    assert sorted((r.doc_id, r.shard, r.slot) for r in got.collect()) == sorted((r.doc_id, r.shard, r.slot) for r in sharding.shard(df, columns=["doc_id"]).collect())
+    assert all(r.body == "body" and r.bytes == "bytes" for r in got.collect())
 
 
 def test_even_shards(spark):
