@@ -27,7 +27,7 @@ class Shards:
     shards: int = 24
     overhead: int = 8
     range_rows: int = 4096
-    few_sizes: int = 1 << 15
+    few_sizes: int = 1 << 13
 
 
 def byte_size(text: str, how: Shards) -> Column:
