@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depweave.llm import ann, bpe, mixing, neardup, quality, sharding, tokenbin, tokencount, topk, urlfilter
+from depweave.llm import ann, bpe, mixing, neardup, phrases, quality, sharding, tokenbin, tokencount, topk, urlfilter, variants, warc
 
 #: The rules that op2 judges by: verdict, host, path.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -61,9 +61,21 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(_read(spark, sf_dir, "embeddings"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_read(spark, sf_dir, "documents")).drop("at")
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.page_archives(_read(spark, sf_dir, "pages"))
+
+
+def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(_read(spark, sf_dir, "documents"), variants.Spelling(typo_every=31))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_minhash, op2_url_filter, op3_token_files, op4_mixing, op5_sharding, op6_quality, op7_exact_top_k, op8_bpe, op9_token_counts, op10_nearest)
+    for f in (op1_minhash, op2_url_filter, op3_token_files, op4_mixing, op5_sharding, op6_quality, op7_exact_top_k, op8_bpe, op9_token_counts, op10_nearest, op11_phrases, op12_warc, op13_variants)
 }
 
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
@@ -133,5 +145,38 @@ WITH good AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 """
 
+_OP11 = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), lists AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM lists GROUP BY lang),
+sized AS (SELECT lang, w, unnest(range(1, 6)) AS k FROM lists),
+runs AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM sized WHERE len(w) >= k),
+freq AS (SELECT lang, phrase, k, count(*) AS f FROM runs GROUP BY lang, phrase, k HAVING count(*) >= 100),
+starts AS (SELECT lang, f, k, string_split(phrase, ' ') AS w, unnest(range(2, k)) AS size FROM freq WHERE k > 2),
+places AS (SELECT lang, f, w, size, unnest(range(1, k - size + 2)) AS pos FROM starts),
+inner_ AS (SELECT lang, array_to_string(w[pos:pos + size - 1], ' ') AS phrase, max(f) AS longer FROM places GROUP BY 1, 2),
+own AS (SELECT q.lang, q.phrase, q.k, q.f AS a FROM freq q LEFT JOIN inner_ i ON i.lang = q.lang AND i.phrase = q.phrase WHERE q.k > 1 AND (i.longer IS NULL OR 100 * i.longer < 100 * q.f)),
+cuts AS (SELECT lang, phrase, a, k, string_split(phrase, ' ') AS w, unnest(range(1, k)) AS cut FROM own),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, x.f AS l, y.f AS r, t.n, c.cut, (1000::HUGEINT * c.a * t.n) // (x.f::HUGEINT * y.f) AS score FROM cuts c
+  JOIN freq x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:c.cut], ' ') JOIN freq y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.cut + 1:c.k], ' ')
+  JOIN totals t ON t.lang = c.lang
+), best AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS o FROM scored),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS INTEGER) AS rank FROM best WHERE o = 1)
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 2000
+"""
+
+_SIGN = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((('0x' || substr(h, {}, 10))::BIGINT >> {}) & 31 AS INTEGER) + 1, 1)"
+
+_OP12 = f"""
+WITH own AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+digests AS (SELECT page_id, CAST(octet_length(payload) AS BIGINT) AS payload_bytes, sha1(payload) AS h, md5(payload) AS m FROM own),
+firsts AS (SELECT h, m, min(page_id) AS first FROM digests GROUP BY h, m)
+SELECT page_id, payload_bytes, {" || ".join(_SIGN.format(10 * g + 1, 35 - 5 * i) for g in range(4) for i in range(8))} AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM digests JOIN firsts USING (h, m)
+"""
+
 #: The other operators hold what SQL can't express (tokenizers, a heap, a trained model, an index).
-SQL = {"op1_minhash": _OP1, "op2_url_filter": _OP2, "op4_mixing": _OP4, "op7_exact_top_k": _OP7}
+SQL = {"op1_minhash": _OP1, "op2_url_filter": _OP2, "op4_mixing": _OP4, "op7_exact_top_k": _OP7, "op11_phrases": _OP11, "op12_warc": _OP12}
