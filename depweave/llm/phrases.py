@@ -35,9 +35,9 @@ _BYTE_BASE, _WORD_BASE, _LENGTH = 0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F, np
 @dataclass(frozen=True)
 class Phrases:
     """Phrases of 2 to ``longest`` words with at least ``least`` occurrences; the first ``top`` of each language.
-    ``block_bytes``: bytes of text worked on at once, ``block_words``: words of them; ``held``: fingerprints that a
-    task holds before it hands them on, ``held_texts``: phrases. ``bits`` a key and ``most_blocks`` bound a filter
-    (2**18 blocks: 8 MB); a crowded one costs time, never a phrase."""
+    ``block_bytes``: bytes of text worked on at once, ``block_words``: words of them, ``step``: bytes that are hashed at
+    once; ``held``: fingerprints that a task holds before it hands them on. ``bits`` a key and ``most_blocks`` bound a
+    filter (2**18 blocks: 8 MB); a crowded one costs time, never a phrase."""
 
     least: int = 100
     longest: int = 5
@@ -45,8 +45,8 @@ class Phrases:
     scale: int = 1000
     block_bytes: int = 1 << 20
     block_words: int = 1 << 18
+    step: int = 1 << 19
     held: int = 1 << 21
-    held_texts: int = 1 << 17
     bits: int = 24
     most_blocks: int = 1 << 18
 
@@ -174,11 +174,11 @@ def chunks(batch: pa.RecordBatch, how: Phrases) -> Iterator[tuple[Chunk, pa.Arra
         first[1:] &= ~word[:-1] | edge[1:-1]
         last[:-1] &= ~word[1:] | edge[1:-1]
         starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-        piece = np.cumsum((kind == 2) | edge[:-1], dtype=np.int64)[starts]
+        piece = np.cumsum((kind == 2) | edge[:-1], dtype=np.int32)[starts]
         row = np.searchsorted(offsets, starts, side="right") - 1
         number = np.arange(len(starts)) - np.searchsorted(starts, offsets[row])
         del kind, edge, word, first, last
-        words = span_hashes(raw, starts, ends, how.block_bytes)
+        words = span_hashes(raw, starts, ends, how.step)
         for lo in range(0, len(starts), how.block_words):
             hi = min(len(starts), lo + how.block_words + how.longest - 1)
             cut = slice(lo, hi)
@@ -291,6 +291,22 @@ def same_runs(ids: np.ndarray, seeds: np.ndarray, k: int, at: np.ndarray, prints
     return at[first], counts
 
 
+def run_texts(chunk: Chunk, k: int, at: np.ndarray) -> pa.Array:
+    """The runs of k words from the words ``at``: in lower case, a space between words."""
+    which = (at[:, None] + np.arange(k)).ravel()
+    size = chunk.ends[which] - chunk.starts[which] + 1  # and a space
+    ends = np.cumsum(size)
+    index = np.repeat(chunk.starts[which] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
+    index[ends - 1] = 0
+    out = _LOWER[chunk.raw[index]]
+    out[ends - 1] = ord(" ")
+    # A run's last space belongs to no run: it stays between them, so the runs' bytes are taken apart from it.
+    keep = np.ones(len(out), bool)
+    keep[ends[k - 1 :: k] - 1] = False
+    offsets = np.concatenate(([0], ends[k - 1 :: k] - np.arange(1, len(at) + 1))).astype(np.int64)
+    return pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(out[keep])).cast(pa.string())
+
+
 _FOUND = "lang string, phrase string, words int, n long, doc_id long, word long"
 
 
@@ -298,46 +314,30 @@ def occurrences(docs: DataFrame, known, how: Phrases) -> DataFrame:
     """lang, phrase, words, f, at for the runs of words that the broadcast filter may hold, and one row of 0 words for
     each language with the number of its words. ``at`` points to an occurrence: doc_id and the word's number."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, str, int], list] = {}
-
-        def rows() -> pa.RecordBatch:
-            keys, values = list(held), list(held.values())
-            held.clear()
-            columns = [pa.array([x[i] for x in keys], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.int32()))]
-            return pa.RecordBatch.from_arrays(columns + [pa.array([x[i] for x in values], pa.int64()) for i in range(3)], names=["lang", "phrase", "words", "n", "doc_id", "word"])
-
-        def add(key: tuple[str, str, int], n: int, doc_id: int | None, word: int | None) -> None:
-            own = held.get(key)
-            if own is None:
-                held[key] = [n, doc_id, word]
-            else:
-                own[0] += n
+    def rows(langs: pa.Array, phrases: pa.Array, k: int, n: np.ndarray, ids: pa.Array, words: np.ndarray) -> pa.RecordBatch:
+        columns = [langs, phrases, pa.array(np.full(len(n), k, np.int32)), pa.array(n.astype(np.int64)), ids, pa.array(words.astype(np.int64))]
+        return pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "words", "n", "doc_id", "word"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, ids, langs in chunks(batch, how):
-                rows_, n_words = np.unique(chunk.row[: chunk.own], return_counts=True)
-                for r, n in zip(rows_.tolist(), n_words.tolist(), strict=True):
-                    add((langs[r], "", 0), n, None, None)
+                names = pa.array(langs, pa.string())
+                own, n = np.unique(chunk.row[: chunk.own], return_counts=True)
+                yield rows(names.take(pa.array(own)), pa.array([""] * len(own), pa.string()), 0, n, pa.nulls(len(own), pa.int64()), np.zeros(len(own)))
                 same = same_words(chunk)
                 mask = chunk.whole(1)
                 for k in range(1, how.longest + 1):
-                    within = mask if k == 1 else chunk.both(mask, k)
-                    mask, at, prints = chunk.passed(k, within, known.value)
+                    mask, at, prints = chunk.passed(k, mask if k == 1 else chunk.both(mask, k), known.value)
                     own = at < chunk.own
-                    if not own.any():
-                        continue
-                    for i, n in zip(*(x.tolist() for x in same_runs(same, chunk.seeds, k, at[own], prints[own])), strict=True):
-                        text = b" ".join(chunk.raw[s:e].tobytes() for s, e in zip(chunk.starts[i : i + k].tolist(), chunk.ends[i : i + k].tolist(), strict=True))
-                        r = int(chunk.row[i])
-                        add((langs[r], text.lower().decode("utf-8", "replace"), k), n, ids[r].as_py(), int(chunk.number[i]))
-                if len(held) > how.held_texts:
-                    yield rows()
-        yield rows()
+                    if own.any():
+                        first, n = same_runs(same, chunk.seeds, k, at[own], prints[own])
+                        at_row = pa.array(chunk.row[first])
+                        yield rows(names.take(at_row), run_texts(chunk, k, first), k, n, ids.take(at_row), chunk.number[first])
         let_go()
 
-    at = F.struct("doc_id", "word")
-    return _texts(docs).mapInArrow(run, _FOUND).groupBy("lang", "phrase", "words").agg(F.sum("n").alias("f"), F.min(F.when(F.col("doc_id").isNotNull(), at)).alias("at"))
+    # Two plain columns, so that rows are added up by a hash of the text.
+    found = _texts(docs).mapInArrow(run, _FOUND).groupBy("lang", "phrase", "words").agg(F.sum("n").alias("f"), F.first("doc_id").alias("doc_id"), F.first("word").alias("word"))
+    return found.select("lang", "phrase", "words", "f", F.struct("doc_id", "word").alias("at"))
 
 
 def _part(words: Column, start, n) -> Column:

@@ -63,7 +63,7 @@ def found_phrases(out):
     return sorted(tuple(r)[:8] for r in out.collect())
 
 
-@pytest.mark.parametrize("how", [phrases.Phrases(least=8), phrases.Phrases(least=12, block_bytes=500, block_words=37, held=200, held_texts=20, top=7), phrases.Phrases(least=8, bits=1, most_blocks=1)])
+@pytest.mark.parametrize("how", [phrases.Phrases(least=8), phrases.Phrases(least=12, block_bytes=500, block_words=37, step=100, held=200, top=7), phrases.Phrases(least=8, bits=1, most_blocks=1)])
 def test_phrases(spark, how):
     rows = phrase_rows()
     out = phrases.collocations(table(spark, rows).repartition(5), how)
@@ -72,7 +72,7 @@ def test_phrases(spark, how):
     assert found_phrases(out) == want and len(want) > 20
     texts = {i: re.findall("[^\x20\x09.,;:!?\n-\r]+", (t or "").encode().lower().decode()) for i, _, t in rows if i is not None}
     for r in out.collect():  # pointers lead to the phrase
-        if r["at"]:
+        if r["at"].doc_id is not None:
             assert " ".join(texts[r["at"].doc_id][r["at"].word :][: r.phrase.count(" ") + 1]) == r.phrase
 
 
