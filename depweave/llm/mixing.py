@@ -1,6 +1,6 @@
 """Mixing sources to target weights by hash-random order and distributed prefix sums.
 
-Each document gets a random key by hash. The key's leading bits name a range of the source's random order,
+Each document gets a random key by a hash of its id and text. The key's leading bits name a range of the source's random order,
 so the ranges are even whatever the ids look like, and one more large source only means more ranges. Sums
 per range, added up along each source, give every range its offset; within a range a running sum places
 every document. The mix takes whole epochs of a source and, of one more, the documents before the cut.
@@ -68,7 +68,8 @@ def _taken(docs: DataFrame, kept: list[str], how: Mix) -> DataFrame:
     Words are counted once into a narrow table, and once more only where texts themselves are kept."""
     body = F.struct(*(docs[c] for c in kept)) if kept else F.struct(F.lit(0).alias("none"))
     source = F.coalesce(F.concat(F.lit("s"), docs["source"].cast("string")), F.lit("none"))
-    key = F.md5(F.concat(F.lit(f"{how.seed}:"), F.coalesce(docs["doc_id"].cast("string"), F.lit(""))))
+    # Of doc_id and text, so that neither repeated nor lacking ids meet in one range.
+    key = F.md5(F.concat(F.lit(f"{how.seed}:"), F.coalesce(docs["doc_id"].cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(docs["text"], F.lit("")))))
     rows = docs.select(body.alias("body"), docs["source"].alias("source"), source.alias("of"), docs["doc_id"].alias("doc_id"), word_count("text").alias("size"), key.alias("key"), F.xxhash64(docs["text"]).alias("tie"))
     if "text" in (c.lower() for c in kept):
         sizes = save(rows.select("source", "of", "size", "key"), "mix-sizes")

@@ -4,7 +4,8 @@ A text becomes counts of hashed character runs, as they are and by class (letter
 signs as they are). Term weights and the latent space (a truncated SVD) come from a bounded sample of labelled
 documents and are fitted in one task; its vectors, at most ``labelled`` rows, are broadcast with their labels. Every
 document is compared with all of them by exact cosine products in blocks, and its ``neighbours`` nearest vote with their
-similarity as weight.
+similarity as weight. Term counts, space and vectors are whole multiples of a small unit, so that all products and sums
+are exact in double precision: a score never depends on which documents share a block.
 """
 
 from __future__ import annotations
@@ -76,32 +77,43 @@ def term_counts(text: str | None, how: Voting) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _unit(x: np.ndarray) -> np.ndarray:
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+#: Units of term counts, of the space and of the vectors' components.
+_COUNT, _SPACE, _VECTOR = 2.0**18, 2.0**16, 2.0**20
+
+
+def _units(x: np.ndarray) -> np.ndarray:
+    """Rows scaled to length 1, in whole units; a row without direction stays 0."""
+    x = x.astype(np.float64)
+    return np.rint(x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-9) * _VECTOR)
 
 
 @dataclass(frozen=True)
 class Voters:
-    """Term weights times the latent space (terms x dimensions), unit vectors and their labels."""
+    """Term weights times the latent space (terms x dimensions), unit vectors and their labels, vectors in the order of
+    their documents' ids as text; space and vectors in whole units."""
 
     space: np.ndarray
     vectors: np.ndarray
     labels: np.ndarray
 
     def scores(self, counts: np.ndarray, how: Voting) -> np.ndarray:
-        """Weighted votes of the nearest: exact cosine products with all labelled vectors. A text without
-        any direction (empty, say) gets the mean label."""
-        own = _unit(counts @ self.space)
-        near = own @ self.vectors.T
-        k = min(how.neighbours, len(self.labels))
-        first = np.argpartition(-near, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(near, first, 1), 0) ** how.power
+        """Weighted votes of the nearest: exact cosine products with all labelled vectors, ties to the earlier vector. A
+        text without any direction (empty, say) gets the mean label."""
+        own = _units(np.rint(counts.astype(np.float64) * _COUNT) @ self.space)
+        near = (own @ self.vectors.T).astype(np.int64)
+        n = len(self.labels)
+        k = min(how.neighbours, n)
+        place = near * n + np.arange(n - 1, -1, -1)
+        first = np.argpartition(-place, k - 1, axis=1)[:, :k]
+        first = np.take_along_axis(first, np.argsort(-np.take_along_axis(place, first, 1), axis=1), 1)
+        weight = (np.maximum(np.take_along_axis(near, first, 1), 0) / _VECTOR**2) ** how.power
         total = weight.sum(1)
         votes = (weight * self.labels[first]).sum(1)
         return np.clip(np.where(total > 0, votes / np.maximum(total, 1e-12), self.labels.mean()), 0, 1)
 
 
 def fit(counts: np.ndarray, labels: np.ndarray, how: Voting) -> Voters:
+    counts = np.rint(counts.astype(np.float64) * _COUNT) / _COUNT
     weight = np.log((1 + len(counts)) / (1 + (counts > 0).sum(0))) + 0.2
     gram = np.zeros((len(weight), len(weight)))
     for at in range(0, len(counts), how.block):
@@ -109,8 +121,8 @@ def fit(counts: np.ndarray, labels: np.ndarray, how: Voting) -> Voters:
         gram += x.T @ x
     values, vectors = np.linalg.eigh(gram)
     top = np.argsort(-values)[: how.dimensions]
-    space = (weight[:, None] * vectors[:, top]).astype(np.float32)
-    return Voters(space, _unit(counts @ space).astype(np.float32), labels.astype(np.float32))
+    space = np.rint(weight[:, None] * vectors[:, top] * _SPACE)
+    return Voters(space, _units(np.rint(counts * _COUNT) @ space), labels.astype(np.float64))
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -135,7 +147,7 @@ def learn(docs: DataFrame, labels: DataFrame, how: Voting, label: str = "quality
     """The voters, from at most ``labelled`` rows that are not held out; None without any. Null labels don't
     count; a doc_id with several takes the smallest, and one with several texts the text of the smallest hash.
 
-    One task holds the counts of all drawn rows (8 KB each) and fits; the driver gets the space, the vectors and
+    One task holds the counts of all drawn rows (16 KB each) and fits; the driver gets the space, the vectors and
     their labels, which is some hundred bytes a drawn row."""
     own = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.min(label).alias("label"))
     drawn = own.orderBy(F.xxhash64("doc_id", F.lit(how.seed)), "doc_id").limit(how.labelled)
@@ -158,7 +170,7 @@ def learn(docs: DataFrame, labels: DataFrame, how: Voting, label: str = "quality
     found = _counted(rows, how).repartition(1).mapInArrow(run, "space binary, vectors binary, labels binary").first()
     if found is None:
         return None
-    space, vectors, kinds = (np.frombuffer(x, np.float32) for x in found)
+    space, vectors, kinds = (np.frombuffer(x, np.float64) for x in found)
     width = min(how.dimensions, 2 * how.terms)
     return Voters(space.reshape(-1, width), vectors.reshape(-1, width), kinds)
 
@@ -166,9 +178,9 @@ def learn(docs: DataFrame, labels: DataFrame, how: Voting, label: str = "quality
 def score(docs: DataFrame, labels: DataFrame, how: Voting | None = None, columns: list[str] | None = None) -> DataFrame:
     """``columns`` of ``docs`` (by default doc_id), then held_out, score (1: the label 1 is likely), predicted.
 
-    Scores come from whole texts alone: labels, lang, source and doc_id are no inputs. Null and empty texts
-    get the mean label of the voters. Repeated rows each get their row; with no labelled document every
-    score is ``prior``; an empty table gives an empty result. Columns named like the new ones are replaced, all
+    Scores come from whole texts of any length alone: labels, lang, source and doc_id are no inputs. Null and empty texts
+    get the mean label of the voters. Of equally near voters those of the smaller doc_id (as text) vote first. Repeated
+    rows each get their row; with no labelled document every score is ``prior``; an empty table gives an empty result. Columns named like the new ones are replaced, all
     other names are free.
     """
     how = how or Voting()

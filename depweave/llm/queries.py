@@ -115,7 +115,7 @@ FROM parts p LEFT JOIN hits h ON h.page_id = p.page_id
 
 _OP4 = rf"""
 WITH docs AS (
-  SELECT doc_id, source, CAST(len({_WORDS.format("coalesce(text, '')")}) AS BIGINT) AS size, md5('mix:' || doc_id) AS key FROM documents
+  SELECT doc_id, source, CAST(len({_WORDS.format("coalesce(text, '')")}) AS BIGINT) AS size, md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS key FROM documents
 ), sources AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM docs GROUP BY source
 ), rooms AS (

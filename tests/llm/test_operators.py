@@ -215,7 +215,7 @@ def mix_brute(rows, weights=(5, 2, 1), most=3):
     size = lambda t: len((t or "").encode().split())
     by = {}
     for i, t, _, s, _ in rows:
-        by.setdefault(s, []).append((hashlib.md5(f"mix:{i}".encode()).hexdigest(), i, size(t)))
+        by.setdefault(s, []).append((hashlib.md5(f"mix:{'' if i is None else i}:{hashlib.md5((t or '').encode()).hexdigest()}".encode()).hexdigest(), i, size(t)))
     order = sorted((s for s in by if s is not None), key=lambda s: s.encode()) + [None] * (None in by)
     weight = {s: weights[k % len(weights)] for k, s in enumerate(order)}
     total, sizes = sum(x[2] for v in by.values() for x in v), {s: sum(x[2] for x in v) for s, v in by.items()}

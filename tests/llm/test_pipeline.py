@@ -63,6 +63,6 @@ def test_stages(spark, sf_dir):
 
 
 def test_names():
-    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 14)]
     assert set(queries.SQL) <= set(queries.QUERIES) and 4 <= len(corpus_pipeline.STAGES) <= 5
     assert public_tokenizers.path("byte_bpe_50k.json").endswith(".json")
