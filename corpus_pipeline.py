@@ -9,8 +9,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from depweave.functions.names import spare
 from depweave.llm import bpe, mixing, neardup, quality
-from depweave.llm.bloom import without_keys
+from depweave.llm.bloom import only_keys, without_keys
 from depweave.llm.store import save
 
 
@@ -28,24 +29,31 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one of the smallest doc_id.
-
-    Shingles of five words, similarity 0.8 or more. Null and empty texts are linked with nothing and stay. Where
-    doc_ids are null or repeated, the pair of doc_id and text stands for a document (by a 64-bit hash, of which the
-    smallest stays), so that decisions hang on texts; of rows that are equal in both one stays. Other columns,
-    whatever their names, come through unchanged; an empty table stays empty."""
-    how = neardup.MinHash(shingle=5)
-    counts = docs.groupBy("doc_id").count()
-    if counts.where("doc_id is null or count > 1").isEmpty():
-        gone = neardup.near_duplicates(docs, how).where("not kept").select("doc_id")
-        return without_keys(docs, "doc_id", save(gone, "dedup-gone"))
-    body = F.struct(*(docs[c] for c in docs.columns))
-    order = F.xxhash64(*(f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()))
-    keyed = docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), docs["text"].alias("text"), body.alias("body"), order.alias("order"))
-    keyed = save(keyed, "dedup-keyed")
-    gone = neardup.near_duplicates(keyed, how).where("not kept").select("doc_id").distinct()
-    kept = without_keys(keyed, "doc_id", save(gone, "dedup-gone")).groupBy("doc_id").agg(F.min_by("body", "order").alias("body"))
-    return kept.select(*(F.col("body")[c].alias(c) for c in docs.columns))
+    """One document of each group of near-duplicates: the one of the smallest doc_id, null ones last, ties to the
+    smaller 64-bit hash of doc_id and text.
+
+    Shingles of five words, similarity 0.8 or more. A row is known by that hash, whatever ids repeat or lack; of rows
+    that are equal in both doc_id and text one stays. Null and empty texts are linked with nothing and stay. Other
+    columns, whatever their names, come through unchanged; an empty table stays empty."""
+    key, own, n, body = spare(docs.columns, "key", "own", "n", "body")
+    docs = docs.withColumn(key, F.xxhash64(docs["doc_id"], docs["text"]))
+    found = neardup.near_duplicates(docs.select(F.col(key).alias("doc_id"), docs["text"].cast("string").alias("text")), neardup.MinHash(shingle=5))
+    # Narrow rows from here on: a group may hold a third of all documents, and is folded before it is shuffled.
+    group = save(found.groupBy(F.col("doc_id").alias(key)).agg(F.min("component_id").alias(own)), "dedup-groups")
+    ids = docs.groupBy(key).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias(n))
+    ids = save(ids.join(group, key), "dedup-ids")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", key))[key]
+    stay = save(ids.groupBy(own).agg(first.alias(key)), "dedup-stay").select(key)
+    gone = save(ids.select(key, n).join(stay, key, "left_anti"), "dedup-gone")
+    kept = without_keys(docs, key, gone.select(key))
+    # Rows that repeat a kept one: of each such key the first by all columns stays.
+    again = save(ids.where(F.col(n) > 1).join(stay, key, "left_semi").select(key), "dedup-again")
+    if again.isEmpty():
+        return kept.drop(key)
+    repeated = only_keys(docs, key, again)
+    rank = F.xxhash64(*(f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()))
+    one = repeated.groupBy(key).agg(F.min_by(F.struct(*(docs.columns)), rank).alias(body))
+    return without_keys(kept, key, again).unionByName(one.select(*(F.col(body)[c].alias(c) for c in docs.columns))).drop(key)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
