@@ -35,8 +35,12 @@ def test_batches_over_ranges(spark):
     rows = [(g, i, rng.choice(sizes)) for g, sizes in pick.items() for i in range({"hot": 3000, "even": 700}.get(g, 40))]
     want, no, total, last = {}, 0, 0, None
     for g, i, s in sorted(rows):
-        no, total = (no, total) if g == last else (0, 0)
-        no, total = (no + 1, s) if total > 0 and total + s > 100 else (no, total + s)
+        if g != last:
+            no, total = 0, s
+        elif total + s > 100:  # the batch has a row, if only an empty one
+            no, total = no + 1, s
+        else:
+            total += s
         want[g, i], last = no, g
     rng.shuffle(rows)
     held = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
