@@ -5,11 +5,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from dataclasses import dataclass, replace
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from depweave.functions.paths import with_prefix, with_sim_prefix
-from depweave.operators.spread import spread_join
+from depweave.operators.spread import dealt_join, hot_keys, spread_join
 from depweave.sources.scratch import cut, numbered
 
 
@@ -98,125 +100,285 @@ def modularity(edges: DataFrame, assign: DataFrame, gamma: float = 1.0) -> DataF
     return q.select(F.when(F.coalesce("n", F.lit(0)) > 1, F.coalesce("q", F.lit(0.0))).otherwise(0.0).alias("q"))
 
 
-#: A round of moves, see ``_round``.
-_ROUND = """
-WITH totals AS (SELECT comm, sum(k) AS tot FROM {state} GROUP BY comm),
-placed AS (SELECT s.node, s.comm, s.k, s.rate, t.tot FROM {state} s JOIN totals t ON t.comm = s.comm),
-links AS (
-  SELECT e.node, p.comm AS to, p.tot, e.weight, e.k, e.rate, false AS own FROM {edges} e JOIN placed p ON p.node = e.other WHERE getbit(xxhash64(e.node), {bit}) = 0
-  UNION ALL SELECT node, comm, tot, 0D, k, rate, true FROM placed
-),
-sums AS (SELECT node, to, sum(weight) AS k_in, max(tot) AS tot, max(k) AS k, max(rate) AS rate, max(own) AS own FROM links GROUP BY node, to),
-gains AS (SELECT *, k_in - rate * k * (tot - if(own, k, 0D)) AS gain FROM sums)
-SELECT node, min(struct(round(-if(own, gain + 1e-9 * (1 + abs(gain)), gain), 9) AS loss, to)).to AS comm, max(if(own, to, NULL)) AS was, max(k) AS k, max(rate) AS rate FROM gains GROUP BY node
-"""
+@dataclass(frozen=True)
+class Search:
+    """Bounds of a search for communities. ``levels`` of contraction; ``rounds`` of moves a level, ``last`` at the end; a
+    level but the last ends early where at most ``tolerance`` of its nodes moved in two successive rounds. ``refining``: rounds of the
+    refinement. Up to ``small`` nodes are broadcast; more are joined with hot nodes and communities dealt over tasks."""
 
+    levels: int = 10
+    rounds: int = 40
+    last: int = 100
+    tolerance: float = 0.005
+    refining: int = 4
+    small: int = 1 << 17
 
-def _round(edges: DataFrame, state: DataFrame, turn: int) -> DataFrame:
-    """node, comm, was, k, rate after the nodes whose turn it is have gone to the community of the largest gain.
 
-    ``edges``: node, other, weight, with k and rate of the node; ``state``: node, comm, k, rate. The gain of being in C
-    is k_in(C) - rate * k * (the sum of k in C without the node), where rate is gamma / 2m; ties go to the smaller
-    community, and staying wins unless another gains clearly more (both rounded, so that sums taken in another order
-    still tie). Weights are added up per node and community before they are shuffled, so a hub's edges don't meet in
-    one task. A turn is one of eight halves of the nodes.
-    """
-    return edges.sparkSession.sql(_ROUND, edges=edges, state=state, bit=turn % 8)
+@dataclass
+class _Level:
+    """A level's graph: links (node, other, weight; both ways, no loops), the number of its nodes, and which nodes many
+    links have (None: none, or few nodes)."""
 
+    links: DataFrame
+    n: int
+    few: bool
+    hot: DataFrame | None
 
-def communities(
-    edges: DataFrame, nodes: DataFrame, gamma: float | DataFrame = 1.0, partition: DataFrame | None = None, levels: int = 5, rounds: int = 12, tolerance: float = 0.01
-) -> DataFrame:
-    """node, cluster (and partition): communities at resolution gamma.
+    def of(self, links: DataFrame, table: DataFrame, key: str) -> DataFrame:
+        """Links with what the table has for their ``key``; links of a hub aren't in one task."""
+        if self.few:
+            return links.join(F.broadcast(table), key)
+        return dealt_join(links, table, key, None if self.hot is None else self.hot.withColumnRenamed("node", key))
+
+    def totals(self, state: DataFrame, of: list[str]) -> DataFrame:
+        """``of`` and tot, the strength of the node's community; rows of a giant community aren't in one task."""
+        sums = state.groupBy("comm").agg(F.sum("k").alias("tot"))
+        rows = state.select("comm", *of)
+        return rows.join(F.broadcast(sums), "comm") if self.few else spread_join(rows, sums, "comm")
+
+
+def _level(both: DataFrame, n: int, how: Search) -> _Level:
+    links = cut(both.where("node <> other"), "links")
+    few = n <= how.small
+    hot = None if few else hot_keys(links, "node")
+    return _Level(links, n, few, hot if hot is None else cut(hot, "hubs"))
 
-    Rounds of synchronous local moves by half of the nodes, then contraction of communities to nodes; last each
-    community is split into its connected parts, and ids are given by the smallest node. A level ends after two
-    successive rounds in which at most ``tolerance`` of its nodes moved, or after ``rounds``; the search ends
-    with a level in which nothing moved, or after ``levels``, so it may end before nothing moves. Every node is
-    assigned, isolated ones alone; results don't depend on how the data is partitioned. ``partition`` (node,
-    partition) keeps apart groups that advance in the same jobs; ``gamma`` may then be a table (partition, gamma).
+
+def _turn(turn: int) -> Column:
+    """Whose turn it is: half of the nodes, and in the next round the other half."""
+    return F.pmod(F.xxhash64("node", F.lit(turn // 2)), F.lit(2)) == turn % 2
+
+
+def _round(level: _Level, state: DataFrame, turn: int) -> DataFrame:
+    """``state`` (node, comm, k, rate, waiting, moved) after a round. Nodes are numbers from 1 on; a community that a
+    node founds has a negative one of its own.
+
+    A node is active if it hasn't had its turn since it or a neighbour last moved. The active nodes of one half of all
+    go where they gain most: being in C gains k_in(C) - rate * k * (the strength of C without the node), where rate is
+    gamma / 2m; alone it gains 0. Ties go to the smaller community, and staying wins unless another gains clearly more
+    (both rounded, so that sums taken in another order still tie). Only links of nodes that moved, and of active nodes,
+    are shuffled, added up per node and community before.
     """
+    links = level.links
+    front = level.of(links.select("node", "other"), state.where("moved").select("node"), "node").select(F.col("other").alias("node")).distinct()
+    rows = state.join(F.broadcast(front.withColumn("front", F.lit(True))) if level.few else front.withColumn("front", F.lit(True)), "node", "left")
+    rows = rows.select("node", "comm", "k", "rate", (F.col("waiting") | F.col("front").isNotNull()).alias("active"))
+    rows = rows if level.few else cut(rows, "active")
+    movers = rows.where(F.col("active") & _turn(turn)).select("node", "k", "rate", F.col("comm").alias("was"))
+    placed = level.totals(state, ["node"])
+    placed = placed if level.few else cut(placed, "placed")
+    near = level.of(level.of(links, movers, "node"), placed.select(F.col("node").alias("other"), F.col("comm").alias("to"), "tot"), "other")
+    near = near.select("node", "to", "weight", "tot", "k", "rate", "was")
+    own = movers.join(placed.select("node", "tot"), "node").select("node", F.col("was").alias("to"), F.lit(0.0).alias("weight"), "tot", "k", "rate", "was")
+    alone = movers.select("node", (-(F.col("node") * (1 << 14) + turn + 1)).alias("to"), F.lit(0.0).alias("weight"), F.lit(0.0).alias("tot"), "k", "rate", "was")
+    sums = near.unionByName(own).unionByName(alone).groupBy("node", "to").agg(F.sum("weight").alias("k_in"), *(F.max(c).alias(c) for c in ("tot", "k", "rate", "was")))
+    stays = F.col("to") == F.col("was")
+    gain = F.col("k_in") - F.col("rate") * F.col("k") * (F.col("tot") - F.when(stays, F.col("k")).otherwise(0.0))
+    sums = sums.withColumn("gain", gain)
+    loss = F.round(-F.when(stays, F.col("gain") + 1e-9 * (1 + F.abs("gain"))).otherwise(F.col("gain")), 9)
+    best = sums.groupBy("node").agg(F.min(F.struct(loss.alias("loss"), "to"))["to"].alias("to"))
+    out = rows.join(best, "node", "left")
+    moved = F.coalesce(F.col("to") != F.col("comm"), F.lit(False))
+    return out.select("node", F.coalesce("to", "comm").alias("comm"), "k", "rate", (F.col("active") & ~_turn(turn)).alias("waiting"), moved.alias("moved"))
+
+
+class Turns:
+    """Rounds taken so far, and nodes moved in each."""
+
+    def __init__(self):
+        self.moved: list[int] = []
+
+
+def _settle(level: _Level, state: DataFrame, turns: Turns, how: Search, tolerance: float, surely: bool = False) -> tuple[DataFrame, int]:
+    """``state`` (node, comm, k, rate) after rounds until no node is active, or few move; and how many moved. ``surely``:
+    as moves also change what a community weighs for nodes that aren't near, all nodes are active once more then, until
+    that moves none."""
+    state = state.select("node", "comm", "k", "rate", F.lit(True).alias("waiting"), F.lit(False).alias("moved"))
+    total, last, since = 0, None, 0
+    for _ in range(how.rounds):
+        seen = Observation()
+        new = _round(level, state, len(turns.moved)).observe(seen, F.count_if("moved").alias("moved"), F.count_if(F.col("moved") | F.col("waiting")).alias("open"))
+        state = cut(new, "state")
+        moved = seen.get["moved"]
+        turns.moved.append(moved)
+        total, since = total + moved, since + moved
+        if not seen.get["open"]:
+            if not surely or not since:
+                break
+            state, since = state.withColumn("waiting", F.lit(True)), 0
+        elif last is not None and tolerance and max(moved, last) <= tolerance * level.n:
+            break
+        last = moved
+    return state.select("node", "comm", "k", "rate"), total
+
+
+def _refine(level: _Level, state: DataFrame, how: Search) -> DataFrame:
+    """node, part: communities cut into parts that hang together, from single nodes on.
+
+    A node that is still alone joins the part of its community where it gains most, if it gains and is itself well
+    linked with the community. In a round only one half's nodes may join, and only parts that none of them leaves."""
+    homes = cut(level.totals(state, ["node", "k", "rate"]).withColumnsRenamed({"comm": "home", "tot": "held"}), "homes")
+    inside = level.of(level.links, homes.select("node", "home", "k", "rate", "held"), "node")
+    inside = level.of(inside, homes.select(F.col("node").alias("other"), F.col("home").alias("_home")), "other").where("home = _home")
+    inside = cut(inside.select("node", "other", "weight", "k", "rate", "held"), "inside")
+    linked = inside.groupBy("node").agg(F.sum("weight").alias("w"), F.max("k").alias("k"), F.max("rate").alias("rate"), F.max("held").alias("held"))
+    well = cut(linked.where(F.col("w") >= F.col("rate") * F.col("k") * (F.col("held") - F.col("k"))).select("node"), "well")
+    parts = cut(homes.select("node", F.col("node").alias("comm"), "k").join(F.broadcast(well.withColumn("well", F.lit(True))) if level.few else well.withColumn("well", F.lit(True)), "node", "left"), "parts")
+    for turn in range(how.refining):
+        sizes = parts.groupBy("comm").agg(F.sum("k").alias("tot"), F.count("*").alias("n"))
+        rows = parts.join(F.broadcast(sizes), "comm") if level.few else cut(spread_join(parts, sizes, "comm"), "parts")
+        leaves = (F.col("n") == 1) & F.coalesce("well", F.lit(False)) & _turn(turn)
+        movers = rows.where(leaves).select("node")
+        open_ = rows.where(~leaves).select(F.col("node").alias("other"), F.col("comm").alias("to"), "tot")
+        near = level.of(level.of(inside, movers, "node"), open_, "other").groupBy("node", "to").agg(F.sum("weight").alias("k_in"), *(F.max(c).alias(c) for c in ("tot", "k", "rate")))
+        near = near.withColumn("gain", F.round(F.col("k_in") - F.col("rate") * F.col("k") * F.col("tot"), 9)).where("gain > 0")
+        best = near.groupBy("node").agg(F.min(F.struct((-F.col("gain")).alias("o"), "to"))["to"].alias("to"))
+        seen = Observation()
+        out = parts.join(best, "node", "left").select("node", F.coalesce("to", "comm").alias("comm"), "k", "well", F.col("to").isNotNull().alias("joined"))
+        out = cut(out.observe(seen, F.count_if("joined").alias("joined")), "parts")
+        parts = out.drop("joined")
+        if not seen.get["joined"] and turn:
+            break
+    return parts.select("node", F.col("comm").alias("part"))
+
+
+def _numbered_graph(edges: DataFrame, nodes: DataFrame, partition: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Nodes (name, partition, node: a number in the order of the names) and links of both directions inside partitions."""
     ids = nodes.select("node").distinct()
     part = ids.withColumn("partition", F.lit("__all__")) if partition is None else ids.join(partition.select("node", "partition"), "node")
-    # Numbers in the order of the names stand for nodes from here on.
     part = cut(numbered(part.withColumnRenamed("node", "name"), ["name", "partition"], "node"), "nodes")
-    start = edges.select("src", "dst", F.col("weight").cast("double").alias("weight"))
+    start = cut(edges.select("src", "dst", F.col("weight").cast("double").alias("weight")), "weighted")
     for end, node, of in (("src", "node", "_p"), ("dst", "other", "_q")):
-        start = start.join(part.select(F.col("name").alias(end), F.col("node").alias(node), F.col("partition").alias(of)), end)
+        start = spread_join(start, part.select(F.col("name").alias(end), F.col("node").alias(node), F.col("partition").alias(of)), end)
     start = cut(start.where("_p = _q").select("node", "other", "weight"), "graph")
-    gammas = part.select("partition").distinct()
-    gammas = gammas.withColumn("gamma", F.lit(float(gamma))) if not isinstance(gamma, DataFrame) else gammas.join(gamma, "partition")
-
-    # Work on both directions; a contracted node keeps its inner weight as a loop, seen from both ends.
-    both = start.unionByName(start.select(F.col("other").alias("node"), F.col("node").alias("other"), "weight"))
-    belongs = part.select("node", F.col("node").alias("top"), "partition")
-    turn = 0
-    for level in range(levels):
-        both = cut(both, "graph") if level == 0 else both
-        k = both.groupBy("node").agg(F.sum("weight").alias("k"))
-        tops = belongs.select(F.col("top").alias("node"), "partition").distinct().join(k, "node", "left").withColumn("k", F.coalesce("k", F.lit(0.0)))
-        sums = tops.groupBy("partition").agg(F.sum("k").alias("k2"))
-        rates = sums.join(gammas, "partition").select("partition", F.when(F.col("k2") > 0, F.col("gamma") / F.col("k2")).otherwise(0.0).alias("rate"))
-        state = cut(tops.join(rates, "partition").select("node", F.col("node").alias("comm"), "k", "rate"), "state")
-        plain = cut(both.where("node <> other").join(state.select("node", "k", "rate"), "node"), "links")
-        moved_ever, quiet, n = 0, 0, state.count()
-        for _ in range(rounds):
-            turn += 1
-            seen = Observation()
-            new = _round(plain, state, turn).observe(seen, F.count_if(F.col("comm") != F.col("was")).alias("moved"))
-            state = cut(new, "state")
-            moved = seen.get["moved"]
-            moved_ever += moved
-            quiet = quiet + 1 if moved <= tolerance * n else 0
-            if quiet == 2:
-                break
-        if not moved_ever:
+    return part, cut(start.unionByName(start.select(F.col("other").alias("node"), F.col("node").alias("other"), "weight")), "graph")
+
+
+def _search(graph: DataFrame, part: DataFrame, gammas: DataFrame, start: DataFrame | None, how: Search, turns: Turns) -> DataFrame:
+    """node, comm after moving, refining and contracting from ``start`` (node, comm; None: single nodes) on."""
+
+    def strengths(both: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
+        """node, k, rate of (node, partition)."""
+        k = nodes.join(both.groupBy("node").agg(F.sum("weight").alias("k")), "node", "left").withColumn("k", F.coalesce("k", F.lit(0.0)))
+        rates = k.groupBy("partition").agg(F.sum("k").alias("k2")).join(gammas, "partition")
+        rates = rates.select("partition", F.when(F.col("k2") > 0, F.col("gamma") / F.col("k2")).otherwise(0.0).alias("rate"))
+        k = k.join(F.broadcast(rates), "partition") if n <= how.small else spread_join(cut(k, "strengths"), rates, "partition")
+        return cut(k.select("node", "k", "rate"), "strengths")
+
+    tops = part.select("node", "partition")
+    n = tops.count()
+    first = own = _level(graph, n, how)
+    base = at = strengths(graph, tops, n)
+    comm = tops.select("node", F.col("node").alias("comm")) if start is None else start
+    both, belongs = graph, tops.select("node", F.col("node").alias("top"))
+    for depth in range(how.levels):
+        state, moved = _settle(own, at.join(comm, "node"), turns, how, how.tolerance)
+        if depth and not moved:
+            break
+        comm = state.select("node", "comm")
+        parts = _refine(own, state, how)
+        here = parts.agg(F.countDistinct("part")).first()[0]
+        if here == n:
             break
-        to = state.select("node", "comm")
-        belongs = cut(belongs.join(to.withColumnRenamed("node", "top"), "top").select("node", F.col("comm").alias("top"), "partition"), "belongs")
+        # Parts become nodes; inner weight stays as a loop, seen from both ends. Each begins in its community.
         for end in ("node", "other"):
-            both = both.join(to.select(F.col("node").alias(end), F.col("comm").alias(f"_{end}")), end).drop(end).withColumnRenamed(f"_{end}", end)
+            to = parts.select(F.col("node").alias(end), F.col("part").alias(f"_{end}"))
+            both = (both.join(F.broadcast(to), end) if own.few else dealt_join(both, to, end, None if own.hot is None else own.hot.withColumnRenamed("node", end))).drop(end).withColumnRenamed(f"_{end}", end)
         both = cut(both.groupBy("node", "other").agg(F.sum("weight").alias("weight")), "graph")
-
-    inside = start
+        tops = cut(tops.join(parts, "node").select(F.col("part").alias("node"), "partition").distinct(), "tops")
+        comm = cut(comm.join(parts, "node").groupBy(F.col("part").alias("node")).agg(F.min("comm").alias("comm")), "comms")
+        link = parts.select(F.col("node").alias("top"), F.col("part").alias("_top"))
+        belongs = cut((belongs.join(F.broadcast(link), "top") if own.few else spread_join(belongs, link, "top")).select("node", F.col("_top").alias("top")), "belongs")
+        n, at = here, strengths(both, tops, here)
+        own = _level(both, n, how)
+    to = comm.select(F.col("node").alias("top"), "comm")
+    found = (belongs.join(F.broadcast(to), "top") if n <= how.small else spread_join(belongs, to, "top")).select("node", "comm")
+    # Last, single nodes once more: in the end none of them gains by moving.
+    return _settle(first, base.join(found, "node"), turns, replace(how, rounds=how.last), 0.0, surely=True)[0].select("node", "comm")
+
+
+def _finished(graph: DataFrame, part: DataFrame, comm: DataFrame, how: Search) -> DataFrame:
+    """node (a name), partition, cluster: communities cut into connected parts, numbered by their smallest nodes."""
+    inside = graph.where("node < other")
+    few = part.count() <= how.small
     for end in ("node", "other"):
-        inside = inside.join(belongs.select(F.col("node").alias(end), F.col("top").alias(f"_{end}")), end)
+        to = comm.select(F.col("node").alias(end), F.col("comm").alias(f"_{end}"))
+        inside = inside.join(F.broadcast(to), end) if few else spread_join(cut(inside, "inside"), to, end)
     pieces = connected_components(inside.where("_node = _other"), part, "node", "other")
     ranked = pieces.join(part, "node")
     order = cut(numbered(ranked.select("partition", "component").distinct(), ["partition", "component"], "place"), "clusters")
     first = order.groupBy("partition").agg(F.min("place").alias("first"))
-    out = ranked.join(order.join(first, "partition"), ["partition", "component"]).select(F.col("name").alias("node"), "partition", (F.col("place") - F.col("first")).cast("int").alias("cluster"))
+    order = order.join(first, "partition").select("component", (F.col("place") - F.col("first")).cast("int").alias("cluster"))
+    ranked = cut(ranked.select("name", "partition", "component"), "ranked")
+    return spread_join(ranked, order, "component").select(F.col("name").alias("node"), "partition", "cluster")
+
+
+def communities(
+    edges: DataFrame, nodes: DataFrame, gamma: float | DataFrame = 1.0, partition: DataFrame | None = None, start: DataFrame | None = None, how: Search | None = None, turns: Turns | None = None
+) -> DataFrame:
+    """node, cluster (and partition): communities at resolution gamma.
+
+    Rounds of synchronous moves by the active nodes of alternating halves; a level ends when no node is active (or few
+    move, see ``Search``). Communities are then refined into well-linked parts, the parts become the next level's nodes,
+    which begin in their communities, and so on until nothing moves; last, single nodes move until none is active, so
+    that none gains by moving, unless ``last`` rounds end it. Each community is cut into its connected parts; ids are given by
+    the smallest node. Every node is assigned, isolated ones alone; results don't depend on how the data is partitioned.
+
+    ``partition`` (node, partition) keeps apart groups that advance in the same jobs; ``gamma`` may then be a table
+    (partition, gamma). ``start`` (node, cluster) is where the search begins, by default each node alone.
+    """
+    how, turns = how or Search(), turns or Turns()
+    part, graph = _numbered_graph(edges, nodes, partition)
+    gammas = part.select("partition").distinct()
+    gammas = gammas.withColumn("gamma", F.lit(float(gamma))) if not isinstance(gamma, DataFrame) else gammas.join(gamma, "partition")
+    own = None
+    if start is not None:
+        named = part.join(start.select(F.col("node").alias("name"), F.col("cluster").alias("_c")), "name")
+        least = named.groupBy("partition", "_c").agg(F.min("node").alias("comm"))
+        own = cut(spread_join(cut(named, "start"), least, ["partition", "_c"]).select("node", "comm"), "start")
+    out = _finished(graph, part, _search(graph, part, gammas, own, how, turns), how)
     return out if partition is not None else out.drop("partition")
 
 
-def communities_targeted(edges: DataFrame, nodes: DataFrame, targets: int | DataFrame, partition: DataFrame | None = None, low: float = 0.01, high: float = 10.0, rounds: int = 5, within: int = 2, levels: int = 5, moves: int = 12) -> DataFrame:
+def communities_targeted(edges: DataFrame, nodes: DataFrame, targets: int | DataFrame, partition: DataFrame | None = None, low: float = 0.01, high: float = 10.0, rounds: int = 5, within: int = 2, warm: bool = True, how: Search | None = None, turns: Turns | None = None) -> DataFrame:
     """Communities with about the target count (G3): bisection of the resolution in [low, high], at most
     ``rounds`` rounds, until the count is ``within`` of the target; the first closest result is kept.
 
-    ``targets``: a number, or (partition, target). A target of at most 1 puts all nodes into cluster 0. All
-    partitions advance in the same jobs; their bounds are columns. ``levels`` and ``moves`` bound each search.
+    ``targets``: a number, or (partition, target). A target of at most 1 puts all nodes into cluster 0. All partitions
+    advance in the same jobs; their bounds are columns. ``warm``: a search begins with the communities that were found
+    at the nearest resolution so far, which merge at a lower one and split at a higher one, and not with single nodes.
     """
-    ids = nodes.select("node").distinct()
-    part = ids.withColumn("partition", F.lit("__all__")) if partition is None else partition.select("node", "partition").distinct()
-    goals = part.select("partition").distinct()
+    how, turns = how or Search(), turns or Turns()
+    own, graph = _numbered_graph(edges, nodes, nodes.select("node", F.lit("__all__").alias("partition")) if partition is None else partition)
+    goals = own.select("partition").distinct()
     goals = goals.withColumn("target", F.lit(targets)) if not isinstance(targets, DataFrame) else goals.join(targets.select("partition", "target"), "partition")
-    bounds = cut(goals.withColumn("low", F.lit(low)).withColumn("high", F.lit(high)))
-    best = cut(part.join(goals.where("target <= 1"), "partition").select("node", "partition", F.lit(0).alias("cluster"), F.lit(0).alias("away")))
-    open_ = cut(bounds.where("target > 1"))
+    open_ = cut(goals.where("target > 1").withColumn("low", F.lit(low)).withColumn("high", F.lit(high)).withColumn("gamma", (F.col("low") + F.col("high")) / 2), "bounds")
+    of = own.select("node", "partition")
+    best = cut(of.join(goals.where("target <= 1"), "partition").select("node", "partition", F.lit(0).cast("long").alias("comm"), F.lit(0).alias("away")), "best")
+    near = None  # node, comm: what was found at the nearest resolution
     for _ in range(rounds):
         if open_.isEmpty():
             break
-        gammas = open_.select("partition", ((F.col("low") + F.col("high")) / 2).alias("gamma"))
-        own = part.join(gammas.select("partition"), "partition", "left_semi")
-        found = cut(communities(edges, own.select("node"), gammas, own, levels, moves))
-        counts = found.groupBy("partition").agg(F.countDistinct("cluster").alias("n"))
-        rows = cut(open_.join(counts, "partition").join(gammas, "partition").withColumn("away", F.abs(F.col("n") - F.col("target")).cast("int")))
+        part = cut(own.join(open_.select("partition"), "partition", "left_semi"), "open")
+        inside = graph.join(part.select("node"), "node", "left_semi")
+        start = near.join(part.select("node"), "node", "left_semi") if warm and near is not None else None
+        found = _search(cut(inside, "graph"), part, open_.select("partition", "gamma"), start, how, turns)
+        found = cut(found.join(of, "node"), "found")
+        counts = found.groupBy("partition").agg(F.countDistinct("comm").alias("n"))
+        rows = cut(open_.join(counts, "partition").withColumn("away", F.abs(F.col("n") - F.col("target")).cast("int")), "bounds")
         held = best.groupBy("partition").agg(F.min("away").alias("held"))
         better = rows.join(held, "partition", "left").where("held is null or away < held").select("partition", "away")
-        best = cut(best.join(better, "partition", "left_anti").unionByName(found.join(better, "partition").select("node", "partition", "cluster", "away")))
+        best = cut(best.join(better, "partition", "left_anti").unionByName(found.join(better, "partition").select("node", "partition", "comm", "away")), "best")
+        # The next resolution lies half a bound from this one, which is the nearest of all that were tried.
+        near = found.select("node", "comm")
         few = F.col("n") < F.col("target")
-        open_ = cut(rows.where(F.col("away") > within).select("partition", "target", F.when(few, F.col("gamma")).otherwise(F.col("low")).alias("low"), F.when(few, F.col("high")).otherwise(F.col("gamma")).alias("high")))
-    return best.select("node", *(["partition"] if partition is not None else []), "cluster")
+        bounds = rows.where(F.col("away") > within).select("partition", "target", F.when(few, F.col("gamma")).otherwise(F.col("low")).alias("low"), F.when(few, F.col("high")).otherwise(F.col("gamma")).alias("high"))
+        open_ = cut(bounds.withColumn("gamma", (F.col("low") + F.col("high")) / 2), "bounds")
+    one = cut(best.join(goals.where("target <= 1").select("partition"), "partition", "left_semi"), "ones")
+    rest = best.join(goals.where("target > 1").select("partition"), "partition", "left_semi")
+    out = _finished(graph, own.join(rest.select("node"), "node", "left_semi"), cut(rest, "rest").select("node", "comm"), how)
+    out = out.unionByName(own.join(one.select("node"), "node").select(F.col("name").alias("node"), "partition", F.lit(0).alias("cluster")))
+    return out.select("node", *(["partition"] if partition is not None else []), "cluster")
 
 
 def merge_small_clusters(assign: DataFrame, target: int, factor: int = 3) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from depweave.functions.paths import ancestors, leaf, parent, stem, with_path_parts
+from depweave.operators.spread import spread_join
 from depweave.sources.scratch import cut
 
 
@@ -73,13 +74,41 @@ def name_candidates(path: str = "path") -> Column:
     return F.array_sort(F.array_distinct(F.filter(every, lambda x: F.length(x) > 0)))
 
 
+def _grams(text: str, size: Column) -> Column:
+    """Distinct parts of that many characters."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - size + 1, F.lit(1))), lambda i: F.substring(F.col(text), i, size)))
+
+
+def holders(rows: DataFrame, names: DataFrame, size: int = 3) -> DataFrame:
+    """``rows`` with each ``name`` (distinct texts) that their ``text`` contains.
+
+    An inverted index of q-grams: a text gives its distinct parts of ``size`` characters, and of fewer where names are so
+    short. A name is looked up by the one of its parts that the fewest texts have, and what is found is checked. So a
+    text gives as many rows as it has characters at most, whatever the names; parts that no name needs are dropped first,
+    and a part that very many texts have is dealt over tasks."""
+    names = cut(names.where("name <> ''").select("name", F.least(F.length("name"), F.lit(size)).alias("q")), "names")
+    sizes = sorted(r.q for r in names.select("q").distinct().collect())  # ``size`` at most
+    if not sizes:
+        return rows.withColumn("name", F.lit(None).cast("string")).where(F.lit(False))
+    own = names.select("name", F.explode(_grams("name", F.col("q"))).alias("gram"))
+    wanted = own.select("gram").distinct()
+    texts = cut(rows.select("text").distinct(), "texts")
+    parts = texts.select("text", F.explode(F.flatten(F.array(*(_grams("text", F.lit(q)) for q in sizes)))).alias("gram"))
+    parts = cut(parts.join(wanted, "gram", "left_semi"), "grams")
+    counts = parts.groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = own.join(counts, "gram").groupBy("name").agg(F.count("*").alias("found"), F.min(F.struct("n", "gram"))["gram"].alias("gram"))
+    # A name one of whose parts no text has is in none.
+    rarest = rarest.join(own.groupBy("name").agg(F.count("*").alias("parts")), "name").where("found = parts").select("name", "gram")
+    found = spread_join(parts, rarest, "gram").where(F.contains("text", "name")).select("text", "name")
+    return spread_join(cut(found, "holders"), rows, "text")
+
+
 def assign_tests(tests: DataFrame, call_edges: DataFrame, component_files: DataFrame) -> DataFrame:
     """path, component, how of each test file (J8): the component that most of its calls go to (``calls``),
     else the one with most source files whose lower-cased path contains one of the test's names (``name``), else
     ``unassigned``. Ties go to the smaller component name.
 
-    Containment is an equality join too: each source path gives its parts of the lengths that names have, and only
-    parts that are some name go on. Tests with the same names are one row until the end.
+    Containment is looked up by q-grams (``holders``). Tests with the same names are one row until the end.
     """
     tests = tests.select("path").distinct()
     own = component_files.select("component", "path")
@@ -89,11 +118,7 @@ def assign_tests(tests: DataFrame, call_edges: DataFrame, component_files: DataF
 
     left = cut(tests.join(by_calls, "path", "left_anti").select("path", name_candidates().alias("names")), "tests")
     names = left.select(F.explode("names").alias("name")).distinct()
-    # One row: the distinct lengths of names, which are fewer than the characters of the longest path.
-    lengths = names.agg(F.array_sort(F.collect_set(F.length("name"))).alias("lengths"))
-    text = F.lower("path")
-    parts = F.flatten(F.transform("lengths", lambda n: F.when(n <= F.length("path"), F.transform(F.sequence(F.lit(1), F.length("path") - n + 1), lambda i: F.substring(text, i, n))).otherwise(F.array().cast("array<string>"))))
-    held = own.join(F.broadcast(lengths)).select("component", F.col("path").alias("source"), F.explode(F.array_distinct(parts)).alias("name")).join(names, "name", "left_semi")
+    held = holders(own.select("component", F.col("path").alias("source"), F.lower("path").alias("text")), names).select("component", "source", "name")
     sets = left.select("names").distinct()
     hit = sets.select("names", F.explode("names").alias("name")).join(held, "name").select("names", "component", "source").distinct()
     counts = hit.groupBy("names", "component").agg(F.count("*").alias("k"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from depweave.functions.paths import is_test
 from depweave.operators.components import assign_new_tests
+from depweave.operators.spread import spread_join
 from depweave.operators.versions import decisions_with_names
 from depweave.sources.scratch import cut, numbered
 
@@ -119,7 +120,7 @@ def _metadata(col: str = "metadata") -> Column:
 MODULE_FIELDS = ["type", "technology", "source_origin", "deployment_target"]
 
 
-def _modules(table: DataFrame) -> DataFrame:
+def with_module_fields(table: DataFrame) -> DataFrame:
     """Modules with all their fields, null where the table lacks one."""
     return table.select("module_id", "name", "classification", *(F.col(c) if c in table.columns else F.lit(None).cast("string").alias(c) for c in MODULE_FIELDS))
 
@@ -140,7 +141,7 @@ def export_modules(tables: Tables) -> DataFrame:
     c = _listed(c, "module_id", [F.col("component_id").alias("id"), "name", "purpose", "confidence", none("files").alias("files"), none("decisions").alias("decisions")], "components")
     dirs = tables["module_directories"].groupBy("module_id").agg(F.array_sort(F.collect_list("directory")).alias("directories"))
     of_module = _listed(d.where("module_id is not null"), "module_id", fields, "decisions")
-    m = _modules(tables["modules"]).join(dirs, "module_id", "left").join(of_module, "module_id", "left").join(c, "module_id", "left")
+    m = with_module_fields(tables["modules"]).join(dirs, "module_id", "left").join(of_module, "module_id", "left").join(c, "module_id", "left")
     return m.select(F.col("module_id").alias("id"), "name", "classification", *MODULE_FIELDS, none("directories").alias("directories"), none("decisions").alias("decisions"), none("components").alias("components"))
 
 
@@ -172,6 +173,45 @@ def map_sizes(tables: Tables) -> DataFrame:
     return m.withColumns(none | {"directories": F.coalesce("directories", F.lit(""))}).select("module_id", "name", "component_id", "component", "files", "decisions", "module_decisions", "directories")
 
 
+#: The tables of a map with their columns, as its sections have them.
+SECTIONS = {
+    "modules": "module_id long, name string, classification string, type string, technology string, source_origin string, deployment_target string",
+    "module_directories": "module_id long, directory string",
+    "components": "component_id long, module_id long, name string, purpose string, confidence double",
+    "component_files": "component_id long, path string, is_test boolean",
+    "decisions": "decision_id long, module_id long, component_id long, category string, text string, detail string, source string",
+    "module_edges": "source_id long, target_id long, edge_type string, weight double, metadata string",
+    "component_edges": "source_id long, target_id long, edge_type string, weight double, metadata string",
+}
+
+
+def map_sections(tables: Tables) -> DataFrame:
+    """value: the map by sections, a line of JSON a row of its tables, ``{"section": .., "row": {..}}`` (S9); what
+    ``read_sections`` takes in. Lines may come in any order and file, so a map may be of any size."""
+    out = None
+    for name, schema in SECTIONS.items():
+        table = with_module_fields(tables[name]) if name == "modules" else tables[name]
+        columns = [c.split()[0] for c in schema.split(", ")]
+        rows = table.select(F.to_json(F.struct(F.lit(name).alias("section"), F.struct(*columns).alias("row"))).alias("value"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def read_sections(lines: DataFrame) -> tuple[Tables, DataFrame]:
+    """(tables, errors) of a map that comes by sections (``value``) (S7, J13): what ``import_tables`` takes. A missing
+    classification is ``module``, a decision's missing source ``pipeline_generated``, an edge's missing weight 1. errors:
+    value, reason of lines that are no section."""
+    section = F.get_json_object("value", "$.section")
+    known = F.try_parse_json("value").isNotNull() & F.coalesce(section.isin(*SECTIONS), F.lit(False))
+    missing = {"classification": F.lit("module"), "source": F.lit("pipeline_generated"), "weight": F.lit(1.0), "is_test": F.lit(False)}
+    tables = {}
+    for name, schema in SECTIONS.items():
+        row = F.from_json("value", f"row struct<{schema.replace(' ', ': ').replace(',: ', ', ')}>")["row"]
+        table = lines.where(known & (section == name)).select(row.alias("r")).select("r.*")
+        tables[name] = table.withColumns({c: F.coalesce(c, v) for c, v in missing.items() if c in table.columns})
+    return tables, lines.where(~known).select("value", F.lit("no section").alias("reason"))
+
+
 def import_map(nested: DataFrame) -> Tables:
     """Tables of a nested map with new ids from 1 in the old ids' order (J13); see ``import_tables``. A missing
     classification is ``module``, a decision's missing source ``pipeline_generated``, an edge's missing weight 1."""
@@ -197,7 +237,7 @@ def import_tables(tables: Tables) -> Tables:
     owners and go where those are unknown; a decision of a module and a component comes for both, as in the
     nested map. Edges stay only if both ends are known; of edges that repeat (source, target, type) the first
     stays."""
-    mods = numbered(_modules(tables["modules"]).withColumnRenamed("module_id", "id"), ["id", "name"], "module_id")
+    mods = numbered(with_module_fields(tables["modules"]).withColumnRenamed("module_id", "id"), ["id", "name"], "module_id")
     new_mod = mods.select(F.col("id").alias("_old"), F.col("module_id").alias("_new"))
     child = lambda name, key, new: tables[name].join(new, F.col(key) == F.col("_old")).withColumn(key, F.col("_new")).drop("_old", "_new")
     comps = numbered(child("components", "module_id", new_mod).withColumnRenamed("component_id", "id"), ["module_id", "id", "name"], "component_id")
@@ -265,10 +305,26 @@ OLD_RELATIONS = f"struct<dependsOnModules array<string>, usesDataStores array<st
 EDGES = "edges array<struct<sourceId string, targetId string, type string, protocol string, description string>>, consumedBy array<struct<libraryId string, consumerIds array<string>>>"
 
 
+#: A module by itself, as a section of an ingestion.
+_SECTION = MODULES.removeprefix("modules array<struct<").removesuffix(">>")
+
+
 def ingest_modules(doc: DataFrame) -> Tables:
     """modules (module_id, key, fields, consumedBy, relationships) and module_directories of a document (``value``).
     Ids are given in the document's order; ``codebase/`` goes from the start of directories."""
-    rows = doc.select(F.from_json("value", MODULES).alias("d")).select(F.posexplode("d.modules").alias("ord", "m")).select("ord", "m.*").where("name is not null or id is not null")
+    rows = doc.select(F.from_json("value", MODULES).alias("d")).select(F.posexplode("d.modules").alias("ord", "m")).select("ord", "m.*")
+    return _module_tables(rows)
+
+
+def ingest_sections(sections: DataFrame) -> Tables:
+    """``ingest_modules`` of a document that comes in sections: a row (ord, ``value``) a module, so that a document may be
+    of any size. Rows that are no JSON object are left out."""
+    rows = sections.where(F.try_parse_json("value").isNotNull()).select("ord", F.from_json("value", _SECTION).alias("m")).select("ord", "m.*")
+    return _module_tables(rows)
+
+
+def _module_tables(rows: DataFrame) -> Tables:
+    rows = rows.where("name is not null or id is not null")
     rows = numbered(rows.withColumn("key", F.coalesce("id", "name")), ["ord", "key"], "module_id")
     mods = rows.select(
         "module_id", "key", F.coalesce("name", "id").alias("name"), F.coalesce("classification", F.lit("module")).alias("classification"), "type", "technology",
@@ -282,7 +338,7 @@ def _named_ends(rows: DataFrame, mods: DataFrame) -> DataFrame:
     """Edges (source, target as keys) between known modules, with ids and names."""
     for end in ("source", "target"):
         known = mods.select(F.col("key").alias(end), F.col("module_id").alias(f"{end}_id"), F.col("name").alias(f"{end}_name"))
-        rows = rows.join(known, end)
+        rows = spread_join(cut(rows, "ends"), known, end)  # a module that all others use is dealt over tasks
     return rows
 
 
@@ -297,7 +353,11 @@ def ingest_modules_single(doc: DataFrame) -> Tables:
 
     Relations go by targetModuleId; those to unknown modules are dropped and the first of a (source, target, type)
     stays. ``consumedBy`` of shared libraries adds a ``depends_on`` edge where there is none of that type."""
-    tables = ingest_modules(doc)
+    return with_module_edges(ingest_modules(doc))
+
+
+def with_module_edges(tables: Tables) -> Tables:
+    """The tables of ``ingest_modules`` or ``ingest_sections`` with module_edges from their modules' relationships."""
     mods = tables["modules"]
     as_list = F.from_json("relationships", f"array<{_RELATION}>")
     old = F.from_json("relationships", OLD_RELATIONS)

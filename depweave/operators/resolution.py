@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from depweave.functions.symbols import is_callable, is_definition, is_local
+from depweave.operators.spread import spread_join
+from depweave.sources.scratch import cut
 
 _ORDER = ["doc_ord", "occ_ord"]
 
@@ -32,18 +34,18 @@ def references(occ: DataFrame) -> DataFrame:
 
 def resolve_references(occ: DataFrame, files: DataFrame | None = None, kinds: DataFrame | None = None) -> DataFrame:
     """index_id, path, symbol, def_path, cnt, callable: references to symbols defined in another file of the
-    same index, both files in ``files`` (a ``path`` table; None: all files) (J2)."""
+    same index, both files in ``files`` (a ``path`` table; None: all files) (J2).
+
+    References are counted per file before the join; those to a symbol that very many files use are dealt over tasks."""
     defs = definitions(occ).withColumnRenamed("path", "def_path")
     refs = references(occ)
     if files is not None:
         own = files.select("path").distinct()
         refs = refs.join(own, "path", "left_semi")
         defs = defs.join(own.withColumnRenamed("path", "def_path"), "def_path", "left_semi")
-    out = refs.join(defs, ["index_id", "symbol"]).where("path <> def_path")
-    if kinds is None:
-        out = out.withColumn("kind", F.lit(0))
-    else:
-        out = out.join(kinds, ["index_id", "symbol"], "left")
+    # What is known of a symbol meets its definition first, one row each.
+    defs = defs.withColumn("kind", F.lit(0)) if kinds is None else defs.join(kinds, ["index_id", "symbol"], "left")
+    out = spread_join(cut(refs, "references"), defs, ["index_id", "symbol"]).where("path <> def_path")
     return out.select("index_id", "path", "symbol", "def_path", "cnt", is_callable().alias("callable"))
 
 
@@ -51,7 +53,7 @@ def resolve_inheritance(relationships: DataFrame, occ: DataFrame, files: DataFra
     """index_id, path, def_path, cnt: implementation relationships to symbols of another file."""
     defs = definitions(occ).select("index_id", F.col("symbol").alias("target_symbol"), F.col("path").alias("def_path"))
     rows = relationships.where("is_implementation").groupBy("index_id", F.col("relative_path").alias("path"), "target_symbol").agg(F.count("*").alias("cnt"))
-    out = rows.join(defs, ["index_id", "target_symbol"]).where("path <> def_path")
+    out = spread_join(cut(rows, "inherited"), defs, ["index_id", "target_symbol"]).where("path <> def_path")
     if files is not None:
         own = files.select("path").distinct()
         out = out.join(own, "path", "left_semi").join(own.withColumnRenamed("path", "def_path"), "def_path", "left_semi")

@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from depweave.operators.spread import spread_join
+from depweave.sources.scratch import cut
+
 
 def component_pairs(file_edges: DataFrame, component_files: DataFrame, by: str | None = None) -> DataFrame:
     """low, high, edge_type, cnt between different components; edges with an unknown end are dropped (J4). With ``by``, a
     column of ``component_files``, only pairs in the same ``by``, which is a column of the result too."""
     own = component_files.select(*([by] if by else []), "component", "path")
-    rows = file_edges
-    for end, name, of in (("src", "_a", "_m"), ("dst", "_b", "_n")):
-        rows = rows.join(own.select(F.col("path").alias(end), F.col("component").alias(name), *([F.col(by).alias(of)] if by else [])), end)
+    rows = every = cut(file_edges.select("src", "dst", "edge_type", "cnt"), "file-edges")
+    for end, name, of in (("src", "_a", "_m"), ("dst", "_b", "_n")):  # a file that all others use is dealt over tasks
+        rows = spread_join(rows, own.select(F.col("path").alias(end), F.col("component").alias(name), *([F.col(by).alias(of)] if by else [])), end, counted=every.select(end))
     rows = rows.where("_a <> _b and _m = _n" if by else "_a <> _b")
     return rows.groupBy(*([F.col("_m").alias(by)] if by else []), F.least("_a", "_b").alias("low"), F.greatest("_a", "_b").alias("high"), "edge_type").agg(F.sum("cnt").alias("cnt"))
 

@@ -12,6 +12,7 @@ from depweave.functions.paths import BINARY_EXTENSIONS, extension, parent
 from depweave.functions.names import spare
 from depweave.functions.symbols import is_definition, is_local, kind_name, symbol_module, symbol_name
 from depweave.operators.cluster import connected_components
+from depweave.operators.similar import similar_sets
 from depweave.sources.scratch import cut, numbered
 
 #: Categories that component decisions may have: fixed values.
@@ -227,18 +228,32 @@ def classification_requests(new_files: DataFrame, components: DataFrame, n_lines
     return rows.select("module_id", "path", F.concat(F.coalesce("known", F.lit("(none)")), F.lit("\n\n--- file: "), "path", F.lit(" ---\n"), "content").alias("request"))
 
 
+def ticket_lines(net: DataFrame) -> DataFrame:
+    """n, part, line: the net changes by lines (F10), numbered in entity order: what happened to which entity of which
+    component and module, and category and text of what was and of what is now, where a value is a JSON object.
+    ``net``: entity_type, entity_id, action, old_value, new_value and optionally component_name, module_name."""
+
+    def name(c: str, what: str) -> Column:
+        known = F.nullif(F.col(c), F.lit("")) if c in net.columns else F.lit(None).cast("string")
+        return F.coalesce(known, F.lit(f"unknown {what}"))
+
+    def shown(value: str, when: str) -> Column:
+        field = lambda f: F.coalesce(F.get_json_object(value, f"$.{f}"), F.lit(""))
+        is_object = F.ltrim(value).startswith("{") & F.try_parse_json(value).isNotNull() & (F.regexp_replace(value, r"\s", "") != "{}")
+        return F.when(is_object, F.concat(F.lit(f"   {when}: ["), field("category"), F.lit("] "), field("text")))
+
+    rows = numbered(net, ["entity_type", "entity_id"], "n")
+    head = F.concat(F.col("n").cast("string"), F.lit(". "), F.upper("action"), F.lit(" "), "entity_type", F.lit(' on component "'), name("component_name", "component"), F.lit('" (module: '), name("module_name", "module"), F.lit(")"))
+    lines = F.array(head, shown("old_value", "Was"), shown("new_value", "Now"))
+    return rows.select("n", F.posexplode(lines).alias("part", "line")).where("line is not null")
+
+
 def ticket_request(net: DataFrame) -> DataFrame:
-    """One row request: the net changes, numbered in entity order, with their owners and what was and is now.
-    ``net``: entity_type, entity_id, action, old_value, new_value and optionally module_name, component_name."""
-    owner = F.lit("")
-    for c in ("component_name", "module_name"):
-        if c in net.columns:
-            owner = F.coalesce(F.when(F.col(c) != "", F.concat(F.lit(" in "), c)), owner)
-    rows = numbered(net, ["entity_type", "entity_id"], "_n")
-    head = F.concat(F.col("_n").cast("string"), F.lit(". "), F.upper("action"), F.lit(" "), "entity_type", F.lit(" #"), F.col("entity_id").cast("string"), owner)
-    was = F.when(F.col("old_value").isNotNull(), F.concat(F.lit("\n   was: "), "old_value")).otherwise("")
-    now = F.when(F.col("new_value").isNotNull(), F.concat(F.lit("\n   now: "), "new_value")).otherwise("")
-    return rows.agg(_joined(F.struct(F.col("_n").alias("o"), F.concat(head, was, now).alias("text")), "o", "\n").alias("request"))
+    """One row request: the lines of ``ticket_lines`` with an empty one after each change, for as many changes as fit one
+    request (F10)."""
+    lines = ticket_lines(net)
+    last = lines.groupBy("n").agg((F.max("part") + 1).alias("part")).withColumn("line", F.lit(""))
+    return lines.unionByName(last).agg(_joined(F.struct("n", "part", F.col("line").alias("text")), "n", "\n").alias("request"))
 
 
 def extracted_json(col: str) -> Column:
@@ -270,19 +285,15 @@ def dedupe_decisions(df: DataFrame, order: list[str], by: tuple[str, ...] = ())
     return df.withColumn("_rn", F.row_number().over(key)).where("_rn = 1").drop("_rn")
 
 
-def near_texts(texts: DataFrame, similar: float = 0.8, tables: int = 8) -> DataFrame:
+def near_texts(texts: DataFrame, similar: float = 0.8) -> DataFrame:
     """category, text_key, like: of distinct normalised texts, the smallest one that near-equal texts of the same
-    category lead to. Near-equal: word sets of Jaccard similarity ``similar`` or more, found by MinHash tables."""
-    from pyspark.ml.feature import HashingTF, MinHashLSH
-
+    category lead to. Near-equal: word sets of Jaccard similarity ``similar`` or more (``similar_sets``, exact)."""
     rows = texts.select("category", "text_key").distinct().where("text_key <> ''")
-    rows = rows.withColumn("words", F.split("text_key", " ")).withColumn("id", F.concat_ws("\u0001", "category", "text_key"))
-    if rows.isEmpty():
-        return texts.sparkSession.createDataFrame([], "category string, text_key string, like string")
-    rows = cut(HashingTF(inputCol="words", outputCol="features", numFeatures=1 << 20, binary=True).transform(rows).select("id", "category", "features"), "near-texts")
-    model = MinHashLSH(inputCol="features", outputCol="hashes", numHashTables=tables, seed=7).fit(rows)
-    pairs = model.approxSimilarityJoin(rows, rows, 1 - similar + 1e-9, "away").where("datasetA.id < datasetB.id and datasetA.category <=> datasetB.category")
-    found = connected_components(pairs.select(F.col("datasetA.id").alias("src"), F.col("datasetB.id").alias("dst")))
+    sets = rows.select(F.coalesce("category", F.lit("")).alias("part"), F.col("text_key").alias("id"), F.split("text_key", " ").alias("items"))
+    pairs = similar_sets(sets, similar)
+    # A node is a category and a text; the separator sorts before all that texts hold.
+    node = lambda c: F.concat_ws("\u0001", "part", c)
+    found = connected_components(pairs.select(node("a").alias("src"), node("b").alias("dst")))
     text = lambda c: F.substring_index(c, "\u0001", -1)
     return found.select(F.substring_index("node", "\u0001", 1).alias("category"), text("node").alias("text_key"), text("component").alias("like"))
 

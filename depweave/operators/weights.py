@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from depweave.functions.paths import parent
+from depweave.operators.spread import dealt_join, hot_keys, spread_join
 from depweave.sources.scratch import cut
 
 #: Weight of a count by edge type: fixed values.
@@ -59,9 +60,9 @@ def _parted(edges: DataFrame, partition: DataFrame | None) -> DataFrame:
     rows = edges.select("src", "dst", "weight")
     if partition is None:
         return cut(rows.withColumn("partition", F.lit("__all__")), "weighted")
-    own = partition.select("node", "partition")
-    rows = rows.join(own.select(F.col("node").alias("src"), "partition"), "src")
-    rows = rows.join(own.select(F.col("node").alias("dst"), F.col("partition").alias("_q")), "dst").where("partition = _q")
+    own, rows = partition.select("node", "partition"), cut(rows, "weighted")
+    rows = spread_join(rows, own.select(F.col("node").alias("src"), "partition"), "src", counted=rows.select("src"))
+    rows = spread_join(rows, own.select(F.col("node").alias("dst"), F.col("partition").alias("_q")), "dst", counted=rows.select("dst")).where("partition = _q")
     return cut(rows.select("src", "dst", "weight", "partition"), "weighted")
 
 
@@ -77,8 +78,11 @@ def _degrees_by(edges: DataFrame) -> DataFrame:
 
 
 def _with_degrees(edges: DataFrame, deg: DataFrame) -> DataFrame:
+    """Edges with the degrees of both ends; a hub's edges, as many as its degree at most, are dealt over tasks."""
+    hubs = hot_keys(deg, "node", count="degree")
     for end in ("src", "dst"):
-        edges = edges.join(deg.select(F.col("node").alias(end), F.col("degree").alias(f"_{end}")), end)
+        table = deg.select(F.col("node").alias(end), F.col("degree").alias(f"_{end}"))
+        edges = dealt_join(edges, table, end, None if hubs is None else hubs.withColumnRenamed("node", end))
     return edges
 
 

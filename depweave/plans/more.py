@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from depweave.functions import paths, symbols
-from depweave.operators import changes, checks, cluster, components, diagnostics, maptables, rollup, textbatch, versions, weights
+from depweave.operators import changes, checks, cluster, components, diagnostics, documents, maptables, rollup, textbatch, versions, weights
 from depweave.plans import views as V
-from depweave.plans.registry import _assign, _calls, _nodes, register
+from depweave.plans.registry import _NET_SQL, _assign, _calls, _nodes, register
 from depweave.plans.sql import DIR, TEST, query
 from depweave.sources import languages, readers
 
@@ -60,14 +60,15 @@ def split_records(spark: SparkSession, sf: str) -> DataFrame:
     return good.select(F.col("id").alias("event_id"), F.lit("good").alias("state"), "k").unionByName(lost)
 
 
-@register(query("SELECT r_name AS module, n_name AS component, c_custkey AS decision, CASE WHEN c_custkey % 3 = 0 THEN 'chat' ELSE 'pipeline_generated' END AS source FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"))
+@register(query("SELECT 'C' || c_custkey AS module, CASE WHEN o_orderkey % 2 = 0 THEN 'even' ELSE 'odd' END AS component, o_orderkey AS decision, CASE WHEN o_orderkey % 3 = 0 THEN 'chat' ELSE 'pipeline_generated' END AS source FROM orders JOIN customer ON o_custkey = c_custkey"))
 def read_map_json(spark: SparkSession, sf: str) -> DataFrame:
-    """A published map a region, its nations as components and their customers as decisions, imported into one."""
-    c = V.table(spark, sf, "customer").select("c_nationkey", F.struct(F.col("c_custkey").alias("id"), F.lit("patterns").alias("category"), F.col("c_custkey").cast("string").alias("text"), F.when(F.col("c_custkey") % 3 == 0, "chat").alias("source")).alias("d"))
-    n = V.table(spark, sf, "nation").join(c.groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.collect_list("d").alias("decisions")), "n_nationkey", "left")
-    n = n.select("n_regionkey", F.struct(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), "decisions").alias("c")).groupBy("n_regionkey").agg(F.collect_list("c").alias("components"))
-    m = V.table(spark, sf, "region").join(n.withColumnRenamed("n_regionkey", "r_regionkey"), "r_regionkey").select(F.struct(F.array(F.struct(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"), "components")).alias("modules")).alias("m"), "r_regionkey")
-    line = F.when(F.col("r_regionkey") % 2 == 0, F.to_json(F.struct(F.lit(1).alias("version"), F.col("m").alias("map")))).otherwise(F.to_json("m"))
+    """A published map a customer, with two components of its orders as decisions; imported into one."""
+    o, c = F.col("o_orderkey"), V.table(spark, sf, "customer").select("c_custkey")
+    d = V.table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"), (o % 2).alias("odd"), F.struct(o.alias("id"), F.lit("patterns").alias("category"), o.cast("string").alias("text"), F.when(o % 3 == 0, "chat").alias("source")).alias("d"))
+    n = d.groupBy("c_custkey", "odd").agg(F.collect_list("d").alias("decisions"))
+    n = n.select("c_custkey", F.struct((F.col("c_custkey") * 2 + F.col("odd")).alias("id"), F.when(F.col("odd") == 0, "even").otherwise("odd").alias("name"), "decisions").alias("c")).groupBy("c_custkey").agg(F.collect_list("c").alias("components"))
+    m = c.join(n, "c_custkey").select("c_custkey", F.struct(F.array(F.struct(F.col("c_custkey").alias("id"), text("C", F.col("c_custkey")).alias("name"), "components")).alias("modules")).alias("m"))
+    line = F.when(F.col("c_custkey") % 2 == 0, F.to_json(F.struct(F.lit(1).alias("version"), F.col("m").alias("map")))).otherwise(F.to_json("m"))
     maps, _ = readers.read_map_json(m.select(line.alias("value")))
     t = maptables.import_map(maps)
     rows = t["decisions"].join(t["components"].select("component_id", F.col("module_id").alias("m"), F.col("name").alias("component")), "component_id")
@@ -356,14 +357,13 @@ _MODDOC = "SELECT 'n' || c_custkey AS key, c_custkey AS k, 'C' || c_custkey AS n
 
 @register(query("SELECT a.name AS source, b.name AS target, edge_type, label FROM (SELECT key AS s, 'n' || (k + 1) AS t, 'communicates_via' AS edge_type, CASE WHEN k % 2 = 0 THEN 'p: ' ELSE 'calls ' END AS pre FROM m UNION ALL SELECT key, 'n' || (k * 7 % 151), 'depends_on', 'uses ' FROM m WHERE k % 3 <> 0 UNION ALL SELECT 'n' || (k + 2), key, 'depends_on', 'uses ' FROM m WHERE k % 5 = 0 AND NOT EXISTS (SELECT 1 FROM m x WHERE x.k = m.k + 2 AND x.k % 3 <> 0 AND x.k * 7 % 151 = m.k)) JOIN m a ON a.key = s JOIN m b ON b.key = t, LATERAL (SELECT pre || b.name AS label)", m=_MODDOC))
 def ingest_modules(spark: SparkSession, sf: str) -> DataFrame:
-    """Customers as modules of one published document, with relationships and consumers."""
+    """Customers as modules of one published document that comes by sections, with relationships and consumers."""
     k = F.col("c_custkey")
     relation = lambda t, kind, protocol: F.struct(t.alias("targetModuleId"), F.lit(kind).alias("type"), protocol.alias("protocol"))
     via = relation(text("n", k + 1), "communicates_via", F.when(k % 2 == 0, "p").otherwise(""))
     uses = F.when(k % 3 != 0, relation(text("n", k * 7 % 151), "depends_on", F.lit(None).cast("string")))
-    m = V.table(spark, sf, "customer").select(k.alias("k"), F.struct(text("n", k).alias("id"), text("C", k).alias("name"), F.when(k % 5 == 0, "shared-library").otherwise("module").alias("classification"), F.filter(F.array(via, uses), lambda x: x.isNotNull()).alias("relationships"), F.when(k % 5 == 0, F.array(text("n", k + 2))).alias("consumedBy")).alias("m"))
-    doc = m.agg(F.to_json(F.struct(F.transform(F.array_sort(F.collect_list(F.struct("k", F.to_json("m").alias("j")))), lambda x: F.from_json(x["j"], m.schema["m"].dataType)).alias("modules"))).alias("value"))
-    out = maptables.ingest_modules_single(doc)
+    module = F.struct(text("n", k).alias("id"), text("C", k).alias("name"), F.when(k % 5 == 0, "shared-library").otherwise("module").alias("classification"), F.filter(F.array(via, uses), lambda x: x.isNotNull()).alias("relationships"), F.when(k % 5 == 0, F.array(text("n", k + 2))).alias("consumedBy"))
+    out = maptables.with_module_edges(maptables.ingest_sections(V.table(spark, sf, "customer").select(k.alias("ord"), F.to_json(module).alias("value"))))
     names = out["modules"].select("module_id", "name")
     rows = out["module_edges"].join(names.select(F.col("module_id").alias("source_id"), F.col("name").alias("source")), "source_id").join(names.select(F.col("module_id").alias("target_id"), F.col("name").alias("target")), "target_id")
     return rows.select("source", "target", "edge_type", F.get_json_object("metadata", "$.label").alias("label"))
@@ -425,21 +425,30 @@ def render_batches(spark: SparkSession, sf: str) -> DataFrame:
     return textbatch.render_batches(rows, "source")
 
 
-@register(query("SELECT module_id, string_agg('## ' || name || chr(10) || body, chr(10) || chr(10) ORDER BY name, component_id) AS request FROM (SELECT c.module_id, c.component_id, c.name, string_agg('[' || decision_id || '] (' || category || ') ' || text, chr(10) ORDER BY decision_id) AS body FROM decs d JOIN comps c USING (component_id) GROUP BY ALL) GROUP BY 1 HAVING count(*) > 1", "decs", "comps"))
+_MANY = "SELECT module_id FROM decs d JOIN comps c USING (component_id) GROUP BY c.module_id HAVING count(DISTINCT component_id) > 1"
+
+
+@register(query("SELECT c.module_id, c.name, c.component_id, d.decision_id, '[' || decision_id || '] (' || category || ') ' || text AS line FROM decs d JOIN comps c USING (component_id) WHERE c.module_id IN (SELECT module_id FROM many) UNION ALL SELECT DISTINCT c.module_id, c.name, c.component_id, CAST(NULL AS BIGINT), '## ' || name FROM decs d JOIN comps c USING (component_id) WHERE c.module_id IN (SELECT module_id FROM many)", "decs", "comps", many=_MANY.replace("SELECT module_id", "SELECT c.module_id")))
 def elevation_requests(spark: SparkSession, sf: str) -> DataFrame:
-    return textbatch.elevation_requests(V.decisions(spark, sf), V.components(spark, sf))
+    return documents.elevation_lines(V.decisions(spark, sf), V.components(spark, sf))
 
 
-@register(query("SELECT c.component_id, coalesce(string_agg('[' || decision_id || '] (' || category || ') ' || text, chr(10) ORDER BY decision_id) FILTER (source <> 'human'), '') AS pipeline_decisions, coalesce(string_agg('[' || decision_id || '] (' || category || ') ' || text, chr(10) ORDER BY decision_id) FILTER (source = 'human'), '') AS human_decisions, any_value(f.n) AS files FROM comps c JOIN decs d ON d.component_id = c.component_id JOIN (SELECT component_id, count(DISTINCT path) AS n FROM cfiles WHERE NOT is_test GROUP BY 1) f ON f.component_id = c.component_id GROUP BY 1", "comps", "decs", "cfiles"))
+@register(query("SELECT c.component_id, source = 'human' AS human, decision_id, '[' || decision_id || '] (' || category || ') ' || text AS line FROM comps c JOIN decs d ON d.component_id = c.component_id WHERE c.component_id IN (SELECT component_id FROM cfiles WHERE NOT is_test)", "comps", "decs", "cfiles"))
 def validation_requests(spark: SparkSession, sf: str) -> DataFrame:
-    rows = textbatch.validation_requests(V.components(spark, sf), V.component_files(spark, sf), V.decisions(spark, sf))
-    return rows.select("component_id", "pipeline_decisions", "human_decisions", F.size("files").cast("long").alias("files"))
+    return documents.validation_lines(V.components(spark, sf), V.component_files(spark, sf), V.decisions(spark, sf))
+
 
+_SHOWN = "CASE WHEN {0} IS NOT NULL THEN '   {1}: [k] ' || regexp_extract({0}, '\"k\": ([0-9]+)', 1) END"
+_LINES = f"SELECT n, unnest([0, 1, 2]) AS part, unnest([n || '. ' || upper(action) || ' ' || entity_type || ' on component \"' || CASE WHEN module_id % 2 = 0 THEN 'c' || module_id ELSE 'unknown component' END || '\" (module: ' || CASE WHEN module_id % 3 = 0 THEN 'm' || module_id ELSE 'unknown module' END || ')', {_SHOWN.format('old_value', 'Was')}, {_SHOWN.format('new_value', 'Now')}]) AS line FROM (SELECT *, row_number() OVER (ORDER BY entity_type, entity_id) AS n FROM ({_NET_SQL}))"
 
-@register(query("SELECT row_number() OVER (ORDER BY entity_type, entity_id) || '. ' || upper(action) || ' ' || entity_type || ' #' || entity_id AS line FROM ch WHERE ord % 3 = 0 AND entity_id > 100000000", "ch"))
+
+@register(f"SELECT n, CAST(part AS INTEGER) AS part, line FROM ({_LINES}) WHERE line IS NOT NULL")
 def ticket_request(spark: SparkSession, sf: str) -> DataFrame:
-    rows = V.changes(spark, sf).where("ord % 3 = 0 and entity_id > 100000000").withColumns({"old_value": F.lit(None).cast("string"), "new_value": F.lit(None).cast("string")})
-    return textbatch.ticket_request(rows).select(F.explode(F.split("request", "\n")).alias("line"))
+    """All net changes with what was and is now, by lines."""
+    net, of = changes.collapse_changes(V.changes(spark, sf)), F.col("module_id")
+    value = lambda c: F.when(F.col(c).isNotNull(), F.to_json(F.struct(F.lit("k").alias("category"), F.get_json_object(c, "$.k").alias("text"))))
+    net = net.withColumns({"old_value": value("old_value"), "new_value": value("new_value"), "component_name": F.when(of % 2 == 0, text("c", of)), "module_name": F.when(of % 3 == 0, text("m", of))})
+    return textbatch.ticket_lines(net).select("n", "part", "line")
 
 
 @register(query("SELECT CAST(sum(user_id) AS BIGINT) AS input_tokens, CAST(sum(event_id) AS BIGINT) AS output_tokens, CAST(sum(user_id + event_id) AS BIGINT) AS total_tokens FROM events"))
@@ -447,15 +456,19 @@ def usage_stats(spark: SparkSession, sf: str) -> DataFrame:
     return textbatch.usage_stats(V.table(spark, sf, "events").select(F.col("user_id").alias("input_tokens"), F.col("event_id").alias("output_tokens")))
 
 
-@register(query("SELECT component_id, string_agg('#### ' || category || chr(10) || body || chr(10), chr(10) ORDER BY f) AS body FROM (SELECT component_id, category, min(decision_id) AS f, string_agg('- ' || text || ' *(source: ' || source || ')*' || CASE WHEN detail <> '' THEN chr(10) || '  > ' || detail ELSE '' END || chr(10), chr(10) ORDER BY decision_id) AS body FROM decs WHERE component_id IS NOT NULL GROUP BY ALL) GROUP BY 1", "decs"))
+@register(query("SELECT component_id, first, CAST(NULL AS BIGINT) AS id, 0 AS part, '#### ' || category AS line FROM g UNION ALL SELECT component_id, first, decision_id, 0, '- ' || text || ' *(source: ' || source || ')*' FROM decs JOIN g USING (component_id, category) UNION ALL SELECT component_id, first, decision_id, 1, CASE WHEN detail <> '' THEN '  > ' || detail ELSE '' END FROM decs JOIN g USING (component_id, category) UNION ALL SELECT component_id, first, decision_id, 2, '' FROM decs JOIN g USING (component_id, category) WHERE detail <> ''", "decs",
+                g="SELECT component_id, category, min(decision_id) AS first FROM decs WHERE component_id IS NOT NULL GROUP BY ALL"))
 def render_decisions(spark: SparkSession, sf: str) -> DataFrame:
-    return textbatch.render_decisions(V.decisions(spark, sf).where("component_id is not null"), "component_id")
+    return documents.decision_lines(V.decisions(spark, sf).where("component_id is not null"), "component_id")
+
+
+_DOC = r"""SELECT doc_id, text, trim(regexp_extract(array_to_string(list_slice(string_split(chr(34) || chr(34) || chr(34) || text || chr(34) || chr(34) || chr(34), chr(10)), 1, 50), chr(10)), '(?s)^\s*\x22\x22\x22(.*?)\x22\x22\x22', 1), ' ') AS t FROM documents"""
 
 
-@register(query("SELECT doc_id, CASE WHEN text = '' THEN 0 ELSE len(string_split(text, chr(10))) - CASE WHEN ends_with(text, chr(10)) THEN 1 ELSE 0 END END AS lines, CASE WHEN doc_id % 2 = 0 THEN CASE WHEN length(t) > 500 THEN substr(t, 1, 500) || '...' ELSE t END ELSE '' END AS doc FROM (SELECT doc_id, text, trim(text, ' ') AS t FROM documents WHERE NOT contains(text, '\"') AND len(string_split(text, chr(10))) < 50)"))
+@register(query("SELECT doc_id, CASE WHEN text = '' THEN 0 ELSE len(string_split(text, chr(10))) - CASE WHEN ends_with(text, chr(10)) THEN 1 ELSE 0 END END AS lines, CASE WHEN doc_id % 2 = 0 THEN CASE WHEN length(t) > 500 THEN substr(t, 1, 500) || '...' ELSE t END ELSE '' END AS doc FROM t", t=_DOC))
 def docstrings(spark: SparkSession, sf: str) -> DataFrame:
-    """Texts of fewer than 50 lines without quotes, half of them as docstrings of Python files."""
-    d = V.table(spark, sf, "documents").where("not contains(text, '\"') and size(split(text, '\\n')) < 50")
+    """Texts in triple quotes, half of them as docstrings of Python files; long ones don't end within 50 lines."""
+    d = V.table(spark, sf, "documents")
     rows = d.select("doc_id", F.when(F.col("doc_id") % 2 == 0, "a.py").otherwise("a.js").alias("path"), F.concat(F.lit('"""'), "text", F.lit('"""')).alias("quoted"), "text")
     return rows.select("doc_id", textbatch.line_count("text").cast("long").alias("lines"), textbatch.docstring("quoted").alias("doc"))
 

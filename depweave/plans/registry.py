@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from depweave.functions import paths, symbols
-from depweave.operators import changes, checks, cluster, components, diagnostics, maptables, resolution, rollup, textbatch, versions, weights
+from depweave.operators import changes, checks, cluster, components, diagnostics, documents, maptables, resolution, rollup, textbatch, versions, weights
 from depweave.plans import views as V
 from depweave.plans.sql import DIR, TEST, query
 from depweave.sources import languages, readers, scratch
@@ -282,7 +282,13 @@ def globalise_ids(spark: SparkSession, sf: str) -> DataFrame:
     return cluster.globalise_ids(rows).select("node", "cluster")
 
 
-@register()
+@register(
+    query(
+        "SELECT node, component FROM cc",
+        "weighted", "nodes", ends="SELECT src AS a, dst AS b FROM weighted UNION ALL SELECT dst, src FROM weighted",
+        **{"cc(node, component) USING KEY (node)": "SELECT node, node FROM nodes UNION SELECT e.b, min(c.component) FROM cc c JOIN ends e ON e.a = c.node JOIN recurring.cc r ON r.node = e.b WHERE c.component < r.component GROUP BY e.b"},
+    )
+)
 def connected_components(spark: SparkSession, sf: str) -> DataFrame:
     return cluster.connected_components(_weighted(spark, sf), _nodes(spark, sf))
 
@@ -426,7 +432,7 @@ def stream_collapse(spark: SparkSession, sf: str) -> DataFrame:
     place = scratch.new_path(spark, "stream")
     log = V.changes(spark, sf)
     log.repartition(6, "entity_id").write.parquet(f"{place}/log")
-    return collapse.stream_collapse(spark, f"{place}/log", log.schema, f"{place}/state", files_per_batch=2, buckets=8).select(_NET_COLS)
+    return collapse.stream_collapse(spark, f"{place}/log", log.schema, f"{place}/state", files_per_batch=2).select(_NET_COLS)
 
 
 @register(query("SELECT entity_type, entity_id, ord FROM ch WHERE baseline_id = (SELECT max(baseline_id) FROM ch)", "ch"))
@@ -537,15 +543,40 @@ def map_overview(spark: SparkSession, sf: str) -> DataFrame:
     return maptables.map_overview(t["modules"], t["components"], t["decisions"])
 
 
-@register(
-    query(
-        """SELECT m.module_id, m.name, c.component_id, c.name AS component, (SELECT count(*) FROM cfiles f WHERE f.component_id = c.component_id) AS files, (SELECT count(*) FROM decs d WHERE d.component_id = c.component_id) AS decisions,
-        (SELECT count(*) FROM decs d WHERE d.module_id = m.module_id) AS module_decisions, (SELECT string_agg(directory, ',' ORDER BY directory) FROM mdirs x WHERE x.module_id = m.module_id) AS directories FROM mods m LEFT JOIN comps c USING (module_id)""",
-        "mods", "comps", "cfiles", "decs", "mdirs",
+_SAID = "to_json({'id': decision_id, 'category': category, 'text': text, 'detail': detail, 'source': source})"
+_EDGE = "to_json({'source_id': source_id, 'target_id': target_id, 'edge_type': edge_type, 'weight': weight, 'metadata': CASE WHEN metadata = 'oops' THEN '{}' ELSE replace(metadata, ': ', ':') END})"
+#: The pieces of the map: where each goes, its text, whether a comma goes before it, whether it opens a list.
+_PIECES = [
+    ("[0]", """'{"version":1,"map":{"modules":['""", "false", "true", "(SELECT 1)"),
+    ("[1, module_id]", """rtrim(to_json({'id': module_id, 'name': name, 'classification': classification, 'type': NULL::VARCHAR, 'technology': NULL::VARCHAR, 'source_origin': source_origin, 'deployment_target': NULL::VARCHAR}), '}') || ',"directories":['""", "true", "true", "mods"),
+    ("[1, module_id, 1]", "to_json(directory)", "true", "false", "mdirs"),
+    ("[1, module_id, 2]", """'],"decisions":['""", "false", "true", "mods"),
+    ("[1, module_id, 3, decision_id]", _SAID, "true", "false", "(SELECT * FROM decs WHERE module_id IS NOT NULL)"),
+    ("[1, module_id, 4]", """'],"components":['""", "false", "true", "mods"),
+    ("[1, module_id, 5, component_id]", """rtrim(to_json({'id': component_id, 'name': name, 'purpose': purpose, 'confidence': confidence}), '}') || ',"files":['""", "true", "true", "comps"),
+    ("[1, c.module_id, 5, component_id, 1]", "to_json({'path': path, 'is_test': is_test})", "true", "false", "cfiles JOIN comps c USING (component_id)"),
+    ("[1, module_id, 5, component_id, 2]", """'],"decisions":['""", "false", "true", "comps"),
+    ("[1, c.module_id, 5, component_id, 3, decision_id]", _SAID, "true", "false", "decs JOIN comps c USING (component_id)"),
+    ("[1, module_id, 5, component_id, 4]", "']}'", "false", "false", "comps"),
+    ("[1, module_id, 6]", "']}'", "false", "false", "mods"),
+    ("[2]", """'],"module_edges":['""", "false", "true", "(SELECT 1)"),
+    ("[3, source_id, target_id]", _EDGE, "true", "false", "medges"),
+    ("[4]", """'],"component_edges":['""", "false", "true", "(SELECT 1)"),
+    ("[5, source_id, target_id]", _EDGE, "true", "false", "(SELECT *, '{}' AS metadata FROM cedges)"),
+    ("[6]", "']}}'", "false", "false", "(SELECT 1)"),
+]
+
+
+@register(
+    query(
+        "SELECT row_number() OVER (ORDER BY key, text) AS pos, CASE WHEN item AND NOT coalesce(lag(opens) OVER (ORDER BY key, text), false) THEN ',' ELSE '' END || text AS text FROM pieces",
+        "mods", "mdirs", "comps", "cfiles", "decs", "medges", "cedges",
+        pieces=" UNION ALL ".join(f"SELECT CAST({key} AS BIGINT[]) AS key, CAST({text} AS VARCHAR) AS text, {item} AS item, {opens} AS opens FROM {rows}" for key, text, item, opens, rows in _PIECES),
     )
 )
 def export_map_flat(spark: SparkSession, sf: str) -> DataFrame:
-    return maptables.map_sizes(V.map_tables(spark, sf))
+    """The published map as the ordered fragments of one document."""
+    return documents.map_fragments(V.map_tables(spark, sf))
 
 
 @register(
@@ -801,4 +832,4 @@ def replace_scope(spark: SparkSession, sf: str) -> DataFrame:
     return readers.replace_scope(V.component_files(spark, sf).select("component_id", "path"), new, ["component_id"])
 
 
-from depweave.plans import more  # noqa: E402, F401  (registers more queries)
+from depweave.plans import more, rest  # noqa: E402, F401  (register more queries)

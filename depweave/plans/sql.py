@@ -42,7 +42,7 @@ VIEWS = {
         WHERE source_id <> target_id GROUP BY source_id, target_id""",
     "v1": "SELECT o_orderkey AS decision_id, o_orderpriority AS category, o_orderstatus AS text, 'c' || (o_custkey % 9) AS component_name, 'm' || (o_custkey % 3) AS module_name, 'human' AS source FROM orders WHERE o_orderdate < TIMESTAMP '1999-01-01'",
     "v2": """SELECT o_orderkey AS decision_id, CASE WHEN o_orderkey % 10 = 0 THEN 'new ' || o_orderpriority ELSE o_orderpriority END AS category, o_orderstatus AS text, 'c' || (o_custkey % 8) AS component_name, 'm' || (o_custkey % 3) AS module_name,
-        CASE WHEN o_orderkey % 4 = 0 THEN 'chat' ELSE 'human' END AS source FROM orders WHERE o_orderdate < TIMESTAMP '2000-06-01' AND o_orderkey % 11 <> 0""",
+        CASE WHEN o_orderkey % 4 = 0 THEN 'chat' ELSE 'human' END AS source FROM orders WHERE o_orderkey % 11 <> 0""",
     "outc": """SELECT event_id AS ord, user_id AS run_id, event_id * 7 % 5000 AS decision_id, ['confirmed', 'updated', 'outdated', 'new', 'implemented', 'diverged', 'unchanged'][event_id % 7 + 1] AS status, 'text ' || event_id AS new_text FROM events""",
     "vruns": "SELECT user_id AS run_id, min(ts) AS created_at, CASE WHEN user_id % 2 = 0 THEN 'completed' ELSE 'running' END AS status FROM events GROUP BY user_id",
     "rfiles": """SELECT DISTINCT CASE WHEN d = '' THEN n ELSE d || '/' || n END AS path FROM (

@@ -136,7 +136,7 @@ def version(spark: SparkSession, sf_dir: str, which: int) -> DataFrame:
     if which == 1:
         old = d.where("o_orderdate < timestamp'1999-01-01'")
         return old.select(key.alias("decision_id"), F.col("o_orderpriority").alias("category"), F.col("o_orderstatus").alias("text"), named("c", 9).alias("component_name"), named("m", 3).alias("module_name"), F.lit("human").alias("source"))
-    new = d.where("o_orderdate < timestamp'2000-06-01' and o_orderkey % 11 <> 0")
+    new = d.where("o_orderkey % 11 <> 0")
     category = F.when(key % 10 == 0, F.concat(F.lit("new "), "o_orderpriority")).otherwise(F.col("o_orderpriority"))
     return new.select(key.alias("decision_id"), category.alias("category"), F.col("o_orderstatus").alias("text"), named("c", 8).alias("component_name"), named("m", 3).alias("module_name"), F.when(key % 4 == 0, "chat").otherwise("human").alias("source"))
 

@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from depweave.operators import changes, checks, diagnostics, maptables, resolution, rollup, textbatch, versions
@@ -41,18 +42,49 @@ def test_net_delta_of_every_kind(spark):
 def test_stream_equals_batch(spark, tmp_path):
     rows = [("decision", k, *r) for k, (records, _) in enumerate(RECORDS.values()) for r in records]
     df = log(spark, rows)
-    first, second = df.where("ord < 8").cache(), df.where("ord >= 8")
+    first, second = df.where("ord >= 8").cache(), df.where("ord < 8")  # the later records come first
     first.repartition(3).write.parquet(str(tmp_path / "log"))
-    one = collapse.stream_collapse(spark, str(tmp_path / "log"), df.schema, str(tmp_path / "state"), files_per_batch=1, buckets=3)
-    assert sorted(map(tuple, one.collect()), key=str) == sorted(map(tuple, changes.collapse_changes(first).collect()), key=str)
+    place = (str(tmp_path / "log"), df.schema, str(tmp_path / "state"))
+    net = lambda rows: sorted(map(tuple, rows.collect()), key=str)
+    assert net(collapse.stream_collapse(spark, *place, files_per_batch=1)) == net(changes.collapse_changes(first))
     second.write.mode("append").parquet(str(tmp_path / "log"))
-    two = collapse.stream_collapse(spark, str(tmp_path / "log"), df.schema, str(tmp_path / "state"), files_per_batch=1, buckets=3)
-    assert sorted(map(tuple, two.collect()), key=str) == sorted(map(tuple, changes.collapse_changes(df).collect()), key=str)
-    # Of old buckets only those stay that one of the last two tables names.
-    tables = {p.name: {(r.bucket, r.batch) for r in spark.read.parquet(str(p)).collect()} for p in (tmp_path / "state").glob("buckets-*")}
-    assert len(tables) == 2
-    left = {(int(p.name.split("=")[1]), int(p.parent.name.split("-")[1])) for p in (tmp_path / "state").glob("state-*/bucket=*")}
-    assert left == set.union(*tables.values())
+    assert net(collapse.stream_collapse(spark, *place, files_per_batch=1, compact_after=1)) == net(changes.collapse_changes(df))
+    # What was folded is deleted, and nothing changes without new files.
+    assert not list((tmp_path / "state").glob("changed-*")) and len(list((tmp_path / "state").glob("folded-*"))) == 1
+    assert net(collapse.stream_collapse(spark, *place)) == net(changes.collapse_changes(df))
+
+
+def test_stream_goes_on_after_a_kill(spark, tmp_path, monkeypatch):
+    """A batch that dies after it has put out its rows, but before it is committed, is taken in again, once."""
+    rows = [("decision", k, *r) for k, (records, _) in enumerate(RECORDS.values()) for r in records]
+    df = log(spark, rows)
+    df.repartition(5).write.parquet(str(tmp_path / "log"))
+    place = (str(tmp_path / "log"), df.schema, str(tmp_path / "state"))
+    whole, ran = DataFrameWriter.parquet, []
+
+    def dies(self, path, *a, **kw):
+        whole(self, path, *a, **kw)
+        ran.append(path)
+        if path.endswith("changed-2"):
+            raise RuntimeError("killed")
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", dies)
+    with pytest.raises(Exception, match="killed"):
+        collapse.stream_collapse(spark, *place, files_per_batch=1)
+    monkeypatch.setattr(DataFrameWriter, "parquet", whole)
+    assert collapse.last_batch(spark, f"{place[2]}/progress") == 1
+    uncommitted = collapse.current_state(spark, place[2], df.schema, ("entity_type", "entity_id"), ("ord",))
+    assert uncommitted.agg(F.sum("n")).first()[0] < df.count()
+    net = collapse.stream_collapse(spark, *place, files_per_batch=1)
+    assert sorted(map(tuple, net.collect()), key=str) == sorted(map(tuple, changes.collapse_changes(df).collect()), key=str)
+
+
+def test_stream_counts_repeated_records_once(spark, tmp_path):
+    rows = [("decision", k, *r) for k, (records, _) in enumerate(RECORDS.values()) for r in records]
+    df = log(spark, rows).withColumn("ts", F.timestamp_seconds(F.col("ord") * 60))
+    df.unionByName(df.where("ord % 2 = 0")).repartition(4).write.parquet(str(tmp_path / "log"))
+    net = collapse.stream_collapse(spark, str(tmp_path / "log"), df.schema, str(tmp_path / "state"), files_per_batch=1, event_time="ts", delay="1 day")
+    assert sorted(map(tuple, net.collect()), key=str) == sorted(map(tuple, changes.collapse_changes(df).collect()), key=str)
 
 
 def test_baselines(spark):
@@ -416,7 +448,7 @@ def test_rendering(spark, tables):
     toc = textbatch.render_toc(tables["modules"], tables["module_edges"], "Map", "now").first().text
     assert "[Auth Service](Auth_Service.md)" in toc and "Auth Service -> Shared Utils" in toc
     net = spark.createDataFrame([("decision", 1, "edit", "x", "y")], "entity_type string, entity_id long, action string, old_value string, new_value string")
-    assert textbatch.ticket_request(net).first().request == "1. EDIT decision #1\n   was: x\n   now: y"
+    assert textbatch.ticket_request(net).first().request == '1. EDIT decision on component "unknown component" (module: unknown module)\n'
 
 
 def test_indexes_merge(spark):
