@@ -270,7 +270,9 @@ def read_archives(files: DataFrame, how: Archives | None = None, payloads: bool
         yield batch_of()
         let_go()
 
-    return files.select("path").repartition("path").mapInArrow(run, _READ + ", payload binary" * payloads)
+    # A task an archive; at most so many that the planner's rows stay few.
+    n = max(1, min(files.count(), 1 << 14))
+    return files.select("path").repartition(n, "path").mapInArrow(run, _READ + ", payload binary" * payloads)
 
 
 def _base32(digest: Column) -> Column:
