@@ -93,7 +93,7 @@ def holders(rows: DataFrame, names: DataFrame, size: int = 3) -> DataFrame:
     own = names.select("name", F.explode(_grams("name", F.col("q"))).alias("gram"))
     wanted = own.select("gram").distinct()
     texts = cut(rows.select("text").distinct(), "texts")
-    parts = texts.select("text", F.explode(F.flatten(F.array(*(_grams("text", F.lit(q)) for q in sizes)))).alias("gram"))
+    parts = texts.select("text", F.explode(F.array_distinct(F.flatten(F.array(*(_grams("text", F.lit(q)) for q in sizes))))).alias("gram"))
     parts = cut(parts.join(wanted, "gram", "left_semi"), "grams")
     counts = parts.groupBy("gram").agg(F.count("*").alias("n"))
     rarest = own.join(counts, "gram").groupBy("name").agg(F.count("*").alias("found"), F.min(F.struct("n", "gram"))["gram"].alias("gram"))

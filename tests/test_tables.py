@@ -81,7 +81,7 @@ def test_stream_goes_on_after_a_kill(spark, tmp_path, monkeypatch):
 
 def test_stream_counts_repeated_records_once(spark, tmp_path):
     rows = [("decision", k, *r) for k, (records, _) in enumerate(RECORDS.values()) for r in records]
-    df = log(spark, rows).withColumn("ts", F.timestamp_seconds(F.col("ord") * 60))
+    df = log(spark, rows).withColumn("ts", F.timestamp_seconds(946684800 + F.col("ord") * 60))
     df.unionByName(df.where("ord % 2 = 0")).repartition(4).write.parquet(str(tmp_path / "log"))
     net = collapse.stream_collapse(spark, str(tmp_path / "log"), df.schema, str(tmp_path / "state"), files_per_batch=1, event_time="ts", delay="1 day")
     assert sorted(map(tuple, net.collect()), key=str) == sorted(map(tuple, changes.collapse_changes(df).collect()), key=str)

@@ -1,7 +1,5 @@
 """Queries that SQL is too slow for or can't express: brute force over whole tables, and the bounds of searches."""
 
-import inspect
-
 from pyspark.sql import functions as F
 
 from depweave.operators import cluster
@@ -29,17 +27,19 @@ def test_components_of_all_edges(spark, duck):  # noqa: F811
 
 
 def test_targeted_sweep_takes_five_rounds(spark, monkeypatch):
-    """As long as there are too many communities, the query halves five times; each search has its full bounds."""
-    tried, bounds = [], inspect.signature(cluster.communities)
-
-    def each_alone(*args):
-        given = bounds.bind(*args)
-        given.apply_defaults()
-        tried.append((round(given.arguments["gamma"].first().gamma, 3), *(given.arguments[x] for x in ("levels", "rounds", "tolerance"))))
-        return given.arguments["partition"].withColumn("cluster", F.xxhash64("node"))
-
-    monkeypatch.setattr(cluster, "communities", each_alone)
+    """As long as there are too many communities, the query halves five times; each search has its full bounds, and all
+    but the first begin with what the one before found."""
+    tried = []
+    nodes = spark.range(100).select(F.col("id").cast("string").alias("name"), F.lit("__all__").alias("partition"), "id").withColumnRenamed("id", "node")
+
+    def each_alone(graph, part, gammas, start, how, turns):
+        tried.append((round(gammas.first().gamma, 3), start is not None, how))
+        return part.select("node", F.col("node").alias("comm"))
+
+    monkeypatch.setattr(cluster, "_search", each_alone)
+    monkeypatch.setattr(cluster, "_numbered_graph", lambda edges, own, partition: (nodes, nodes.select("node")))
+    monkeypatch.setattr(cluster, "_finished", lambda graph, part, comm, how: part.select(F.col("name").alias("node"), "partition", F.lit(0).alias("cluster")))
     monkeypatch.setattr(registry, "_weighted", lambda spark, sf: None)
-    monkeypatch.setattr(registry, "_nodes", lambda spark, sf: spark.range(100).select(F.col("id").cast("string").alias("node")))
+    monkeypatch.setattr(registry, "_nodes", lambda spark, sf: nodes.select(F.col("name").alias("node")))
     registry.QUERIES["communities_targeted"](spark, SF_DIR)
-    assert tried == [(gamma, 5, 12, 0.01) for gamma in (5.005, 2.507, 1.259, 0.634, 0.322)]
+    assert tried == [(gamma, gamma < 5, cluster.Search()) for gamma in (5.005, 2.507, 1.259, 0.634, 0.322)]
