@@ -183,7 +183,7 @@ def nearest(table: DataFrame, how: Probing | None = None, vector: str = "embeddi
 
     The score is the inner product of the original vectors in doubles. Vectors that are null, empty, zero or
     hold null or non-finite components take no part, nor do rows without vec_id; short vectors are filled up
-    with zeros. Rows that repeat a vec_id are candidates of their own but one query: the smallest of their vectors.
+    with zeros. Other columns, whatever their names, aren't read. Equal scores go by the smaller vec_id. Rows that repeat a vec_id are candidates of their own but one query: the smallest of their vectors.
     Every row is in some list; long lists are dealt over several tiles. A query whose lists hold fewer than ``k``
     candidates searches all lists, so it is short only where the table is. An empty table gives an empty result.
     """

@@ -226,8 +226,8 @@ def encode_decode(docs: DataFrame, path: str, ids: bool = False, text: bool = Fa
     """doc_id, n_tokens, ids_sha256, decoded_sha256 per row of ``docs``; on request also ``ids`` (binary,
     little-endian unsigned 32-bit integers) and ``decoded`` (text).
 
-    Whole texts; a null text counts as an empty one, which has no ids. Only doc_id and text are read;
-    repeated rows each give a row, and an empty table gives an empty result. ``path`` must be readable on
+    Whole texts of any length; a null text counts as an empty one, which has no ids. Only doc_id and text are read,
+    other columns may have any name; a null doc_id stays null; repeated rows each give a row, and an empty table gives an empty result. ``path`` must be readable on
     every worker.
     """
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * ids + ", decoded string" * text

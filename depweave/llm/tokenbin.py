@@ -226,5 +226,9 @@ def read_token_files(blocks: DataFrame, ranks: DataFrame, ids: bool = False) ->
 
 
 def token_files(docs: DataFrame, path: str, how: TokenFiles | None = None) -> DataFrame:
-    """Write ``docs`` as token files and read them back: doc_id, start, n_tokens, ids_crc32."""
+    """Write ``docs`` as token files and read them back: doc_id, start, n_tokens, ids_crc32.
+
+    Whole texts of any length; a null text is an empty one, which has the end id alone. Documents are in ascending doc_id
+    order, null ids first, repeated ones by their token ids; repeated rows each give a row; an empty table gives an empty
+    result. Only doc_id and text are read, other columns may have any name."""
     return read_token_files(*write_token_files(docs, path, how))

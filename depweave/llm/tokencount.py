@@ -113,7 +113,7 @@ def frequent_lengths(docs: DataFrame, path: str, how: Counting) -> list[tuple[st
 def count_tokens(docs: DataFrame, path: str, how: Counting | None = None) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit per row of ``docs``.
 
-    Whole texts; a null text counts as an empty one: no bytes, no tokens. Strings of control tokens inside
+    Whole texts of any length; a null text counts as an empty one: no bytes, no tokens; a null doc_id stays null. Strings of control tokens inside
     a text are ordinary text, as in the library. Only doc_id and text are read; repeated rows each give a
     row, and an empty table gives an empty result. ``path`` must be readable on every worker.
     """

@@ -103,7 +103,8 @@ def exact_top_k(table: DataFrame, how: BlockSearch | None = None, vector: str =
 
     A component x counts as floor(scale * x) with x as double. Vectors that are null, empty or hold null or
     non-finite components take no part, nor do rows without vec_id; short vectors are filled up with zeros.
-    Fewer candidates than ``k`` are all returned. Rows that repeat a vec_id are candidates of their own
+    Other columns, whatever their names, aren't read. Equal scores go by the smaller vec_id. Fewer candidates than ``k``
+    are all returned. Rows that repeat a vec_id are candidates of their own
     (never for that id's own query) but one query: the smallest of their vectors. A score beyond a long counts as the
     nearest long. An empty table gives an empty result.
     """
