@@ -116,6 +116,10 @@ class Search:
     small: int = 1 << 17
 
 
+#: For each step of a sweep, where only the number of communities decides how to go on.
+STEP = Search(levels=5, rounds=8, last=8, tolerance=0.05, refining=3)
+
+
 @dataclass
 class _Level:
     """A level's graph: links (node, other, weight; both ways, no loops), the number of its nodes, and which nodes many
@@ -372,8 +376,9 @@ def communities_targeted(edges: DataFrame, nodes: DataFrame, targets: int | Data
     ``targets``: a number, or (partition, target). A target of at most 1 puts all nodes into cluster 0. All partitions
     advance in the same jobs; their bounds are columns. ``warm``: a search begins with the communities that were found
     at the nearest resolution so far, which merge at a lower one and split at a higher one, and not with single nodes.
+    ``how`` bounds each search.
     """
-    how, turns = how or Search(), turns or Turns()
+    how, turns = how or STEP, turns or Turns()
     own, graph = _numbered_graph(edges, nodes, nodes.select("node", F.lit("__all__").alias("partition")) if partition is None else partition)
     goals = own.select("partition").distinct()
     goals = goals.withColumn("target", F.lit(targets)) if not isinstance(targets, DataFrame) else goals.join(targets.select("partition", "target"), "partition")

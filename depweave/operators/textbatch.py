@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,9 +85,9 @@ def batch_by_budget(df: DataFrame, group: str, order: str, size: str, budget: in
     """
     keys = [group, order, size]
     (at_name,) = spare(df.columns, "range")
-    rows = cut(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn(at_name, F.spark_partition_id()), "batches")
-    # Ranges whole and in order again, as files may be read in parts.
-    dealt = lambda t: t.repartition(at_name).sortWithinPartitions(at_name, *keys)
+    # Kept on the executors' disks as they are dealt, so that both passes see the same ranges without another shuffle; a
+    # lost one is read again from the shuffle, in the same bounds.
+    rows = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn(at_name, F.spark_partition_id()).persist(StorageLevel.DISK_ONLY)
 
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind, now = None, None
@@ -122,8 +123,7 @@ def batch_by_budget(df: DataFrame, group: str, order: str, size: str, budget: in
 
     kind = df.schema[group].dataType.simpleString()
     lists = ", ".join(f"{c} array<bigint>" for c in ("upto", "breaks", "rest"))
-    found = dealt(rows.select(at_name, group, order, F.col(size).cast("long").alias(size))).select(at_name, group, size)
-    found = found.mapInArrow(ends, f"at int, first {kind}, last {kind}, whole boolean, sum bigint, total bigint, no bigint, {lists}")
+    found = rows.select(at_name, group, F.col(size).cast("long").alias(size)).mapInArrow(ends, f"at int, first {kind}, last {kind}, whole boolean, sum bigint, total bigint, no bigint, {lists}")
     # Of each range: whether it goes on with a group, and the open size and batch number there.
     carried: dict[int, tuple[bool, int, int]] = {}
     last, total, no = None, 0, 0
@@ -157,7 +157,7 @@ def batch_by_budget(df: DataFrame, group: str, order: str, size: str, budget: in
             kept = [i for i in range(batch.num_columns) if i != at_range]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(out, pa.int32())], names=[*(batch.schema.names[i] for i in kept), "batch_no"])
 
-    return dealt(rows).mapInArrow(number, rows.drop(at_name).withColumn("batch_no", F.lit(0)).schema)
+    return rows.mapInArrow(number, rows.drop(at_name).withColumn("batch_no", F.lit(0)).schema)
 
 
 def _joined(items: Column, order: str, sep: str) -> Column:

@@ -10,7 +10,7 @@ from depweave.plans import views as V
 from depweave.plans.more import key_of, text
 from depweave.plans.registry import _calls, _weighted, register
 from depweave.plans.sql import DIR, query
-from depweave.sources import readers, scratch
+from depweave.sources import ledger, readers, scratch
 
 # Sources.
 
@@ -153,6 +153,15 @@ def check_import(spark: SparkSession, sf: str) -> DataFrame:
     return checks.check_import(V.table(spark, sf, "customer").select(F.when((k % 7 == 0) & (k % 5 != 0), F.slice(one, 1, 0)).otherwise(one).alias("modules")))
 
 
+@register(query("SELECT decision_id, source, CAST(2 AS BIGINT) AS version FROM decs UNION ALL SELECT decision_id, source, CAST(1 AS BIGINT) FROM decs WHERE source <> 'human'", "decs"))
+def published_versions(spark: SparkSession, sf: str) -> DataFrame:
+    """Generated decisions published as one version, all of them as the next; both are read back."""
+    path, d = scratch.new_path(spark, "ledger"), V.decisions(spark, sf).select("decision_id", "source")
+    for rows in (d.where("source <> 'human'"), d):
+        ledger.publish(rows, path)
+    return ledger.read(spark, path).unionByName(ledger.read(spark, path, 1))
+
+
 # Request tables.
 
 

@@ -43,6 +43,20 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def numbers(spark: SparkSession, folder: str, prefix: str = "") -> list[int]:
+    """The numbers after ``prefix`` in the names of a folder's entries; through Hadoop, so any file system will do."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    system = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in system.listStatus(at)] if system.exists(at) else []
+    return sorted(int(n[len(prefix) :]) for n in names if n.startswith(prefix) and n[len(prefix) :].isdigit())
+
+
+def whole(spark: SparkSession, path: str) -> bool:
+    """Whether a folder was written to its end."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return bool(at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at))
+
+
 def clear(spark: SparkSession) -> None:
     """Delete all that this application has cut so far. Results are read from it until they are written elsewhere, so
     this is for the end of an application or between its jobs."""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from depweave.operators.changes import collapse_state, net_changes
-from depweave.sources.scratch import remove
+from depweave.sources.scratch import numbers, remove, whole
 
 _STORE = "spark.sql.streaming.stateStore.providerClass"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -60,25 +60,17 @@ def stream_collapse(
     return net_changes(state, key_cols)
 
 
-def _numbers(spark: SparkSession, folder: str, prefix: str = "") -> list[int]:
-    """The numbers after ``prefix`` in the names of a folder's entries; through Hadoop, so any file system will do."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    system = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    names = [f.getPath().getName() for f in system.listStatus(at)] if system.exists(at) else []
-    return sorted(int(n[len(prefix) :]) for n in names if n.startswith(prefix) and n[len(prefix) :].isdigit())
-
-
 def last_batch(spark: SparkSession, progress: str) -> int:
     """The last batch that the stream has committed, -1 before the first."""
-    return max(_numbers(spark, f"{progress}/commits"), default=-1)
+    return max(numbers(spark, f"{progress}/commits"), default=-1)
 
 
 def current_state(spark: SparkSession, state_dir: str, schema: T.StructType, key_cols: Sequence[str], order_cols: Sequence[str], compact_after: int = 16) -> DataFrame:
     """The last state of each entity of all committed batches."""
     shape = collapse_state(spark.createDataFrame([], schema), key_cols, order_cols)
     last = last_batch(spark, f"{state_dir}/progress")
-    folded = max((b for b in _numbers(spark, state_dir, "folded-") if _whole(spark, f"{state_dir}/folded-{b}")), default=-1)
-    batches = [b for b in _numbers(spark, state_dir, "changed-") if folded < b <= last]
+    folded = max((b for b in numbers(spark, state_dir, "folded-") if whole(spark, f"{state_dir}/folded-{b}")), default=-1)
+    batches = [b for b in numbers(spark, state_dir, "changed-") if folded < b <= last]
     paths = [(b, f"{state_dir}/changed-{b}") for b in batches] + ([(folded, f"{state_dir}/folded-{folded}")] if folded >= 0 else [])
     if not paths:
         return shape
@@ -93,9 +85,3 @@ def current_state(spark: SparkSession, state_dir: str, schema: T.StructType, key
     for _, path in paths:
         remove(spark, path)
     return spark.read.schema(shape.schema).parquet(f"{state_dir}/folded-{last}")
-
-
-def _whole(spark: SparkSession, path: str) -> bool:
-    """Whether a folder was written whole."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return bool(at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at))

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from depweave.operators import components, documents, maptables, similar, textbatch
+from depweave.sources import ledger
 from tests.test_tables import log, tables  # noqa: F401
 
 
@@ -101,3 +102,15 @@ def test_similar_sets(spark, at_least):
     for r in got.collect():
         x, y = sets[r.part, r.a], sets[r.part, r.b]
         assert r.common == len(x & y) and abs(r.jaccard - len(x & y) / len(x | y)) < 1e-12
+
+
+def test_versions_are_whole_or_not_there(spark, tmp_path):
+    path = f"file://{tmp_path}/map"
+    assert ledger.versions(spark, path) == []
+    assert [ledger.publish(spark.range(n), path) for n in (3, 5)] == [1, 2]
+    broken = spark.range(9).select(F.when(F.col("id") == 8, F.raise_error(F.lit("lost"))).otherwise(F.col("id").cast("string")).alias("id"))
+    with pytest.raises(Exception, match="lost"):
+        ledger.publish(broken, path)
+    assert ledger.versions(spark, path) == [1, 2] and ledger.read(spark, path).count() == 5
+    assert ledger.publish(spark.range(7), path) == 3
+    assert ledger.read(spark, path).agg(F.max("version"), F.count("*")).first()[:] == (3, 7) and ledger.read(spark, path, 1).count() == 3

@@ -42,4 +42,4 @@ def test_targeted_sweep_takes_five_rounds(spark, monkeypatch):
     monkeypatch.setattr(registry, "_weighted", lambda spark, sf: None)
     monkeypatch.setattr(registry, "_nodes", lambda spark, sf: nodes.select(F.col("name").alias("node")))
     registry.QUERIES["communities_targeted"](spark, SF_DIR)
-    assert tried == [(gamma, gamma < 5, cluster.Search()) for gamma in (5.005, 2.507, 1.259, 0.634, 0.322)]
+    assert tried == [(gamma, gamma < 5, cluster.STEP) for gamma in (5.005, 2.507, 1.259, 0.634, 0.322)]
