@@ -107,12 +107,12 @@ class Search:
     search ends as ``_settle`` says. ``refining``: rounds of the refinement. Up to ``small`` nodes are broadcast; more are
     joined with hot nodes and communities dealt over tasks."""
 
-    levels: int = 10
-    rounds: int = 20
-    last: int = 100
+    levels: int = 5
+    rounds: int = 12
+    last: int = 16
     tolerance: float = 0.02
     surely: bool = False
-    refining: int = 4
+    refining: int = 3
     small: int = 1 << 17
 
 
@@ -151,8 +151,9 @@ def _level(both: DataFrame, n: int, how: Search) -> _Level:
 
 
 def _turn(turn: int) -> Column:
-    """Whose turn it is: half of the nodes, and in the next round the other half."""
-    return F.pmod(F.xxhash64("node", F.lit(turn // 2)), F.lit(2)) == turn % 2
+    """Whose turn it is: half of the nodes, and in the next round the other half; four such pairs take turns, so that the
+    code of a round is compiled eight times at most."""
+    return F.pmod(F.xxhash64("node", F.lit(turn // 2 % 4)), F.lit(2)) == turn % 2
 
 
 #: A round of moves where all nodes are broadcast; see ``_round``.
@@ -165,7 +166,7 @@ movers AS (SELECT node, k, rate, comm AS was FROM rows WHERE active AND pmod(xxh
 every AS (
   SELECT /*+ BROADCAST(m), BROADCAST(p) */ e.node, p.comm AS to, e.weight, p.tot, m.k, m.rate, m.was FROM {{links}} e JOIN movers m ON m.node = e.node JOIN placed p ON p.node = e.other
   UNION ALL SELECT /*+ BROADCAST(p) */ m.node, m.was, 0D, p.tot, m.k, m.rate, m.was FROM movers m JOIN placed p ON p.node = m.node
-  UNION ALL SELECT node, -(node * 16384 + {turn} + 1), 0D, 0D, k, rate, was FROM movers
+  UNION ALL SELECT node, -(node * 8 + {turn}), 0D, 0D, k, rate, was FROM movers
 ),
 sums AS (SELECT node, to, sum(weight) AS k_in, max(tot) AS tot, max(k) AS k, max(rate) AS rate, max(was) AS was FROM every GROUP BY node, to),
 gains AS (SELECT node, to, was, k_in - rate * k * (tot - if(to = was, k, 0D)) AS gain FROM sums),
@@ -189,7 +190,7 @@ def _round(level: _Level, state: DataFrame, turn: int, many: bool = False) -> Da
     links = level.links
     if level.few:
         front = "SELECT node FROM {state}" if many else _FRONT
-        return links.sparkSession.sql(_ROUND.format(front=front, salt=turn // 2, half=turn % 2, turn=turn), links=links, state=state)
+        return links.sparkSession.sql(_ROUND.format(front=front, salt=turn // 2 % 4, half=turn % 2, turn=turn % 8), links=links, state=state)
     front = level.of(links.select("node", "other"), state.where("moved").select("node"), "node").select(F.col("other").alias("node")).distinct()
     rows = state.join(front.withColumn("front", F.lit(True)), "node", "left")
     active = F.lit(True) if many else F.col("waiting") | F.col("front").isNotNull()
@@ -199,7 +200,7 @@ def _round(level: _Level, state: DataFrame, turn: int, many: bool = False) -> Da
     near = level.of(level.of(links, movers, "node"), placed.select(F.col("node").alias("other"), F.col("comm").alias("to"), "tot"), "other")
     near = near.select("node", "to", "weight", "tot", "k", "rate", "was")
     own = movers.join(placed.select("node", "tot"), "node").select("node", F.col("was").alias("to"), F.lit(0.0).alias("weight"), "tot", "k", "rate", "was")
-    alone = movers.select("node", (-(F.col("node") * (1 << 14) + turn + 1)).alias("to"), F.lit(0.0).alias("weight"), F.lit(0.0).alias("tot"), "k", "rate", "was")
+    alone = movers.select("node", (-(F.col("node") * 8 + turn % 8)).alias("to"), F.lit(0.0).alias("weight"), F.lit(0.0).alias("tot"), "k", "rate", "was")
     sums = near.unionByName(own).unionByName(alone).groupBy("node", "to").agg(F.sum("weight").alias("k_in"), *(F.max(c).alias(c) for c in ("tot", "k", "rate", "was")))
     stays = F.col("to") == F.col("was")
     gain = F.col("k_in") - F.col("rate") * F.col("k") * (F.col("tot") - F.when(stays, F.col("k")).otherwise(0.0))
