@@ -6,6 +6,7 @@ component_edges, decisions.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from depweave.functions.paths import is_test
 from depweave.operators.components import assign_new_tests
+from depweave.operators.search import Lookup, add_texts, ascii_lower, narrowed, read_index
 from depweave.operators.spread import spread_join
 from depweave.operators.versions import decisions_with_names
 from depweave.sources.scratch import cut, numbered
@@ -38,23 +40,38 @@ def component_worklist(modules: DataFrame, components: DataFrame, files: DataFra
     return rows.join(files.where("not is_test").select("component_id"), "component_id", "left_semi")
 
 
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_SMALL = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def _like(col: str, pattern: str) -> Column:
     """LIKE in any case of A-Z; ``%`` and ``_`` are wild, a backslash stands for itself."""
-    pattern = pattern.translate(str.maketrans(_UPPER, _LOWER)).replace("\\", "\\\\")
-    return F.coalesce(F.translate(F.col(col), _UPPER, _LOWER).like(f"%{pattern}%"), F.lit(False))
+    pattern = pattern.translate(_SMALL).replace("\\", "\\\\")
+    return F.coalesce(ascii_lower(col).like(f"%{pattern}%"), F.lit(False))
 
 
-def search_entities(modules: DataFrame, components: DataFrame, decisions: DataFrame, text: str) -> DataFrame:
+def index_entities(modules: DataFrame, components: DataFrame, decisions: DataFrame, path: str) -> dict[str, DataFrame]:
+    """Indexes for ``search_entities``, by table; those at ``path`` grow by these rows."""
+    tables = {"modules": (modules, "module_id", ["name"]), "components": (components, "component_id", ["name"]), "decisions": (decisions, "decision_id", ["text", "detail"])}
+    for name, (rows, key, texts) in tables.items():
+        add_texts(rows, key, texts, f"{path}/{name}")
+    return {name: read_index(modules.sparkSession, f"{path}/{name}") for name in tables}
+
+
+def search_entities(modules: DataFrame, components: DataFrame, decisions: DataFrame, text: str, indexes: dict[str, DataFrame] | None = None, how: Lookup | None = None) -> DataFrame:
     """entity_type, id, name, owner of modules, components and decisions whose name, text or detail is LIKE
-    ``%text%`` in any case of A-Z (W8)."""
+    ``%text%`` in any case of A-Z (W8). With ``indexes`` (see ``index_entities``) only what may match is read and checked;
+    what is found is the same."""
+    owners, names = modules, components
+    if indexes is not None:
+        runs = re.split("[%_]", text.translate(_SMALL))
+        modules = narrowed(modules, "module_id", indexes["modules"], runs, how)
+        components = narrowed(components, "component_id", indexes["components"], runs, how)
+        decisions = narrowed(decisions, "decision_id", indexes["decisions"], runs, how)
     m = modules.where(_like("name", text)).select(F.lit("module").alias("entity_type"), F.col("module_id").alias("id"), "name", F.lit("").alias("owner"))
-    owner = modules.select("module_id", F.col("name").alias("owner"))
+    owner = owners.select("module_id", F.col("name").alias("owner"))
     c = components.where(_like("name", text)).join(owner, "module_id", "left").select(F.lit("component").alias("entity_type"), F.col("component_id").alias("id"), "name", F.coalesce("owner", F.lit("")).alias("owner"))
     hits = decisions.where(_like("text", text) | _like("detail", text))
-    named = decisions_with_names(hits, components, modules)
+    named = decisions_with_names(hits, names, owners)
     d = named.select(F.lit("decision").alias("entity_type"), F.col("decision_id").alias("id"), F.col("text").alias("name"), F.when(F.col("component_name") != "", F.col("component_name")).otherwise(F.col("module_name")).alias("owner"))
     return m.unionByName(c).unionByName(d)
 

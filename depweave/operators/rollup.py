@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from depweave.operators.search import Lookup, narrowed
 from depweave.operators.spread import spread_join
 from depweave.sources.scratch import cut
 
@@ -71,8 +72,11 @@ def filter_edges(edges: DataFrame, nodes: DataFrame, types: list[str] | None = N
     return rows.select(edges.columns)
 
 
-def search_graph(nodes: DataFrame, edges: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes whose label contains the text in any case (all for a blank one), and edges that touch one."""
+def search_graph(nodes: DataFrame, edges: DataFrame, text: str, index: DataFrame | None = None, how: Lookup | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes whose label contains the text in any case (all for a blank one), and edges that touch one (W9). ``index``
+    (of labels by node, folded by ``lower``) narrows what is checked; what is found is the same."""
+    if index is not None:
+        nodes = narrowed(nodes, "node", index, [text.strip().lower()], how)
     hits = nodes if not text.strip() else nodes.where(F.contains(F.lower("label"), F.lit(text.strip().lower())))
     ids = hits.select(F.col("node").alias("_id")).distinct()
     touched = edges.join(ids, (F.col("source") == F.col("_id")), "left_semi").unionByName(

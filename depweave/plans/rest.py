@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depweave.operators import checks, components, diagnostics, maptables, rollup, similar, textbatch, versions, weights
+from depweave.operators import checks, components, diagnostics, maptables, rollup, search, similar, textbatch, versions, weights
 from depweave.plans import views as V
 from depweave.plans.more import key_of, text
-from depweave.plans.registry import _calls, _weighted, register
+from depweave.plans.registry import _calls, _edges, _weighted, register
 from depweave.plans.sql import DIR, query
 from depweave.sources import ledger, readers, scratch
 
@@ -226,3 +228,37 @@ def similar_texts(spark: SparkSession, sf: str) -> DataFrame:
     turns = V.table(spark, sf, "conversations").select(textbatch.norm_text("text").alias("id")).where("id <> ''").distinct()
     found = similar.similar_sets(turns.select(F.lit("").alias("part"), "id", F.split("id", " ").alias("items")), 0.1)
     return found.select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+
+
+# Search by trigrams.
+
+_PATTERNS = ("RULE  9", "because%f", "e_t", "st", "%")
+
+
+@register(
+    query(
+        """SELECT p AS pattern, 'module' AS entity_type, module_id AS id, name, '' AS owner FROM pats JOIN mods ON lower(name) LIKE lower('%' || p || '%')
+        UNION ALL SELECT p, 'component', component_id, c.name, coalesce(m.name, '') FROM pats JOIN comps c ON lower(c.name) LIKE lower('%' || p || '%') LEFT JOIN mods m USING (module_id)
+        UNION ALL SELECT p, 'decision', decision_id, text, CASE WHEN c.name IS NOT NULL THEN c.name ELSE coalesce(m.name, '') END FROM pats JOIN decs d ON lower(text) LIKE lower('%' || p || '%') OR coalesce(lower(detail) LIKE lower('%' || p || '%'), false) LEFT JOIN comps c ON c.component_id = d.component_id LEFT JOIN mods m ON m.module_id = d.module_id""",
+        "mods", "comps", "decs", pats=f"SELECT unnest({list(_PATTERNS)}) AS p",
+    )
+)
+def search_indexed(spark: SparkSession, sf: str) -> DataFrame:
+    """Several patterns over one index of the map; the last ones have no trigram that could narrow them."""
+    t = V.map_tables(spark, sf)
+    own = t["modules"], t["components"], t["decisions"]
+    indexes = maptables.index_entities(*own, scratch.new_path(spark, "index"))
+    found = [maptables.search_entities(*own, p, indexes).select(F.lit(p).alias("pattern"), "entity_type", "id", "name", "owner") for p in _PATTERNS]
+    return reduce(DataFrame.unionByName, found)
+
+
+@register(query("SELECT 'node' AS kind, node AS a, CAST(NULL AS VARCHAR) AS b FROM hit UNION ALL SELECT 'edge', src, dst FROM fedges WHERE src IN (FROM hit) OR dst IN (FROM hit)", "nodes", "fedges", hit="SELECT node FROM nodes WHERE contains(lower(node), 'brass/p1')"))
+def search_graph_indexed(spark: SparkSession, sf: str) -> DataFrame:
+    """Files by a part of their path, and the file edges that touch one."""
+    files = V.occurrences(spark, sf).select(F.col("relative_path").alias("node"), F.col("relative_path").alias("label")).distinct()
+    files = scratch.cut(files, "labels")
+    path = scratch.new_path(spark, "index")
+    search.add_texts(files, "node", ["label"], path, F.lower)
+    edges = scratch.cut(_edges(spark, sf).withColumnsRenamed({"src": "source", "dst": "target"}), "edges")
+    hits, touched = rollup.search_graph(files, edges, " Brass/P1 ", search.read_index(spark, path))
+    return hits.select(F.lit("node").alias("kind"), F.col("node").alias("a"), F.lit(None).cast("string").alias("b")).unionByName(touched.select(F.lit("edge").alias("kind"), F.col("source").alias("a"), F.col("target").alias("b")))
