@@ -104,6 +104,27 @@ def test_similar_sets(spark, at_least):
         assert r.common == len(x & y) and abs(r.jaccard - len(x & y) / len(x | y)) < 1e-12
 
 
+@pytest.mark.parametrize("at_least,block", [(0.1, 7), (0.5, 16), (1.0, 4096)])
+def test_linked_sets(spark, at_least, block):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(700)]
+    sets = {f"i{i:03d}": {rng.choice(words[: rng.choice((20, 700))]) for _ in range(rng.randrange(1, 60))} for i in range(150)}
+    sets |= {f"j{i:02d}": sets[f"i{i:03d}"] for i in range(40)} | {"all": set(words), "none": set()}
+    got = similar.linked_sets(spark.createDataFrame([(i, [*x, *list(x)[:2], None]) for i, x in sets.items()], "id string, items array<string>"), at_least, block).collect()
+    near = {i: {j for j, y in sets.items() if j != i and x and y and len(x & y) >= at_least * len(x | y) - 1e-9} for i, x in sets.items()}
+
+    def reached(i):
+        seen, todo = {i}, [i]
+        while todo:
+            new = near[todo.pop()] - seen
+            seen |= new
+            todo += new
+        return seen
+
+    assert sorted(map(tuple, got)) == sorted((i, len(near[i]), min(reached(i))) for i, x in sets.items() if x)
+    assert any(near.values())
+
+
 def test_versions_are_whole_or_not_there(spark, tmp_path):
     path = f"file://{tmp_path}/map"
     assert ledger.versions(spark, path) == []
