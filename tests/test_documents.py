@@ -75,6 +75,29 @@ def test_decisions_by_lines(spark):
         assert [x for _, x in own if x] == want
 
 
+def test_requests_by_lines_are_whole(spark):
+    """Lines in order of their places are the documents that hold all in one row."""
+    rows = [(i, i % 3, ("b", "a", " ")[i % 7 % 3], f"t{i}", "x\ny" if i % 2 else None, ("human", "chat")[i % 5 % 2]) for i in range(30, 0, -1)]
+    d = spark.createDataFrame(rows, "decision_id long, component_id long, category string, text string, detail string, source string").withColumn("module_id", F.lit(None).cast("long"))
+    c = spark.createDataFrame([(0, 1, "zed"), (1, 1, "abc"), (2, 2, "one")], "component_id long, module_id long, name string")
+    f = spark.createDataFrame([(0, "p", False), (0, "p", False), (0, "q", False), (1, "r", False), (2, "s", True)], "component_id long, path string, is_test boolean")
+
+    def joined(lines, *of):
+        out = {}
+        for r in sorted(lines.collect(), key=lambda r: r.pos):
+            own = out.setdefault(tuple(r[x] for x in of), [])
+            assert r.pos == len(own) + 1
+            own.append(r.line)
+        return {k: "\n".join(v) for k, v in out.items()}
+
+    assert joined(documents.decision_lines(d, "component_id"), "component_id") == {(r.component_id,): r.body for r in textbatch.render_decisions(d, "component_id").collect()}
+    assert joined(documents.elevation_lines(d, c), "module_id") == {(r.module_id,): r.request for r in textbatch.elevation_requests(d, c).collect()}
+    asked = textbatch.validation_requests(c, f, d).collect()
+    lines = documents.validation_lines(c, f, d)
+    assert joined(lines, "component_id", "human") == {(r.component_id, human): text for r in asked for human, text in ((False, r.pipeline_decisions), (True, r.human_decisions)) if text}
+    assert {(r.component_id, r.files) for r in lines.collect()} == {(r.component_id, len(r.files)) for r in asked}
+
+
 @pytest.mark.parametrize("size", [1, 2, 3, 4])
 def test_names_held_in_texts(spark, size):
     rng = random.Random(size)
