@@ -125,6 +125,26 @@ def test_large_graphs_take_the_same_path(spark):
     assert runs[0] == runs[1] and len(runs[0]) == len(names)
 
 
+def test_a_round_is_one_job(spark):
+    """Rounds over packed links: the moves of the path for large graphs, without a join, a shuffle or a written state."""
+    rng = random.Random(6)
+    ends = [(rng.randrange(40), rng.randrange(40), rng.random()) for _ in range(200)]
+    links = spark.createDataFrame([r for a, b, w in ends if a != b for r in ((a, b, w), (b, a, w))], "node long, other long, weight double").groupBy("node", "other").agg(F.sum("weight").alias("weight"))
+    k = cluster.cut(links.groupBy("node").agg(F.sum("weight").alias("k")))
+    state = cluster.cut(k.select("node", F.col("node").alias("comm"), "k", F.lit(1 / k.agg(F.sum("k")).first()[0]).alias("rate")))
+    few, many = (cluster._level(links, k, 40, cluster.Search(small=small)) for small in (40, 0))
+    own, rows = cluster.Nodes(few.links, state), state.select("*", F.lit(True).alias("waiting"), F.lit(False).alias("moved"))
+    context = spark.sparkContext
+    for turn in range(4):
+        context.setJobGroup(f"round-{turn}", "")
+        own.round(turn, turn == 0)
+        assert len(context.statusTracker().getJobIdsForGroup(f"round-{turn}")) == 1
+        rows = cluster.cut(cluster._round(many, rows, turn, turn == 0))
+        got = {r.node: (r.comm, r.waiting, r.moved) for r in rows.collect()}
+        assert dict(zip(own.ids.tolist(), zip(own.comm.tolist(), own.waiting.tolist(), own.moved.tolist()))) == got
+    context.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_warm_starts(spark):
     """As near the targets as searches from single nodes, in no more rounds; two graphs at once."""
     part, rows = [], []
