@@ -5,6 +5,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,22 +18,17 @@ from depweave.sources.scratch import cut
 TYPE_WEIGHTS = {"call": 1.0, "import": 0.3, "inheritance": 0.5}
 
 
-def _by_type(weights: dict[str, float]) -> Column:
-    out = F.lit(0.0)
-    for kind, w in weights.items():
-        out = F.when(F.col("edge_type") == kind, F.lit(float(w))).otherwise(out)
-    return out
-
-
 def combine_weights(edges: DataFrame, nodes: DataFrame | None = None, weights: dict[str, float] | None = None) -> DataFrame:
     """src, dst, weight: the sum over types of log2(1 + cnt) times the type's weight, for pairs of known
-    nodes (A5). Counts of a pair and type are added up first."""
-    counts = edges.groupBy("src", "dst", "edge_type").agg(F.sum("cnt").alias("cnt"))
+    nodes (A5). Counts of a pair and type are added up first, all types of a pair at once, so edges are shuffled once."""
+    weights = weights or TYPE_WEIGHTS
     if nodes is not None:
         own = nodes.select("node").distinct()
         for end in ("src", "dst"):
-            counts = counts.join(own.withColumnRenamed("node", end), end, "left_semi")
-    return counts.groupBy("src", "dst").agg(F.sum(F.log2(1 + F.col("cnt")) * _by_type(weights or TYPE_WEIGHTS)).alias("weight"))
+            edges = edges.join(own.withColumnRenamed("node", end), end, "left_semi")
+    sums = [F.coalesce(F.sum(F.when(F.col("edge_type") == kind, F.col("cnt"))), F.lit(0)) for kind in weights]
+    added = reduce(Column.__add__, (F.log2(1 + n) * F.lit(float(w)) for n, w in zip(sums, weights.values(), strict=True)), F.lit(0.0))
+    return edges.groupBy("src", "dst").agg(added.alias("weight"))
 
 
 def degrees(edges: DataFrame) -> DataFrame:

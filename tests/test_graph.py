@@ -354,3 +354,22 @@ def test_discovery_with_responses(spark, monkeypatch):
     assert {(r.name, r.purpose, r.confidence) for r in out["components"].collect()} == {("Low", "first", 0.9), ("High", "second", 0.9), ("Same", "does x; does y", 0.8)}
     edges = {(r.source, r.target, r.edge_type): r.label for r in out["component_edges"].collect()}
     assert edges[("High", "Same", "call")] == "asks" and edges[("High", "Same", "import")] == ""
+
+
+def test_components_of_many_names_go_by_numbers(spark, monkeypatch):
+    """More names than ``small``: only numbers are written in rounds, and the result has the names again."""
+    names = [f"n{i:02d}" for i in range(40)]
+    edges = [(names[i], names[j], 1.0) for i, j in ((3, 9), (9, 1), (20, 30), (30, 21), (21, 3), (7, 8), (38, 39))]
+    written, cut = [], cluster.cut
+    monkeypatch.setattr(cluster, "cut", lambda df, name="step": written.append((name, dict(df.dtypes))) or cut(df, name))
+    rows = spark.createDataFrame(edges, "src string, dst string, weight double")
+    runs = [sorted(map(tuple, cluster.connected_components(rows, nodes_of(spark, names), small=small).collect())) for small in (100, 2, 0)]
+    assert runs[0] == runs[1] == runs[2] and ("n39", "n38") in runs[0] and ("n20", "n01") in runs[0] and ("n00", "n00") in runs[0]
+    assert all(kinds["up"] == "bigint" for name, kinds in written[written.index(("names", {"node": "string", "id": "bigint"})) :] if name == "up")
+
+
+def test_weights_take_one_shuffle(spark):
+    rows = [("a", "b", "import", 3), ("a", "b", "import", 4), ("a", "b", "call", 1), ("a", "c", "other", 5), ("b", "c", "inheritance", 3)]
+    out = weights.combine_weights(spark.createDataFrame(rows, "src string, dst string, edge_type string, cnt long"))
+    assert {(r.src, r.dst): round(r.weight, 9) for r in out.collect()} == {("a", "b"): 1.9, ("a", "c"): 0.0, ("b", "c"): 1.0}
+    assert out._jdf.queryExecution().sparkPlan().toString().count("HashAggregate") == 2
