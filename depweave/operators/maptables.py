@@ -218,15 +218,20 @@ def read_sections(lines: DataFrame) -> tuple[Tables, DataFrame]:
     """(tables, errors) of a map that comes by sections (``value``) (S7, J13): what ``import_tables`` takes. A missing
     classification is ``module``, a decision's missing source ``pipeline_generated``, an edge's missing weight 1. errors:
     value, reason of lines that are no section."""
-    section = F.get_json_object("value", "$.section")
-    known = F.try_parse_json("value").isNotNull() & F.coalesce(section.isin(*SECTIONS), F.lit(False))
+    # Null where the line is no JSON or has no such text.
+    section = F.try_variant_get(F.try_parse_json("value"), "$.section", "string")
     missing = {"classification": F.lit("module"), "source": F.lit("pipeline_generated"), "weight": F.lit(1.0), "is_test": F.lit(False)}
+    row = {name: F.from_json("value", f"row struct<{schema.replace(' ', ': ').replace(',: ', ', ')}>")["row"] for name, schema in SECTIONS.items()}
+    # A line is parsed once and written with a column a section, so a table reads its own column, not all lines again.
+    of = F.col("section")
+    known = F.coalesce(of.isin(*SECTIONS), F.lit(False))
+    rows = lines.select("value", section.alias("section"))
+    rows = cut(rows.select(F.when(known, of).alias("section"), F.when(~known, F.col("value")).alias("value"), *(F.when(of == name, row[name]).alias(name) for name in SECTIONS)), "sections-read")
     tables = {}
-    for name, schema in SECTIONS.items():
-        row = F.from_json("value", f"row struct<{schema.replace(' ', ': ').replace(',: ', ', ')}>")["row"]
-        table = lines.where(known & (section == name)).select(row.alias("r")).select("r.*")
+    for name in SECTIONS:
+        table = rows.where(of == name).select(f"{name}.*")
         tables[name] = table.withColumns({c: F.coalesce(c, v) for c, v in missing.items() if c in table.columns})
-    return tables, lines.where(~known).select("value", F.lit("no section").alias("reason"))
+    return tables, rows.where(of.isNull()).select("value", F.lit("no section").alias("reason"))
 
 
 def import_map(nested: DataFrame) -> Tables:
@@ -254,15 +259,18 @@ def import_tables(tables: Tables) -> Tables:
     owners and go where those are unknown; a decision of a module and a component comes for both, as in the
     nested map. Edges stay only if both ends are known; of edges that repeat (source, target, type) the first
     stays."""
-    mods = numbered(with_module_fields(tables["modules"]).withColumnRenamed("module_id", "id"), ["id", "name"], "module_id")
+    # Numbers are written once more, so that the planner knows how small they are: it broadcasts few and shuffles many.
+    mods = cut(numbered(with_module_fields(tables["modules"]).withColumnRenamed("module_id", "id"), ["id", "name"], "module_id"), "import-modules")
     new_mod = mods.select(F.col("id").alias("_old"), F.col("module_id").alias("_new"))
     child = lambda name, key, new: tables[name].join(new, F.col(key) == F.col("_old")).withColumn(key, F.col("_new")).drop("_old", "_new")
-    comps = numbered(child("components", "module_id", new_mod).withColumnRenamed("component_id", "id"), ["module_id", "id", "name"], "component_id")
+    comps = cut(numbered(child("components", "module_id", new_mod).withColumnRenamed("component_id", "id"), ["module_id", "id", "name"], "component_id"), "import-components")
     new_comp = comps.select(F.col("id").alias("_old"), F.col("component_id").alias("_new"))
-    field = [F.col("decision_id").alias("id"), "module_id", "component_id", "category", "text", "detail", "source"]
-    own = child("decisions", "module_id", new_mod).withColumn("component_id", F.lit(None).cast("long"))
-    deep = child("decisions", "component_id", new_comp).withColumn("module_id", F.lit(None).cast("long"))
-    rows = own.select(*field).unionByName(deep.select(*field)).withColumn("_deep", F.col("module_id").isNull())
+    # Decisions are read once for both kinds of owners.
+    both = F.array(F.struct(F.lit(False).alias("_deep"), F.col("module_id").alias("_old")), F.struct(F.lit(True).alias("_deep"), F.col("component_id").alias("_old")))
+    rows = tables["decisions"].select(F.col("decision_id").alias("id"), "category", "text", "detail", "source", F.explode(both).alias("o")).select("id", "category", "text", "detail", "source", "o.*")
+    owners = cut(new_mod.select(F.lit(False).alias("_deep"), "_old", "_new").unionByName(new_comp.select(F.lit(True).alias("_deep"), "_old", "_new")), "import-owners")
+    rows = rows.join(owners, ["_deep", "_old"]).drop("_old")
+    rows = rows.select("id", F.when(~F.col("_deep"), F.col("_new")).alias("module_id"), F.when(F.col("_deep"), F.col("_new")).alias("component_id"), "category", "text", "detail", "source", "_deep")
     decisions = numbered(rows, ["_deep", "module_id", "component_id", "id"], "decision_id").select("decision_id", "module_id", "component_id", "category", "text", "detail", "source")
 
     def edges(name: str, ids: DataFrame) -> DataFrame:
