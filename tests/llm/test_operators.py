@@ -200,6 +200,21 @@ def test_words_coded_as_the_library_does():
         assert np.frombuffer(ids, coder.kind).tolist() == [*tok.encode(text, add_special_tokens=False).ids, 1], repr(text)
 
 
+def test_plain_words_are_coded_by_runs():
+    tok, coder = library("word_bpe_49k.json"), tokenbin.WordCoder(public_tokenizers.path("word_bpe_49k.json"), 50)
+    rng = random.Random(3)
+    pool = "abzAZ019.,;$%&!?-_<|>()[]\\^`~@#\"/{}=+*:ÀÖØßéöøÿÇÑ"
+    words = ["".join(rng.choice(pool) for _ in range(rng.randrange(1, 12))) for _ in range(3000)]
+    want = [[*tok.encode(w, add_special_tokens=False).ids, 1] for w in words]
+    coder.tokenizer = None  # plain words don't need the library's whole way
+    assert [np.frombuffer(x, coder.kind).tolist() for w in words for x in coder.encode([w], 1)] == want
+    assert len(coder.runs) <= 50
+    coder.tokenizer = tok
+    # Words with an apostrophe, an added token, other letters or marks that join with a letter go the whole way.
+    for text in ("don't 'tis x's!'s 's1", "ab<|endoftext|>cd, e", "plain e\u0301, ×÷ǅ ΣΑΣ. ½x", "a<|ENDOFTEXT|>b É<|startoftext|>É9"):
+        assert np.frombuffer(coder.encode([text], 1)[0], coder.kind).tolist() == [*tok.encode(text, add_special_tokens=False).ids, 1], text
+
+
 def test_control_byte_coding():
     rng = np.random.default_rng(1)
     for n in (0, 1, 3, 4, 5, 1000):
