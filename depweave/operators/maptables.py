@@ -254,6 +254,10 @@ def import_map(nested: DataFrame) -> Tables:
     })
 
 
+#: Taken from a module's number for its place among owners; there are fewer owners than this.
+_AHEAD = 1 << 62
+
+
 def import_tables(tables: Tables) -> Tables:
     """The flat tables of a map with new ids from 1 in the old ids' order (J13). Children hang on their new
     owners and go where those are unknown; a decision of a module and a component comes for both, as in the
@@ -265,13 +269,17 @@ def import_tables(tables: Tables) -> Tables:
     child = lambda name, key, new: tables[name].join(new, F.col(key) == F.col("_old")).withColumn(key, F.col("_new")).drop("_old", "_new")
     comps = cut(numbered(child("components", "module_id", new_mod).withColumnRenamed("component_id", "id"), ["module_id", "id", "name"], "component_id"), "import-components")
     new_comp = comps.select(F.col("id").alias("_old"), F.col("component_id").alias("_new"))
-    # Decisions are read once for both kinds of owners.
-    both = F.array(F.struct(F.lit(False).alias("_deep"), F.col("module_id").alias("_old")), F.struct(F.lit(True).alias("_deep"), F.col("component_id").alias("_old")))
+    # Decisions are read once for both kinds of owners; only a decision of both becomes two rows. A place orders modules
+    # before components, so rows are sorted by two numbers.
+    owner = lambda deep, key: F.struct(F.lit(deep).alias("_deep"), F.col(key).alias("_old"))
+    own, deep = owner(False, "module_id"), owner(True, "component_id")
+    both = F.when(F.col("component_id").isNull(), F.array(own)).when(F.col("module_id").isNull(), F.array(deep)).otherwise(F.array(own, deep))
     rows = tables["decisions"].select(F.col("decision_id").alias("id"), "category", "text", "detail", "source", F.explode(both).alias("o")).select("id", "category", "text", "detail", "source", "o.*")
-    owners = cut(new_mod.select(F.lit(False).alias("_deep"), "_old", "_new").unionByName(new_comp.select(F.lit(True).alias("_deep"), "_old", "_new")), "import-owners")
-    rows = rows.join(owners, ["_deep", "_old"]).drop("_old")
-    rows = rows.select("id", F.when(~F.col("_deep"), F.col("_new")).alias("module_id"), F.when(F.col("_deep"), F.col("_new")).alias("component_id"), "category", "text", "detail", "source", "_deep")
-    decisions = numbered(rows, ["_deep", "module_id", "component_id", "id"], "decision_id").select("decision_id", "module_id", "component_id", "category", "text", "detail", "source")
+    placed = lambda new, deep, ahead: new.select(F.lit(deep).alias("_deep"), "_old", (F.col("_new") - ahead).alias("_place"))
+    owners = cut(placed(new_mod, False, _AHEAD).unionByName(placed(new_comp, True, 0)), "import-owners")
+    decisions = numbered(rows.join(owners, ["_deep", "_old"]).drop("_deep", "_old"), ["_place", "id"], "decision_id")
+    of_module = F.col("_place") < 0
+    decisions = decisions.select("decision_id", F.when(of_module, F.col("_place") + _AHEAD).alias("module_id"), F.when(~of_module, F.col("_place")).alias("component_id"), "category", "text", "detail", "source")
 
     def edges(name: str, ids: DataFrame) -> DataFrame:
         rows = tables[name].withColumn("metadata", _metadata())

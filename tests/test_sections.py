@@ -1,8 +1,11 @@
 """Maps that come by sections: each line is parsed once, whatever it holds."""
 
 import json
+import random
+import re
 
 from depweave.operators import maptables
+from depweave.plans import views
 from depweave.sources.scratch import cut
 
 
@@ -34,3 +37,34 @@ def test_sections_are_parsed_once(spark):
         "module_edges": [],
         "component_edges": [(1, 1, "call", 1.0, "{}")],
     }
+
+
+def test_decisions_are_numbered_by_owner_and_id(spark):
+    pick = random.Random(5)
+    mods, comps = pick.sample(range(-50, 50), 12), pick.sample(range(-50, 50), 20)
+    inside = {c: pick.choice([*mods, 99]) for c in comps}
+    said = [(i, pick.choice([None, 98, *mods]), pick.choice([None, 97, *comps]), f"t{i}") for i in pick.sample(range(-500, 500), 400)]
+    row = lambda section, **of: (json.dumps({"section": section, "row": of}),)
+    lines = [row("modules", module_id=m, name=f"m{m}") for m in mods] + [row("components", component_id=c, module_id=m, name=f"c{c}") for c, m in inside.items()]
+    lines += [row("decisions", decision_id=i, module_id=m, component_id=c, text=t) for i, m, c, t in said]
+    pick.shuffle(lines)
+    tables, _ = maptables.read_sections(cut(spark.createDataFrame(lines, "value string").repartition(5), "lines"))
+    got = sorted(tuple(r) for r in maptables.import_tables(tables)["decisions"].select("decision_id", "module_id", "component_id", "text").collect())
+    new_m = {m: n for n, m in enumerate(sorted(mods), 1)}
+    new_c = {c: n for n, c in enumerate(sorted((c for c in comps if inside[c] in new_m), key=lambda c: (inside[c], c)), 1)}
+    want = sorted((0, new_m[m], i, new_m[m], None, t) for i, m, c, t in said if m in new_m) + sorted((1, new_c[c], i, None, new_c[c], t) for i, m, c, t in said if c in new_c)
+    assert got == [(n, m, c, t) for n, (_, _, _, m, c, t) in enumerate(want, 1)]
+
+
+def test_line_items_are_not_shuffled_for_customers(spark):
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        for k, v in zip(kept, ("-1", "false"), strict=True):
+            spark.conf.set(k, v)
+        edges = views.component_edges(spark, "/root/testdata/sf0.001")
+        plan = spark._jvm.PythonSQLUtils.explainString(edges._jdf.queryExecution(), "formatted")
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    # By order, then by supplier.
+    assert len(re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: \[[^\]]*l_suppkey", plan)) == 2
