@@ -8,7 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from depweave.operators import components, documents, maptables, similar, textbatch
+from depweave.plans import registry
 from depweave.sources import ledger
+from tests.test_queries import SF_DIR
 from tests.test_tables import log, tables  # noqa: F401
 
 
@@ -148,6 +150,27 @@ def test_linked_sets(spark, at_least, block):
     assert any(near.values())
 
 
+@pytest.mark.parametrize("at_least,block", [(0.1, 7), (0.1, 60), (0.5, 16), (1.0, 4096)])
+def test_similar_pairs(spark, at_least, block):
+    """Every pair by name, with no shuffle after the pairs of blocks."""
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(700)]
+    sets = {f"i{rng.random()}é": {rng.choice(words[: rng.choice((20, 700))]) for _ in range(rng.randrange(1, 60))} for i in range(120)}
+    sets |= {f"j{i:02d}": x for i, x in enumerate([*sets.values()][:40])} | {"all": set(words), "none": set()}
+    found = similar.similar_pairs(spark.createDataFrame([(i, [*x, *list(x)[:2], None]) for i, x in sets.items()], "id string, items array<string>"), at_least, block)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+    both = {(a, b): (len(x & y), len(x | y)) for (a, x), (b, y) in itertools.product(sets.items(), repeat=2) if a < b and x and y}
+    want = sorted((a, b, k, k / n) for (a, b), (k, n) in both.items() if k >= at_least * n - 1e-9)
+    assert sorted(map(tuple, found.collect())) == want and want
+    assert similar.similar_pairs(found.select(F.col("a").alias("id"), F.array("b").alias("items")).limit(0), at_least, block).collect() == []
+
+
+def test_similar_texts_names_its_pairs(spark):
+    """The result is the pairs, not a count of them."""
+    assert registry.QUERIES["similar_texts"](spark, SF_DIR).columns == ["a", "b", "jaccard"]
+
+
 def test_versions_are_whole_or_not_there(spark, tmp_path):
     path = f"file://{tmp_path}/map"
     assert ledger.versions(spark, path) == []
