@@ -6,6 +6,7 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from depweave.operators import cluster, resolution, weights
@@ -145,6 +146,40 @@ def test_a_round_is_one_job(spark):
     context.setLocalProperty("spark.jobGroup.id", None)
 
 
+def test_contracted_levels_are_few_jobs(spark):
+    """Rounds of a small contracted level take no job, and give the same communities."""
+    rows, names = loose(4, n=60, groups=3, m=250)
+    part, graph = cluster._numbered_graph(graph_of(spark, rows), nodes_of(spark, names), None)
+    gammas = part.select("partition").distinct().withColumn("gamma", F.lit(1.0))
+    context, found, jobs = spark.sparkContext, {}, {}
+    for held in (0, 1 << 20):
+        turns, how = cluster.Turns(), cluster.Search(rounds=4, last=4, held=held)
+        nodes = cluster._begun(graph, part.select("node", "partition"), len(names), gammas, None, turns)
+        context.setJobGroup(f"levels-{held}", "")
+        found[held] = cluster._levels(nodes, how, turns).tolist()
+        jobs[held] = len(context.statusTracker().getJobIdsForGroup(f"levels-{held}"))
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert found[0] == found[1 << 20] and len(turns.moved) > 4
+    assert jobs[1 << 20] <= 16 and jobs[0] >= jobs[1 << 20] + len(turns.moved) - 4
+
+
+def test_searches_share_packed_links(spark):
+    """A second search, of one of two partitions, is the search of that partition alone."""
+    rows, names = loose(4, n=60, groups=3, m=250)
+    both = [*rows, *((f"x{a}", f"x{b}", w) for a, b, w in rows)]
+    own = spark.createDataFrame([(x + n, x or "-") for n in names for x in ("", "x")], "node string, partition string")
+    part, graph = cluster._numbered_graph(graph_of(spark, both), own.select("node"), own)
+    part, turns, how = cluster.cut(part), cluster.Turns(), cluster.Search(levels=2, rounds=4, last=4)
+    gammas = spark.createDataFrame([("-", 1.0), ("x", 2.0)], "partition string, gamma double")
+    cluster._search(graph, part, gammas, None, how, turns)
+    one, gamma = part.where("partition = 'x'"), gammas.where("partition = 'x'")
+    start = one.select("node", F.min("node").over(Window.partitionBy(F.substring("name", 3, 1))).alias("comm"))
+    again, alone = cluster.Turns(), cluster.Turns()
+    again.first = turns.first
+    runs = [cluster._search(g, one, gamma, start, how, t) for g, t in ((None, again), (graph.join(one.select("node"), "node", "left_semi"), alone))]
+    assert sorted(map(tuple, runs[0].collect())) == sorted(map(tuple, runs[1].collect())) and runs[0].count() == len(names)
+
+
 def test_warm_starts(spark):
     """As near the targets as searches from single nodes, in no more rounds; two graphs at once."""
     part, rows = [], []
