@@ -163,6 +163,19 @@ def test_contracted_levels_are_few_jobs(spark):
     assert jobs[1 << 20] <= 16 and jobs[0] >= jobs[1 << 20] + len(turns.moved) - 4
 
 
+def test_links_are_packed_once(spark, monkeypatch):
+    """For the search and for the pieces after it, of as many files as 60 times sf0.1 has; pieces are apart."""
+    calls, packed = [], cluster.packed
+    monkeypatch.setattr(cluster, "packed", lambda *a: calls.append(a) or packed(*a))
+    names = [f"n{i}" for i in range(9)]
+    rows = [("n0", "n4", 1.0), ("n4", "n8", 1.0), ("n1", "n2", 1.0)]
+    start = spark.createDataFrame([(n, 0) for n in names], "node string, cluster int")
+    found = cluster.communities(graph_of(spark, rows), nodes_of(spark, names), start=start, how=cluster.Search(levels=0, last=0))
+    of = {r.node: r.cluster for r in found.collect()}
+    assert of == {"n0": 0, "n4": 0, "n8": 0, "n1": 1, "n2": 1, "n3": 2, "n5": 3, "n6": 4, "n7": 5}
+    assert len(calls) == 1 and cluster.Search().small >= 60 * 20000
+
+
 def test_searches_share_packed_links(spark):
     """A second search, of one of two partitions, is the search of that partition alone."""
     rows, names = loose(4, n=60, groups=3, m=250)
