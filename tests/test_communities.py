@@ -176,6 +176,14 @@ def test_links_are_packed_once(spark, monkeypatch):
     assert len(calls) == 1 and cluster.Search().small >= 60 * 20000
 
 
+def test_found_clusters_are_written(spark):
+    """What follows a search reads its clusters, it doesn't join them once more."""
+    rows, names = loose(4, n=20, groups=2, m=40)
+    found = cluster.communities_targeted(graph_of(spark, rows), nodes_of(spark, names), 2, rounds=1, how=cluster.Search(levels=1, rounds=2, last=1, refining=1))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan and "Union" not in plan and found.count() == len(names)
+
+
 def test_searches_share_packed_links(spark):
     """A second search, of one of two partitions, is the search of that partition alone."""
     rows, names = loose(4, n=60, groups=3, m=250)
